@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import language, near_dedup, packing
 from .store import table
 
 
@@ -14,8 +14,18 @@ def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.learn(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "languages")
+
+
+def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_lsh_forest,)}
+    return {f.__name__: f for f in (op5_lsh_forest, op6_language_mixture, op7_harmonic_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
