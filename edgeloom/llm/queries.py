@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, near_dedup, packing
+from . import decontaminate, language, near_dedup, packing
 from .store import table
 
 
@@ -24,8 +24,12 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_lsh_forest, op6_language_mixture, op7_harmonic_packing)}
+    return {f.__name__: f for f in (op5_lsh_forest, op6_language_mixture, op7_harmonic_packing, op9_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
