@@ -41,36 +41,49 @@ def components(edges: DataFrame) -> DataFrame:
 
 def linked_groups(
     members: DataFrame,
+    sketch: DataFrame,
+    agree: int,
     verify: Callable[[DataFrame], DataFrame],
-    near: Callable[[DataFrame], DataFrame],
+    deeper: DataFrame | None = None,
+    crowd: int = 32,
+    within: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(id, component) of the nodes that have a verified link, from `members` (bucket, id): nodes that share a bucket
-    are candidates.
+    are candidates. `deeper` holds further buckets, each inside one of those.
 
     No bucket is expanded into its pairs. First every member is compared with its bucket's leader, the member that
     meets most others over all its buckets (the hub of a group of copies, where there is one). `verify` returns the
     pairs (a, b) that hold. A bucket whose members are then all in one class is settled. In the others, and only
-    there, members of different classes are compared too, after `near` has dropped the pairs whose sketches differ
-    too much, so that no link between the classes is lost.
+    there, members of different classes are compared too if at least `agree` values of their sketches (id, sig) are
+    equal, so that no link between the classes is lost. Where `within` is given, it finds the links in the unsettled
+    buckets (bucket, id, c, the class) of more than `crowd` members instead, without a row for each pair.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    live = stored(members.join(sizes, "bucket"), "live")
+    live = stored(_shared(members), "live")
+    leaders = live if deeper is None else live.union(_shared(deeper))
     score = live.groupBy("id").agg(F.sum("size").alias("score"))
-    leaders = (
-        live.join(score, "id")
-        .groupBy("bucket")
-        .agg(F.max(F.struct("score", (-F.col("id").cast("decimal(20,0)")).alias("low"), "id"))["id"].alias("leader"))
-    )
-    tried = stored(_ordered(live.join(leaders, "bucket"), "id", "leader"), "tried")
+    best = F.max(F.struct("score", (-F.col("id").cast("decimal(20,0)")).alias("low"), "id"))["id"]
+    chosen = leaders.join(score, "id").groupBy("bucket").agg(best.alias("leader"))
+    tried = stored(_ordered(leaders.join(chosen, "bucket"), "id", "leader"), "tried")
     links = stored(verify(tried), "links")
     classes = stored(components(links), "classes")
-    placed = live.where("size > 2").join(classes, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    placed = live.where("size > 2").join(classes, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("c"))
     open_ = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
     rest = stored(placed.join(open_, "bucket", "left_semi"), "open")
-    x, y = rest.alias("x"), rest.alias("y")
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")))
+    few = rest if within is None else rest.where(F.col("size") <= crowd)
+    few = few.join(sketch, "id")
+    x, y = few.alias("x"), few.alias("y")
+    same = F.size(F.filter(F.zip_with("x.sig", "y.sig", lambda a, b: a == b), lambda a: a))
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & (same >= agree))
     pairs = _ordered(pairs.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")), "x", "y")
-    more = stored(verify(near(pairs.join(tried, ["a", "b"], "left_anti"))), "more")
+    more = verify(pairs.join(tried, ["a", "b"], "left_anti"))
+    if within is not None:
+        more = more.union(within(rest.where(F.col("size") > crowd)))
+    more = stored(more, "more")
     if more.isEmpty():
         return classes
     return components(links.union(more))
+
+
+def _shared(members: DataFrame) -> DataFrame:
+    """Those in a bucket with others, with its size."""
+    return members.join(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket")

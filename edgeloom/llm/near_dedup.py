@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,8 @@ WIDTH, PERCENT = 5, 85
 VALUES, TREES, DEPTHS, CROWD = 100, 20, (5, 10, 20), 32
 #: Pairs of an unsettled region are confirmed when this many signature values agree: six standard errors below 0.85.
 AGREE = 64
+#: Shingles that a block of an unsettled crowded region holds; its members are compared block by block.
+BLOCK = 200_000
 
 _FACTORS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ADDENDS = mix(_FACTORS)
@@ -92,8 +95,8 @@ def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return id_text(docs).mapInArrow(sets_of, "digest long, members array<long>")
 
 
-def forest(nodes: DataFrame) -> DataFrame:
-    """(bucket, id): the regions of the LSH forest that hold a node of `nodes` (id, sig).
+def forest(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(bucket, id): the regions of the LSH forest that hold a node of `nodes` (id, sig), and the regions inside those.
 
     Tree t sorts the signatures by their values from t * VALUES / TREES on, in cyclic order. The nodes that share the
     first DEPTHS[0] values of that order are a region; where more than CROWD nodes do, those that share more values,
@@ -104,13 +107,50 @@ def forest(nodes: DataFrame) -> DataFrame:
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
     rows = turned.select("id", "sig", trees.alias("tree"))
     key = lambda depth: F.xxhash64(F.lit(depth), "tree", F.expr(f"slice(sig, tree * {step} + 1, {depth})"))
-    level = rows.select("id", "tree", key(DEPTHS[0]).alias("bucket"))
-    out = level.select("bucket", "id")
+    level = stored(rows.select("id", "tree", key(DEPTHS[0]).alias("bucket")), "level")
+    outer, inside = level.select("bucket", "id"), None
     for depth in DEPTHS[1:]:
         crowded = level.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
         inner = level.join(crowded, "bucket", "left_semi").select("id", "tree")
         level = stored(turned.join(inner, "id").select("id", "tree", key(depth).alias("bucket")), "level")
-        out = out.union(level.select("bucket", "id"))
+        own = level.select("bucket", "id")
+        inside = own if inside is None else inside.union(own)
+    return outer, inside
+
+
+def block_links(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between rows of different classes (id, c, members) that join the classes: of each two classes that have
+    any, and of those joined by them, one. Intersections are products of 0/1 matrices over the shared shingles."""
+    rows = rows.drop_duplicates("id")
+    sets = [np.asarray(m) for m in rows["members"]]
+    sizes = np.array([len(m) for m in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, token = owner[times[token] > 1], token[times[token] > 1]
+    _, token = np.unique(token, return_inverse=True)
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
+        a, b = np.searchsorted(token, [low, low + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[a:b], token[a:b] - low] = 1
+        both += part @ part.T
+    union = sizes[:, None] + sizes[None, :] - both
+    ids, root = rows["id"].to_numpy(), {}
+
+    def find(c: int) -> int:
+        while (up := root.get(c, c)) != c:
+            c = up
+        return c
+
+    out = []
+    classes = rows["c"].to_numpy()
+    for i, j in np.argwhere(np.triu(100 * both >= percent * union, 1) & (classes[:, None] != classes[None, :])):
+        x, y = find(classes[i]), find(classes[j])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(ids[i]), int(ids[j])))
     return out
 
 
@@ -120,27 +160,37 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     base = stored(sketches(docs, width), "sketches")
     nodes = base.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     nodes = stored(nodes.withColumnRenamed("digest", "id"), "nodes")
-    members = stored(forest(nodes.select("id", "sig")), "forest")
+    regions, inside = forest(nodes.select("id", "sig"))
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        wanted = nodes.join(ids, "id", "left_semi").select(F.col("id").alias("digest"), F.col("doc").alias("doc_id"))
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = nodes.join(ids.distinct(), "id", "left_semi").select(F.col("id").alias("digest"), F.col("doc").alias("doc_id"))
         texts = id_text(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
         found = full_sets(texts, width).join(wanted.select("digest"), "digest", "left_semi")
-        sets = stored(found.groupBy("digest").agg(F.first("members").alias("members")), "sets")
+        return stored(found.groupBy("digest").agg(F.first("members").alias("members")), "sets")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "pairs")
+        sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
         left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
         both = F.size(F.array_intersect("set_a", "set_b"))
         union = F.size("set_a") + F.size("set_b") - both
         return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * union).select("a", "b")
 
-    def near(pairs: DataFrame) -> DataFrame:
-        sig = nodes.select("id", "sig")
-        both = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-        same = F.size(F.filter(F.zip_with("sig_a", "sig_b", lambda x, y: x == y), lambda x: x))
-        return both.where(same >= AGREE).select("a", "b")
+    def within(crowded: DataFrame) -> DataFrame:
+        weight = crowded.join(nodes.select("id", "n"), "id")
+        many = weight.groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        other = F.explode(F.expr("sequence(0, blocks - 1)"))
+        placed = crowded.join(many, "bucket").select("bucket", "id", "c", own.alias("own"), other.alias("other"))
+        placed = placed.select("bucket", "id", "c", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+        rows = placed.join(sets_of(crowded.select("id")).withColumnRenamed("digest", "id"), "id")
+
+        def link(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame(block_links(rows, percent), columns=["a", "b"], dtype="int64")
+
+        return rows.groupBy("bucket", "x", "y").applyInPandas(link, "a long, b long")
 
-    classes = linked_groups(members, verify, near)
+    classes = linked_groups(regions, nodes.select("id", "sig"), AGREE, verify, inside, CROWD, within)
     placed = nodes.join(classes, "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
     labels = placed.join(smallest, "component").select(F.col("id").alias("digest"), "component_id")
