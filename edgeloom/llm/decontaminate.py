@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import stored
-from .text_columns import ALNUM, ALNUM_ANY, ascii_lower, keyed, rolling
+from .text_columns import NOT_ALNUM, NOT_ALNUM_ANY, ascii_lower, keyed, rolling, words_between
 
 WINDOW, GRAM = 10, 5
 #: Rows of (hash, item): 16 bytes each before overhead, so a few dozen MB at most.
@@ -30,7 +30,7 @@ BROADCAST_ROWS = 500_000
 
 
 def _words(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("words", F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(ALNUM), F.lit(0)))
+    return docs.withColumn("words", words_between(ascii_lower(F.col("text")), NOT_ALNUM))
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
     spots = spots.select("key", F.explode(F.expr("sequence(first, first + length - 1)")).alias("at")).distinct()
     counts = spots.groupBy("key").agg(F.count("*").alias("n_hit"))
     items = found.select("key", F.col("item_id").cast("string").alias("item")).distinct().groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    base = rows.select("key", "doc_id", F.regexp_count("text", F.lit(ALNUM_ANY)).cast("long").alias("n_words"))
+    base = rows.select("key", "doc_id", F.size(words_between(F.col("text"), NOT_ALNUM_ANY)).cast("long").alias("n_words"))
     out = base.join(counts.join(items, "key"), "key", "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))

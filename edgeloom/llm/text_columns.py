@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words of letters and digits (everything above ASCII counts as one), of a text in lower case and of any text.
-ALNUM, ALNUM_ANY = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Words between white space.
-SPACED = r"[^\x20\x09-\x0D]+"
+#: What separates words of letters and digits (everything above ASCII counts as one), in lower case and in any text.
+NOT_ALNUM, NOT_ALNUM_ANY = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: White space between words.
+SPACE = r"[\x20\x09-\x0D]+"
+
+
+def words_between(text: Column, separators: str) -> Column:
+    """The words of a text. Splitting costs a fraction of extracting every match."""
+    return F.array_remove(F.split(text, separators), "")
 
 
 def ascii_lower(text: Column) -> Column:
