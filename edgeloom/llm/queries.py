@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, near_dedup, packing, quality
+from . import decontaminate, language, line_dedup, near_dedup, packing, quality
 from .store import table
 
 
+def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 def op3_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,7 +37,7 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_likelihood_ratio, op5_lsh_forest, op6_language_mixture, op7_harmonic_packing, op9_winnowing)}
+    return {f.__name__: f for f in (op1_fuzzy_lines, op3_likelihood_ratio, op5_lsh_forest, op6_language_mixture, op7_harmonic_packing, op9_winnowing)}
 
 
 def oracle_sql() -> dict[str, str]:
