@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, near_dedup, packing, quality
+from . import decontaminate, language, line_dedup, near_dedup, packing, quality, substrings
 from .store import table
 
 
@@ -36,8 +37,13 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fuzzy_lines, op3_likelihood_ratio, op5_lsh_forest, op6_language_mixture, op7_harmonic_packing, op9_winnowing)}
+    return {f.__name__: f for f in (op1_fuzzy_lines, op3_likelihood_ratio, op5_lsh_forest, op6_language_mixture, op7_harmonic_packing, op9_winnowing, op10_recompression)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,6 +27,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path).getParent()
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    jvm.System.gc()  # Spark deletes the shuffle files of finished steps once their plans are collected
     return spark.read.schema(df.schema).parquet(path)
 
 
