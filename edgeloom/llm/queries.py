@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, near_dedup, packing, quality, substrings
+from . import decontaminate, language, line_dedup, near_dedup, packing, quality, substrings, suffixes
 from .store import table
 
 
@@ -15,6 +15,10 @@ def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,7 +47,7 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fuzzy_lines, op3_likelihood_ratio, op5_lsh_forest, op6_language_mixture, op7_harmonic_packing, op9_winnowing, op10_recompression)}
+    return {f.__name__: f for f in (op1_fuzzy_lines, op2_suffix_array, op3_likelihood_ratio, op5_lsh_forest, op6_language_mixture, op7_harmonic_packing, op9_winnowing, op10_recompression)}
 
 
 def oracle_sql() -> dict[str, str]:
