@@ -12,6 +12,7 @@ doc_id is kept; an empty table gives no piece. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,8 +29,8 @@ from .store import id_text, small_batches, stored
 CAPACITY, END, TOKENIZER = 4096, 2, "word_bpe_49k.json"
 #: Tokens that a full bin may lack.
 SLACK = 24
-#: Encoded words that a worker remembers.
-REMEMBERED = 200_000
+#: Encoded runs of characters that a worker remembers: about 200 bytes each.
+REMEMBERED = 600_000
 
 
 def cuts(n: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[tuple[int, int, int]]:
@@ -48,8 +49,13 @@ def cuts(n: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[tuple[int
 
 
 class Encoder:
-    """Token ids as little-endian unsigned 32-bit bytes. White space separates tokens in this vocabulary, so words are
-    encoded apart, each once while it is remembered."""
+    """Token ids as little-endian unsigned 32-bit bytes. The vocabulary's own rule splits a text into runs of letters,
+    digits and other characters before it merges, so runs are encoded apart, each once while it is remembered. A text
+    with characters whose class or lower case is not plain is encoded whole."""
+
+    #: The vocabulary's rule, for the characters of `plain` texts.
+    runs = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-z0-9ß-öø-ÿ]+")
+    unusual = re.compile(r"[^\x00-\x1b\x20-\x7fß-öø-ÿ¡¿«»€–—‘’“”…]|<\|")
 
     def __init__(self, name: str) -> None:
         import public_tokenizers
@@ -58,16 +64,21 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.known: dict[str, bytes] = {}
 
+    def learn(self, runs: list[str]) -> None:
+        for k in range(0, len(runs), 20_000):
+            part = runs[k : k + 20_000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids, cut = np.array(found.ids, "<u4").tobytes(), 4 * np.searchsorted(found.word_ids, np.arange(len(part) + 1))
+            self.known.update((w, ids[a:b]) for w, a, b in zip(part, cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() if not any(c in t for c in "\x1c\x1d\x1e\x1f") else t.replace("\n", " ").split(" ") for t in texts]
+        lower = [t.lower() for t in texts]
+        split = [None if self.unusual.search(t) else self.runs.findall(t) for t in lower]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list({w for words in split for w in words} - self.known.keys())
-        for k in range(0, len(new), 5000):
-            part = new[k : k + 5000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        self.learn(list(set().union(*(s for s in split if s)) - self.known.keys()))
+        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        return [whole(t) if s is None else b"".join(map(self.known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
 
 
 def pieces(docs: DataFrame, name: str, capacity: int, ids: bool) -> DataFrame:
@@ -76,9 +87,9 @@ def pieces(docs: DataFrame, name: str, capacity: int, ids: bool) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, seen, task = Encoder(name), Counter(), pyspark.TaskContext.get().partitionId()
         for batch in batches:
-            for k in range(0, len(batch), 100):
+            for k in range(0, len(batch), 250):
                 rows = []
-                part = batch.slice(k, 100)
+                part = batch.slice(k, 250)
                 for doc, text in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
                     text += END.to_bytes(4, "little")
                     for start, length, j in cuts(len(text) // 4, capacity):
