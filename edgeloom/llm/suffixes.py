@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyspark
 from pyspark.sql import DataFrame
@@ -32,8 +31,8 @@ from .text_columns import keyed
 from .words import SPACED, blocks, grams, hashed_words, mix
 
 WINDOW, GRAM = 50, 8
-#: Rows of a sorted task, about.
-TASK_ROWS = 50_000
+#: Rows of a sorted task, about; rows that are matched at a time, unless more share their first words.
+TASK_ROWS, CHUNK = 50_000, 4_000
 
 
 def minimisers(words: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,36 +100,54 @@ def suffixes(rows: DataFrame, window: int, gram: int) -> DataFrame:
 MARK = ("key", "low", "high", "later_low", "later_high")
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The 32-bit words in a binary column of one width."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], ">u4")[offsets[0] // 4 : offsets[-1] // 4].reshape(len(column), -1).astype(np.uint32)
+
+
 class Sorted:
     """Suffixes in order, as arrays."""
 
-    def __init__(self, rows: pd.DataFrame, window: int) -> None:
-        n, self.window = len(rows), window
-        self.right = np.frombuffer(b"".join(rows["right_words"]), ">u4").reshape(n, -1).astype(np.uint64)
-        self.left = np.frombuffer(b"".join(rows["left_words"]), ">u4").reshape(n, -1).astype(np.uint64)
-        self.head, self.n_right, self.n_left = (rows[c].to_numpy() for c in ("head", "n_right", "n_left"))
-        self.doc, self.key, self.at = rows["doc_id"].fillna(-(1 << 62)).to_numpy(np.int64), rows["key"].to_numpy(), rows["at"].to_numpy()
+    def __init__(self, rows: pa.RecordBatch, window: int) -> None:
+        column = lambda name: rows.column(rows.schema.get_field_index(name))
+        self.window = window
+        self.right, self.left = _matrix(column("right_words")), _matrix(column("left_words"))
+        self.head, self.n_right, self.n_left, self.key, self.at = (column(c).to_numpy() for c in ("head", "n_right", "n_left", "key", "at"))
+        self.doc = column("doc_id").fill_null(-(1 << 62)).to_numpy()
+
+    @staticmethod
+    def joined(parts: list[Sorted]) -> Sorted:
+        out = Sorted.__new__(Sorted)
+        out.__dict__ = {k: np.concatenate([p.__dict__[k] for p in parts]) if isinstance(v, np.ndarray) else v for k, v in parts[0].__dict__.items()}
+        return out
+
+    def __len__(self) -> int:
+        return len(self.at)
 
     def part(self, rows: np.ndarray) -> Sorted:
         out = Sorted.__new__(Sorted)
         out.__dict__ = {k: v[rows] if isinstance(v, np.ndarray) else v for k, v in self.__dict__.items()}
         return out
 
-    def extended(self) -> list[np.ndarray]:
+    def extended(self) -> Iterator[np.ndarray]:
         """Hashes of the nearest 0, 1, ... words to the left."""
-        out = [np.zeros(len(self.at), np.uint64)]
+        hashes = np.zeros(len(self), np.uint64)
+        yield hashes
         for k in range(self.left.shape[1]):
-            out.append(mix(out[-1] + self.left[:, k] + np.uint64(1)))
-        return out
+            hashes = mix(hashes + self.left[:, k] + np.uint64(1))
+            yield hashes
 
-    def marks(self) -> pd.DataFrame:
+    def marks(self) -> dict[str, np.ndarray]:
         """MARK of the suffixes that match another: the words of any match and those of a match with an earlier one."""
-        n = len(self.at)
+        n = len(self)
         differ = self.right[1:] != self.right[:-1]
         prefix = np.where(differ.any(1), differ.argmax(1), self.right.shape[1])
         prefix[self.head[1:] != self.head[:-1]] = 0
-        place = np.empty(n, np.int64)
-        place[np.lexsort((self.at, self.key, self.doc))] = np.arange(n)
+        place, order = np.empty(n, np.int64), np.lexsort((self.at, self.key, self.doc))
+        place[order] = np.cumsum(np.append(0, np.any([np.diff(c[order]) != 0 for c in (self.at, self.key, self.doc)], axis=0)))[:n]
+        if not n:
+            return {c: place for c in MARK}
         reach = np.zeros((4, n), np.int64)  # words to the left and to the right, in any match and in the later role
         for left, hashes in enumerate(self.extended()):
             right = self.window - left
@@ -143,25 +160,23 @@ class Sorted:
             size = np.diff(np.append(first, len(rows)))
             if not (size > 1).any():
                 continue
-            earliest = np.repeat(np.minimum.reduceat(place[rows], first), size)
-            met = np.repeat(size > 1, size)
+            earliest, latest = (np.repeat(f.reduceat(place[rows], first), size) for f in (np.minimum, np.maximum))
+            met = earliest < latest
             for base, own in ((0, rows[met]), (2, rows[met & (place[rows] > earliest)])):
                 reach[base, own] = np.maximum(reach[base, own], left)
                 reach[base + 1, own] = np.maximum(reach[base + 1, own], right)
         hit = reach[1] > 0
         spans = (self.key, self.at - reach[0], self.at + reach[1], self.at - reach[2], self.at + reach[3])
-        return pd.DataFrame({c: v[hit] for c, v in zip(MARK, spans, strict=True)})
+        return {c: v[hit] for c, v in zip(MARK, spans, strict=True)}
 
-    def windows(self) -> pd.DataFrame:
+    def windows(self) -> Iterator[dict[str, np.ndarray]]:
         """The hash of each window that a suffix may lie in, with its place."""
-        out = []
         for left, hashes in enumerate(self.extended()):
             rows = np.flatnonzero((self.n_right >= self.window - left) & (self.n_left >= left))
             name = hashes[rows] + np.uint64(left)
             for k in range(self.window - left):
                 name = mix(name + self.right[rows, k] + np.uint64(1))
-            out.append(pd.DataFrame({"hash": name.view(np.int64), "doc": self.doc[rows], "key": self.key[rows], "low": self.at[rows] - left}))
-        return pd.concat(out, ignore_index=True)
+            yield {"hash": name.view(np.int64), "doc": self.doc[rows], "key": self.key[rows], "low": self.at[rows] - left}
 
 
 def marks(found: DataFrame, window: int) -> DataFrame:
@@ -171,16 +186,31 @@ def marks(found: DataFrame, window: int) -> DataFrame:
     spread = found.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
     columns = ["hash", "doc", *MARK]
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = list(batches)
-        if not sum(map(len, rows)):
-            return
-        whole = Sorted(pd.concat(rows, ignore_index=True), window)
-        cut = (whole.head == whole.head[0]) | (whole.head == whole.head[-1])
-        for part in (whole.part(np.flatnonzero(~cut)).marks(), whole.part(np.flatnonzero(cut)).windows()):
-            yield part.reindex(columns=columns).astype("Int64")
-
-    own = stored(spread.mapInPandas(scan, ", ".join(f"{c} long" for c in columns)), "marks")
+    def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+        begun, held = None, []
+        for batch in batches:
+            rows = Sorted(batch, window)
+            begun = rows.head[0] if begun is None and len(rows) else begun
+            yield from rows.part(np.flatnonzero(rows.head == begun)).windows()
+            held.append(rows.part(np.flatnonzero(rows.head != begun)))
+            if sum(map(len, held)) >= CHUNK:
+                rows = Sorted.joined(held)
+                whole = rows.head != rows.head[-1]
+                yield rows.part(np.flatnonzero(whole)).marks()
+                held = [rows.part(np.flatnonzero(~whole))]
+        if sum(map(len, held)):
+            rows = Sorted.joined(held)
+            whole = rows.head != rows.head[-1]
+            yield rows.part(np.flatnonzero(whole)).marks()
+            yield from rows.part(np.flatnonzero(~whole)).windows()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in found_in(b for b in batches if len(b)):
+            n = len(part["key"])
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(part[c], pa.int64()) if c in part else pa.nulls(n, pa.int64()) for c in columns], columns)
+
+    own = stored(spread.mapInArrow(scan, ", ".join(f"{c} long" for c in columns)), "marks")
     split = own.where("hash is not null").select("hash", F.struct("doc", "key", "low").alias("place")).distinct()
     first = split.groupBy("hash").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
     met = split.join(first.drop("n"), "hash").select("place.*", (F.col("place") > F.col("first")).alias("later"))
@@ -206,12 +236,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     in a match with any other place, removed ones in a match with an earlier one."""
     small_batches(docs.sparkSession)
     rows = keyed(docs)
-    texts = rows.distinct()
     base = stored(heads(rows, window, gram), "heads")
     each = base.distinct().select("key", F.explode("heads").alias("head"))
     met = stored(each.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"), "met")
     wanted = stored(each.join(met, "head", "left_semi").groupBy("key").agg(F.collect_set("head").alias("wanted")), "wanted")
-    found = stored(suffixes(texts.join(wanted, "key"), window, gram), "suffixes")
+    found = stored(suffixes(rows.join(wanted, "key"), window, gram), "suffixes")
     spans = marks(found, window).groupBy("key").agg(*(F.collect_list(c).alias(c) for c in ("low", "high", "later_low", "later_high")))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
