@@ -81,7 +81,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     met = named.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     met = stored(met, "met")
     hits = stored(named.join(met, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("names")), "hits")
-    found = stored(windows(known.distinct().join(hits, "doc_id"), window), "windows")
+    found = stored(windows(known.join(hits, "doc_id"), window), "windows")
     least = found.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash", "low")
     gone = found.join(least, "hash").where("doc_id > low")
     return stored(gone.groupBy("key").agg(F.collect_list("at").alias("starts")), "starts")
