@@ -49,14 +49,14 @@ def linked_groups(
     within: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(id, component) of the nodes that have a verified link, from `members` (bucket, id): nodes that share a bucket
-    are candidates. `deeper` holds further buckets, each inside one of those.
+    are candidates, and those whose sketches (id, sig) have `agree` equal values at least are confirmed. `deeper` holds further buckets, each inside one of those.
 
     No bucket is expanded into its pairs. First every member is compared with its bucket's leader, the member that
     meets most others over all its buckets (the hub of a group of copies, where there is one). `verify` returns the
     pairs (a, b) that hold. A bucket whose members are then all in one class is settled. In the others, and only
-    there, members of different classes are compared too if at least `agree` values of their sketches (id, sig) are
-    equal, so that no link between the classes is lost. Where `within` is given, it finds the links in the unsettled
-    buckets (bucket, id, c, the class) of more than `crowd` members instead, without a row for each pair.
+    there, members of different classes are compared too, so that no link between the classes is lost. Where `within`
+    is given, it finds the links in the unsettled buckets (bucket, id, c, the class) of more than `crowd` members
+    instead, without a row for each pair.
     """
     live = stored(_shared(members), "live")
     leaders = live if deeper is None else live.union(_shared(deeper))
@@ -64,7 +64,9 @@ def linked_groups(
     best = F.max(F.struct("score", (-F.col("id").cast("decimal(20,0)")).alias("low"), "id"))["id"]
     chosen = leaders.join(score, "id").groupBy("bucket").agg(best.alias("leader"))
     tried = stored(_ordered(leaders.join(chosen, "bucket"), "id", "leader"), "tried")
-    links = stored(verify(tried), "links")
+    alike = F.size(F.filter(F.zip_with("x", "y", lambda a, b: a == b), lambda a: a)) >= agree
+    near = tried.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").where(alike).select("a", "b")
+    links = stored(verify(near), "links")
     classes = stored(components(links), "classes")
     placed = live.where("size > 2").join(classes, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("c"))
     open_ = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
