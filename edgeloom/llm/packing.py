@@ -13,6 +13,8 @@ doc_id is kept; an empty table gives no piece. Other columns are ignored.
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,7 +32,7 @@ CAPACITY, END, TOKENIZER = 4096, 2, "word_bpe_49k.json"
 #: Tokens that a full bin may lack.
 SLACK = 24
 #: Encoded runs of characters that a worker remembers: about 200 bytes each.
-REMEMBERED = 600_000
+REMEMBERED = 800_000
 
 
 def cuts(n: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[tuple[int, int, int]]:
@@ -81,11 +83,19 @@ class Encoder:
         return [whole(t) if s is None else b"".join(map(self.known.__getitem__, s)) for t, s in zip(texts, split, strict=True)]
 
 
+def encoder(name: str) -> Encoder:
+    """The encoder that this Python process keeps from task to task, with what it remembers."""
+    kept = sys.modules.setdefault("edgeloom_worker", types.ModuleType("edgeloom_worker"))
+    if not hasattr(kept, name):
+        setattr(kept, name, Encoder(name))
+    return getattr(kept, name)
+
+
 def pieces(docs: DataFrame, name: str, capacity: int, ids: bool) -> DataFrame:
     """The cut pieces, with the task that cut them and their number in its class there."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, task = Encoder(name), Counter(), pyspark.TaskContext.get().partitionId()
+        encode, seen, task = encoder(name), Counter(), pyspark.TaskContext.get().partitionId()
         for batch in batches:
             for k in range(0, len(batch), 250):
                 rows = []
