@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, near_dedup, packing, quality, substrings, suffixes
+from . import decontaminate, language, line_dedup, near_dedup, packing, pii, quality, substrings, suffixes, warc
 from .store import table
 
 
@@ -23,6 +23,13 @@ def op3_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve(warc.page_records(table(spark, sf_dir, "pages")))
+    entries = F.array_sort(F.transform(F.map_entries("headers"), lambda h: F.concat(h["key"], F.lit(": "), h["value"])))
+    lines, digest = F.array_join(entries, "\n"), F.sha2(F.col("payload").cast("binary"), 256)
+    return found.select("record_id", "url", "canonical_url", "time", "state", "source_id", lines.alias("headers"), digest.alias("payload_sha256"))
+
+
 def op5_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -37,6 +44,14 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    counts = (count(kind).alias(f"n_{kind}") for kind in pii.KINDS)
+    return found.select("doc_id", *counts, F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -47,7 +62,19 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fuzzy_lines, op2_suffix_array, op3_likelihood_ratio, op5_lsh_forest, op6_language_mixture, op7_harmonic_packing, op9_winnowing, op10_recompression)}
+    found = (
+        op1_fuzzy_lines,
+        op2_suffix_array,
+        op3_likelihood_ratio,
+        op4_revisits,
+        op5_lsh_forest,
+        op6_language_mixture,
+        op7_harmonic_packing,
+        op8_contextual_pii,
+        op9_winnowing,
+        op10_recompression,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
