@@ -14,14 +14,15 @@ from .words import GRAM, grams, mix
 
 #: Levels of pairs. The first also joins runs of equal words.
 LEVELS = 3
-_HIGH = np.uint64(4)
+#: Bits of a rank that hold the symbol's bytes.
+_LENGTH = np.uint64(7)
 
 
 class Symbols:
-    """Names and contexts [low, high) of the symbols of one level, in order; `text` tells texts apart."""
+    """Names, contexts [low, high) and first words of the symbols of one level, in order; `text` tells texts apart."""
 
-    def __init__(self, name: np.ndarray, low: np.ndarray, high: np.ndarray, text: np.ndarray) -> None:
-        self.name, self.low, self.high, self.text = name, low, high, text
+    def __init__(self, name: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, text: np.ndarray) -> None:
+        self.name, self.low, self.high, self.first, self.text = name, low, high, first, text
 
     @staticmethod
     def of_runs(words: np.ndarray, text: np.ndarray, outside: int) -> Symbols:
@@ -38,7 +39,7 @@ class Symbols:
         at_end = np.append(at_start[1:], True)
         low[at_start] -= outside
         high[at_end] += outside
-        return Symbols(name, low, high, text[first])
+        return Symbols(name, low, high, first, text[first])
 
     def paired(self, level: int, outside: int) -> tuple[Symbols, np.ndarray]:
         """The next level, and which of its symbols are pairs."""
@@ -61,13 +62,14 @@ class Symbols:
         high[at] = np.maximum(self.high[at], self.high[at + 1])
         keep = np.ones(n, bool)
         keep[at + 1] = False
-        return Symbols(name[keep], low[keep], high[keep], self.text[keep]), pair[keep]
+        return Symbols(name[keep], low[keep], high[keep], self.first[keep], self.text[keep]), pair[keep]
 
 
-def anchored(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchored(words: np.ndarray, first: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, anchor, hash) of every run of `window` words of one text in a block of texts whose words begin at
-    `first`. The anchor is the name of a symbol whose context lies in the window: of the highest level there is, and
-    of those the one of greatest name. A window without any is its own anchor. Equal windows have equal anchors."""
+    `first` and have `sizes` bytes. The anchor is the name of a symbol whose context lies in the window: of the one
+    with most bytes, which is the rarest as a rule, and of those the one of greatest name. A window without any is its
+    own anchor. Equal windows have equal anchors."""
     n = len(words)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     starts = np.flatnonzero(text[: n - window + 1] == text[window - 1 :]) if n >= window else np.zeros(0, np.int64)
@@ -76,10 +78,12 @@ def anchored(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndar
     hashes = grams(words, window)
     best = np.zeros(n, np.uint64)
     symbols = Symbols.of_runs(words, text, 2 * window)
+    bytes_before = np.concatenate([[0], np.cumsum(sizes)])
     for level in range(1, LEVELS + 1):
         symbols, pair = symbols.paired(level, 2 * window)
+        long = np.diff(bytes_before[np.append(symbols.first, n)])[pair]
         low, width = symbols.low[pair], (symbols.high - symbols.low)[pair]
-        rank = (symbols.name[pair] >> _HIGH) | (np.uint64(level) << np.uint64(60))
+        rank = (symbols.name[pair] >> _LENGTH) | (np.minimum(long, 127).astype(np.uint64) << np.uint64(57))
         for shift in range(window):
             fits = width + shift <= window
             if not fits.any():
@@ -87,4 +91,4 @@ def anchored(words: np.ndarray, first: np.ndarray, window: int) -> tuple[np.ndar
             at = low[fits] - shift
             np.maximum.at(best, at[at >= 0], rank[fits][at >= 0])
     best, hashes = best[starts], hashes[starts]
-    return starts, np.where(best == 0, hashes >> _HIGH, best), hashes
+    return starts, np.where(best == 0, hashes >> _LENGTH, best), hashes

@@ -31,6 +31,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete the files of a stored table that nothing will read again."""
+    context = df.sparkSession.sparkContext
+    for file in df.inputFiles()[:1]:
+        where = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most `rows` rows: a worker never holds more whole texts than that."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

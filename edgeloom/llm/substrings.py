@@ -15,6 +15,7 @@ neither loses words nor makes others lose any; an empty table gives an empty res
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .recompression import anchored
-from .store import small_batches, stored
+from .store import dropped, small_batches, stored
 from .text_columns import keyed
 from .words import SPACED, blocks, hashed_words
 
-WINDOW = 13
+WINDOW, PASSES = 13, 4
 
 
 def _ints(x: np.ndarray, kind: pa.DataType = pa.int64()) -> pa.Array:
@@ -40,8 +41,8 @@ def anchors(rows: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for a, b, data, offsets in blocks(batch.column(1)):
-                words, first, _, _ = hashed_words(data, offsets, SPACED)
-                at, names, _ = anchored(words, first, window)
+                words, first, begin, end = hashed_words(data, offsets, SPACED)
+                at, names, _ = anchored(words, first, end - begin, window)
                 row = np.searchsorted(first, at, "right") - 1
                 order = np.lexsort((names, row))
                 row, names = row[order], names[order]
@@ -60,8 +61,8 @@ def windows(rows: DataFrame, window: int) -> DataFrame:
             names = batch.column(3)
             wanted, ends = names.flatten().to_numpy().view(np.uint64), names.offsets.to_numpy() - names.offsets[0].as_py()
             for a, b, data, offsets in blocks(batch.column(2)):
-                words, first, _, _ = hashed_words(data, offsets, SPACED)
-                at, own, hashes = anchored(words, first, window)
+                words, first, begin, end = hashed_words(data, offsets, SPACED)
+                at, own, hashes = anchored(words, first, end - begin, window)
                 row = np.searchsorted(first, at, "right") - 1
                 cut = np.searchsorted(row, np.arange(b - a + 1))
                 take = np.zeros(len(at), bool)
@@ -75,16 +76,27 @@ def windows(rows: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, starts): the words at which a window begins that a document with a smaller doc_id holds too."""
+    """(key, starts): the words at which a window begins that a document with a smaller doc_id holds too.
+
+    The windows are compared in PASSES parts by their hash, one after the other: so much less lies in shuffle files at
+    a time."""
     known = rows.where("doc_id is not null")
     named = stored(anchors(known, window), "anchors")
     met = named.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
     met = stored(met, "met")
     hits = stored(named.join(met, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("names")), "hits")
+    dropped(named)
+    dropped(met)
     found = stored(windows(known.join(hits, "doc_id"), window), "windows")
-    least = found.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash", "low")
-    gone = found.join(least, "hash").where("doc_id > low")
-    return stored(gone.groupBy("key").agg(F.collect_list("at").alias("starts")), "starts")
+    dropped(hits)
+    parts = []
+    for k in range(PASSES):
+        part = found.where(F.pmod("hash", F.lit(PASSES)) == k)
+        least = part.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash", "low")
+        gone = part.join(least, "hash").where("doc_id > low")
+        parts.append(stored(gone.groupBy("key").agg(F.collect_list("at").alias("starts")), "starts"))
+    dropped(found)
+    return stored(reduce(DataFrame.union, parts).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts")), "starts")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
