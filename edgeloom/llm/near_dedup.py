@@ -197,3 +197,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     out = base.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of `docs`, all columns, that stand for their class. The rows of a doc_id stay if any of them does."""
+    found = stored(near_duplicates(docs, width, percent).select("doc_id", "kept"), "verdicts")
+    gone = found.where(~F.col("kept")).select("doc_id").distinct().join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_anti")
+    gone = gone.withColumnRenamed("doc_id", "__gone")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
