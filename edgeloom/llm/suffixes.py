@@ -89,9 +89,9 @@ def suffixes(rows: DataFrame, window: int, gram: int) -> DataFrame:
                 right = short[at[:, None] + window + np.arange(window)].astype(">u4")
                 left = short[at[:, None] + window - 1 - np.arange(window - gram)].astype(">u4")
                 fixed = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
-                part = batch.slice(a, b - a).take(pa.array(row))
+                ids = [batch.column(c).slice(a, b - a).take(pa.array(row)) for c in (0, 1)]
                 columns = [pa.array(runs.view(np.int64)), fixed(right), fixed(left), pa.array(np.minimum(first[row + 1] - at, window), pa.int32())]
-                columns += [pa.array(np.minimum(at - first[row], window - gram), pa.int32()), part.column(0), part.column(1), pa.array(at - first[row])]
+                columns += [pa.array(np.minimum(at - first[row], window - gram), pa.int32()), *ids, pa.array(at - first[row])]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SUFFIX.split(", ")])
 
     return rows.select("doc_id", "key", "text", "wanted").mapInArrow(parse, SUFFIX)
