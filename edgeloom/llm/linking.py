@@ -39,6 +39,10 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.union(edges.select("a", "a").distinct())
 
 
+#: Buckets with more than two members that may be broadcast: 16 bytes each before overhead.
+BROADCAST_ROWS = 1_000_000
+
+
 def linked_groups(
     members: DataFrame,
     sketch: DataFrame,
@@ -47,43 +51,68 @@ def linked_groups(
     deeper: DataFrame | None = None,
     crowd: int = 32,
     within: Callable[[DataFrame], DataFrame] | None = None,
+    rounds: int = 2,
 ) -> DataFrame:
     """(id, component) of the nodes that have a verified link, from `members` (bucket, id): nodes that share a bucket
-    are candidates, and those whose sketches (id, sig) have `agree` equal values at least are confirmed. `deeper` holds further buckets, each inside one of those.
+    are candidates, and those whose sketches (id, sig) have `agree` equal values at least are confirmed. `deeper` holds
+    further buckets, each inside one of those.
 
     No bucket is expanded into its pairs. First every member is compared with its bucket's leader, the member that
     meets most others over all its buckets (the hub of a group of copies, where there is one). `verify` returns the
     pairs (a, b) that hold. A bucket whose members are then all in one class is settled. In the others, and only
-    there, members of different classes are compared too, so that no link between the classes is lost. Where `within`
-    is given, it finds the links in the unsettled buckets (bucket, id, c, the class) of more than `crowd` members
-    instead, without a row for each pair.
+    there, members of different classes are compared too: all of them in a bucket of at most `crowd` members. In a
+    larger one `within` finds the links, from (bucket, id, c, the class), without a row for each pair; where it is not
+    given, `rounds` further leaders, each of a class that had none, are compared with the members of other classes.
     """
-    live = stored(_shared(members), "live")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("a"), F.max("id").alias("b"))
+    sizes = stored(sizes.where("size > 1"), "sizes")
+    many = sizes.where("size > 2").select("bucket", "size")
+    many = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
+    live = stored(members.join(many, "bucket"), "live")
     leaders = live if deeper is None else live.union(_shared(deeper))
     score = live.groupBy("id").agg(F.sum("size").alias("score"))
     best = F.max(F.struct("score", (-F.col("id").cast("decimal(20,0)")).alias("low"), "id"))["id"]
     chosen = leaders.join(score, "id").groupBy("bucket").agg(best.alias("leader"))
-    tried = stored(_ordered(leaders.join(chosen, "bucket"), "id", "leader"), "tried")
+    tried = leaders.join(chosen, "bucket").select("id", "leader").union(sizes.where("size = 2").select("a", "b"))
+    tried = stored(_ordered(tried, "id", "leader"), "tried")
     alike = F.size(F.filter(F.zip_with("x", "y", lambda a, b: a == b), lambda a: a)) >= agree
-    near = tried.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").where(alike).select("a", "b")
-    links = stored(verify(near), "links")
+    near = lambda pairs: pairs.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").where(alike).select("a", "b")
+    links = stored(verify(near(tried)), "links")
     classes = stored(components(links), "classes")
-    placed = live.where("size > 2").join(classes, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("c"))
-    open_ = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-    rest = stored(placed.join(open_, "bucket", "left_semi"), "open")
-    few = rest if within is None else rest.where(F.col("size") <= crowd)
-    few = few.join(sketch, "id")
+
+    def unsettled() -> DataFrame:
+        placed = live.join(classes, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("c"))
+        open_ = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
+        return stored(placed.join(open_, "bucket", "left_semi"), "open")
+
+    rest = unsettled()
+    few = (rest.where(F.col("size") <= crowd)).join(sketch, "id")
     x, y = few.alias("x"), few.alias("y")
     same = F.size(F.filter(F.zip_with("x.sig", "y.sig", lambda a, b: a == b), lambda a: a))
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & (same >= agree))
-    pairs = _ordered(pairs.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")), "x", "y")
-    more = verify(pairs.join(tried, ["a", "b"], "left_anti"))
+    pairs = _ordered(pairs.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")), "x", "y").join(tried, ["a", "b"], "left_anti")
+    more = verify(pairs)
     if within is not None:
         more = more.union(within(rest.where(F.col("size") > crowd)))
     more = stored(more, "more")
-    if more.isEmpty():
-        return classes
-    return components(links.union(more))
+    if not more.isEmpty():
+        links = links.union(more)
+        classes = stored(components(links), "classes")
+    had = chosen.toDF("bucket", "id")
+    for _ in range(rounds if within is None else 0):
+        rest = unsettled().where(F.col("size") > crowd)
+        if rest.isEmpty():
+            break
+        led = rest.join(had, ["bucket", "id"], "left_semi").select("bucket", "c").distinct()
+        free = rest.join(led, ["bucket", "c"], "left_anti")
+        chosen = stored(free.join(score, "id").groupBy("bucket").agg(F.max(F.struct("score", "id", "c")).alias("m")).select("bucket", "m.id", "m.c"), "chosen")
+        pairs = rest.join(chosen.toDF("bucket", "leader", "own"), "bucket").where("c <> own").select("id", "leader")
+        more = stored(verify(near(_ordered(pairs, "id", "leader"))), "more")
+        if more.isEmpty():
+            break
+        links, had = links.union(more), had.union(chosen.select("bucket", "id"))
+        classes = stored(components(links), "classes")
+    return classes
 
 
 def _shared(members: DataFrame) -> DataFrame:
