@@ -1 +1 @@
-
+"""Readers and writers of models and tables."""
