@@ -28,7 +28,7 @@ def bus_map(buses: DataFrame, level: str = "country", overrides: Mapping[str, st
     kv = rounded_kv(F.col("kv"), digits)
     suffix = F.coalesce(F.concat(F.lit("."), kv.cast("string")), F.lit("")) if split_voltage else F.lit("")
     agg = F.when(F.col("level") == "disaggregated", F.col("bus")).otherwise(F.concat(F.lit("node."), rc, suffix))
-    return rows.select("bus", agg.alias("agg"), "country", "level", rc.alias("rc"), suffix.alias("suffix"), "kv", "lat", "lon")
+    return rows.select("bus", agg.alias("agg"), "country", "level", rc.alias("rc"), suffix.alias("suffix"), kv.alias("kv"), "lat", "lon")
 
 
 def rolled_buses(mapped: DataFrame) -> DataFrame:
