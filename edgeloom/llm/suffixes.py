@@ -7,9 +7,9 @@ sorted over the whole corpus by their words; the common prefixes of neighbours t
 and a match is extended to the left as far as it needs for `window` words. Of two occurrences the later one by
 (doc_id, position) is to go. Suffixes whose first run of words is found nowhere else leave before the sort.
 
-The sort deals the suffixes out in ranges of about TASK_ROWS, however many share their first words. Those whose first
-words meet a border between two ranges (among them all that fill ranges) are matched by the hashes of their windows
-instead, in aggregates with partial sums. Words are compared by 32 bits of their hash, first runs and windows by 64.
+The sort deals the suffixes out in ranges of about TASK_ROWS that never part suffixes with the same first run. A run
+with more suffixes than that is left out of it: they are matched by the hashes of their windows instead, in aggregates
+with partial sums. Words are compared by 32 bits of their hash, first runs and windows by 64.
 
 Edge cases: a null, empty or blank text, or one of fewer words than a window, has no repeat; repeats within one text
 count; rows that agree in doc_id and text are one document and are treated alike; a null doc_id comes first in the
@@ -179,44 +179,45 @@ class Sorted:
             yield {"hash": name.view(np.int64), "doc": self.doc[rows], "key": self.key[rows], "low": self.at[rows] - left}
 
 
-def marks(found: DataFrame, window: int) -> DataFrame:
-    """MARK rows of the suffixes in `found` that match another one."""
+def marks(found: DataFrame, hot: DataFrame, window: int) -> DataFrame:
+    """MARK rows of the suffixes in `found` that match another one; `hot` are the heads of too many of them."""
+    hot = F.broadcast(hot)  # one head for each TASK_ROWS suffixes at most
+    rest = found.join(hot, "head", "left_anti")
     tasks = max(1, min(found.count() // TASK_ROWS, 1 << 15))
-    order = ["head", "right_words", "doc_id", "key", "at"]
-    spread = found.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
-    columns = ["hash", "doc", *MARK]
+    spread = rest.repartitionByRange(tasks, "head").sortWithinPartitions("head", "right_words", "doc_id", "key", "at")
 
-    def found_in(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-        begun, held = None, []
+    def sorted_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+        held: list[Sorted] = []
         for batch in batches:
-            rows = Sorted(batch, window)
-            begun = rows.head[0] if begun is None and len(rows) else begun
-            yield from rows.part(np.flatnonzero(rows.head == begun)).windows()
-            held.append(rows.part(np.flatnonzero(rows.head != begun)))
-            if sum(map(len, held)) >= CHUNK:
+            held.append(Sorted(batch, window))
+            if sum(map(len, held)) >= CHUNK and held[0].head[0] != held[-1].head[-1]:
                 rows = Sorted.joined(held)
                 whole = rows.head != rows.head[-1]
                 yield rows.part(np.flatnonzero(whole)).marks()
                 held = [rows.part(np.flatnonzero(~whole))]
-        if sum(map(len, held)):
-            rows = Sorted.joined(held)
-            whole = rows.head != rows.head[-1]
-            yield rows.part(np.flatnonzero(whole)).marks()
-            yield from rows.part(np.flatnonzero(~whole)).windows()
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in found_in(b for b in batches if len(b)):
-            n = len(part["key"])
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(part[c], pa.int64()) if c in part else pa.nulls(n, pa.int64()) for c in columns], columns)
-
-    own = stored(spread.mapInArrow(scan, ", ".join(f"{c} long" for c in columns)), "marks")
-    split = own.where("hash is not null").select("hash", F.struct("doc", "key", "low").alias("place")).distinct()
+        if held:
+            yield Sorted.joined(held).marks()
+
+    def all_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+        for batch in batches:
+            yield from Sorted(batch, window).windows()
+
+    def as_rows(columns: list[str], f):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in f(b for b in batches if len(b)):
+                yield pa.RecordBatch.from_arrays([pa.array(part[c], pa.int64()) for c in columns], columns)
+
+        return rows
+
+    own = spread.mapInArrow(as_rows(list(MARK), sorted_marks), ", ".join(f"{c} long" for c in MARK))
+    names = ["hash", "doc", "key", "low"]
+    split = found.join(hot, "head", "left_semi").mapInArrow(as_rows(names, all_windows), ", ".join(f"{c} long" for c in names))
+    split = stored(split.select("hash", F.struct("doc", "key", "low").alias("place")).distinct(), "windows")
     first = split.groupBy("hash").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
     met = split.join(first.drop("n"), "hash").select("place.*", (F.col("place") > F.col("first")).alias("later"))
     met = met.withColumn("high", F.col("low") + window)
     met = met.select("key", "low", "high", "low", F.when(F.col("later"), F.col("high")).otherwise(F.col("low")))
-    return own.where("hash is null").select(*MARK).union(met)
+    return own.union(met)
 
 
 def _merged(low: np.ndarray, high: np.ndarray) -> list[dict]:
@@ -238,10 +239,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     rows = keyed(docs)
     base = stored(heads(rows, window, gram), "heads")
     each = base.distinct().select("key", F.explode("heads").alias("head"))
-    met = stored(each.groupBy("head").agg(F.count("*").alias("n")).where("n > 1").select("head"), "met")
+    met = stored(each.groupBy("head").agg(F.count("*").alias("n")).where("n > 1"), "met")
     wanted = stored(each.join(met, "head", "left_semi").groupBy("key").agg(F.collect_set("head").alias("wanted")), "wanted")
     found = stored(suffixes(rows.join(wanted, "key"), window, gram), "suffixes")
-    spans = marks(found, window).groupBy("key").agg(*(F.collect_list(c).alias(c) for c in ("low", "high", "later_low", "later_high")))
+    hot = met.where(F.col("n") > TASK_ROWS).select("head")
+    spans = marks(found, hot, window).groupBy("key").agg(*(F.collect_list(c).alias(c) for c in ("low", "high", "later_low", "later_high")))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
