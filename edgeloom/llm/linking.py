@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 def linked_groups(
-    members: DataFrame,
+    members: list[DataFrame],
     sketch: DataFrame,
     agree: int,
     verify: Callable[[DataFrame], DataFrame],
@@ -53,8 +54,8 @@ def linked_groups(
     within: Callable[[DataFrame], DataFrame] | None = None,
     rounds: int = 2,
 ) -> DataFrame:
-    """(id, component) of the nodes that have a verified link, from `members` (bucket, id): nodes that share a bucket
-    are candidates, and those whose sketches (id, sig) have `agree` equal values at least are confirmed. `deeper` holds
+    """(id, component) of the nodes that have a verified link, from tables of `members` (bucket, id), which are dealt
+    out one after the other: nodes that share a bucket are candidates, and those whose sketches (id, sig) have `agree` equal values at least are confirmed. `deeper` holds
     further buckets, each inside one of those.
 
     No bucket is expanded into its pairs. First every member is compared with its bucket's leader, the member that
@@ -64,16 +65,19 @@ def linked_groups(
     larger one `within` finds the links, from (bucket, id, c, the class), without a row for each pair; where it is not
     given, `rounds` further leaders, each of a class that had none, are compared with the members of other classes.
     """
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("a"), F.max("id").alias("b"))
-    sizes = stored(sizes.where("size > 1"), "sizes")
-    many = sizes.where("size > 2").select("bucket", "size")
-    many = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
-    live = stored(members.join(many, "bucket"), "live")
+    parts = []
+    for part in members:
+        sizes = part.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("a"), F.max("id").alias("b"))
+        sizes = stored(sizes.where("size > 1"), "sizes")
+        many = sizes.where("size > 2").select("bucket", "size")
+        many = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
+        parts.append((sizes.where("size = 2").select("a", "b"), stored(part.join(many, "bucket"), "live")))
+    twos, live = (reduce(DataFrame.union, tables) for tables in zip(*parts, strict=True))
     leaders = live if deeper is None else live.union(_shared(deeper))
     score = live.groupBy("id").agg(F.sum("size").alias("score"))
     best = F.max(F.struct("score", (-F.col("id").cast("decimal(20,0)")).alias("low"), "id"))["id"]
     chosen = leaders.join(score, "id").groupBy("bucket").agg(best.alias("leader"))
-    tried = leaders.join(chosen, "bucket").select("id", "leader").union(sizes.where("size = 2").select("a", "b"))
+    tried = leaders.join(chosen, "bucket").select("id", "leader").union(twos)
     tried = stored(_ordered(tried, "id", "leader"), "tried")
     alike = F.size(F.filter(F.zip_with("x", "y", lambda a, b: a == b), lambda a: a)) >= agree
     near = lambda pairs: pairs.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").where(alike).select("a", "b")

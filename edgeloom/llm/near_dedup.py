@@ -190,7 +190,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
         return rows.groupBy("bucket", "x", "y").applyInPandas(link, "a long, b long")
 
-    classes = linked_groups(regions, nodes.select("id", "sig"), AGREE, verify, inside, CROWD, within)
+    classes = linked_groups([regions], nodes.select("id", "sig"), AGREE, verify, inside, CROWD, within)
     placed = nodes.join(classes, "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
     labels = placed.join(smallest, "component").select(F.col("id").alias("digest"), "component_id")
