@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, near_dedup, packing, pii, quality, substrings, suffixes, warc
+from . import decontaminate, language, line_dedup, near_dedup, oracles, packing, pii, quality, substrings, suffixes, warc
 from .store import table
 
 
@@ -16,7 +16,9 @@ def op1_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeats(table(spark, sf_dir, "documents"))
+    found = suffixes.repeats(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda x: F.concat_ws("-", x["begin"], x["end"])), ",")
+    return found.select("doc_id", "n_words", "n_repeated", "n_removed", spans.alias("removed"))
 
 
 def op3_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
