@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import scratch, stored
 
 
 def _ordered(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -22,22 +22,22 @@ def components(edges: DataFrame) -> DataFrame:
     end when no edge changes, after a number that grows with the logarithm of the nodes. A node with very many
     neighbours is met by aggregates with partial sums and by joins that can be split, never by a gathered list.
     """
-    edges = stored(_ordered(edges, "a", "b"), "edges")
-    mark = None
-    while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = _ordered(edges.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")), "x", "y")
-        down = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(down, "b").select(F.col("a").alias("x"), F.col("m").alias("y"))
-        small = small.union(down.select("b", "m"))
-        edges = stored(_ordered(small, "x", "y"), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
-            break
-        mark = now
-    stars = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
-    return stars.union(edges.select("a", "a").distinct())
+    with scratch(edges.sparkSession) as keep:
+        edges = stored(_ordered(edges, "a", "b"), "edges")
+        mark = None
+        while True:
+            both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+            large = _ordered(edges.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")), "x", "y")
+            down = large.groupBy("b").agg(F.min("a").alias("m"))
+            small = large.join(down, "b").select(F.col("a").alias("x"), F.col("m").alias("y"))
+            edges = stored(_ordered(small.union(down.select("b", "m")), "x", "y"), "edges")
+            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if now == mark:
+                break
+            mark = now
+        stars = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
+        return keep(stars.union(edges.select("a", "a").distinct()), "classes")
 
 
 #: Buckets with more than two members that may be broadcast: 16 bytes each before overhead.
@@ -55,8 +55,8 @@ def linked_groups(
     rounds: int = 2,
 ) -> DataFrame:
     """(id, component) of the nodes that have a verified link, from tables of `members` (bucket, id), which are dealt
-    out one after the other: nodes that share a bucket are candidates, and those whose sketches (id, sig) have `agree` equal values at least are confirmed. `deeper` holds
-    further buckets, each inside one of those.
+    out one after the other: nodes that share a bucket are candidates, and those whose sketches (id, sig) have `agree`
+    equal values at least are confirmed. `deeper` holds further buckets, each inside one of those.
 
     No bucket is expanded into its pairs. First every member is compared with its bucket's leader, the member that
     meets most others over all its buckets (the hub of a group of copies, where there is one). `verify` returns the
@@ -81,8 +81,13 @@ def linked_groups(
     tried = stored(_ordered(tried, "id", "leader"), "tried")
     alike = F.size(F.filter(F.zip_with("x", "y", lambda a, b: a == b), lambda a: a)) >= agree
     near = lambda pairs: pairs.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").where(alike).select("a", "b")
-    links = stored(verify(near(tried)), "links")
-    classes = stored(components(links), "classes")
+
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        with scratch(sketch.sparkSession) as keep:
+            return keep(verify(pairs), name)
+
+    links = confirmed(near(tried), "links")
+    classes = components(links)
 
     def unsettled() -> DataFrame:
         placed = live.join(classes, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("c"))
@@ -95,13 +100,13 @@ def linked_groups(
     same = F.size(F.filter(F.zip_with("x.sig", "y.sig", lambda a, b: a == b), lambda a: a))
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & (same >= agree))
     pairs = _ordered(pairs.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")), "x", "y").join(tried, ["a", "b"], "left_anti")
-    more = verify(pairs)
+    more = confirmed(pairs, "more")
     if within is not None:
-        more = more.union(within(rest.where(F.col("size") > crowd)))
-    more = stored(more, "more")
+        with scratch(sketch.sparkSession) as keep:
+            more = more.union(keep(within(rest.where(F.col("size") > crowd)), "within"))
     if not more.isEmpty():
         links = links.union(more)
-        classes = stored(components(links), "classes")
+        classes = components(links)
     had = chosen.toDF("bucket", "id")
     for _ in range(rounds if within is None else 0):
         rest = unsettled().where(F.col("size") > crowd)
@@ -111,11 +116,11 @@ def linked_groups(
         free = rest.join(led, ["bucket", "c"], "left_anti")
         chosen = stored(free.join(score, "id").groupBy("bucket").agg(F.max(F.struct("score", "id", "c")).alias("m")).select("bucket", "m.id", "m.c"), "chosen")
         pairs = rest.join(chosen.toDF("bucket", "leader", "own"), "bucket").where("c <> own").select("id", "leader")
-        more = stored(verify(near(_ordered(pairs, "id", "leader"))), "more")
+        more = confirmed(near(_ordered(pairs, "id", "leader")), "more")
         if more.isEmpty():
             break
         links, had = links.union(more), had.union(chosen.select("bucket", "id"))
-        classes = stored(components(links), "classes")
+        classes = components(links)
     return classes
 
 

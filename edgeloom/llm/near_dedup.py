@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linking import linked_groups
-from .store import id_text, small_batches, stored
+from .store import id_text, scratch, small_batches, stored
 from .words import SPACED_LOWER, blocks, grams, hashed_words, mix
 
 WIDTH, PERCENT = 5, 85
@@ -157,6 +157,11 @@ def block_links(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept (doc_id is component_id)."""
     small_batches(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        return keep(_verdicts(docs, width, percent), "verdicts")
+
+
+def _verdicts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     base = stored(sketches(docs, width), "sketches")
     nodes = base.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     nodes = stored(nodes.withColumnRenamed("digest", "id"), "nodes")
@@ -201,7 +206,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs`, all columns, that stand for their class. The rows of a doc_id stay if any of them does."""
-    found = stored(near_duplicates(docs, width, percent).select("doc_id", "kept"), "verdicts")
+    found = near_duplicates(docs, width, percent).select("doc_id", "kept")
     gone = found.where(~F.col("kept")).select("doc_id").distinct().join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_anti")
     gone = gone.withColumnRenamed("doc_id", "__gone")
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,17 +20,46 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders written in each scratch() that is open, innermost last.
+_open: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: the lineage ends here, and a lost executor costs
-    no recomputation of what came before. The files go when the driver's JVM ends."""
+    no recomputation of what came before. The files go with the scratch() around it, else when the driver's JVM ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/edgeloom-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    folder = f"{shared_dir(spark).rstrip('/')}/edgeloom-{uuid.uuid4().hex}"
+    df.write.parquet(f"{folder}/{name}")
+    if _open:
+        _open[-1].append(folder)
     jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path).getParent()
+    where = jvm.org.apache.hadoop.fs.Path(folder)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     jvm.System.gc()  # Spark deletes the shuffle files of finished steps once their plans are collected
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What is stored inside is deleted at the end, but for what the yielded function stores."""
+    own: list[str] = []
+    _open.append(own)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        _open.pop()
+        try:
+            return stored(df, name)
+        finally:
+            _open.append(own)
+
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        context = spark.sparkContext
+        for folder in own:
+            where = context._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def dropped(df: DataFrame) -> None:

@@ -26,7 +26,7 @@ import pyspark
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches, stored
+from .store import scratch, small_batches, stored
 from .text_columns import keyed
 from .words import SPACED, blocks, grams, hashed_words, mix
 
@@ -236,6 +236,11 @@ def repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
     """doc_id, n_words, n_repeated, n_removed, repeated and removed: spans of words, end exclusive. Repeated words lie
     in a match with any other place, removed ones in a match with an earlier one."""
     small_batches(docs.sparkSession)
+    with scratch(docs.sparkSession) as keep:
+        return keep(_repeats(docs, window, gram), "repeats")
+
+
+def _repeats(docs: DataFrame, window: int, gram: int) -> DataFrame:
     rows = keyed(docs)
     base = stored(heads(rows, window, gram), "heads")
     each = base.distinct().select("key", F.explode("heads").alias("head"))
