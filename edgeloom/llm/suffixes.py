@@ -33,18 +33,23 @@ from .words import SPACED, blocks, grams, hashed_words, mix
 WINDOW, GRAM = 50, 8
 #: Rows of a sorted task, about; rows that are matched at a time, unless more share their first words.
 TASK_ROWS, CHUNK = 50_000, 4_000
+#: Window hashes, with a place each, that may be broadcast: 32 bytes each before overhead.
+BROADCAST_ROWS = 500_000
 
 
-def minimisers(words: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Retained positions of a block of texts whose words begin at `first`, in order, and the hash of each one's run."""
-    if len(words) < window:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def minimisers(words: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Of a block of texts whose words begin at `first`: the retained positions in order, the hash of each one's run,
+    and how many words the windows that retain it begin before it, at least and at most (and any number between)."""
+    none = np.zeros(0, np.int64)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    starts = np.flatnonzero(text[: len(words) - window + 1] == text[window - 1 :]) if len(words) >= window else none
+    if not len(starts):
+        return none, none.view(np.uint64), none, none
     runs = grams(words, gram)
-    starts = np.flatnonzero(text[: len(words) - window + 1] == text[window - 1 :])
     least = np.lib.stride_tricks.sliding_window_view(runs, window - gram + 1)
-    at = np.unique(starts + np.concatenate([least[starts[k : k + 20_000]].argmin(1) for k in range(0, len(starts), 20_000)] or [starts]))
-    return at, runs[at]
+    left = np.concatenate([least[starts[k : k + 20_000]].argmin(1) for k in range(0, len(starts), 20_000)])
+    at, begin, size = np.unique(starts + left, return_index=True, return_counts=True)
+    return at, runs[at], left[begin + size - 1], left[begin]
 
 
 def heads(rows: DataFrame, window: int, gram: int) -> DataFrame:
@@ -54,7 +59,7 @@ def heads(rows: DataFrame, window: int, gram: int) -> DataFrame:
         for batch in batches:
             for a, b, data, offsets in blocks(batch.column(2)):
                 words, first, _, _ = hashed_words(data, offsets, SPACED)
-                at, runs = minimisers(words, first, window, gram)
+                at, runs, _, _ = minimisers(words, first, window, gram)
                 cut = np.searchsorted(at, first)
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(runs.view(np.int64)))
                 part = batch.slice(a, b - a)
@@ -64,7 +69,7 @@ def heads(rows: DataFrame, window: int, gram: int) -> DataFrame:
     return rows.select("doc_id", "key", "text").mapInArrow(parse, "doc_id long, key long, n_words long, heads array<long>")
 
 
-SUFFIX = "head long, right_words binary, left_words binary, n_right int, n_left int, doc_id long, key long, at long"
+SUFFIX = "head long, right_words binary, left_words binary, low_left int, high_left int, doc_id long, key long, at long"
 
 
 def suffixes(rows: DataFrame, window: int, gram: int) -> DataFrame:
@@ -76,12 +81,12 @@ def suffixes(rows: DataFrame, window: int, gram: int) -> DataFrame:
             wanted = batch.column(3)
             for a, b, data, offsets in blocks(batch.column(2)):
                 words, first, _, _ = hashed_words(data, offsets, SPACED)
-                at, runs = minimisers(words, first, window, gram)
+                at, runs, low, high = minimisers(words, first, window, gram)
                 cut = np.searchsorted(at, first)
                 take = np.zeros(len(at), bool)
                 for k in range(b - a):
                     take[cut[k] : cut[k + 1]] = np.isin(runs[cut[k] : cut[k + 1]], wanted[a + k].values.to_numpy().view(np.uint64))
-                at, runs = at[take], runs[take]
+                at, runs, low, high = (x[take] for x in (at, runs, low, high))
                 if not len(at):
                     continue
                 row = np.searchsorted(first, at, "right") - 1
@@ -90,8 +95,8 @@ def suffixes(rows: DataFrame, window: int, gram: int) -> DataFrame:
                 left = short[at[:, None] + window - 1 - np.arange(window - gram)].astype(">u4")
                 fixed = lambda m: pa.array([r.tobytes() for r in m], pa.binary())
                 ids = [batch.column(c).slice(a, b - a).take(pa.array(row)) for c in (0, 1)]
-                columns = [pa.array(runs.view(np.int64)), fixed(right), fixed(left), pa.array(np.minimum(first[row + 1] - at, window), pa.int32())]
-                columns += [pa.array(np.minimum(at - first[row], window - gram), pa.int32()), *ids, pa.array(at - first[row])]
+                columns = [pa.array(runs.view(np.int64)), fixed(right), fixed(left), pa.array(low, pa.int32()), pa.array(high, pa.int32())]
+                columns += [*ids, pa.array(at - first[row])]
                 yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SUFFIX.split(", ")])
 
     return rows.select("doc_id", "key", "text", "wanted").mapInArrow(parse, SUFFIX)
@@ -113,7 +118,7 @@ class Sorted:
         column = lambda name: rows.column(rows.schema.get_field_index(name))
         self.window = window
         self.right, self.left = _matrix(column("right_words")), _matrix(column("left_words"))
-        self.head, self.n_right, self.n_left, self.key, self.at = (column(c).to_numpy() for c in ("head", "n_right", "n_left", "key", "at"))
+        self.head, self.low, self.high, self.key, self.at = (column(c).to_numpy() for c in ("head", "low_left", "high_left", "key", "at"))
         self.doc = column("doc_id").fill_null(-(1 << 62)).to_numpy()
 
     @staticmethod
@@ -152,7 +157,7 @@ class Sorted:
         for left, hashes in enumerate(self.extended()):
             right = self.window - left
             class_ = np.concatenate([[0], np.cumsum(prefix < right)]).astype(np.uint64)
-            rows = np.flatnonzero((self.n_right >= right) & (self.n_left >= left))
+            rows = np.flatnonzero((self.low <= left) & (left <= self.high))
             name = mix(hashes[rows] + class_[rows] * np.uint64(0x9E3779B97F4A7C15))
             rows = rows[np.argsort(name, kind="stable")]
             name.sort()
@@ -170,15 +175,20 @@ class Sorted:
         return {c: v[hit] for c, v in zip(MARK, spans, strict=True)}
 
     def windows(self) -> Iterator[dict[str, np.ndarray]]:
-        """The hash of each window that a suffix may lie in, with its place."""
+        """The hash of each window that retains a suffix, with its place."""
         for left, hashes in enumerate(self.extended()):
-            rows = np.flatnonzero((self.n_right >= self.window - left) & (self.n_left >= left))
+            rows = np.flatnonzero((self.low <= left) & (left <= self.high))
             name = hashes[rows] + np.uint64(left)
             for k in range(self.window - left):
                 name = mix(name + self.right[rows, k] + np.uint64(1))
             yield {"hash": name.view(np.int64), "doc": self.doc[rows], "key": self.key[rows], "low": self.at[rows] - left}
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """To be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def marks(found: DataFrame, hot: DataFrame, window: int) -> DataFrame:
     """MARK rows of the suffixes in `found` that match another one; `hot` are the heads of too many of them."""
     hot = F.broadcast(hot)  # one head for each TASK_ROWS suffixes at most
@@ -212,9 +222,12 @@ def marks(found: DataFrame, hot: DataFrame, window: int) -> DataFrame:
     own = spread.mapInArrow(as_rows(list(MARK), sorted_marks), ", ".join(f"{c} long" for c in MARK))
     names = ["hash", "doc", "key", "low"]
     split = found.join(hot, "head", "left_semi").mapInArrow(as_rows(names, all_windows), ", ".join(f"{c} long" for c in names))
-    split = stored(split.select("hash", F.struct("doc", "key", "low").alias("place")).distinct(), "windows")
-    first = split.groupBy("hash").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    met = split.join(first.drop("n"), "hash").select("place.*", (F.col("place") > F.col("first")).alias("later"))
+    split = stored(split.select("hash", F.struct("doc", "key", "low").alias("place")), "windows")
+    often = _small(stored(split.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "often"))
+    split = split.join(often, "hash", "left_semi")
+    first = split.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
+    first = _small(stored(first.drop("last"), "first"))
+    met = split.join(first, "hash").select("place.*", (F.col("place") > F.col("first")).alias("later"))
     met = met.withColumn("high", F.col("low") + window)
     met = met.select("key", "low", "high", "low", F.when(F.col("later"), F.col("high")).otherwise(F.col("low")))
     return own.union(met)
