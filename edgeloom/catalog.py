@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import numbers, text
-from .operators import etl, mutation, navigation, profiles, reports, rollup
+from .operators import etl, market, mutation, navigation, profiles, reports, rollup
 from .plans import conditions, validation
 from .sources import writers
 from .sources.star import key, star_model, table
@@ -234,6 +234,28 @@ def top_balances(spark, d):
     return table(spark, d, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(50).select("c_custkey", "c_acctbal")
 
 
+@query(f"""WITH t AS (SELECT r_name AS country, 'dispatchable' AS kind, s_acctbal AS capacity, NULL::DOUBLE AS energy FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+ UNION ALL SELECT r_name, 'demand', NULL, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+ SELECT country, CAST(coalesce(sum(CASE WHEN kind = 'dispatchable' THEN CAST(capacity * 8760 AS {M2}) END), 0) AS DOUBLE) AS dispatchable, 0::DOUBLE AS variable, 0::DOUBLE AS hydro,
+ CAST(coalesce(sum(CASE WHEN kind = 'demand' THEN CAST(energy AS {M2}) END), 0) AS DOUBLE) AS demand FROM t GROUP BY ROLLUP (country)""")
+def energy_balance(spark, d):
+    null = F.lit(None).cast("double")
+    rows = located(spark, d, "supplier", "s").select(F.col("r_name").alias("country"), F.lit("dispatchable").alias("kind"), F.col("s_acctbal").alias("capacity"), null.alias("energy"))
+    rows = rows.union(located(spark, d, "customer", "c").select("r_name", F.lit("demand"), null, "c_acctbal"))
+    return market.energy_balance(rows)
+
+
+@query("SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN starts_with(c_mktsegment, 'MACH') THEN 0 WHEN starts_with(c_mktsegment, 'B') THEN 1 ELSE 2 END, c_mktsegment) AS r FROM (SELECT c_nationkey, c_mktsegment, min(c_custkey) AS c_custkey FROM customer GROUP BY 1, 2)) WHERE r = 1")
+def winner_by_prefix(spark, d):
+    rows = table(spark, d, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.min("c_custkey").alias("c_custkey"))
+    return market.winners(rows, "c_nationkey", "c_mktsegment", ["MACH", "B"]).select("c_nationkey", "c_custkey")
+
+
+@query("SELECT 'attribute' AS kind, 'label' AS field_id")
+def unused_schema_fields(spark, d):
+    return validation.unused_fields(star_model(spark, d))
+
+
 # rules
 
 

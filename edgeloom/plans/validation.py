@@ -158,3 +158,21 @@ def validate_for_analysis(m: Model, profile: Mapping) -> DataFrame:
     if not out:
         return m.spark.createDataFrame([], "entity_class string, entity_id string, field_id string, rule string, detail string, place int")
     return reduce(DataFrame.union, out)
+
+
+def unused_fields(m: Model) -> DataFrame:
+    """(kind, field_id) of the schema that no entity of the model sets."""
+    used = set_fields(m).select("field_id").distinct()
+    return m.field_def.select("kind", "field_id").distinct().join(used, "field_id", "left_anti").select("kind", "field_id")
+
+
+def unused_classes(m: Model) -> DataFrame:
+    """class_name of the classes that neither they nor a descendant have an entity of; abstract ones are left out."""
+    used = m.entity.select(F.col("entity_class").alias("class_name")).distinct().join(F.broadcast(m.class_closure), "class_name").select(F.col("ancestor").alias("class_name"))
+    return m.class_def.where(~F.col("abstract")).join(used, "class_name", "left_anti").select("class_name")
+
+
+def ambiguous_families(m: Model) -> DataFrame:
+    """(field_id) of attributes that views of several families declare: a check cannot tell which view it means."""
+    rows = m.field_def.where("kind = 'attribute'").join(F.broadcast(m.class_def.where("role = 'view'")), "class_name")
+    return rows.groupBy("field_id").agg(F.count_distinct("view_family").alias("n")).where("n > 1").select("field_id")
