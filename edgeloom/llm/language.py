@@ -170,7 +170,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(apply, schema)
 
 
-def keep_identified(docs: DataFrame, min_share: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, min_share: float = 0.3) -> DataFrame:
     """The rows of `docs`, all columns, whose text has a language that makes up `min_share` of it at least."""
     small_batches(docs.sparkSession)
     names, frequencies = learn(docs)
