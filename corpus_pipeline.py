@@ -17,7 +17,7 @@ SIMILAR = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without one language that makes up half of them, go."""
+    """Documents without a letter, or without one language that makes up three tenths of them, go."""
     return language.keep_identified(docs)
 
 
