@@ -17,6 +17,8 @@ where documents are returned.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,11 @@ BINS = SIDE * SIDE
 DEPTH = 8
 #: Equal bins that a pair must have to be confirmed: fewer occur once in 700 times at a similarity of 0.8.
 AGREE = 8
-#: Different lines of an unsettled band that are all compared; in larger ones further leaders are.
-CROWD = 8
+#: Different lines of an unsettled band that are all compared at once; in larger ones LEADERS further leaders come first,
+#: and what they leave open is compared block by block.
+CROWD, LEADERS = 8, 2
+#: Members that a block of such a band holds, about; pairs whose sets are compared in one pass.
+BLOCK, PAIRS = 256, 500_000
 #: Line hashes that may be broadcast, 8 bytes each before overhead.
 BROADCAST_ROWS = 1_000_000
 BLANK = r"[^\x20\x09-\x0D]"
@@ -113,6 +118,22 @@ def bands(nodes: DataFrame) -> list[DataFrame]:
     return out
 
 
+def block_pairs(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: the pairs of members of different classes in a bucket of `crowded` (bucket, id, c) that agree in
+    AGREE bins. The members are dealt out to blocks, and each two blocks are compared by themselves, so that a bucket
+    of any size is spread over the tasks."""
+    many = crowded.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own")
+    members = crowded.join(many, "bucket").join(nodes, "id").select("bucket", "id", "c", "sig", "blocks", own)
+    left = members.withColumn("other", F.explode(F.expr("sequence(own, blocks - 1)")))
+    right = members.withColumnsRenamed({"own": "other", "id": "id_b", "c": "c_b", "sig": "sig_b"})
+    right = right.withColumn("own", F.explode(F.expr("sequence(0, other)")))
+    same = reduce(Column.__add__, ((F.get("sig", j) == F.get("sig_b", j)).cast("int") for j in range(BINS)))
+    once = (F.col("own") < F.col("other")) | (F.col("id") < F.col("id_b"))
+    pairs = left.join(right, ["bucket", "own", "other"]).where((F.col("c") != F.col("c_b")) & once & (same >= AGREE))
+    return pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+
+
 def line_classes(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(id, component) of the lines of `rows` (doc_id, key, text) that are linked with a different line."""
     with scratch(rows.sparkSession) as keep:
@@ -129,7 +150,16 @@ def line_classes(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         union = F.size("set_a") + F.size("set_b") - both
         return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * union).select("a", "b")
 
-    return linked_groups(bands(nodes), nodes, AGREE, verify, crowd=CROWD)
+    def within(crowded: DataFrame) -> DataFrame:
+        pairs = stored(block_pairs(crowded, nodes), "candidates")
+        passes = max(1, -(-pairs.count() // PAIRS))
+        links = []
+        for k in range(passes):
+            with scratch(rows.sparkSession) as keep:
+                links.append(keep(verify(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(passes)) == k)), "links"))
+        return reduce(DataFrame.union, links)
+
+    return linked_groups(bands(nodes), nodes, AGREE, verify, within, crowd=CROWD, rounds=LEADERS)
 
 
 def line_verdicts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

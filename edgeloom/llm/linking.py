@@ -49,10 +49,10 @@ def linked_groups(
     sketch: DataFrame,
     agree: int,
     verify: Callable[[DataFrame], DataFrame],
+    within: Callable[[DataFrame], DataFrame],
     deeper: DataFrame | None = None,
     crowd: int = 32,
-    within: Callable[[DataFrame], DataFrame] | None = None,
-    rounds: int = 2,
+    rounds: int = 0,
 ) -> DataFrame:
     """(id, component) of the nodes that have a verified link, from tables of `members` (bucket, id), which are dealt
     out one after the other: nodes that share a bucket are candidates, and those whose sketches (id, sig) have `agree`
@@ -62,8 +62,9 @@ def linked_groups(
     meets most others over all its buckets (the hub of a group of copies, where there is one). `verify` returns the
     pairs (a, b) that hold. A bucket whose members are then all in one class is settled. In the others, and only
     there, members of different classes are compared too: all of them in a bucket of at most `crowd` members. In a
-    larger one `within` finds the links, from (bucket, id, c, the class), without a row for each pair; where it is not
-    given, `rounds` further leaders, each of a class that had none, are compared with the members of other classes.
+    larger one `rounds` further leaders at most, each of a class that had none, are first compared with the members of
+    other classes, to join what is easily joined; in those that are open then, `within` finds all links that are left,
+    from (bucket, id, c, the class).
     """
     parts = []
     for part in members:
@@ -101,17 +102,21 @@ def linked_groups(
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & (same >= agree))
     pairs = _ordered(pairs.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")), "x", "y").join(tried, ["a", "b"], "left_anti")
     more = confirmed(pairs, "more")
-    if within is not None:
+
+    def inside(rest: DataFrame) -> DataFrame:
         with scratch(sketch.sparkSession) as keep:
-            more = more.union(keep(within(rest.where(F.col("size") > crowd)), "within"))
+            return keep(within(rest.where(F.col("size") > crowd)), "within")
+
+    if not rounds:
+        more = more.union(inside(rest))
     if not more.isEmpty():
         links = links.union(more)
         classes = components(links)
     had = chosen.toDF("bucket", "id")
-    for _ in range(rounds if within is None else 0):
+    for _ in range(rounds):
         rest = unsettled().where(F.col("size") > crowd)
         if rest.isEmpty():
-            break
+            return classes
         led = rest.join(had, ["bucket", "id"], "left_semi").select("bucket", "c").distinct()
         free = rest.join(led, ["bucket", "c"], "left_anti")
         chosen = stored(free.join(score, "id").groupBy("bucket").agg(F.max(F.struct("score", "id", "c")).alias("m")).select("bucket", "m.id", "m.c"), "chosen")
@@ -121,6 +126,9 @@ def linked_groups(
             break
         links, had = links.union(more), had.union(chosen.select("bucket", "id"))
         classes = components(links)
+    if rounds:
+        more = inside(unsettled())
+        classes = classes if more.isEmpty() else components(links.union(more))
     return classes
 
 

@@ -41,6 +41,27 @@ def test_lines_against_brute_force(spark):
     assert len(wrong) <= 1  # banding finds a pair at the threshold with a probability of 0.995
 
 
+def test_templated_lines_in_crowded_bands_against_brute_force(spark):
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    template, texts = letters(300), {}
+    for k in range(120):
+        own = letters(42)
+        texts |= {2 * k: template + own + letters(3), 2 * k + 1: template + own + letters(3)}
+    found = line_dedup.summary(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    wanted = brute(texts)
+    assert sum(map(len, wanted.values())) == 120
+    assert {r["doc_id"]: r["removed"] for r in found} == wanted
+
+
+def test_blocks_of_a_band_meet_once(spark):
+    nodes = spark.createDataFrame([(k, [7] * line_dedup.BINS) for k in range(600)], "id long, sig array<int>")
+    crowded = nodes.selectExpr("1L AS bucket", "id", "id div 2 AS c")
+    pairs = [tuple(r) for r in line_dedup.block_pairs(crowded, nodes).collect()]
+    assert len(pairs) == len(set(pairs)) == 600 * 599 // 2 - 300
+    assert all(a < b and a // 2 != b // 2 for a, b in pairs)
+
+
 def test_documents_lose_lines_and_keep_columns(spark):
     rows = [(1, "same line of text\nother words here", "en", "s", 1, "k", "h", "g"), (2, "same line of text\n\nnew", "en", "s", 1, "k", "h", "g"), (3, "same line of text", "en", "s", 1, "k", "h", "g"), (4, None, None, None, None, None, None, None)]
     out = line_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA))
