@@ -32,8 +32,9 @@ BINS = SIDE * SIDE
 #: Shingles of a line that are looked at for each bin, about: those of smallest hash. A bin has none of them once in
 #: 3000 times, and only then may its value differ from that over all shingles.
 DEPTH = 8
-#: Equal bins that a pair must have to be confirmed: fewer occur once in 700 times at a similarity of 0.8.
-AGREE = 8
+#: Equal bins that a pair must have to be confirmed: fewer occur once in 700 times at a similarity of 0.8. That holds
+#: for independent bins; with fewer than SHORT shingles in a line many are copies of others, and every pair is confirmed.
+AGREE, SHORT = 8, 32
 #: Different lines of an unsettled band that are all compared at once; in larger ones LEADERS further leaders come first,
 #: and what they leave open is compared block by block.
 CROWD, LEADERS = 8, 2
@@ -76,7 +77,8 @@ def _least(lines: DataFrame, width: int, depth: int | None) -> DataFrame:
 
 
 def signatures(lines: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(id, sig): a node for each different line, with BINS values (16 bits of each bin's smallest hash).
+    """(id, sig): a node for each different line, with BINS values (16 bits of each bin's smallest hash) and the number
+    of its shingles.
 
     A first pass looks at the smallest hashes only; where it leaves a bin empty (rarely, or in a line that repeats
     itself) a second one looks at all of the line's."""
@@ -84,14 +86,20 @@ def signatures(lines: DataFrame, width: int = WIDTH) -> DataFrame:
     open_ = F.exists("sig", lambda x: x.isNull())
     weak = (F.col("n") > BINS * DEPTH) & open_
     again = _some_lines(lines, first.where(weak).select("h"))
-    rows = first.where(~weak).union(_least(again, width, None)).select(F.col("h").alias("id"), "sig")
+    rows = first.where(~weak).union(_least(again, width, None)).select(F.col("h").alias("id"), "sig", "n")
     turn = 1
     while turn < BINS:
         turned = F.concat(F.slice("sig", turn + 1, BINS - turn), F.slice("sig", 1, turn))
         filled = F.zip_with("sig", turned, lambda a, b: F.coalesce(a, b))
         rows = rows.withColumn("sig", F.when(open_, filled).otherwise(F.col("sig")))
         turn *= 2
-    return rows
+    return rows.select("id", F.concat("sig", F.array(F.greatest(F.lit(1), F.col("n") - (width - 1)))).alias("sig"))
+
+
+def alike(x: Column, y: Column) -> Column:
+    """Whether two lines with these sketches are worth a comparison of their sets."""
+    same = reduce(Column.__add__, ((F.get(x, F.lit(j)) == F.get(y, F.lit(j))).cast("int") for j in range(BINS)))
+    return (same >= AGREE) | (F.least(F.get(x, F.lit(BINS)), F.get(y, F.lit(BINS))) < SHORT)
 
 
 def _some_lines(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -119,8 +127,8 @@ def bands(nodes: DataFrame) -> list[DataFrame]:
 
 
 def block_pairs(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b: the pairs of members of different classes in a bucket of `crowded` (bucket, id, c) that agree in
-    AGREE bins. The members are dealt out to blocks, and each two blocks are compared by themselves, so that a bucket
+    """(a, b), a < b: the pairs of members of different classes in a bucket of `crowded` (bucket, id, c) that are
+    alike. The members are dealt out to blocks, and each two blocks are compared by themselves, so that a bucket
     of any size is spread over the tasks."""
     many = crowded.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own")
@@ -128,9 +136,8 @@ def block_pairs(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
     left = members.withColumn("other", F.explode(F.expr("sequence(own, blocks - 1)")))
     right = members.withColumnsRenamed({"own": "other", "id": "id_b", "c": "c_b", "sig": "sig_b"})
     right = right.withColumn("own", F.explode(F.expr("sequence(0, other)")))
-    same = reduce(Column.__add__, ((F.get("sig", j) == F.get("sig_b", j)).cast("int") for j in range(BINS)))
     once = (F.col("own") < F.col("other")) | (F.col("id") < F.col("id_b"))
-    pairs = left.join(right, ["bucket", "own", "other"]).where((F.col("c") != F.col("c_b")) & once & (same >= AGREE))
+    pairs = left.join(right, ["bucket", "own", "other"]).where((F.col("c") != F.col("c_b")) & once & alike(F.col("sig"), F.col("sig_b")))
     return pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
 
 
@@ -159,7 +166,7 @@ def line_classes(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
                 links.append(keep(verify(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(passes)) == k)), "links"))
         return reduce(DataFrame.union, links)
 
-    return linked_groups(bands(nodes), nodes, AGREE, verify, within, crowd=CROWD, rounds=LEADERS)
+    return linked_groups(bands(nodes), nodes, alike, verify, within, crowd=CROWD, rounds=LEADERS)
 
 
 def line_verdicts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

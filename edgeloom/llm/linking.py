@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import scratch, stored
@@ -44,10 +44,15 @@ def components(edges: DataFrame) -> DataFrame:
 BROADCAST_ROWS = 1_000_000
 
 
+def equal_values(agree: int) -> Callable[[Column, Column], Column]:
+    """Whether two sketches have `agree` equal values at least."""
+    return lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda a: a)) >= agree
+
+
 def linked_groups(
     members: list[DataFrame],
     sketch: DataFrame,
-    agree: int,
+    alike: Callable[[Column, Column], Column],
     verify: Callable[[DataFrame], DataFrame],
     within: Callable[[DataFrame], DataFrame],
     deeper: DataFrame | None = None,
@@ -55,8 +60,8 @@ def linked_groups(
     rounds: int = 0,
 ) -> DataFrame:
     """(id, component) of the nodes that have a verified link, from tables of `members` (bucket, id), which are dealt
-    out one after the other: nodes that share a bucket are candidates, and those whose sketches (id, sig) have `agree`
-    equal values at least are confirmed. `deeper` holds further buckets, each inside one of those.
+    out one after the other: nodes that share a bucket are candidates, and those whose sketches (id, sig) are `alike` are
+    confirmed. `deeper` holds further buckets, each inside one of those.
 
     No bucket is expanded into its pairs. First every member is compared with its bucket's leader, the member that
     meets most others over all its buckets (the hub of a group of copies, where there is one). `verify` returns the
@@ -80,8 +85,7 @@ def linked_groups(
     chosen = leaders.join(score, "id").groupBy("bucket").agg(best.alias("leader"))
     tried = leaders.join(chosen, "bucket").select("id", "leader").union(twos)
     tried = stored(_ordered(tried, "id", "leader"), "tried")
-    alike = F.size(F.filter(F.zip_with("x", "y", lambda a, b: a == b), lambda a: a)) >= agree
-    near = lambda pairs: pairs.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").where(alike).select("a", "b")
+    near = lambda pairs: pairs.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").where(alike(F.col("x"), F.col("y"))).select("a", "b")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         with scratch(sketch.sparkSession) as keep:
@@ -98,8 +102,7 @@ def linked_groups(
     rest = unsettled()
     few = (rest.where(F.col("size") <= crowd)).join(sketch, "id")
     x, y = few.alias("x"), few.alias("y")
-    same = F.size(F.filter(F.zip_with("x.sig", "y.sig", lambda a, b: a == b), lambda a: a))
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & (same >= agree))
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & alike(F.col("x.sig"), F.col("y.sig")))
     pairs = _ordered(pairs.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")), "x", "y").join(tried, ["a", "b"], "left_anti")
     more = confirmed(pairs, "more")
 

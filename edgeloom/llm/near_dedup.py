@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linking import linked_groups
+from .linking import equal_values, linked_groups
 from .store import id_text, scratch, small_batches, stored
 from .words import SPACED_LOWER, blocks, grams, hashed_words, mix
 
@@ -195,7 +195,7 @@ def _verdicts(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
         return rows.groupBy("bucket", "x", "y").applyInPandas(link, "a long, b long")
 
-    classes = linked_groups([regions], nodes.select("id", "sig"), AGREE, verify, within, inside, CROWD)
+    classes = linked_groups([regions], nodes.select("id", "sig"), equal_values(AGREE), verify, within, inside, CROWD)
     placed = nodes.join(classes, "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
     labels = placed.join(smallest, "component").select(F.col("id").alias("digest"), "component_id")

@@ -54,6 +54,14 @@ def test_templated_lines_in_crowded_bands_against_brute_force(spark):
     assert {r["doc_id"]: r["removed"] for r in found} == wanted
 
 
+def test_short_lines_are_found(spark):
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(13)) for _ in range(500)]
+    rows = [(k, x + "\n" + x[:12]) for k, x in enumerate(lines)]
+    found = line_dedup.summary(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["removed"] == [1] for r in found) >= 0.97 * len(rows)  # 4 of 5 shingles in common: banding finds 0.987
+
+
 def test_blocks_of_a_band_meet_once(spark):
     nodes = spark.createDataFrame([(k, [7] * line_dedup.BINS) for k in range(600)], "id long, sig array<int>")
     crowded = nodes.selectExpr("1L AS bucket", "id", "id div 2 AS c")
