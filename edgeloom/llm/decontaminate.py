@@ -11,65 +11,68 @@ length. Equality is that of 64-bit hashes.
 
 Edge cases: a null or empty document has no words and is clean; a null or empty item has no window; an item whose
 item_id is null hits words but is not counted; rows that repeat are each returned; a null doc_id is kept. Other columns
-are ignored. Fingerprints of the benchmark are broadcast only while they number at most BROADCAST_ROWS.
+are ignored. Fingerprints of the benchmark are broadcast only behind a count of them.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import small, stored
 from .text_columns import NOT_ALNUM, NOT_ALNUM_ANY, ascii_lower, keyed, rolling, words_between
 
 WINDOW, GRAM = 10, 5
-#: Rows of (hash, item): 16 bytes each before overhead, so a few dozen MB at most.
-BROADCAST_ROWS = 500_000
-
-
-def _words(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("words", words_between(ascii_lower(F.col("text")), NOT_ALNUM))
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
-    """The hashes of the words, in place of texts and words."""
-    return _words(docs).withColumn("words", F.transform("words", lambda w: F.xxhash64(w))).drop("text")
+    """The hashes of the words, in place of the text."""
+    words = words_between(ascii_lower(F.col("text")), NOT_ALNUM)
+    return docs.withColumn("words", words).withColumn("words", F.transform("words", lambda w: F.xxhash64(w))).drop("text")
+
 
+def _runs(length: int) -> Column:
+    """Hashes of every `length` neighbouring words; runs of different lengths differ."""
+    return rolling("words", length, lambda *w: F.xxhash64(F.lit(length), *w))
 
-def _kept(hashed: DataFrame, window: int, gram: int) -> DataFrame:
-    """With the distinct winnowed k-gram hashes of each row."""
-    runs = hashed.withColumn("grams", rolling("words", gram, F.xxhash64)).drop("words")
-    return runs.withColumn("mark", F.explode(F.array_distinct(rolling("grams", window - gram + 1, F.least)))).drop("grams")
 
+def _marked(hashed: DataFrame, lengths: list[int], window: int, gram: int) -> DataFrame:
+    """With the distinct fingerprints of each row, for windows of every length: the winnowed k-gram hashes for `window`,
+    all runs for a shorter one."""
+    runs = hashed.withColumn("grams", _runs(gram)) if window in lengths else hashed
+    marks = (rolling("grams", window - gram + 1, F.least) if n == window else _runs(n) for n in lengths)
+    return runs.withColumn("mark", F.explode(F.array_distinct(F.concat(*marks)))).drop("words", "grams")
 
-def _windows(hashed: DataFrame, length: int) -> DataFrame:
-    return hashed.withColumn("mark", F.explode(F.array_distinct(rolling("words", length, F.xxhash64)))).drop("words")
 
+def _places(hashed: DataFrame, lengths: list[int]) -> DataFrame:
+    """(length, first, mark) of each run of words of these lengths."""
+    def places_of(n: int) -> Column:
+        return F.transform(_runs(n), lambda m, i: F.struct(F.lit(n).alias("length"), i.alias("first"), m.alias("mark")))
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    places = map(places_of, lengths)
+    return hashed.withColumn("place", F.explode(F.concat(*places))).drop("words").select("*", "place.*").drop("place")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(key, first, length, item_id): each occurrence of a window of an item in a row of `docs` (key, text)."""
-    items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    items = stored(_hashed(items).withColumn("n", F.size("words")).where("n > 0"), "items")
-    short = sorted(r["n"] for r in items.where(F.col("n") < window).select("n").distinct().collect())
-    texts = docs.select("key", "text").distinct()
-    parts = []
-    for length in [*short, window]:
-        own = items.where(F.col("n") >= window if length == window else F.col("n") == length).select("item_id", "words")
-        marks = _kept(own, window, gram) if length == window else _windows(own, length)
-        found = _hashed(docs.select("key", "text"))
-        found = _kept(found, window, gram) if length == window else _windows(found, length)
-        candidates = stored(found.join(_bounded(stored(marks.select("mark").distinct(), "marks")), "mark", "left_semi").select("key").distinct(), "candidates")
-        spans = stored(_windows(own, length).distinct(), "windows")
-        near = _hashed(texts.join(candidates, "key", "left_semi"))
-        at = near.select("key", F.posexplode(rolling("words", length, F.xxhash64)).alias("first", "mark"))
-        parts.append(at.join(_bounded(spans), "mark").select("key", "first", F.lit(length).alias("length"), "item_id"))
-    return stored(reduce(DataFrame.union, parts), "hits")
+    """(key, first, length, item_id): each occurrence of a window of an item in a row of `docs` (key, text). The texts
+    are read once for the fingerprints of all lengths, and those that share one once more."""
+    items = benchmark.select("item_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    items = stored(_hashed(items).withColumn("n", F.least(F.size("words"), F.lit(window))).where("n > 0"), "items")
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # at most `window` numbers
+    if not lengths:
+        return docs.where("false").select("key", F.lit(0).alias("first"), F.lit(0).alias("length"), F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"))
+    own = lambda n: items.where(F.col("n") == n).select("item_id", "words")
+    marks = reduce(DataFrame.union, (_marked(own(n), [n], window, gram).select("mark") for n in lengths))
+    marks = small(stored(marks.distinct(), "marks"))
+    texts = docs.select("key", "text")
+    found = _marked(_hashed(texts), lengths, window, gram).join(marks, "mark", "left_semi")
+    candidates = small(stored(found.select("key").distinct(), "candidates"))
+    spans = reduce(DataFrame.union, (_places(own(n), [n]).drop("first") for n in lengths))
+    spans = small(stored(spans.distinct(), "windows"))
+    near = _hashed(texts.join(candidates, "key", "left_semi").dropDuplicates(["key"]))
+    return stored(_places(near, lengths).join(spans, ["length", "mark"]).select("key", "first", "length", "item_id"), "hits")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -97,6 +100,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, g
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """The rows of `docs`, all columns, in which no word is hit."""
-    found = hits(keyed(docs), benchmark, window, gram).select(F.col("key").alias("__hit")).distinct()
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(found, key == F.col("__hit"), "left_anti")
+    found = stored(hits(keyed(docs), benchmark, window, gram).select("key").distinct(), "hit")
+    key = F.xxhash64(F.col("docs.doc_id").cast("long"), F.coalesce(F.col("docs.text").cast("string"), F.lit("")))
+    return docs.alias("docs").join(small(found).alias("hit"), key == F.col("hit.key"), "left_anti")

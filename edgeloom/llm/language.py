@@ -5,7 +5,7 @@ maximise the likelihood of its grams under the mixture of languages; a further l
 the log-likelihood by more than a penalty that grows with the logarithm of the text's length.
 
 Edge cases: a null text and one without a letter get `und`, score 0 and no languages; so does every text if no row is
-labelled. Rows with null or repeated doc_id are predicted like others (a null doc_id is neither held out nor learned
+labelled. The model takes 128 KB for each language on the driver and in each executor. Rows with null or repeated doc_id are predicted like others (a null doc_id is neither held out nor learned
 from). Ties between languages go to the first by name. Whole texts count, however long. Other columns are ignored.
 """
 
@@ -24,8 +24,6 @@ from .words import blocks
 
 #: Buckets of the gram hash; labelled rows for each language that a model is fitted on, at most (chosen by hash).
 BITS, MAX_ROWS = 15, 20_000
-#: Largest number of languages: bounds the model at 256 MB.
-MAX_LANGUAGES = 1 << 11
 #: Each byte lies in four grams, so a text holds about a quarter as much evidence as its grams.
 GRAM = 4
 ROUNDS, SETTLED = 25, 1e-4
@@ -71,9 +69,7 @@ def learn(docs: DataFrame, label: str = "lang", max_rows: int = MAX_ROWS) -> tup
     small_batches(docs.sparkSession)
     known = F.col(label).isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()
     rows = docs.where(known & ~held_out()).select(F.col(label).alias("lang"), "text", F.xxhash64("doc_id").alias("h"))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     names = sorted(sizes)
     if not names:
         return [], np.zeros((1 << BITS, 0), np.float32)
@@ -94,10 +90,14 @@ def learn(docs: DataFrame, label: str = "lang", max_rows: int = MAX_ROWS) -> tup
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at])], ["lang", "bucket", "n"])
 
     counted = rows.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long")
-    counted = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most buckets x languages
-    weights = np.full((1 << BITS, len(names)), 0.5)
-    weights[counted["bucket"], [names.index(x) for x in counted["lang"]]] += counted["n"]
-    return names, (weights / weights.sum(0)).astype(np.float32)
+    counted = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    weights = np.empty((1 << BITS, len(names)), np.float32)
+    weights[:] = 1.0 / (1 << BITS)  # of a language whose rows hold no gram
+    for row in counted.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("n").alias("n")).toLocalIterator():
+        own = np.full(1 << BITS, 0.5)
+        own[row["buckets"]] += row["n"]
+        weights[:, names.index(row["lang"])] = own / own.sum()
+    return names, weights
 
 
 def _fit(p: np.ndarray, c: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, float]:
@@ -143,14 +143,16 @@ def proportions(grams: np.ndarray, frequencies: np.ndarray, penalty: float = 1.0
     return out
 
 
-def _predict(texts: pa.Array, names: list[str], frequencies: np.ndarray) -> Iterator[tuple[str, float, list[dict]]]:
+def _predict(texts: pa.Array, names: list[str], frequencies: np.ndarray) -> Iterator[tuple[str, float, list[dict], float]]:
+    """Language, score, languages, and the mean log-likelihood of a gram under the mixture (0 for a text without one)."""
     for grams in _buckets(texts):
         if grams is None or not names:
-            yield "und", 0.0, []
+            yield "und", 0.0, [], -math.inf if grams is None else 0.0
             continue
         share = proportions(grams, frequencies)
         top = int(share.argmax())
-        yield names[top], float(min(1.0, share[top])), [{"lang": names[i], "share": float(share[i])} for i in np.argsort(-share, kind="stable") if share[i] > 0]
+        fit = float(np.log(frequencies[grams] @ share).mean()) if len(grams) else 0.0
+        yield names[top], float(min(1.0, share[top])), [{"lang": names[i], "share": float(share[i])} for i in np.argsort(-share, kind="stable") if share[i] > 0], fit
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
@@ -170,15 +172,21 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(apply, schema)
 
 
+#: Mean log-likelihood of a gram in a text that knows nothing of a language: all buckets are as likely.
+UNKNOWN = -BITS * math.log(2)
+
+
 def keep_identified(docs: DataFrame, min_share: float = 0.3) -> DataFrame:
-    """The rows of `docs`, all columns, whose text has a language that makes up `min_share` of it at least."""
+    """The rows of `docs`, all columns, whose text has a letter, is explained better by its mixture of languages than by
+    chance (UNKNOWN), and has a language that makes up `min_share` of it at least. Where no row is labelled, no text
+    can be rejected for its language, and all with a letter stay."""
     small_batches(docs.sparkSession)
     names, frequencies = learn(docs)
     shared, text = docs.sparkSession.sparkContext.broadcast(frequencies), docs.columns.index("text")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [lang != "und" and score >= min_share for lang, score, _ in _predict(batch.column(text), names, shared.value)]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            found = _predict(batch.column(text), names, shared.value)
+            yield batch.filter(pa.array([fit > UNKNOWN and (score >= min_share or not names) for _, score, _, fit in found], pa.bool_()))
 
     return docs.mapInArrow(choose, docs.schema)

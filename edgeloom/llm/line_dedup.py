@@ -6,9 +6,10 @@ shingle). Equal lines are one node; two different lines are linked when the Jacc
 reaches `percent` / 100. Of each class of lines linked in turn, the first occurrence by (doc_id, line) stays; blank
 lines always stay and link nothing.
 
-Signatures: each shingle's hash falls into one of SIDE x SIDE bins, each bin keeps its smallest hash, an empty bin takes
-over the next full one's. The bins are the points of an affine plane, and its lines are the bands that make candidates: two
-lines of text that agree in all bins but six share a band for certain.
+Signatures: each shingle's hash falls into one of BINS bins, each bin keeps its smallest hash, an empty bin takes over
+the next full one's. The bins are the edges of the Petersen graph, and its nodes, with three edges each, are the bands
+that make candidates; no two bands share more than one bin. Two lines of similarity 0.8 share a band with a probability
+of 0.994 (0.9986 at 0.85).
 
 Edge cases: a null or empty text has one blank line; rows that agree in doc_id and text are one document and are
 treated alike; a null doc_id comes first in the order; long lines count whole. Other columns are ignored, or kept
@@ -17,31 +18,30 @@ where documents are returned.
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .linking import linked_groups
-from .store import scratch, stored
+from .linking import leader_pairs, linked_groups, live_members
+from .store import scratch, small, stored
 from .text_columns import keyed
 
 WIDTH, PERCENT = 9, 80
-SIDE = 4
-BINS = SIDE * SIDE
+_NODES = [set(x) for x in combinations(range(5), 2)]
+_EDGES = [(i, j) for i, j in combinations(range(len(_NODES)), 2) if not _NODES[i] & _NODES[j]]
+#: The bins of each band.
+BANDS = [[k for k, edge in enumerate(_EDGES) if i in edge] for i in range(len(_NODES))]
+BINS = len(_EDGES)
+#: Bands are dealt out in so many parts, one after the other: so much less lies in shuffle files at a time.
+PARTS = 2
 #: Shingles of a line that are looked at for each bin, about: those of smallest hash. A bin has none of them once in
 #: 3000 times, and only then may its value differ from that over all shingles.
 DEPTH = 8
-#: Equal bins that a pair must have to be confirmed: fewer occur once in 700 times at a similarity of 0.8. That holds
-#: for independent bins; with fewer than SHORT shingles in a line many are copies of others, and every pair is confirmed.
-AGREE, SHORT = 8, 32
-#: Different lines of an unsettled band that are all compared at once; in larger ones LEADERS further leaders come first,
-#: and what they leave open is compared block by block.
-CROWD, LEADERS = 8, 2
-#: Members that a block of such a band holds, about; pairs whose sets are compared in one pass.
-BLOCK, PAIRS = 256, 500_000
-#: Line hashes that may be broadcast, 8 bytes each before overhead.
-BROADCAST_ROWS = 1_000_000
+#: Different lines of an unsettled band that are all compared; in larger ones a prefix filter finds the pairs.
+CROWD = 8
+#: Members that are compared with one line in one task.
+MEMBERS = 4096
 BLANK = r"[^\x20\x09-\x0D]"
 
 
@@ -51,165 +51,126 @@ def _lines(rows: DataFrame) -> DataFrame:
     return lines.where(F.col("text").rlike(BLANK)).withColumn("h", F.xxhash64("text"))
 
 
-def _shingle(units: Column, i: Column, width: int) -> Column:
-    """Hash of the shingle that begins at unit i of UTF-16 bytes."""
-    return F.xxhash64(F.substring(units, i * 2 + 1, F.lit(2 * width)))
+def _shingle(units: Column, at: Column, width: int) -> Column:
+    """Hash of the shingle that begins at byte `at` (from 1) of UTF-16 units."""
+    return F.xxhash64(F.substring(units, at, F.lit(2 * width)))
 
 
 def _starts(units: Column, width: int) -> Column:
-    return F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.octet_length(units) / 2).cast("int") - width))
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(units) - (2 * width - 1)), F.lit(2))
 
 
-def _least(lines: DataFrame, width: int, depth: int | None) -> DataFrame:
-    """(h, n, sig): each line's length and its bins' smallest values; with `depth`, of the shingles whose hash is among
-    the smallest of so many a bin by the line's length (null where a bin has none)."""
+def _shingles(lines: DataFrame, width: int) -> DataFrame:
+    """(h, bytes, at, v): each shingle of `lines` (h, text), with the line's length in UTF-16 bytes."""
     units = lines.select("h", F.encode("text", "UTF-16BE").alias("units"))
-    shingles = units.select("h", "units", F.explode(_starts(F.col("units"), width)).alias("i"))
-    v, n = _shingle(F.col("units"), F.col("i"), width), (F.octet_length("units") / 2).cast("int")
-    hashed = shingles.select("h", "i", n.alias("n"), v.alias("v"))
-    hashed = hashed.select("h", "i", "n", F.shiftrightunsigned("v", 33).cast("int").alias("w"), F.col("v").bitwiseAND(BINS - 1).alias("bin"))
+    found = units.select("h", "units", F.explode(_starts(F.col("units"), width)).alias("at"))
+    return found.select("h", F.octet_length("units").alias("bytes"), "at", _shingle(F.col("units"), F.col("at"), width).alias("v"))
+
+
+def _least(lines: DataFrame, width: int, depth: int | None) -> DataFrame:
+    """(h, n, b0, ...): each line's length and its bins' smallest values (31 bits); with `depth`, of the shingles whose
+    hash is among the smallest of so many a bin by the line's length (null where a bin has none)."""
+    hashed = _shingles(lines, width).select("h", "at", (F.col("bytes") / 2).cast("int").alias("n"), F.shiftrightunsigned("v", 33).cast("int").alias("w"), F.pmod("v", F.lit(BINS)).alias("bin"))
     if depth is not None:
-        small = F.col("w") * F.col("n").cast("double") <= float(BINS * depth << 31)
-        hashed = hashed.where(small | (F.col("i") == 0)).withColumn("w", F.when(small, F.col("w")))
-    least = [F.min(F.when(F.col("bin") == j, F.col("w"))).alias(f"b{j}") for j in range(BINS)]
-    rows = hashed.groupBy("h").agg(F.max("n").alias("n"), *least)
-    return rows.select("h", "n", F.array(*(F.col(f"b{j}").bitwiseAND(0xFFFF) for j in range(BINS))).alias("sig"))
+        low = F.col("w") * F.col("n").cast("double") <= float(BINS * depth << 31)
+        hashed = hashed.where(low | (F.col("at") == 1)).withColumn("w", F.when(low, F.col("w")))
+    return hashed.groupBy("h").agg(F.max("n").alias("n"), *(F.min(F.when(F.col("bin") == j, F.col("w"))).alias(f"b{j}") for j in range(BINS)))
 
 
 def signatures(lines: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(id, sig): a node for each different line, with BINS values (16 bits of each bin's smallest hash) and the number
-    of its shingles.
+    """(id, b0, ...): a node for each different line, with 15 bits of each bin's smallest hash.
 
     A first pass looks at the smallest hashes only; where it leaves a bin empty (rarely, or in a line that repeats
     itself) a second one looks at all of the line's."""
     first = stored(_least(lines, width, DEPTH), "least")
-    open_ = F.exists("sig", lambda x: x.isNull())
-    weak = (F.col("n") > BINS * DEPTH) & open_
-    again = _some_lines(lines, first.where(weak).select("h"))
-    rows = first.where(~weak).union(_least(again, width, None)).select(F.col("h").alias("id"), "sig", "n")
-    turn = 1
-    while turn < BINS:
-        turned = F.concat(F.slice("sig", turn + 1, BINS - turn), F.slice("sig", 1, turn))
-        filled = F.zip_with("sig", turned, lambda a, b: F.coalesce(a, b))
-        rows = rows.withColumn("sig", F.when(open_, filled).otherwise(F.col("sig")))
-        turn *= 2
-    return rows.select("id", F.concat("sig", F.array(F.greatest(F.lit(1), F.col("n") - (width - 1)))).alias("sig"))
-
-
-def alike(x: Column, y: Column) -> Column:
-    """Whether two lines with these sketches are worth a comparison of their sets."""
-    same = reduce(Column.__add__, ((F.get(x, F.lit(j)) == F.get(y, F.lit(j))).cast("int") for j in range(BINS)))
-    return (same >= AGREE) | (F.least(F.get(x, F.lit(BINS)), F.get(y, F.lit(BINS))) < SHORT)
+    bins = [f"b{j}" for j in range(BINS)]
+    weak = F.expr(f"n > {BINS * DEPTH} AND ({' OR '.join(f'{b} IS NULL' for b in bins)})")
+    again = _some_lines(lines, stored(first.where(weak).select("h"), "ids"))
+    rows = first.where(~weak).union(_least(again, width, None))
+    filled = (F.coalesce(*bins[j:], *bins[:j]).bitwiseAND(0x7FFF).cast("short").alias(bins[j]) for j in range(BINS))
+    return rows.select(F.col("h").alias("id"), *filled)
 
 
 def _some_lines(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """(h, text) of the different lines whose hash is in `ids`, which is broadcast while it is small."""
-    ids = stored(ids.distinct(), "ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    return lines.select("h", "text").join(ids, "h", "left_semi").groupBy("h").agg(F.max("text").alias("text"))
-
-
-def _times(a: int, b: int) -> int:
-    """The product in the field of four elements (its sum is a ^ b)."""
-    p = (a if b & 1 else 0) ^ (a << 1 if b & 2 else 0)
-    return p ^ 7 if p & 4 else p
+    """(h, text) of the different lines whose hash is in the stored table `ids`."""
+    return lines.select("h", "text").join(small(ids), "h", "left_semi").groupBy("h").agg(F.max("text").alias("text"))
 
 
 def bands(nodes: DataFrame) -> list[DataFrame]:
-    """(bucket, id) of each node, a table for each class of parallel lines of the plane."""
-    side = range(SIDE)
-    classes = [[[SIDE * x + (_times(slope, x) ^ c) for x in side] for c in side] for slope in side] + [[[SIDE * x + y for y in side] for x in side]]
-    out = []
-    for n, groups in enumerate(classes):
-        keys = F.array(*(F.xxhash64(F.lit(SIDE * n + k), *(F.get("sig", j) for j in group)) for k, group in enumerate(groups)))
-        out.append(nodes.select(F.explode(keys).alias("bucket"), "id"))
-    return out
-
-
-def block_pairs(crowded: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b: the pairs of members of different classes in a bucket of `crowded` (bucket, id, c) that are
-    alike. The members are dealt out to blocks, and each two blocks are compared by themselves, so that a bucket
-    of any size is spread over the tasks."""
-    many = crowded.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own")
-    members = crowded.join(many, "bucket").join(nodes, "id").select("bucket", "id", "c", "sig", "blocks", own)
-    left = members.withColumn("other", F.explode(F.expr("sequence(own, blocks - 1)")))
-    right = members.withColumnsRenamed({"own": "other", "id": "id_b", "c": "c_b", "sig": "sig_b"})
-    right = right.withColumn("own", F.explode(F.expr("sequence(0, other)")))
-    once = (F.col("own") < F.col("other")) | (F.col("id") < F.col("id_b"))
-    pairs = left.join(right, ["bucket", "own", "other"]).where((F.col("c") != F.col("c_b")) & once & alike(F.col("sig"), F.col("sig_b")))
-    return pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+    """(bucket, id) of each node, in PARTS tables."""
+    keys = [F.xxhash64(F.lit(k), *(f"b{j}" for j in bins)) for k, bins in enumerate(BANDS)]
+    return [nodes.select(F.explode(F.array(*keys[k::PARTS])).alias("bucket"), "id") for k in range(PARTS)]
 
 
 def line_classes(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(id, component) of the lines of `rows` (doc_id, key, text) that are linked with a different line."""
     with scratch(rows.sparkSession) as keep:
         nodes = keep(signatures(_lines(rows), width), "signatures")
+    live, twos = live_members(bands(nodes))
+    met = live.select("id").union(twos.select("a")).union(twos.select("b")).distinct()
+    pool = stored(_some_lines(_lines(rows), stored(met.toDF("h"), "met")), "pool")  # the lines that share a band with any
 
     def verify(pairs: DataFrame) -> DataFrame:
+        """The pair's line that occurs in more pairs is its head: its set is taken once, that of the other one as it is
+        compared, so that sets are neither stored nor shuffled."""
         pairs = stored(pairs, "pairs")
-        lines = _some_lines(_lines(rows), pairs.select(F.col("a").alias("h")).union(pairs.select("b")))
-        units = lines.select("h", F.encode("text", "UTF-16BE").alias("units"))
-        members = F.array_distinct(F.transform(_starts(F.col("units"), width), lambda i: _shingle(F.col("units"), i, width)))
-        sets = stored(units.select("h", members.alias("members")), "sets")
-        left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        union = F.size("set_a") + F.size("set_b") - both
-        return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * union).select("a", "b")
-
-    def within(crowded: DataFrame) -> DataFrame:
-        pairs = stored(block_pairs(crowded, nodes), "candidates")
-        passes = max(1, -(-pairs.count() // PAIRS))
-        links = []
-        for k in range(passes):
-            with scratch(rows.sparkSession) as keep:
-                links.append(keep(verify(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(passes)) == k)), "links"))
-        return reduce(DataFrame.union, links)
-
-    return linked_groups(bands(nodes), nodes, alike, verify, within, crowd=CROWD, rounds=LEADERS)
-
-
-def line_verdicts(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, key, line, component, kept) for each line that is not blank."""
-    rows = keyed(docs)
-    with scratch(docs.sparkSession) as keep:
-        classes = keep(line_classes(rows, width, percent), "classes")
-    places = stored(_lines(rows).select("doc_id", "key", "line", "h").distinct(), "places")
-    heads = places.groupBy("h").agg(F.min(F.struct("doc_id", "key", "line")).alias("first"))
-    heads = heads.join(classes.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
-    heads = stored(heads, "heads")
-    best = heads.groupBy("component").agg(F.min("first").alias("best"))
-    heads = heads.join(best, "component").select("h", "component", "best")
-    placed = places.join(heads, "h")
-    here = F.struct("doc_id", "key", "line")
-    return placed.select("doc_id", "key", "line", "component", here.eqNullSafe(F.col("best")).alias("kept"))
-
-
-def removed_lines(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(key, removed): the numbers of the lines that go, for each document that loses any."""
-    with scratch(docs.sparkSession) as keep:
-        gone = line_verdicts(docs, width, percent).where(~F.col("kept"))
-        return keep(gone.groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("removed")), "removed")
+        degree = pairs.select(F.col("a").alias("h")).union(pairs.select("b")).groupBy("h").agg(F.count("*").alias("degree"))
+        degree = stored(degree, "degree")
+        a, b = (small(degree).toDF(end, f"by_{end}") for end in "ab")
+        turned = F.when(F.col("by_a") >= F.col("by_b"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+        pairs = stored(pairs.join(a, "a").join(b, "b").select(turned.alias("p")).select("p.*"), "turned")
+        heads = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")), "heads")
+        members = small(pairs).join(small(heads), "a").join(pool.withColumnRenamed("h", "b"), "b")
+        members = members.select("a", "b", "text", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"))
+        set_of = lambda units: F.transform(_starts(units, width), lambda at: _shingle(units, at, width))
+        units = F.encode("text", "UTF-16BE").alias("units")
+        known = small(heads).join(pool.withColumnRenamed("h", "a"), "a").select("a", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), units)
+        known = known.select("a", "block", F.array_distinct(set_of(F.col("units"))).alias("set_a"))
+        met = members.select("a", "b", "block", units).join(known, ["a", "block"])
+        met = met.select("a", "b", "set_a", F.array_distinct(set_of(F.col("units"))).alias("set_b"))
+        met = met.select("a", "b", (F.size("set_a") + F.size("set_b")).alias("n"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
+        return met.where(f"100 * both >= {percent} * (n - both)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    def tokens(ids: DataFrame) -> DataFrame:
+        lines = pool.join(small(stored(ids.toDF("h"), "ids")), "h", "left_semi")
+        return _shingles(lines, width).select(F.col("h").alias("id"), "v").distinct()
+
+    return linked_groups(live, leader_pairs(live).union(twos), lambda pairs: pairs, verify, tokens, percent, CROWD)
+
+
+def verdicts(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(key, n_lines, removed): the number of lines that are not blank of each document of `rows` (doc_id, key, text)
+    that has any, and the numbers of those that go."""
+    with scratch(rows.sparkSession) as keep:
+        places = stored(_lines(rows).select("h", F.struct("doc_id", "key", "line").alias("place")), "places")
+        classes = stored(line_classes(rows, width, percent), "classes")
+        heads = places.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("times"))
+        heads = heads.join(small(classes).withColumnRenamed("id", "h"), "h", "left").where("times > 1 OR component IS NOT NULL")
+        heads = stored(heads.select("h", "first", F.coalesce("component", "h").alias("component")), "heads")
+        best = heads.groupBy("component").agg(F.min("first").alias("best"))
+        best = stored(heads.join(best, "component").select("h", "best"), "best")
+        found = places.join(small(best), "h", "left")
+        gone = F.col("best").isNotNull() & ~F.col("place").eqNullSafe(F.col("best"))
+        found = found.groupBy("place.key", "place.line").agg(F.bool_or(gone).alias("gone"))  # rows that repeat are one
+        removed = F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line"))))
+        return keep(found.groupBy("key").agg(F.count("*").alias("n_lines"), removed.alias("removed")), "verdicts")
 
 
 def summary(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, removed (their numbers, from 0)."""
     rows = keyed(docs)
-    lines = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(BLANK))).cast("long")
-    base = rows.select("doc_id", "key", lines.alias("n_lines"))
+    out = rows.select("doc_id", "key").join(verdicts(rows, width, percent), "key", "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    out = base.join(removed_lines(docs, width, percent), "key", "left")
-    return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs`, all columns, with the removed lines taken out of `text`; rows that lose nothing are as they
     were, and a row that loses all its lines goes."""
-    gone = removed_lines(docs, width, percent).toDF("__key", "__removed")
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    rows = docs.join(gone, key == F.col("__key"), "left")
-    lines = F.split("text", "\n")
-    left = F.filter(lines, lambda x, i: ~F.array_contains("__removed", i))
-    text = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    out = rows.select(*(text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns), "__removed")
-    return out.where(F.col("__removed").isNull() | F.col("text").rlike(BLANK)).drop("__removed")
+    gone = small(stored(verdicts(keyed(docs), width, percent).where("size(removed) > 0").drop("n_lines"), "gone")).alias("gone")
+    key = F.xxhash64(F.col("docs.doc_id").cast("long"), F.coalesce(F.col("docs.text").cast("string"), F.lit("")))
+    rows = docs.alias("docs").join(gone, key == F.col("gone.key"), "left")
+    left = F.filter(F.split("docs.text", "\n"), lambda x, i: ~F.array_contains("gone.removed", i))
+    text = F.when(F.col("gone.removed").isNull(), F.col("docs.text")).otherwise(F.array_join(left, "\n"))
+    rows = rows.where(F.col("gone.removed").isNull() | text.rlike(BLANK))
+    return rows.select(*(text.alias(c) if c == "text" else F.col(f"docs.`{c}`") for c in docs.columns))

@@ -1,17 +1,23 @@
-"""Links between nodes, and the classes that they join: union-find as Spark rounds."""
+"""Links between nodes, and the classes that they join: candidates, an exact prefix filter, union-find as Spark rounds."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .store import scratch, stored
+from .store import scratch, small, stored
 
+#: Candidates between two classes that are verified in each turn: the last one takes all that are left.
+QUOTAS = (1, 12, None)
+#: Members of a shared token that one task compares with others at a time, about.
+BLOCK = 512
 
-def _ordered(edges: DataFrame, a: str, b: str) -> DataFrame:
+
+def ordered(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """The different pairs (a, b), a < b."""
     return edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
 
 
@@ -23,16 +29,14 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours is met by aggregates with partial sums and by joins that can be split, never by a gathered list.
     """
     with scratch(edges.sparkSession) as keep:
-        edges = stored(_ordered(edges, "a", "b"), "edges")
-        mark = None
+        edges, mark = _measured(ordered(edges, "a", "b"))
         while True:
             both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
             least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-            large = _ordered(edges.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")), "x", "y")
+            large = ordered(edges.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")), "x", "y")
             down = large.groupBy("b").agg(F.min("a").alias("m"))
-            small = large.join(down, "b").select(F.col("a").alias("x"), F.col("m").alias("y"))
-            edges = stored(_ordered(small.union(down.select("b", "m")), "x", "y"), "edges")
-            now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            joined = large.join(down, "b").select(F.col("a").alias("x"), F.col("m").alias("y"))
+            edges, now = _measured(ordered(joined.union(down.select("b", "m")), "x", "y"))
             if now == mark:
                 break
             mark = now
@@ -40,101 +44,133 @@ def components(edges: DataFrame) -> DataFrame:
         return keep(stars.union(edges.select("a", "a").distinct()), "classes")
 
 
-#: Buckets with more than two members that may be broadcast: 16 bytes each before overhead.
-BROADCAST_ROWS = 1_000_000
+def _measured(edges: DataFrame) -> tuple[DataFrame, dict[str, object]]:
+    """The stored edges, with their number and a checksum that are counted as they are written."""
+    seen = Observation()
+    checksum = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
+    out = stored(edges.observe(seen, F.count("*").alias("n"), checksum.alias("checksum")), "edges")
+    return out, seen.get
+
+
+def united(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """`classes` (id, component) after further `links` (a, b): only the links between classes are contracted again."""
+    with scratch(links.sparkSession) as keep:
+        new = links
+        for end in "ab":
+            own = classes.select(F.col("id").alias(end), F.col("component").alias("c"))
+            new = new.join(own, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
+        moved = components(new).toDF("component", "to")
+        known = classes.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        fresh = moved.select(F.col("component").alias("id"), F.col("to").alias("component"))
+        return keep(known.union(fresh.join(classes.select("id"), "id", "left_anti")), "classes")
+
+
+def live_members(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(bucket, id, size) of the buckets with more than two members, and the pairs (a, b) of those with two, from
+    tables of (bucket, id) that are dealt out one after the other. A bucket with one member never leaves its count."""
+    live, twos = [], []
+    for part in parts:
+        sizes = part.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("a"), F.max("id").alias("b"))
+        sizes = stored(sizes.where("size > 1"), "sizes")
+        twos.append(sizes.where("size = 2").select("a", "b"))
+        live.append(stored(part.join(small(sizes.where("size > 2").select("bucket", "size")), "bucket"), "live"))
+    return reduce(DataFrame.union, live), reduce(DataFrame.union, twos)
 
 
-def equal_values(agree: int) -> Callable[[Column, Column], Column]:
-    """Whether two sketches have `agree` equal values at least."""
-    return lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda a, b: a == b), lambda a: a)) >= agree
+def leader_pairs(live: DataFrame) -> DataFrame:
+    """(a, b): each member of a bucket with the bucket's leader, the member that meets most others over all its buckets
+    (the hub of a group of copies, where there is one)."""
+    score = live.groupBy("id").agg(F.sum("size").alias("score"))
+    best = F.max(F.struct("score", (-F.col("id").cast("decimal(20,0)")).alias("low"), "id"))["id"]
+    leaders = stored(live.join(score, "id").groupBy("bucket").agg(best.alias("leader")), "leaders")
+    return live.join(small(leaders), "bucket").select(F.col("id").alias("a"), F.col("leader").alias("b"))
+
+
+def prefix_pairs(tokens: DataFrame, percent: int) -> DataFrame:
+    """(a, b, shared): pairs of sets of different classes among which are all whose Jaccard similarity reaches
+    `percent` / 100, from `tokens` (id, c, v), the members v of each set with its class c, with the number of first
+    members that they share.
+
+    Prefix filter: the members of each set are ordered from the rarest to the most frequent. Two similar sets share one
+    among the first few of both, and with the rank of the first shared one the size of the intersection is bounded. So
+    what most sets of a family have in common is never looked up. A token that very many sets share is dealt out to
+    blocks.
+    """
+    times = tokens.groupBy("v").agg(F.count("*").alias("f"))
+    own = Window.partitionBy("id")
+    ranked = tokens.join(times, "v").withColumn("pos", F.row_number().over(own.orderBy("f", "v"))).withColumn("n", F.count("*").over(own))
+    probe = ranked.where(f"f > 1 AND pos <= n - ({percent} * n + 99) div 100 + 1").select("v", "id", "c", "n", "pos")
+    probe = stored(probe, "probe")
+    index = probe.where(f"pos <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")
+    load = index.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    load = stored(load.where("blocks > 1"), "load")
+    index, probe = (rows.join(small(load), "v", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) for rows in (index, probe))
+    x = index.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int")).alias("x")
+    y = probe.withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).alias("y")
+    met = x.join(y, (F.col("x.v") == F.col("y.v")) & (F.col("x.block") == F.col("y.block")) & F.expr("x.c <> y.c AND (x.n < y.n OR (x.n = y.n AND x.id < y.id))"))
+    fits = f"100 * x.n >= {percent} * y.n AND {100 + percent} * (1 + least(x.n - x.pos, y.n - y.pos)) >= {percent} * (x.n + y.n)"
+    met = met.where(fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    return met.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 def linked_groups(
-    members: list[DataFrame],
-    sketch: DataFrame,
-    alike: Callable[[Column, Column], Column],
+    live: DataFrame,
+    tried: DataFrame,
+    near: Callable[[DataFrame], DataFrame],
     verify: Callable[[DataFrame], DataFrame],
-    within: Callable[[DataFrame], DataFrame],
-    deeper: DataFrame | None = None,
-    crowd: int = 32,
-    rounds: int = 0,
+    tokens: Callable[[DataFrame], DataFrame],
+    percent: int,
+    crowd: int,
 ) -> DataFrame:
-    """(id, component) of the nodes that have a verified link, from tables of `members` (bucket, id), which are dealt
-    out one after the other: nodes that share a bucket are candidates, and those whose sketches (id, sig) are `alike` are
-    confirmed. `deeper` holds further buckets, each inside one of those.
-
-    No bucket is expanded into its pairs. First every member is compared with its bucket's leader, the member that
-    meets most others over all its buckets (the hub of a group of copies, where there is one). `verify` returns the
-    pairs (a, b) that hold. A bucket whose members are then all in one class is settled. In the others, and only
-    there, members of different classes are compared too: all of them in a bucket of at most `crowd` members. In a
-    larger one `rounds` further leaders at most, each of a class that had none, are first compared with the members of
-    other classes, to join what is easily joined; in those that are open then, `within` finds all links that are left,
-    from (bucket, id, c, the class).
+    """(id, component) of the nodes that have a verified link. Nodes that share a bucket of `live` (bucket, id, size) are
+    candidates. `near` leaves of pairs (a, b) those worth a comparison, `verify` those that hold.
+
+    No bucket is expanded into its pairs. First the pairs of `tried` are verified, a few for each member. A bucket whose
+    members are then all in one class is settled. In the others, and only there, members of different classes are
+    candidates too: all of them in a bucket of at most `crowd` members; those of larger ones by a prefix filter over their
+    sets, which misses no link. `tokens` gives the (id, v) of nodes (id). Of the candidates between two classes those
+    that have most in common are verified first, and only if they leave the classes apart do the others follow, to the
+    last one.
     """
-    parts = []
-    for part in members:
-        sizes = part.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("a"), F.max("id").alias("b"))
-        sizes = stored(sizes.where("size > 1"), "sizes")
-        many = sizes.where("size > 2").select("bucket", "size")
-        many = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
-        parts.append((sizes.where("size = 2").select("a", "b"), stored(part.join(many, "bucket"), "live")))
-    twos, live = (reduce(DataFrame.union, tables) for tables in zip(*parts, strict=True))
-    leaders = live if deeper is None else live.union(_shared(deeper))
-    score = live.groupBy("id").agg(F.sum("size").alias("score"))
-    best = F.max(F.struct("score", (-F.col("id").cast("decimal(20,0)")).alias("low"), "id"))["id"]
-    chosen = leaders.join(score, "id").groupBy("bucket").agg(best.alias("leader"))
-    tried = leaders.join(chosen, "bucket").select("id", "leader").union(twos)
-    tried = stored(_ordered(tried, "id", "leader"), "tried")
-    near = lambda pairs: pairs.join(sketch.toDF("a", "x"), "a").join(sketch.toDF("b", "y"), "b").where(alike(F.col("x"), F.col("y"))).select("a", "b")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        with scratch(sketch.sparkSession) as keep:
-            return keep(verify(pairs), name)
-
-    links = confirmed(near(tried), "links")
+    tried = stored(ordered(tried, "a", "b"), "tried")
+    with scratch(live.sparkSession) as keep:
+        links = keep(verify(near(tried)), "links")
     classes = components(links)
-
-    def unsettled() -> DataFrame:
-        placed = live.join(classes, "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("c"))
-        open_ = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-        return stored(placed.join(open_, "bucket", "left_semi"), "open")
-
-    rest = unsettled()
-    few = (rest.where(F.col("size") <= crowd)).join(sketch, "id")
+    placed = live.join(small(classes), "id", "left").select("bucket", "id", "size", F.coalesce("component", "id").alias("c"))
+    open_ = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
+    rest = stored(placed.join(small(stored(open_, "open")), "bucket", "left_semi"), "rest")
+    few = rest.where(F.col("size") <= crowd)
     x, y = few.alias("x"), few.alias("y")
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")) & alike(F.col("x.sig"), F.col("y.sig")))
-    pairs = _ordered(pairs.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")), "x", "y").join(tried, ["a", "b"], "left_anti")
-    more = confirmed(pairs, "more")
-
-    def inside(rest: DataFrame) -> DataFrame:
-        with scratch(sketch.sparkSession) as keep:
-            return keep(within(rest.where(F.col("size") > crowd)), "within")
-
-    if not rounds:
-        more = more.union(inside(rest))
-    if not more.isEmpty():
-        links = links.union(more)
-        classes = components(links)
-    had = chosen.toDF("bucket", "id")
-    for _ in range(rounds):
-        rest = unsettled().where(F.col("size") > crowd)
-        if rest.isEmpty():
-            return classes
-        led = rest.join(had, ["bucket", "id"], "left_semi").select("bucket", "c").distinct()
-        free = rest.join(led, ["bucket", "c"], "left_anti")
-        chosen = stored(free.join(score, "id").groupBy("bucket").agg(F.max(F.struct("score", "id", "c")).alias("m")).select("bucket", "m.id", "m.c"), "chosen")
-        pairs = rest.join(chosen.toDF("bucket", "leader", "own"), "bucket").where("c <> own").select("id", "leader")
-        more = confirmed(near(_ordered(pairs, "id", "leader")), "more")
-        if more.isEmpty():
+    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")))
+    pairs = pairs.groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).agg(F.count("*").alias("shared"))
+    with scratch(live.sparkSession) as keep:
+        crowded = stored(rest.where(F.col("size") > crowd).select("id", "c").distinct(), "crowded")
+        if not crowded.isEmpty():
+            sets = stored(tokens(crowded.select("id")).join(small(crowded), "id"), "tokens")
+            pairs = pairs.union(prefix_pairs(sets, percent))
+        pairs = pairs.groupBy("a", "b").agg(F.max("shared").alias("shared")).join(tried, ["a", "b"], "left_anti")
+        pairs = keep(pairs, "candidates")
+    done = tried.limit(0)
+    for quota in QUOTAS:
+        between = _between(pairs, classes)
+        if quota:
+            of_two = Window.partitionBy("ca", "cb").orderBy(F.desc("shared"), "a", "b")
+            between = between.withColumn("rank", F.row_number().over(of_two)).where(F.col("rank") <= quota)
+        between = stored(between.select("a", "b").join(small(done), ["a", "b"], "left_anti"), "between")
+        if between.isEmpty():
             break
-        links, had = links.union(more), had.union(chosen.select("bucket", "id"))
-        classes = components(links)
-    if rounds:
-        more = inside(unsettled())
-        classes = classes if more.isEmpty() else components(links.union(more))
+        done = stored(done.union(between), "done")
+        with scratch(live.sparkSession) as keep:
+            more = keep(verify(near(between)), "more")
+        classes = united(classes, more)
     return classes
 
 
-def _shared(members: DataFrame) -> DataFrame:
-    """Those in a bucket with others, with its size."""
-    return members.join(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "bucket")
+def _between(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, shared, ca, cb): the pairs whose ends are in different classes, with these in order."""
+    classes = small(classes)
+    for end in "ab":
+        own = classes.select(F.col("id").alias(end), F.col("component").alias("c"))
+        pairs = pairs.join(own, end, "left").withColumn(f"c{end}", F.coalesce("c", end)).drop("c")
+    pairs = pairs.where("ca <> cb")
+    return pairs.select("a", "b", "shared", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))

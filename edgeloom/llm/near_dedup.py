@@ -4,6 +4,12 @@ Definitions. A text is lower-cased (A-Z only) and cut into words `[^\\x20\\x09-\
 runs of `width` words, or the whole sequence where it has fewer words. Two documents are linked when the Jaccard
 similarity of their sets reaches `percent` / 100.
 
+The forest has TREES orders. In each, the signatures of all different sets are sorted over the corpus, from another value
+on. Sorted neighbours with a common prefix of DEPTH values or more are in one region, and each node's neighbours are
+those with the longest common prefix, so deep where a region is crowded and no deeper than DEPTH where it is not. Each
+node is first compared with its neighbour in its largest region and with that of longest prefix. What those links
+leave open inside a region is compared in full (see linking.py), so that each pair that shares a region is decided.
+
 Edge cases: a null, empty or blank text has an empty set and is linked with nothing, so it is its own class; equal
 texts meet as one node whatever their number; rows with the same doc_id are rows of their own, each with the class
 of its text; a row with a null doc_id joins the class of an equal text only; an empty table gives an empty result.
@@ -15,23 +21,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linking import equal_values, linked_groups
-from .store import id_text, scratch, small_batches, stored
+from .linking import linked_groups
+from .store import id_text, scratch, small, small_batches, stored
 from .words import SPACED_LOWER, blocks, grams, hashed_words, mix
 
 WIDTH, PERCENT = 5, 85
-#: Minhash values of a signature; sorted orders (trees); values that a region shares at its first, second, ... depth;
-#: the members from which a region is looked at one depth further down as well.
-VALUES, TREES, DEPTHS, CROWD = 100, 20, (5, 10, 20), 32
-#: Pairs of an unsettled region are confirmed when this many signature values agree: six standard errors below 0.85.
+#: Minhash values of a signature; sorted orders (trees); values by which an order sorts; values that a region shares.
+VALUES, TREES, SORTED, DEPTH = 100, 20, 20, 5
+#: Members of a region that are compared with each other where it is not settled; beyond, a prefix filter finds the pairs.
+CROWD = 16
+#: Pairs are confirmed when this many signature values agree: six standard errors below 0.85.
 AGREE = 64
-#: Shingles that a block of an unsettled crowded region holds; its members are compared block by block.
-BLOCK = 200_000
+#: Rows of a sorted task, about.
+TASK_ROWS = 100_000
 
 _FACTORS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _ADDENDS = mix(_FACTORS)
@@ -95,63 +101,62 @@ def full_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return id_text(docs).mapInArrow(sets_of, "digest long, members array<long>")
 
 
-def forest(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(bucket, id): the regions of the LSH forest that hold a node of `nodes` (id, sig), and the regions inside those.
-
-    Tree t sorts the signatures by their values from t * VALUES / TREES on, in cyclic order. The nodes that share the
-    first DEPTHS[0] values of that order are a region; where more than CROWD nodes do, those that share more values,
-    the neighbours with the longest common prefix, are a region besides, down to the last depth.
-    """
-    step = VALUES // TREES
-    turned = nodes.select("id", F.concat("sig", F.slice("sig", 1, max(DEPTHS))).alias("sig"))
-    trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    rows = turned.select("id", "sig", trees.alias("tree"))
-    key = lambda depth: F.xxhash64(F.lit(depth), "tree", F.expr(f"slice(sig, tree * {step} + 1, {depth})"))
-    level = stored(rows.select("id", "tree", key(DEPTHS[0]).alias("bucket")), "level")
-    outer, inside = level.select("bucket", "id"), None
-    for depth in DEPTHS[1:]:
-        crowded = level.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
-        inner = level.join(crowded, "bucket", "left_semi").select("id", "tree")
-        level = stored(turned.join(inner, "id").select("id", "tree", key(depth).alias("bucket")), "level")
-        own = level.select("bucket", "id")
-        inside = own if inside is None else inside.union(own)
-    return outer, inside
-
-
-def block_links(rows: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links between rows of different classes (id, c, members) that join the classes: of each two classes that have
-    any, and of those joined by them, one. Intersections are products of 0/1 matrices over the shared shingles."""
-    rows = rows.drop_duplicates("id")
-    sets = [np.asarray(m) for m in rows["members"]]
-    sizes = np.array([len(m) for m in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    owner, token = owner[times[token] > 1], token[times[token] > 1]
-    _, token = np.unique(token, return_inverse=True)
-    order = np.argsort(token, kind="stable")
-    owner, token = owner[order], token[order]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for low in range(0, int(token[-1]) + 1 if len(token) else 0, 4096):
-        a, b = np.searchsorted(token, [low, low + 4096])
-        part = np.zeros((len(sets), 4096), np.float32)
-        part[owner[a:b], token[a:b] - low] = 1
-        both += part @ part.T
-    union = sizes[:, None] + sizes[None, :] - both
-    ids, root = rows["id"].to_numpy(), {}
-
-    def find(c: int) -> int:
-        while (up := root.get(c, c)) != c:
-            c = up
-        return c
-
-    out = []
-    classes = rows["c"].to_numpy()
-    for i, j in np.argwhere(np.triu(100 * both >= percent * union, 1) & (classes[:, None] != classes[None, :])):
-        x, y = find(classes[i]), find(classes[j])
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((int(ids[i]), int(ids[j])))
-    return out
+def sort_keys(nodes: DataFrame) -> DataFrame:
+    """(key, id): for each tree its number and the SORTED signature values, 16 bits each, by which it sorts a node."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            sigs = batch.column(1).flatten().to_numpy().reshape(len(batch), VALUES)
+            for tree in range(TREES):
+                take = (np.arange(SORTED) + tree * (VALUES // TREES)) % VALUES
+                rows = np.concatenate([np.full((len(batch), 1), tree), sigs[:, take] & 0xFFFF], axis=1).astype(">u2")
+                yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary()), batch.column(0)], ["key", "id"])
+
+    return nodes.select("id", "sig").mapInArrow(keys, "key binary, id long")
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For rows (key, id) in order: each two neighbours (a, b) in a region, its hash and the length of their common
+    prefix; and the first and the last row, by their key."""
+    names = ["region", "a", "b", "depth", "edge"]
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        ids, keys = batch.column(1).to_numpy(), batch.column(0)
+        matrix = np.frombuffer(b"".join(keys.to_pylist()), ">u2").reshape(len(batch), SORTED + 1).astype(np.uint64)
+        if last is None:
+            yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([ids[0]]), pa.array([0], pa.int32()), keys.slice(0, 1)], names)
+        else:
+            ids, matrix = np.append(last[0], ids), np.concatenate([last[1], matrix])
+        last = ids[-1], matrix[-1:], keys.slice(len(keys) - 1)
+        differ = matrix[1:] != matrix[:-1]
+        depth = np.where(differ.any(1), differ.argmax(1), SORTED + 1) - 1
+        met = np.flatnonzero(depth >= DEPTH)
+        region = np.zeros(len(met), np.uint64)
+        for k in range(DEPTH + 1):
+            region = mix(region * np.uint64(31) + matrix[met, k] + np.uint64(1))
+        columns = [pa.array(region.view(np.int64)), pa.array(ids[met]), pa.array(ids[met + 1]), pa.array(depth[met], pa.int32())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(met), pa.binary())], names)
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([last[0]]), pa.array([0], pa.int32()), last[2]], names)
+
+
+def forest(nodes: DataFrame) -> DataFrame:
+    """(region, a, b, depth): sorted neighbours in a region, with the length of their common prefix, in every tree.
+
+    The order is dealt out in ranges of key and id, so that no region, however large, has to lie in one task. The first
+    and last rows of the ranges, two for each task, are brought together to compare those on either side of a cut."""
+    schema = "region long, a long, b long, depth int, edge binary"
+    rows = sort_keys(nodes)
+    tasks = max(1, min(-(-nodes.count() * TREES // TASK_ROWS), 1 << 15))
+    found = rows.repartitionByRange(tasks, "key", "id").sortWithinPartitions("key", "id").mapInArrow(_neighbours, schema)
+    found = stored(found, "forest")
+    cuts = found.where("edge IS NOT NULL").select(F.col("edge").alias("key"), F.col("b").alias("id")).distinct()
+    cuts = cuts.repartition(1).sortWithinPartitions("key", "id").mapInArrow(_neighbours, schema)
+    return stored(found.union(cuts).where("edge IS NULL").drop("edge"), "neighbours")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -163,40 +168,49 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 
 def _verdicts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     base = stored(sketches(docs, width), "sketches")
-    nodes = base.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    nodes = base.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig"))
     nodes = stored(nodes.withColumnRenamed("digest", "id"), "nodes")
-    regions, inside = forest(nodes.select("id", "sig"))
+    pairs = forest(nodes)
+    members = pairs.select(F.col("region").alias("bucket"), F.col("a").alias("id")).union(pairs.select("region", "b")).distinct()
+    members = stored(members, "members")
+    sizes = stored(members.groupBy("bucket").agg(F.count("*").alias("size")), "sizes")
+    live = members.join(small(sizes), "bucket")
+    sized = pairs.withColumnRenamed("region", "bucket").join(small(sizes), "bucket")
+    first = F.max(F.struct("size", "depth", "a"))["a"].alias("x"), F.max(F.struct("depth", "size", "a"))["a"].alias("y")
+    chosen = sized.groupBy("b").agg(*first).select("b", F.explode(F.array("x", "y")).alias("a"))
+
+    def some(ids: DataFrame) -> DataFrame:
+        """The nodes of `ids` (id), which may repeat."""
+        return nodes.join(small(stored(ids.distinct(), "ids")), "id", "left_semi")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = nodes.join(ids.distinct(), "id", "left_semi").select(F.col("id").alias("digest"), F.col("doc").alias("doc_id"))
-        texts = id_text(docs).join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-        found = full_sets(texts, width).join(wanted.select("digest"), "digest", "left_semi")
-        return stored(found.groupBy("digest").agg(F.first("members").alias("members")), "sets")
+        wanted = stored(some(ids).select(F.col("id").alias("digest"), F.col("doc").alias("doc_id")), "wanted")
+        texts = id_text(docs).join(small(wanted.select("doc_id")), "doc_id", "left_semi")
+        found = full_sets(texts, width).join(small(wanted.select("digest")), "digest", "left_semi")
+        return found.groupBy(F.col("digest").alias("id")).agg(F.first("members").alias("members"))
+
+    def both(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+
+    def near(pairs: DataFrame) -> DataFrame:
+        pairs = stored(pairs, "pairs")
+        sigs = stored(some(both(pairs)).select("id", "sig"), "sigs")
+        rows = small(pairs).join(sigs.toDF("b", "y"), "b").join(sigs.toDF("a", "x"), "a")
+        same = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda same: same))
+        return rows.where(same >= AGREE).select("a", "b")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = stored(pairs, "pairs")
-        sets = sets_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
-        left, right = sets.toDF("a", "set_a"), sets.toDF("b", "set_b")
-        both = F.size(F.array_intersect("set_a", "set_b"))
-        union = F.size("set_a") + F.size("set_b") - both
-        return pairs.join(right, "b").join(left, "a").where(100 * both >= percent * union).select("a", "b")
-
-    def within(crowded: DataFrame) -> DataFrame:
-        weight = crowded.join(nodes.select("id", "n"), "id")
-        many = weight.groupBy("bucket").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
-        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        other = F.explode(F.expr("sequence(0, blocks - 1)"))
-        placed = crowded.join(many, "bucket").select("bucket", "id", "c", own.alias("own"), other.alias("other"))
-        placed = placed.select("bucket", "id", "c", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-        rows = placed.join(sets_of(crowded.select("id")).withColumnRenamed("digest", "id"), "id")
-
-        def link(rows: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame(block_links(rows, percent), columns=["a", "b"], dtype="int64")
-
-        return rows.groupBy("bucket", "x", "y").applyInPandas(link, "a long, b long")
-
-    classes = linked_groups([regions], nodes.select("id", "sig"), equal_values(AGREE), verify, within, inside, CROWD)
-    placed = nodes.join(classes, "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component"))
+        sets = stored(sets_of(both(pairs)), "sets")
+        rows = small(pairs).join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
+        rows = rows.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), (F.size("set_a") + F.size("set_b")).alias("n"))
+        return rows.where(f"100 * both >= {percent} * (n - both)").select("a", "b")
+
+    def tokens(ids: DataFrame) -> DataFrame:
+        return sets_of(ids).select("id", F.explode("members").alias("v"))
+
+    classes = linked_groups(live, chosen, near, verify, tokens, percent, CROWD)
+    placed = nodes.join(small(classes), "id", "left").select("id", "doc", F.coalesce("component", "id").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("doc").alias("component_id"))
     labels = placed.join(smallest, "component").select(F.col("id").alias("digest"), "component_id")
     out = base.select("doc_id", "n_shingles", "digest").join(labels, "digest", "left")
@@ -207,6 +221,6 @@ def _verdicts(docs: DataFrame, width: int, percent: int) -> DataFrame:
 def representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs`, all columns, that stand for their class. The rows of a doc_id stay if any of them does."""
     found = near_duplicates(docs, width, percent).select("doc_id", "kept")
-    gone = found.where(~F.col("kept")).select("doc_id").distinct().join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    gone = gone.withColumnRenamed("doc_id", "__gone")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
+    gone = small(stored(gone, "gone")).alias("gone")
+    return docs.alias("docs").join(gone, F.col("docs.doc_id").cast("long") == F.col("gone.doc_id"), "left_anti")

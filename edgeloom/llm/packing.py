@@ -31,6 +31,8 @@ from .store import id_text, small_batches, stored
 CAPACITY, END, TOKENIZER = 4096, 2, "word_bpe_49k.json"
 #: Tokens that a full bin may lack.
 SLACK = 24
+#: The number under which pieces from several tasks share bins; tasks have smaller ones.
+SHARED_TASK = (1 << 20) - 1
 #: Encoded runs of characters that a worker remembers: about 200 bytes each.
 REMEMBERED = 800_000
 
@@ -64,6 +66,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.splits = name == TOKENIZER  # the runs are its own; texts are encoded whole by any other one
         self.known: dict[str, bytes] = {}
 
     def learn(self, runs: list[str]) -> None:
@@ -74,6 +77,8 @@ class Encoder:
             self.known.update((w, ids[a:b]) for w, a, b in zip(part, cut[:-1].tolist(), cut[1:].tolist(), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.splits:
+            return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         lower = [t.lower() for t in texts]
         split = [None if self.unusual.search(t) else self.runs.findall(t) for t in lower]
         if len(self.known) > REMEMBERED:
@@ -145,14 +150,16 @@ def packed(docs: DataFrame, tokenizer: str = TOKENIZER, capacity: int = CAPACITY
     rank = F.col("before") + F.col("number") - F.col("full")
     bin_id = lambda task, n: (task.cast("long") * 8192 + F.col("class")) * (1 << 30) + F.floor(n / F.col("class")).cast("long")
     own, met = F.col("number") < F.col("full"), rank < F.col("left") - F.col("left") % F.col("class")
-    shared_task = F.lit((1 << 20) - 1)
+    if (all_.agg(F.max("task").alias("last")).first()["last"] or 0) >= SHARED_TASK:
+        raise ValueError(f"at most {SHARED_TASK} input partitions can be packed at once")
+    shared_task = F.lit(SHARED_TASK)
     placed = placed.withColumn("sequence_id", F.when(own, bin_id(F.col("task"), F.col("number"))).when(met, bin_id(shared_task, rank)))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if ids else [])]
     placed = stored(placed.select(*columns, "task", "number", "class", "sequence_id"), "placed")
 
     def settle(rest: pd.DataFrame) -> pd.DataFrame:
         rest = rest.sort_values(["class", "task", "number"], ignore_index=True)
-        rest["sequence_id"] = best_fit(rest, capacity) + ((1 << 20) - 1) * 8192 * (1 << 30)
+        rest["sequence_id"] = best_fit(rest, capacity) + SHARED_TASK * 8192 * (1 << 30)
         return rest
 
     rest = placed.where("sequence_id is null").groupBy(F.lit(0).cast("long").alias("all")).applyInPandas(settle, placed.schema)

@@ -1,15 +1,19 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction of identifiers that they miss.
 
-The fixed patterns find e-mail addresses, IP addresses, card numbers and phone numbers. Their matches are seeds. Every
-token that looks like an identifier, found by them or not, has contexts: the words around it. Contexts and identifier
-values form a bipartite graph on which Spark passes scores back and forth: a context's confidence for a kind is the
-share of its different values that are of that kind, discounted where it has met few; a value's is the largest among
-its contexts. Values of high confidence count as seeds in the next round. At the end, what is not a fixed match but has
-the digits or the form of a kind, and stands in a context of high confidence for it, is added.
+The fixed patterns find e-mail addresses, IP addresses, card numbers and phone numbers. Their matches are seeds, and so
+are hexadecimal strings of 32 to 64 digits, as access keys and tokens are written: seeds of the kind `secret`, which are
+not reported for their form alone. Every token that looks like an identifier, a seed or not, has contexts: lexical
+patterns of the words and signs next to it, of several lengths and with a gap, within REACH code points, and the label
+that begins its line. Contexts and identifier values form a bipartite graph on which Spark passes scores back and forth:
+a context's confidence for a kind is the share of its different values that are of that kind, discounted where it has
+met few; a value is of a kind if one of its contexts is confident of it. Such values count as seeds in the next round.
+At the end, what is no match of a fixed pattern but has the form of a kind, and stands in a context of high confidence
+for it, is added. A secret needs a sign of assignment in its context.
 
 Edge cases: a null or empty text has no spans; without seeds nothing is added; a value or context that repeats counts
-once for each different partner; rows that agree in doc_id and text are alike; a null doc_id is kept. Positions are code
-points, ends exclusive. Other columns are ignored.
+once for each different partner; rows that agree in doc_id and text are alike; a null doc_id is kept; the patterns take
+time in proportion to a text's length, however long its runs of letters or digits are. Positions are code points, ends
+exclusive. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,23 +25,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches, stored
+from .store import scratch, small, small_batches, stored
 from .text_columns import keyed
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"
 #: Rounds of scores; different values that a context must have met; confidence at which a context or value counts.
 ROUNDS, SUPPORT, CONFIDENT = 3, 5, 0.8
+#: Code points looked at on either side of an identifier for its context, and for the label at the start of its line.
+REACH = 48
 
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: The part of an e-mail address from its @ on, and what may stand before it.
+DOMAIN, LOCAL = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+#: A match begins at the first digit of a run: if it fails there, it fails at each later digit too.
+IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What may be an identifier: a token with an @ inside, or a run of digits, dots, colons, brackets, blanks and dashes.
-LIKELY = re.compile(r"[A-Za-z0-9._%+-]+(?:@|\(at\)|\[at\])[A-Za-z0-9.-]*[A-Za-z0-9]|\+?\(?[0-9](?:[0-9().:]|[\x20-](?=[0-9(]))*[0-9]")
-WORD = re.compile(r"[^\W\d_]+")
-DIGIT = re.compile(r"[0-9]")
-#: Code points looked at on either side of an identifier for its context: words, not texts.
-REACH = 48
+#: What may be an identifier: a disguised @ with what follows, a run of digits and signs, a long run of letters and digits.
+DISGUISED = re.compile(r"(?:@|\(at\)|\[at\])[A-Za-z0-9.-]*[A-Za-z0-9]")
+NUMBER = re.compile(r"\+?\(?[0-9](?:[0-9().:]|[\x20-](?=[0-9(]))*[0-9]")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{16,}+")
+HEX = re.compile(r"[0-9A-Fa-f]{32,64}")
+TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]")
+LABEL = re.compile(r"\s*([^\W\d_]+)\s*[:=]")
+DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
+ASSIGNED = ("=", ":")
 
 
 def luhn(digits: str) -> bool:
@@ -45,13 +57,27 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _with_local(text: str, ends: re.Pattern) -> Iterator[tuple[int, int]]:
+    """Spans of the matches of `ends` with the LOCAL characters before, of which there must be one. Each character is
+    looked at once, so a long run of letters costs its length."""
+    done = 0
+    for m in ends.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        if start < m.start():
+            done = m.end()
+            yield start, done
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the matches of the fixed patterns, by kind, then start."""
     out = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        out += [("email", *span) for span in _with_local(text, DOMAIN)]
     if DIGIT.search(text):
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        small = lambda p: len(p) <= 3 and int(p or 0) <= 255
+        out += [("ip", *m.span()) for m in IP.finditer(text) if all(small(p.lstrip("0")) for p in m[0].split("."))]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 13 <= len(digits) <= 19 and luhn(digits):
@@ -62,10 +88,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def forms(value: str) -> list[str]:
-    """The kinds that an identifier-like string could be of by its digits and form."""
+    """The kinds that a number-like string could be of by its digits and form."""
     n = len(DIGIT.findall(value))
-    if re.search(r"@|\(at\)|\[at\]", value):
-        return ["email"]
     parts = re.split(r"[.:]", value)
     if len(parts) >= 4 and all(p.isdigit() for p in parts):
         return ["ip"]
@@ -73,33 +97,53 @@ def forms(value: str) -> list[str]:
 
 
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """The words around a span: one and two before, one before with one after."""
-    before, after = WORD.findall(text[max(0, start - REACH) : start].lower()), WORD.findall(text[end : end + REACH].lower())
-    out = [f"{before[-1]} _"] if before else []
-    if len(before) > 1:
-        out.append(f"{before[-2]} {before[-1]} _")
-    if before and after:
-        out.append(f"{before[-1]} _ {after[0]}")
+    """The lexical patterns that a span stands in."""
+    near = text[max(0, start - REACH) : start].lower()
+    before, after = TOKEN.findall(near)[-3:], TOKEN.findall(text[end : end + REACH].lower())[:1]
+    out = [" ".join(before[-k:]) + " _" for k in range(1, len(before) + 1)]
+    out += [" ".join(before[-k:]) + f" _ {after[0]}" for k in range(1, min(2, len(before)) + 1) if after]
+    if len(before) == 3:
+        out.append(f"{before[0]} * {before[2]} _")
+    line = text.rfind("\n", max(0, start - REACH), start) + 1
+    if (line or start <= REACH) and (label := LABEL.match(text, line, start)):
+        out.append(f"{label[1].lower()} : ... _")
     return out
 
 
+def _likely(text: str) -> Iterator[tuple[int, int, list[str], str | None]]:
+    """(start, end, forms, the kind if it is a seed by its form) of what looks like an identifier."""
+    if "@" in text or "(at)" in text or "[at]" in text:
+        yield from ((*span, ["email"], None) for span in _with_local(text, DISGUISED))
+    for m in NUMBER.finditer(text):
+        if could := forms(m[0]):
+            yield *m.span(), could, None
+    for m in OPAQUE.finditer(text):
+        if len(DIGIT.findall(m[0])) >= 4 and LETTER.search(m[0]):
+            yield *m.span(), [SECRET], SECRET if HEX.fullmatch(m[0]) else None
+
+
 def _scan(text: str) -> tuple[list[dict], list[dict]]:
-    """Base spans, and the identifier-like ones with value, kind (that of an overlapping base span), forms, contexts."""
+    """Base spans, and the identifier-like ones with value, kind (that of an overlapping base span, or of its form),
+    whether it is a base span, forms, contexts."""
     base, likely = base_spans(text), []
-    if base or "@" in text or DIGIT.search(text):
-        for m in LIKELY.finditer(text):
-            start, end = m.span()
-            kind = next((k for k, a, b in base if a < end and start < b), None)
-            could = forms(m[0])
-            if kind or could:
-                likely.append({"start": start, "end": end, "value": m[0].lower(), "kind": kind, "forms": could, "contexts": contexts(text, start, end)})
+    if "@" in text or "at" in text or DIGIT.search(text):
+        at = 0
+        places = sorted(base, key=lambda x: x[1])
+        furthest = [0] * (len(places) + 1)
+        for k, (_, _, b) in enumerate(places):
+            furthest[k + 1] = max(furthest[k], b)
+        for start, end, could, kind in sorted(_likely(text), key=lambda x: x[:2]):
+            while at < len(places) and furthest[at + 1] <= start:
+                at += 1
+            own = places[at][0] if at < len(places) and places[at][1] < end else None
+            likely.append({"start": start, "end": end, "value": text[start:end].lower(), "kind": own or kind, "base": own is not None, "forms": could, "contexts": contexts(text, start, end)})
     return [{"kind": k, "start": a, "end": b} for k, a, b in base], likely
 
 
 SPAN = "struct<kind: string, start: long, end: long>"
-LIKE = "struct<start: long, end: long, value: string, kind: string, forms: array<string>, contexts: array<string>>"
+LIKE = "struct<start: long, end: long, value: string, kind: string, base: boolean, forms: array<string>, contexts: array<string>>"
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
-_LIKE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("kind", pa.string()), ("forms", pa.list_(pa.string())), ("contexts", pa.list_(pa.string()))])
+_LIKE = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("kind", pa.string()), ("base", pa.bool_()), ("forms", pa.list_(pa.string())), ("contexts", pa.list_(pa.string()))])
 
 
 def scanned(rows: DataFrame) -> DataFrame:
@@ -115,36 +159,39 @@ def scanned(rows: DataFrame) -> DataFrame:
 
 
 def confident_contexts(likely: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
-    """(context, kind) of high confidence, from identifier-like tokens (value, kind, contexts).
+    """(context, kind) of high confidence, from identifier-like tokens (value, kind, forms, contexts).
 
     Each round joins the edges between contexts and values with the values' kinds and counts by context with partial
     sums; neither a frequent context nor a frequent value is gathered anywhere."""
     edges = stored(likely.select(F.explode("contexts").alias("context"), "value").distinct(), "edges")
-    sizes = edges.groupBy("context").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    edges = stored(edges.join(sizes, "context"), "edges")
+    sizes = stored(edges.groupBy("context").agg(F.count("*").alias("n")).where(F.col("n") >= support), "sizes")
+    edges = stored(edges.join(small(sizes), "context"), "edges")
     seeds = stored(likely.where("kind is not null").select("value", "kind").distinct(), "seeds")
+    assigned = F.exists(F.split("context", " "), lambda t: t.isin(*ASSIGNED))
     known, best = seeds, None
     for _ in range(rounds):
-        met = edges.join(known, "value").groupBy("context", "kind").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
-        best = stored(met.where((F.col("hits") >= support) & (F.col("hits") / (F.col("n") + 1) >= confident)).select("context", "kind"), "best")
-        new = likely.where("kind is null").select("value", F.explode("contexts").alias("context"), "forms").join(best, "context")
+        met = edges.join(small(known), "value").groupBy("context", "kind").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
+        sure = (F.col("hits") >= support) & (F.col("hits") / (F.col("n") + 1) >= confident) & ((F.col("kind") != SECRET) | assigned)
+        best = stored(met.where(sure).select("context", "kind"), "best")
+        new = likely.where("kind is null").select("value", F.explode("contexts").alias("context"), "forms").join(small(best), "context")
         new = new.where(F.expr("array_contains(forms, kind)")).select("value", "kind")
         known = stored(seeds.union(new).distinct(), "known")
     return best
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
-    """doc_id, base and spans: (kind, start, end), by kind in the order of KINDS, then start. `spans` has the base ones
-    and those that the bootstrapping adds; an added one overlaps none of its kind."""
+    """doc_id, base and spans: (kind, start, end), by kind in the order of KINDS, SECRET last, then start. `spans` has
+    the base ones and those that the bootstrapping adds; an added one overlaps none of its kind."""
     small_batches(docs.sparkSession)
-    rows = stored(scanned(keyed(docs)), "scanned")
-    likely = rows.select("key", F.explode("likely").alias("x")).select("key", "x.*")
-    best = confident_contexts(likely, rounds, support, confident)
-    added = likely.where("kind is null").select("key", "start", "end", "forms", F.explode("contexts").alias("context")).join(best, "context")
-    added = added.where(F.expr("array_contains(forms, kind)")).select("key", F.struct("kind", "start", "end").alias("x")).distinct()
-    added = stored(added.groupBy("key").agg(F.collect_list("x").alias("added")), "added")
-    out = rows.select("doc_id", "key", "base").join(added, "key", "left")
+    with scratch(docs.sparkSession) as keep:
+        rows = keep(scanned(keyed(docs)), "scanned")
+        likely = rows.select("key", F.explode("likely").alias("x")).select("key", "x.*")
+        best = confident_contexts(likely, rounds, support, confident)
+        added = likely.where("NOT base").select("key", "start", "end", "forms", F.explode("contexts").alias("context")).join(small(best), "context")
+        added = added.where(F.expr("array_contains(forms, kind)")).select("key", F.struct("kind", "start", "end").alias("x")).distinct()
+        added = keep(added.groupBy("key").agg(F.collect_list("x").alias("added")), "added")
+    out = rows.select("doc_id", "key", "base").join(small(added), "key", "left")
     free = F.filter(F.coalesce("added", F.array().cast(f"array<{SPAN}>")), lambda x: ~F.exists("base", lambda y: (x["kind"] == y["kind"]) & (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    place = F.create_map(*(F.lit(v) for k, kind in enumerate(KINDS) for v in (kind, k)))
+    place = F.create_map(*(F.lit(v) for k, kind in enumerate((*KINDS, SECRET)) for v in (kind, k)))
     in_order = F.sort_array(F.transform(F.concat("base", free), lambda x: F.struct(place[x["kind"]].alias("place"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     return out.select("doc_id", "base", F.transform(in_order, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("spans"))

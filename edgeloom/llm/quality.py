@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import stored
+from .store import small, stored
 from .text_columns import SPACE, rolling, words_between
 
 BUCKETS = 1 << 16
@@ -103,5 +103,5 @@ def verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs`, all columns, that are kept; rows with the same doc_id stay together if any of them is kept."""
-    good = stored(verdicts(docs, labels, threshold).where("kept").select(F.col("doc_id").alias("__good")).distinct(), "good")
-    return docs.join(good, F.col("doc_id").cast("long").eqNullSafe(F.col("__good")), "left_semi")
+    good = stored(verdicts(docs, labels, threshold).where("kept").select("doc_id").distinct(), "good")
+    return docs.alias("docs").join(small(good).alias("good"), F.col("docs.doc_id").cast("long").eqNullSafe(F.col("good.doc_id")), "left_semi")

@@ -51,7 +51,8 @@ def op8_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
     counts = (count(kind).alias(f"n_{kind}") for kind in pii.KINDS)
-    return found.select("doc_id", *counts, F.sha2(text("base").cast("binary"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    digest = F.sha2(text("base").cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, text("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,25 @@ class Symbols:
         return Symbols(name[keep], low[keep], high[keep], self.first[keep], self.text[keep]), pair[keep]
 
 
+def window_starts(first: np.ndarray, window: int) -> np.ndarray:
+    """The words at which a window of one text begins, in a block of texts whose words begin at `first`."""
+    n = int(first[-1])
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    return np.flatnonzero(text[: n - window + 1] == text[window - 1 :]) if n >= window else np.zeros(0, np.int64)
+
+
+def least_runs(words: np.ndarray, window: int) -> np.ndarray:
+    """For every run of `window` words the smallest hash of the runs of half as many in it."""
+    runs = grams(words, (window + 1) // 2)
+    n = len(words) - window + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = runs[:n].copy()
+    for k in range(1, len(runs) - n + 1):
+        np.minimum(out, runs[k : k + n], out=out)
+    return out
+
+
 def anchored(words: np.ndarray, first: np.ndarray, sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(position, anchor, hash) of every run of `window` words of one text in a block of texts whose words begin at
     `first` and have `sizes` bytes. The anchor is the name of a symbol whose context lies in the window: of the one
@@ -72,7 +91,7 @@ def anchored(words: np.ndarray, first: np.ndarray, sizes: np.ndarray, window: in
     own anchor. Equal windows have equal anchors."""
     n = len(words)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    starts = np.flatnonzero(text[: n - window + 1] == text[window - 1 :]) if n >= window else np.zeros(0, np.int64)
+    starts = window_starts(first, window)
     if not len(starts):
         return starts, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     hashes = grams(words, window)

@@ -12,14 +12,32 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that `spark.checkpoint.dir` names; a local one only where the session has none (tests)."""
+    """The folder that `spark.checkpoint.dir` names. Where the session has none, a new one if driver and executors are
+    one process (tests), else an error: on a cluster each executor would write to its own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="edgeloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: With this setting Spark deletes the shuffle files of a query as soon as it is over.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 #: Folders written in each scratch() that is open, innermost last.
 _open: list[list[str]] = []
 
@@ -29,13 +47,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     no recomputation of what came before. The files go with the scratch() around it, else when the driver's JVM ends."""
     spark = df.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/edgeloom-{uuid.uuid4().hex}"
-    df.write.parquet(f"{folder}/{name}")
+    with _tidy(spark):
+        df.write.parquet(f"{folder}/{name}")
     if _open:
         _open[-1].append(folder)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(folder)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    jvm.System.gc()  # Spark deletes the shuffle files of finished steps once their plans are collected
     return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
@@ -62,12 +80,13 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
             where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def dropped(df: DataFrame) -> None:
-    """Delete the files of a stored table that nothing will read again."""
-    context = df.sparkSession.sparkContext
-    for file in df.inputFiles()[:1]:
-        where = context._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+#: Rows of a few numbers each that may be broadcast: at most 100 MB in memory.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A stored table, marked for broadcast if it has at most BROADCAST_ROWS rows; a larger one is joined by shuffling."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

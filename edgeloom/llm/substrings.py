@@ -3,9 +3,12 @@
 A window is `window` consecutive words `[^\\x20\\x09-\\x0D]+` of one document. A word goes when it lies in a window
 whose words also occur, in that order, in a document with a smaller doc_id. Windows are judged on the input.
 
-Every window has an anchor, a symbol of the recompressed text (recompression.py), and equal windows have equal
-anchors. A first round names the anchors of all documents and keeps those that two documents share; a second one
-takes the windows of those anchors only and confirms each by the hash of all its words. The hashes have 64 bits.
+Spark rounds name ever longer symbols, and what two documents share of one round goes on to the next. In the first one
+the runs and pairs of the recompressed texts are named (recompression.py): every window has an anchor, the longest of
+its symbols. In the second one the runs of half a window are, inside the windows whose anchor is shared: every window
+has a core, the run of smallest hash. In the third one the windows themselves are, where their core is shared, and those
+that two documents hold are the repeats. Equal windows have equal anchors, cores and names, so none is lost; a name
+is a hash of 64 bits of what it stands for, the same in every task.
 
 Edge cases: a null, empty or blank text, and one of fewer words than a window, loses nothing; of equal texts the one
 with the smallest doc_id stays whole; rows with the same doc_id do not judge each other; a row with a null doc_id
@@ -22,20 +25,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .recompression import anchored
-from .store import dropped, small_batches, stored
+from .recompression import anchored, least_runs, window_starts
+from .store import scratch, small, small_batches, stored
 from .text_columns import keyed
-from .words import SPACED, blocks, hashed_words
+from .words import SPACED, blocks, grams, hashed_words
 
-WINDOW, PASSES = 13, 4
+WINDOW = 13
+#: Passes in which the windows are compared, by their name: so much less lies in shuffle files at a time.
+PASSES = 2
 
 
 def _ints(x: np.ndarray, kind: pa.DataType = pa.int64()) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x, kind)
 
 
+def _among(own: np.ndarray, at: np.ndarray, first: np.ndarray, names: pa.Array) -> np.ndarray:
+    """Of windows that begin at the words `at` and are called `own`: whether the list of their row holds that name."""
+    wanted, ends = names.flatten().to_numpy().view(np.uint64), names.offsets.to_numpy() - names.offsets[0].as_py()
+    cut = np.searchsorted(at, first)
+    take = np.zeros(len(at), bool)
+    for k in range(len(first) - 1):
+        take[cut[k] : cut[k + 1]] = np.isin(own[cut[k] : cut[k + 1]], wanted[ends[k] : ends[k + 1]])
+    return take
+
+
+def _new_names(ids: np.ndarray, at: np.ndarray, first: np.ndarray, names: np.ndarray) -> pa.RecordBatch:
+    """(doc_id, name): the different names of each row."""
+    row = np.searchsorted(first, at, "right") - 1
+    order = np.lexsort((names, row))
+    row, names = row[order], names[order]
+    new = np.append(True, (row[1:] != row[:-1]) | (names[1:] != names[:-1])) if len(row) else np.zeros(0, bool)
+    return pa.RecordBatch.from_arrays([_ints(ids[row[new]]), _ints(names[new])], ["doc_id", "name"])
+
+
 def anchors(rows: DataFrame, window: int) -> DataFrame:
-    """(doc_id, anchor): the different anchors of each text."""
+    """(doc_id, name): the different anchors of each text."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,60 +67,67 @@ def anchors(rows: DataFrame, window: int) -> DataFrame:
             for a, b, data, offsets in blocks(batch.column(1)):
                 words, first, begin, end = hashed_words(data, offsets, SPACED)
                 at, names, _ = anchored(words, first, end - begin, window)
-                row = np.searchsorted(first, at, "right") - 1
-                order = np.lexsort((names, row))
-                row, names = row[order], names[order]
-                new = np.append(True, (row[1:] != row[:-1]) | (names[1:] != names[:-1])) if len(row) else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([_ints(ids[a:b][row[new]]), _ints(names[new])], ["doc_id", "anchor"])
+                yield _new_names(ids[a:b], at, first, names)
+
+    return rows.select("doc_id", "text").mapInArrow(parse, "doc_id long, name long")
+
+
+def cores(rows: DataFrame, window: int) -> DataFrame:
+    """(doc_id, name): the different cores of the windows of `rows` (doc_id, text, names) whose anchor is one of `names`."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for a, b, data, offsets in blocks(batch.column(1)):
+                words, first, begin, end = hashed_words(data, offsets, SPACED)
+                at, own, _ = anchored(words, first, end - begin, window)
+                at = at[_among(own, at, first, batch.column(2).slice(a, b - a))]
+                yield _new_names(ids[a:b], at, first, least_runs(words, window)[at])
 
-    return rows.select("doc_id", "text").mapInArrow(parse, "doc_id long, anchor long")
+    return rows.select("doc_id", "text", "names").mapInArrow(parse, "doc_id long, name long")
 
 
 def windows(rows: DataFrame, window: int) -> DataFrame:
-    """(hash, doc_id, key, at) of the windows of `rows` (doc_id, key, text, names) whose anchor is one of `names`."""
+    """(name, doc_id, key, at) of the windows of `rows` (doc_id, key, text, names) whose core is one of `names`."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            names = batch.column(3)
-            wanted, ends = names.flatten().to_numpy().view(np.uint64), names.offsets.to_numpy() - names.offsets[0].as_py()
             for a, b, data, offsets in blocks(batch.column(2)):
-                words, first, begin, end = hashed_words(data, offsets, SPACED)
-                at, own, hashes = anchored(words, first, end - begin, window)
+                words, first, _, _ = hashed_words(data, offsets, SPACED)
+                at = window_starts(first, window)
+                at = at[_among(least_runs(words, window)[at], at, first, batch.column(3).slice(a, b - a))]
                 row = np.searchsorted(first, at, "right") - 1
-                cut = np.searchsorted(row, np.arange(b - a + 1))
-                take = np.zeros(len(at), bool)
-                for k in range(b - a):
-                    take[cut[k] : cut[k + 1]] = np.isin(own[cut[k] : cut[k + 1]], wanted[ends[a + k] : ends[a + k + 1]])
-                row = row[take]
-                columns = [_ints(hashes[take]), _ints(ids[a:b][row]), _ints(keys[a:b][row]), _ints(at[take] - first[row], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["hash", "doc_id", "key", "at"])
+                columns = [_ints(grams(words, window)[at]), _ints(ids[a:b][row]), _ints(keys[a:b][row]), _ints(at - first[row], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["name", "doc_id", "key", "at"])
 
-    return rows.select("doc_id", "key", "text", "names").mapInArrow(parse, "hash long, doc_id long, key long, at int")
+    return rows.select("doc_id", "key", "text", "names").mapInArrow(parse, "name long, doc_id long, key long, at int")
 
 
-def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(key, starts): the words at which a window begins that a document with a smaller doc_id holds too.
+def shared_names(named: DataFrame) -> DataFrame:
+    """(doc_id, names): the names of each document that another document has too, from (doc_id, name)."""
+    with scratch(named.sparkSession) as keep:
+        named = stored(named, "named")
+        met = named.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name")
+        met = small(stored(met, "met"))
+        return keep(named.join(met, "name", "left_semi").groupBy("doc_id").agg(F.collect_set("name").alias("names")), "shared")
 
-    The windows are compared in PASSES parts by their hash, one after the other: so much less lies in shuffle files at
-    a time."""
+
+def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(key, starts): the words at which a window begins that a document with a smaller doc_id holds too."""
     known = rows.where("doc_id is not null")
-    named = stored(anchors(known, window), "anchors")
-    met = named.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    met = stored(met, "met")
-    hits = stored(named.join(met, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("names")), "hits")
-    dropped(named)
-    dropped(met)
-    found = stored(windows(known.join(hits, "doc_id"), window), "windows")
-    dropped(hits)
-    parts = []
-    for k in range(PASSES):
-        part = found.where(F.pmod("hash", F.lit(PASSES)) == k)
-        least = part.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash", "low")
-        gone = part.join(least, "hash").where("doc_id > low")
-        parts.append(stored(gone.groupBy("key").agg(F.collect_list("at").alias("starts")), "starts"))
-    dropped(found)
-    return stored(reduce(DataFrame.union, parts).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts")), "starts")
+    with scratch(rows.sparkSession) as keep:
+        shared = shared_names(anchors(known, window))
+        shared = shared_names(cores(known.join(shared, "doc_id"), window))
+        found = stored(windows(known.join(shared, "doc_id"), window), "windows")
+        parts = []
+        for k in range(PASSES):
+            part = found.where(F.pmod("name", F.lit(PASSES)) == k)
+            least = part.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name", "low")
+            least = stored(least, "least")
+            gone = part.join(small(least), "name").where("doc_id > low")
+            parts.append(stored(gone.groupBy("key").agg(F.collect_set("at").alias("starts")), "starts"))
+        return keep(reduce(DataFrame.union, parts).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts")), "starts")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -26,15 +26,13 @@ import pyspark
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import scratch, small_batches, stored
+from .store import scratch, small, small_batches, stored
 from .text_columns import keyed
 from .words import SPACED, blocks, grams, hashed_words, mix
 
 WINDOW, GRAM = 50, 8
 #: Rows of a sorted task, about; rows that are matched at a time, unless more share their first words.
 TASK_ROWS, CHUNK = 50_000, 4_000
-#: Window hashes, with a place each, that may be broadcast: 32 bytes each before overhead.
-BROADCAST_ROWS = 500_000
 
 
 def minimisers(words: np.ndarray, first: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -184,14 +182,9 @@ class Sorted:
             yield {"hash": name.view(np.int64), "doc": self.doc[rows], "key": self.key[rows], "low": self.at[rows] - left}
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """To be broadcast if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def marks(found: DataFrame, hot: DataFrame, window: int) -> DataFrame:
     """MARK rows of the suffixes in `found` that match another one; `hot` are the heads of too many of them."""
-    hot = F.broadcast(hot)  # one head for each TASK_ROWS suffixes at most
+    hot = small(stored(hot, "hot"))
     rest = found.join(hot, "head", "left_anti")
     tasks = max(1, min(found.count() // TASK_ROWS, 1 << 15))
     spread = rest.repartitionByRange(tasks, "head").sortWithinPartitions("head", "right_words", "doc_id", "key", "at")
@@ -223,10 +216,10 @@ def marks(found: DataFrame, hot: DataFrame, window: int) -> DataFrame:
     names = ["hash", "doc", "key", "low"]
     split = found.join(hot, "head", "left_semi").mapInArrow(as_rows(names, all_windows), ", ".join(f"{c} long" for c in names))
     split = stored(split.select("hash", F.struct("doc", "key", "low").alias("place")), "windows")
-    often = _small(stored(split.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "often"))
+    often = small(stored(split.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "often"))
     split = split.join(often, "hash", "left_semi")
     first = split.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last")
-    first = _small(stored(first.drop("last"), "first"))
+    first = small(stored(first.drop("last"), "first"))
     met = split.join(first, "hash").select("place.*", (F.col("place") > F.col("first")).alias("later"))
     met = met.withColumn("high", F.col("low") + window)
     met = met.select("key", "low", "high", "low", F.when(F.col("later"), F.col("high")).otherwise(F.col("low")))

@@ -13,17 +13,21 @@ the connection.
 
 state: `resolved`, `mismatch` (validators differ), `unverifiable` (no validator on both sides), `missing` (no earlier
 response). Edge cases: a null url, time or record_id is `missing`; header names are compared in lower case, and of a
-repeated name the last value counts; null headers are none; of records that repeat with the same record_id one is kept.
+repeated name the last value counts; null headers are none; of records with the same record_id and status the first by
+(time, url, headers, payload) is kept, while records without a record_id are each one of their own. `time` may be a
+number, a date or a timestamp.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .store import stored
 
-BLOCKS = 64
+#: Records in a block of time, about, and blocks at most; a URL with a share of all records has that share of each.
+BLOCK_ROWS, BLOCKS = 250_000, 512
 #: Headers that a not-modified answer must not change (RFC 9111, sections 3.1 and 3.2).
 NOT_MERGED = (
     "connection", "content-encoding", "content-length", "content-md5", "content-range", "content-type", "keep-alive",
@@ -55,16 +59,25 @@ def _header_map(headers: str) -> Column:
     return F.map_from_arrays(names, F.transform(names, last))
 
 
-def resolve(records: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+def _once(rows: DataFrame) -> DataFrame:
+    """Of records with the same record_id and kind the first in a fixed order; all without a record_id."""
+    order = ["time", "url", "headers", "payload"]
+    known = rows.where("record_id IS NOT NULL").groupBy("record_id", "full").agg(F.min(F.struct(*order, "canonical_url")).alias("r"))
+    return known.select("record_id", "full", "r.*").unionByName(rows.where("record_id IS NULL"))
+
+
+def resolve(records: DataFrame, blocks: int | None = None) -> DataFrame:
     """record_id, url, canonical_url, time, state, source_id, headers (merged map) and payload of each revisit."""
-    rows = records.where(F.col("status").isin(200, 304)).dropDuplicates(["record_id", "status"])
     headers = F.coalesce("headers", F.array().cast("array<struct<name: string, value: string>>"))
+    rows = records.where(F.col("status").isin(200, 304))
     rows = rows.select("record_id", "url", canonical(F.col("url")).alias("canonical_url"), "time", (F.col("status") == 200).alias("full"), headers.alias("headers"), "payload")
-    rows = stored(rows, "records")
+    rows = stored(_once(rows), "records")
     narrow = rows.where("canonical_url is not null and time is not null and record_id is not null")
-    narrow = narrow.select("record_id", "canonical_url", "time", "full", _value("headers", "etag").alias("etag"), _value("headers", "last-modified").alias("modified"))
-    cuts = narrow.stat.approxQuantile("time", [k / blocks for k in range(1, blocks)], 0.005) if narrow.schema["time"].dataType.simpleString() != "timestamp" else []
-    block = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))).cast("array<double>"), lambda c: c <= F.col("time").cast("double")))
+    number = F.col("time").cast("double") if isinstance(records.schema["time"].dataType, NumericType) else F.col("time").cast("timestamp").cast("double")
+    narrow = narrow.select("record_id", "canonical_url", "time", number.alias("at"), "full", _value("headers", "etag").alias("etag"), _value("headers", "last-modified").alias("modified"))
+    blocks = blocks or max(1, min(BLOCKS, -(-rows.count() // BLOCK_ROWS)))
+    cuts = narrow.stat.approxQuantile("at", [k / blocks for k in range(1, blocks)], 0.2 / blocks) if blocks > 1 else []
+    block = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))).cast("array<double>"), lambda c: c <= F.col("at")))
     response = F.struct("time", "record_id", "etag", "modified")
     narrow = stored(narrow.withColumn("block", block).withColumn("response", F.when(F.col("full"), response)), "narrow")
     inside = Window.partitionBy("canonical_url", "block").orderBy("time", "record_id").rowsBetween(Window.unboundedPreceding, -1)

@@ -62,14 +62,6 @@ def test_short_lines_are_found(spark):
     assert sum(r["removed"] == [1] for r in found) >= 0.97 * len(rows)  # 4 of 5 shingles in common: banding finds 0.987
 
 
-def test_blocks_of_a_band_meet_once(spark):
-    nodes = spark.createDataFrame([(k, [7] * line_dedup.BINS) for k in range(600)], "id long, sig array<int>")
-    crowded = nodes.selectExpr("1L AS bucket", "id", "id div 2 AS c")
-    pairs = [tuple(r) for r in line_dedup.block_pairs(crowded, nodes).collect()]
-    assert len(pairs) == len(set(pairs)) == 600 * 599 // 2 - 300
-    assert all(a < b and a // 2 != b // 2 for a, b in pairs)
-
-
 def test_documents_lose_lines_and_keep_columns(spark):
     rows = [(1, "same line of text\nother words here", "en", "s", 1, "k", "h", "g"), (2, "same line of text\n\nnew", "en", "s", 1, "k", "h", "g"), (3, "same line of text", "en", "s", 1, "k", "h", "g"), (4, None, None, None, None, None, None, None)]
     out = line_dedup.deduplicated(spark.createDataFrame(rows, SCHEMA))
@@ -81,8 +73,39 @@ def test_empty_table(spark):
     assert line_dedup.summary(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_plane_lines_meet_in_one_point():
-    groups = {tuple(sorted(4 * x + (line_dedup._times(s, x) ^ c) for x in range(4))) for s in range(4) for c in range(4)}
-    groups |= {tuple(4 * x + y for y in range(4)) for x in range(4)}
-    assert len(groups) == 20
-    assert all(sum(a in g and b in g for g in groups) == 1 for a in range(16) for b in range(a))
+def test_bands_share_one_bin_at_most():
+    groups = [set(x) for x in line_dedup.BANDS]
+    assert len(groups) == 10 and line_dedup.BINS == 15
+    assert all(len(g) == 3 for g in groups)
+    assert all(len(a & b) <= 1 for n, a in enumerate(groups) for b in groups[:n])
+    assert sorted(x for g in groups for x in g) == sorted([*range(15)] * 2)
+
+
+def test_recall_in_crowded_families_of_many_classes(spark):
+    """Bands with hundreds of lines in many classes, beside lines at the threshold: hardly a link is missed."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    lines = []
+    for _ in range(3):
+        head = letters(300)
+        for _ in range(60):
+            own = letters(50)
+            lines += [head + own + letters(6), head + own + letters(6)]
+    for _ in range(150):
+        own = letters(208)
+        lines += [own[:100] + "#" * 10 + own[110:], own]
+    rng.shuffle(lines)
+    texts = dict(enumerate(lines))
+    found = {r["doc_id"]: r["removed"] for r in line_dedup.summary(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    wanted = brute(texts)
+    assert sum(map(len, wanted.values())) == 330
+    assert sum(len(wanted[i]) for i in texts if found[i] == wanted[i]) >= 0.98 * 330
+    assert all(set(found[i]) <= set(wanted[i]) for i in texts)
+
+
+def test_clashing_columns_repeated_rows_and_long_lines(spark):
+    rows = [(2, "a b c", 1, 2, 3, 4), (1, "a b c", 1, 2, 3, 4), (1, "a b c", 1, 2, 3, 4), (3, "x" * 200_000, 1, 2, 3, 4), (3, None, 1, 2, 3, 4), (None, "x" * 199_990 + "\n\ny", 1, 2, 3, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long, removed long, `gone.key` long, docs long")
+    out = line_dedup.deduplicated(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, len(r["text"] or ""), r["docs"]) for r in out.collect()) == [(0, 199_993, 4), (1, 5, 4), (1, 5, 4), (3, 0, 4)]

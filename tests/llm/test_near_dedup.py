@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 
 from edgeloom.llm import near_dedup
@@ -44,10 +44,41 @@ def test_a_hub_with_copies_that_link_only_to_it(spark, monkeypatch):
     check(spark, [(i, t, None, None, None, None, None, None) for i, t in enumerate(texts)])
 
 
-def test_block_links_join_every_linked_class():
-    sets = [list(range(100)), list(range(5, 105)), list(range(10, 110)), list(range(500, 600)), list(range(500, 599))]
-    rows = pd.DataFrame({"id": range(5), "c": range(5), "members": [np.array(s) for s in sets]})
-    assert near_dedup.block_links(rows, 85) == [(0, 1), (1, 2), (3, 4)]
+def test_candidates_are_sorted_neighbours_with_their_common_prefix(spark, monkeypatch):
+    """However the order is cut into ranges, the neighbours in each tree are those of one sort over all nodes."""
+    rng = np.random.default_rng(2)
+    sigs = np.repeat(rng.integers(0, 1 << 16, (6, near_dedup.VALUES)), 20, axis=0)
+    sigs[rng.random(sigs.shape) < 0.15] = 7
+    nodes = spark.createDataFrame([(k, s.tolist()) for k, s in enumerate(sigs)], "id long, sig array<int>")
+    wanted = set()
+    for tree in range(near_dedup.TREES):
+        key = lambda k, t=tree: tuple(sigs[k][(t * 5 + j) % near_dedup.VALUES] for j in range(near_dedup.SORTED))
+        order = sorted(range(len(sigs)), key=lambda k: (key(k), k))
+        for a, b in zip(order, order[1:]):
+            depth = next((j for j, (x, y) in enumerate(zip(key(a), key(b))) if x != y), near_dedup.SORTED)
+            if depth >= near_dedup.DEPTH:
+                wanted.add((a, b, depth))
+    for rows in (100_000, 150):
+        monkeypatch.setattr(near_dedup, "TASK_ROWS", rows)
+        found = near_dedup.forest(nodes).collect()
+        assert wanted <= {(r["a"], r["b"], r["depth"]) for r in found}
+        assert len(found) <= len(wanted) + 64
+        regions = {}
+        for r in found:
+            regions.setdefault(r["region"], set()).update((r["a"], r["b"]))
+        assert all(len({tuple(sigs[k][(t * 5 + j) % 100] for j in range(5)) for k in m}) == 1 for m in regions.values() for t in [next(t for t in range(20) if len({tuple(sigs[k][(t * 5 + j) % 100] for j in range(5)) for k in m}) == 1)])
+
+
+def test_neighbours_of_no_rows():
+    assert list(near_dedup._neighbours(iter([pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.int64())], ["key", "id"])]))) == []
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(3, "a b c d e f", 1, 2, 3), (2, "A b c d e f", 1, 2, 3), (2, "A b c d e f", 1, 2, 3), (None, "a b c d e f", 1, 2, 3), (5, None, 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone int, kept int, `docs.doc_id` int")
+    out = near_dedup.representatives(docs)
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"] or 0) for r in out.collect()) == [0, 2, 2, 5]
 
 
 def test_empty_table(spark):

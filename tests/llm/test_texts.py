@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from edgeloom.llm import decontaminate, language, packing, pii, quality, warc
+from edgeloom.llm import decontaminate, language, packing, pii, quality, store, warc
 
 from .corpus import ALNUM, LOWER, SCHEMA, SPACED, documents, plain
 
@@ -34,6 +34,68 @@ def test_base_counts_against_python(spark):
         assert r["kept"] == (not r["base_failed"] and r["score"] >= quality.THRESHOLD)
 
 
+def test_scores_against_python(spark):
+    """The log-likelihood ratio from the counts of hashed uni- and bigrams of trusted and of all documents."""
+    rows = [r for r in documents(7) if r[0] is not None]
+    trusted = {k for k in range(0, 60, 3)}
+    labels = spark.createDataFrame([(k, 1, 0) for k in trusted] + [(1, 0, 0)], LABELS)
+    words = sorted({w for r in rows for w in SPACED.findall(r[1] or "")})
+    pairs = sorted({p for r in rows for w in [SPACED.findall(r[1] or "")] for p in zip(w, w[1:], strict=False)})
+    hashes = spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", "xxhash64(w) AS h").collect()
+    of_word = {r["w"]: r["h"] for r in hashes}
+    of_pair = {(r["a"], r["b"]): r["h"] for r in spark.createDataFrame(pairs, "a string, b string").selectExpr("a", "b", "xxhash64(xxhash64(a), xxhash64(b)) AS h").collect()}
+    grams = lambda t: [h % quality.BUCKETS for w in [SPACED.findall(t or "")] for h in [*(of_word[x] for x in w), *(of_pair[p] for p in zip(w, w[1:], strict=False))]]
+    raw, good = Counter(), Counter()
+    for r in rows:
+        raw.update(grams(r[1]))
+        good.update(grams(r[1]) if r[0] in trusted else [])
+    n, m, prior = sum(raw.values()), sum(good.values()), quality.PRIOR * quality.BUCKETS
+    weight = {b: np.log((good[b] + quality.PRIOR) / (m + prior)) - np.log((raw[b] + quality.PRIOR) / (n + prior)) for b in raw}
+    texts = plain(rows)
+    for r in quality.verdicts(spark.createDataFrame(rows, SCHEMA), labels).collect():
+        own = [weight[b] for b in grams(texts[r["doc_id"]])]
+        assert abs(r["score"] - (sum(own) / len(own) if own else 0.0)) < 1e-9
+
+
+def test_good_documents_keep_clashing_columns(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(60)) if k else "short", 1, 2, 3) for k in (0, 1, 1, 2)]
+    docs = spark.createDataFrame([*rows, (None, None, 1, 2, 3)], "doc_id long, text string, good int, kept int, `good.doc_id` int")
+    out = quality.keep_good(docs, spark.createDataFrame([(1, 1, 0)], LABELS), threshold=-5.0)
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 1, 2]
+
+
+def test_mixtures_against_a_plain_search():
+    """Expectation-maximisation and the penalised choice, against a search over a grid of all mixtures of each set."""
+    rng = np.random.default_rng(3)
+    frequencies = rng.dirichlet(np.full(40, 0.2), 3).T.astype(np.float32) + 1e-4
+    frequencies /= frequencies.sum(0)
+    full = np.full((1 << language.BITS, 3), 1e-9, np.float32)
+    full[:40] = frequencies
+    for wanted in ([1, 0, 0], [0.5, 0.5, 0], [0, 0.3, 0.7], [0.4, 0.3, 0.3]):
+        grams = rng.choice(40, 3000, p=(frequencies @ np.array(wanted) / (frequencies @ np.array(wanted)).sum())).astype(np.uint16)
+        counts = np.bincount(grams, minlength=40)
+        fine = 0.5 * language.GRAM * np.log(len(grams))
+        steps = np.arange(0, 1.0001, 0.02)
+        grid = [(a, b, max(0.0, 1 - a - b)) for a in steps for b in steps if a + b <= 1.0001]
+        best = max(grid, key=lambda w: counts @ np.log(frequencies @ np.array(w)) - fine * (sum(x > 1e-6 for x in w) - 1))
+        found = language.proportions(grams, full)
+        assert [x > 0 for x in found] == [x > 1e-6 for x in best]
+        assert np.abs(found - best).max() < 0.03
+
+
+def test_texts_in_no_learned_language_go_and_all_stay_without_labels(spark):
+    import random
+
+    rng = random.Random(2)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    noise = [(10**6 + k, " ".join("".join(rng.choice("qxzjkvwy") for _ in range(9)) for _ in range(80)), None) for k in range(5)]
+    more = docs.union(spark.createDataFrame(noise, docs.schema))
+    kept = {r["doc_id"] for r in language.keep_identified(more).select("doc_id").collect()}
+    assert not any(k >= 10**6 for k in kept) and len(kept) >= 0.97 * docs.count()
+    bare = more.limit(20).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang").union(spark.createDataFrame([(1, "12", None)], docs.schema))
+    assert language.keep_identified(bare).count() == bare.where("text RLIKE '[A-Za-z]'").count()
+
+
 def test_without_trusted_documents_scores_are_zero(spark):
     rows = quality.verdicts(spark.createDataFrame(documents(7, 10), SCHEMA), spark.createDataFrame([], LABELS)).collect()
     assert {r["score"] for r in rows} == {0.0}
@@ -82,7 +144,7 @@ def hits(texts, items, window=10):
 
 @pytest.mark.parametrize("broadcast", [500_000, 0])
 def test_contamination_against_brute_force(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(store, "BROADCAST_ROWS", broadcast)
     rows = documents(8)
     texts = plain(rows)
     items = [(1, " ".join(texts[3].split()[-40:-10])), (12, texts[13][:150].upper()), (2, "One"), (3, "a B, c d"), (4, None), (5, "!!"), (None, " ".join(texts[0].split()[:12])), (12, "x y z")]
@@ -173,6 +235,65 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
+def test_secrets_are_found_by_their_context(spark):
+    import random
+
+    rng = random.Random(1)
+    digits = lambda n, of="0123456789abcdef": "".join(rng.choice(of) for _ in range(n))
+    known = [(k, f'words here token = "{digits(40)}" and more {k}') for k in range(9)]
+    commits = [(50 + k, f"see commit {digits(40)} of the tree") for k in range(9)]
+    new = [(100, 'TOKEN = "Zx81_kQ7-44hTTb20Pq" rest'), (101, "the part Zx81_kQ7-44hTTb20Pq is listed")]
+    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find(spark.createDataFrame(known + commits + new, "doc_id long, text string")).collect()}
+    assert all(found[k] == [("secret", 20, 60)] for k in range(9))
+    assert all(found[50 + k] == [] for k in range(9)) and found[101] == []
+    assert found[100] == [("secret", 9, 28)]
+
+
+def test_confidence_of_contexts_against_python(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(f"v{v}", [f"c{2 * rng.randrange(5) + (v + (rng.random() < 0.08)) % 2}" for _ in range(rng.randint(0, 3))]) for v in (rng.randrange(40) for _ in range(400))]
+    seeds = {f"v{k}": ("ip", "phone")[k % 2] for k in range(26)}
+    likely = [(v, seeds.get(v), ["phone"] if int(v[1:]) % 3 else ["ip", "phone"], c) for v, c in rows]
+    for confident in (0.5, 0.7):
+        known, best = {(v, k) for v, k, _, _ in likely if k}, set()
+        edges = {(c, v) for v, _, _, cs in likely for c in cs}
+        for _ in range(3):
+            best = set()
+            for c in {c for c, _ in edges}:
+                values = {v for d, v in edges if d == c}
+                for kind in ("ip", "phone"):
+                    n = sum((v, kind) in known for v in values)
+                    if n >= 5 and n / (len(values) + 1) >= confident:
+                        best.add((c, kind))
+            known = {(v, k) for v, k, _, _ in likely if k} | {(v, k) for v, own, forms, cs in likely if not own for c in cs for d, k in best if c == d and k in forms}
+        found = pii.confident_contexts(spark.createDataFrame(likely, "value string, kind string, forms array<string>, contexts array<string>"), confident=confident)
+        assert {tuple(r) for r in found.collect()} == best
+    assert best
+
+
+@pytest.mark.parametrize("unit", ["a", "1", "1.", "a1b2", "(", "1 ", "@a.", "+1"])
+def test_patterns_are_linear_in_long_runs(unit):
+    import time
+
+    took = []
+    for n in (50_000, 200_000):
+        text = unit * (n // len(unit)) + "@"
+        began = time.perf_counter()
+        pii._scan(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+@pytest.mark.parametrize("text", ["a@b.c_d@e.f", "@a.b@c.d", "x@@y.z", "a@b@c.d", "1.2.3.4.5.6.7.8", "0" * 5000 + ".0.0.1", "256.1.1.1.1"])
+def test_rewritten_patterns_match_as_before(text):
+    by_pattern = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
+    fits = lambda kind, s: kind == "email" or all(int(p.lstrip("0") or 0) <= 255 for p in s.split("."))
+    wanted = [(k, *m.span()) for k, p in by_pattern.items() for m in re.finditer(p, text) if fits(k, m[0])]
+    assert [s for s in pii.base_spans(text) if s[0] in by_pattern] == wanted
+
+
 RECORD = "record_id long, url string, time long, status int, headers array<struct<name: string, value: string>>, payload string, found string"
 
 
@@ -208,3 +329,35 @@ def test_as_of_in_blocks_equals_a_plain_scan(spark):
         if status == 304:
             earlier = [(x[2], x[0]) for x in rows if x[3] == 200 and x[1] == url and (x[2], x[0]) < (t, i)]
             assert found[i] == (max(earlier)[1] if earlier else None)
+
+
+def test_revisits_without_an_id_and_with_timestamps(spark):
+    import datetime as dt
+
+    day = lambda k: dt.datetime(2020, 1, 1) + dt.timedelta(days=k)
+    rows = [(None, f"http://h.example/{k}", day(5), 304, None, None) for k in range(3)]
+    rows += [(1, "http://h.example/0", day(1), 200, [("etag", "a")], "body"), (2, "http://h.example/0", day(9), 304, [("etag", "a")], None)]
+    rows += [(2, "http://h.example/0", day(10), 304, [("etag", "b")], None), (None, "http://h.example/0", day(8), 200, [("etag", "c")], "nobody")]
+    records = spark.createDataFrame(rows, "record_id long, url string, time timestamp, status int, headers array<struct<name: string, value: string>>, payload string")
+    for blocks in (None, 4):
+        found = warc.resolve(records, blocks=blocks).collect()
+        assert sorted((r["record_id"] or 0, r["url"][-1], r["state"], r["payload"]) for r in found) == [(0, "0", "missing", None), (0, "1", "missing", None), (0, "2", "missing", None), (2, "0", "resolved", "body")]
+
+
+def test_clean_documents_keep_clashing_columns(spark):
+    rows = [(1, "a b c", 1, 2, 3), (1, "a b c", 1, 2, 3), (2, None, 1, 2, 3), (None, "x y z", 1, 2, 3), (3, "q", 1, 2, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hit int, key int, `hit.key` int")
+    out = decontaminate.clean_documents(docs, spark.createDataFrame([(1, "x Y")], "item_id long, text string"))
+    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == [1, 1, 2, 3]
+    assert decontaminate.clean_documents(docs, spark.createDataFrame([], "item_id long, text string")).count() == 5
+
+
+def test_other_vocabularies_encode_whole_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    name = "byte_bpe_50k.json"
+    text = "Don't split THIS 12 345 ways, Ωmega"
+    wanted = [*Tokenizer.from_file(public_tokenizers.path(name)).encode(text, add_special_tokens=False).ids, 2]
+    found = packing.packed(spark.createDataFrame([(1, text)], "doc_id long, text string"), tokenizer=name, ids=True).collect()
+    assert np.frombuffer(b"".join(bytes(r["ids"]) for r in found), "<u4").tolist() == wanted
