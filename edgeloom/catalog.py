@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import numbers, text
-from .operators import etl, market, mutation, navigation, profiles, reports, rollup
+from .functions import classify, numbers, text
+from .operators import country, etl, market, mutation, navigation, profiles, reports, rollup, subset
 from .plans import conditions, validation
-from .sources import writers
-from .sources.star import key, star_model, table
+from .sources import hierarchical, networks, readers, regions, writers
+from .sources.star import energy_model, key, star_model, table, violating_model
 from .streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,14 @@ _FLOWS = """flows AS (SELECT na.n_name AS a, nb.n_name AS b, l.l_quantity, l.l_e
  JOIN customer c ON o.o_custkey = c.c_custkey JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation na ON s.s_nationkey = na.n_nationkey JOIN nation nb ON c.c_nationkey = nb.n_nationkey)"""
 
 
+_ENERGY = """b AS (SELECT n_nationkey, code, country, 'node.' || code || '.' || n_nationkey AS bus FROM (SELECT n_nationkey, lower(substr(n_name, 1, 2)) || lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS code, upper(substr(n_name, 1, 2)) AS country FROM nation)),
+g AS (SELECT s.*, b.bus, b.country, s_suppkey % 3 = 0 AS hydro, s_suppkey % 2 = 0 AS variable, CASE WHEN s_suppkey % 3 = 0 THEN 'HydroGenerationUnit' ELSE 'GenerationUnit' END AS class,
+ coalesce(CASE s_suppkey % 5 WHEN 0 THEN 'wind_onshore' WHEN 1 THEN 'solar_pv' END, CASE WHEN s_suppkey % 7 = 0 THEN 'tech.' || s_suppkey END, CASE WHEN s_suppkey % 3 = 0 THEN 'HydroGenerationUnit' ELSE 'GenerationUnit' END) AS tech FROM supplier s JOIN b ON s_nationkey = n_nationkey),
+fed AS (SELECT 'res.' || (s_suppkey % 4 * 50 + 50) AS id, arg_min(bus, s_suppkey) AS first_node, arg_max(bus, s_suppkey) AS last_node, arg_min(country, s_suppkey) AS country, bool_or(s_suppkey % 9 = 0) AS pumped FROM g WHERE hydro AND NOT variable GROUP BY 1),
+c AS (SELECT customer.*, b.bus, b.country FROM customer JOIN b ON c_nationkey = n_nationkey),
+res AS (SELECT c_custkey, c_acctbal, 'res.' || c_custkey AS id, bus, coalesce(CASE WHEN c_custkey % 150 = 0 THEN c.country END, fed.country, '??') AS country FROM c LEFT JOIN fed ON fed.id = 'res.' || c_custkey WHERE c_custkey % 50 = 0)"""
+
+
 # entities, values, hops
 
 
@@ -128,19 +136,23 @@ def library_scope_referenced(spark, d):
     return navigation.library_scope(star_model(spark, d))
 
 
-@query("SELECT s_nationkey, arg_min(s_name, s_suppkey) AS first_name, arg_max(s_name, s_suppkey) AS last_name FROM supplier GROUP BY 1")
+@query(f"WITH {_ENERGY} SELECT id AS reservoir, first_node, last_node FROM fed")
 def first_and_last_wins(spark, d):
-    return table(spark, d, "supplier").groupBy("s_nationkey").agg(F.min_by("s_name", "s_suppkey").alias("first_name"), F.max_by("s_name", "s_suppkey").alias("last_name"))
+    m = energy_model(spark, d)
+    first, last = (navigation.reservoir_nodes(m, last=x).toDF("reservoir", f"{name}_node") for x, name in ((False, "first"), (True, "last")))
+    return first.join(last, "reservoir")
 
 
-@query("SELECT s_nationkey, min(s_suppkey) AS only_key FROM supplier GROUP BY 1 HAVING count(*) = 1")
+@query(f"""WITH {_ENERGY}, alone AS (SELECT bus, min(id) AS reservoir FROM res WHERE c_custkey % 150 = 0 GROUP BY 1 HAVING count(*) = 1),
+ e AS (SELECT 'res.' || (s_suppkey % 4 * 50 + 50) AS reservoir, s_acctbal FROM g WHERE hydro AND NOT variable UNION ALL SELECT reservoir, s_acctbal FROM g JOIN alone USING (bus) WHERE hydro AND variable)
+ SELECT reservoir, round(CAST(sum(CAST(s_acctbal AS {M2})) AS DOUBLE), 2) AS power FROM e GROUP BY 1""")
 def same_node_single_fallback(spark, d):
-    return table(spark, d, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("only_key"), F.count("*").alias("n")).where("n = 1").drop("n")
+    return navigation.reservoir_power(energy_model(spark, d), "nominal_power_capacity").withColumn("power", F.round("power", 2))
 
 
-@query("SELECT s_nationkey, bool_or(s_acctbal < 0) AS flag FROM supplier GROUP BY 1")
+@query(f"WITH {_ENERGY} SELECT id AS reservoir, pumped FROM fed")
 def phs_flag(spark, d):
-    return table(spark, d, "supplier").groupBy("s_nationkey").agg(F.bool_or(F.col("s_acctbal") < 0).alias("flag"))
+    return navigation.pumped_reservoirs(energy_model(spark, d), F.col("seq") % 9 == 0)
 
 
 # reports
@@ -182,16 +194,14 @@ def cross_border_as_listed(spark, d):
 
 @query(f"WITH {_FLOWS} SELECT a, b, count(*) AS n FROM flows GROUP BY 1, 2")
 def interconnector_flows(spark, d):
-    return flows(spark, d).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return reports.pair_counts(flows(spark, d), "a", "b")
 
 
 @query("""SELECT l_returnflag, round(CAST(sum(CAST(l_discount AS DECIMAL(9,2)) * CAST(l_quantity AS DECIMAL(9,2))) AS DOUBLE) / CAST(sum(CAST(l_quantity AS DECIMAL(9,2))) AS DOUBLE), 6) AS average
  FROM lineitem WHERE l_quantity <> 0 GROUP BY 1""")
 def weighted_average(spark, d):
     value, weight = (F.col(c).cast("decimal(9,2)") for c in ("l_discount", "l_quantity"))
-    ok = weight != 0
-    exact = F.sum(F.when(ok, value * weight)).cast("double") / F.sum(F.when(ok, weight)).cast("double")
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(exact, 6).alias("average"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(reports.weighted_average(value, weight), 6).alias("average"))
 
 
 @query("""SELECT n_name, c_mktsegment, n FROM (SELECT n_name, c_mktsegment, count(*) AS n, row_number() OVER (PARTITION BY n_name ORDER BY count(*) DESC, min(c_custkey)) AS r
@@ -220,28 +230,28 @@ def branch_summary(spark, d):
     return reports.branch_summary(table(spark, d, "lineitem"), F.col("l_quantity"), F.col("l_linenumber"), F.col("l_extendedprice"))
 
 
-@query(f"""WITH b AS (SELECT n_nationkey, sum(CAST(c_acctbal AS {M2})) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
- SELECT n_regionkey, round(CAST(sum(b.v) AS DOUBLE), 2) AS before, round(CAST(sum(b.v) AS DOUBLE), 2) AS after, true AS ok FROM b JOIN nation USING (n_nationkey) GROUP BY 1""")
+@query(f"""WITH b AS (SELECT n_regionkey, n_nationkey, CAST(c_acctbal AS {M2}) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey), x AS (SELECT n_regionkey, CAST(sum(v) AS DOUBLE) AS before FROM b GROUP BY 1),
+ y AS (SELECT n_regionkey, CAST(sum(v) AS DOUBLE) AS after FROM b WHERE n_nationkey <> 3 GROUP BY 1) SELECT n_regionkey, round(coalesce(before, 0), 2) AS before, round(coalesce(after, 0), 2) AS after, abs(coalesce(before, 0) - coalesce(after, 0)) < 0.01 AS ok FROM x FULL JOIN y USING (n_regionkey)""")
 def conservation_check(spark, d):
     rows = located(spark, d, "customer", "c")
-    merged = rows.groupBy("n_regionkey", "n_nationkey").agg(F.sum("c_acctbal").alias("c_acctbal"))
+    merged = rows.where("n_nationkey <> 3").groupBy("n_regionkey", "n_nationkey").agg(F.sum("c_acctbal").alias("c_acctbal"))
     out = reports.conservation(rows, merged, ["n_regionkey"], "c_acctbal")
     return out.select("n_regionkey", F.round("before", 2).alias("before"), F.round("after", 2).alias("after"), "ok")
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50")
 def top_balances(spark, d):
-    return table(spark, d, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(50).select("c_custkey", "c_acctbal")
+    return reports.top(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey", 50)
 
 
-@query(f"""WITH t AS (SELECT r_name AS country, 'dispatchable' AS kind, s_acctbal AS capacity, NULL::DOUBLE AS energy FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
- UNION ALL SELECT r_name, 'demand', NULL, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
- SELECT country, CAST(coalesce(sum(CASE WHEN kind = 'dispatchable' THEN CAST(capacity * 8760 AS {M2}) END), 0) AS DOUBLE) AS dispatchable, 0::DOUBLE AS variable, 0::DOUBLE AS hydro,
- CAST(coalesce(sum(CASE WHEN kind = 'demand' THEN CAST(energy AS {M2}) END), 0) AS DOUBLE) AS demand FROM t GROUP BY ROLLUP (country)""")
+@query(f"""WITH t AS (SELECT r_name AS country, s_suppkey % 4 AS k, s_acctbal AS capacity, s_acctbal * 2 AS energy FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+ UNION ALL SELECT r_name, 9, NULL, c_acctbal FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+ c AS (SELECT country, CASE WHEN k IN (0, 2) THEN CAST(capacity * 8760 AS {M2}) END AS a, CASE WHEN k = 1 THEN CAST(energy AS {M2}) END AS b, CASE WHEN k = 3 THEN CAST(energy AS {M2}) END AS h, CASE WHEN k = 9 THEN CAST(energy AS {M2}) END AS e FROM t)
+ SELECT country, CAST(coalesce(sum(a), 0) AS DOUBLE) AS dispatchable, CAST(coalesce(sum(b), 0) AS DOUBLE) AS variable, CAST(coalesce(sum(h), 0) AS DOUBLE) AS hydro, CAST(coalesce(sum(e), 0) AS DOUBLE) AS demand FROM c GROUP BY ROLLUP (country)""")
 def energy_balance(spark, d):
-    null = F.lit(None).cast("double")
-    rows = located(spark, d, "supplier", "s").select(F.col("r_name").alias("country"), F.lit("dispatchable").alias("kind"), F.col("s_acctbal").alias("capacity"), null.alias("energy"))
-    rows = rows.union(located(spark, d, "customer", "c").select("r_name", F.lit("demand"), null, "c_acctbal"))
+    kind = F.element_at(F.array(*map(F.lit, ("dispatchable", "variable", "dispatchable", "hydro"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
+    rows = located(spark, d, "supplier", "s").select(F.col("r_name").alias("country"), kind.alias("kind"), F.col("s_acctbal").alias("capacity"), (F.col("s_acctbal") * 2).alias("energy"))
+    rows = rows.union(located(spark, d, "customer", "c").select("r_name", F.lit("demand"), F.lit(None).cast("double"), "c_acctbal"))
     return market.energy_balance(rows)
 
 
@@ -259,8 +269,8 @@ def unused_schema_fields(spark, d):
 # rules
 
 
-def violations(rule):
-    return lambda spark, d: rule(star_model(spark, d)).select("entity_id", "field_id")
+def violations(rule, model=star_model):
+    return lambda spark, d: rule(model(spark, d)).select("entity_id", "field_id")
 
 
 QUERIES |= {
@@ -270,20 +280,22 @@ QUERIES |= {
         "minimum": validation.out_of_range,
         "enum": validation.not_in_enum,
         "pattern": validation.pattern_mismatch,
-        "type": validation.wrong_types,
-        "dangling": validation.dangling,
-        "target_class": validation.wrong_target_class,
     }.items()
 }
+QUERIES |= {
+    f"validate_{name}": violations(rule, violating_model)
+    for name, rule in {"type": validation.wrong_types, "unit": validation.wrong_units, "dangling": validation.dangling, "target_class": validation.wrong_target_class}.items()
+}
 SQL |= {
     "validate_required": "SELECT 'gen.' || s_suppkey AS entity_id, 'hasTechnology' AS field_id FROM supplier WHERE s_acctbal <= 5000",
     "validate_minimum": """SELECT 'gen.' || s_suppkey AS entity_id, 'nominal_power_capacity' AS field_id FROM supplier WHERE s_acctbal < 0
  UNION ALL SELECT 'load.' || c_custkey, 'annual_energy_demand' FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'tech.' || p_partkey, 'size' FROM part WHERE p_size > 45""",
     "validate_enum": "SELECT 'load.' || c_custkey AS entity_id, 'segment' AS field_id FROM customer WHERE c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD')",
     "validate_pattern": "SELECT 'tech.' || p_partkey AS entity_id, 'brand' AS field_id FROM part WHERE NOT regexp_full_match(p_brand, 'Brand#[0-9]')",
-    "validate_type": "SELECT 'gen.' || s_suppkey AS entity_id, 'x' AS field_id FROM supplier WHERE false",
-    "validate_dangling": "SELECT 'gen.' || s_suppkey AS entity_id, 'hasTechnology' AS field_id FROM supplier WHERE s_acctbal > 5000 AND s_suppkey NOT IN (SELECT p_partkey FROM part)",
-    "validate_target_class": "SELECT 'gen.' || s_suppkey AS entity_id, 'x' AS field_id FROM supplier WHERE false",
+    "validate_type": "SELECT 'load.' || c_custkey AS entity_id, 'label' AS field_id FROM customer WHERE c_custkey % 11 = 0",
+    "validate_unit": "SELECT 'gen.' || s_suppkey AS entity_id, 'nominal_power_capacity' AS field_id FROM supplier WHERE s_suppkey % 5 = 0",
+    "validate_dangling": "SELECT 'gen.' || s_suppkey AS entity_id, 'hasTechnology' AS field_id FROM supplier WHERE s_acctbal > 5000 AND s_suppkey NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT 'gen.' || s_suppkey, 'hasTechnology' FROM supplier WHERE s_suppkey % 17 = 0",
+    "validate_target_class": "SELECT 'gen.' || s_suppkey AS entity_id, 'atNode' AS field_id FROM supplier WHERE s_suppkey % 13 = 0",
 }
 
 
@@ -352,21 +364,31 @@ def rollup_demand(spark, d):
 _GROUPS = {"eco": ["econ*"], "mid": ["medium", "m*"], "large": ["large"]}
 
 
-@query(f"""WITH {_BUS}, g AS (SELECT s.*, CASE WHEN lower(p_type) = 'medium' THEN 'mid' WHEN lower(p_type) = 'large' THEN 'large' WHEN lower(p_type) LIKE 'econ%' THEN 'eco' WHEN lower(p_type) LIKE 'm%' THEN 'mid' ELSE lower(p_type) END AS tag
- FROM supplier s JOIN part ON p_partkey = s_suppkey) SELECT 'gen.' || tag || '.agg.' || rc || '.' || kv AS id, agg, country, tag, CAST(sum(CAST(s_acctbal AS {M2})) AS DOUBLE) AS capacity, count(*) AS n
+@query(f"""WITH {_BUS}, g AS (SELECT s.*, p_size, CASE WHEN lower(p_type) = 'medium' THEN 'mid' WHEN lower(p_type) = 'large' THEN 'large' WHEN lower(p_type) LIKE 'econ%' THEN 'eco' WHEN lower(p_type) LIKE 'm%' THEN 'mid' ELSE lower(p_type) END AS tag,
+ CASE WHEN s_suppkey % 3 = 0 THEN p_size * 10.0 END AS pumping, p_size / 50.0 AS eff, CASE WHEN s_suppkey % 5 > 0 THEN p_size * 2.0 END AS cost FROM supplier s JOIN part ON p_partkey = s_suppkey)
+ SELECT 'gen.' || tag || '.agg.' || rc || '.' || kv AS id, agg, country, tag, CAST(sum(CAST(s_acctbal AS {M2})) AS DOUBLE) AS capacity, CAST(coalesce(sum(CAST(pumping AS {M2})), 0) AS DOUBLE) AS pumping, count(*) AS n,
+ round(sum(CASE WHEN s_acctbal <> 0 THEN eff * s_acctbal END) / nullif(sum(CASE WHEN s_acctbal <> 0 THEN s_acctbal END), 0), 5) AS efficiency,
+ round(sum(CASE WHEN s_acctbal <> 0 AND cost IS NOT NULL THEN cost * s_acctbal END) / nullif(sum(CASE WHEN s_acctbal <> 0 AND cost IS NOT NULL THEN s_acctbal END), 0), 5) AS variable_cost,
+ round(coalesce(sum(CASE WHEN pumping <> 0 THEN eff * pumping END) / nullif(sum(CASE WHEN pumping <> 0 THEN pumping END), 0), sum(CASE WHEN s_acctbal <> 0 THEN eff * s_acctbal END) / nullif(sum(CASE WHEN s_acctbal <> 0 THEN s_acctbal END), 0)), 5) AS pumping_efficiency
  FROM g JOIN bus ON s_nationkey = n_nationkey GROUP BY tag, rc, kv, agg, country""")
 def rollup_generation(spark, d):
     rows = table(spark, d, "supplier").join(table(spark, d, "part"), F.col("p_partkey") == F.col("s_suppkey"))
-    rows = rows.select(key("bus", "s_nationkey").alias("bus"), "p_type", F.lit("other").alias("bucket"), F.col("s_acctbal").alias("capacity"), *(F.lit(v).cast("double").alias(c) for c, v in (("potential", 0), ("pumping", 0), ("efficiency", 1), ("variable_cost", 1), ("pumping_efficiency", 1))))
-    return rollup.rolled_generation(rollup.member(rows, rollup.bus_map(buses(spark, d)), F.col("p_type"), _GROUPS)).select("id", "agg", "country", "tag", "capacity", "n")
+    size, s = F.col("p_size").cast("double"), F.col("s_suppkey")
+    rows = rows.select(key("bus", "s_nationkey").alias("bus"), "p_type", F.lit("other").alias("bucket"), F.col("s_acctbal").alias("capacity"), F.lit(None).cast("double").alias("potential"), F.when(s % 3 == 0, size * 10).alias("pumping"), (size / 50).alias("efficiency"), F.when(s % 5 > 0, size * 2).alias("variable_cost"), (size / 50).alias("pumping_efficiency"))
+    out = rollup.rolled_generation(rollup.member(rows, rollup.bus_map(buses(spark, d)), F.col("p_type"), _GROUPS))
+    return out.select("id", "agg", "country", "tag", "capacity", "pumping", "n", *(F.round(c, 5).alias(c) for c in ("efficiency", "variable_cost", "pumping_efficiency")))
 
 
-@query(f"""WITH {_BUS} SELECT 'storage.unit.agg.' || rc || '.' || kv AS id, agg, country, CAST(sum(CAST(c_acctbal AS {M2})) AS DOUBLE) AS energy, CAST(sum(CAST(c_acctbal * 2 AS {M2})) AS DOUBLE) AS power, count(*) AS n
- FROM customer JOIN bus ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING' GROUP BY rc, kv, agg, country""")
+@query(f"""WITH {_BUS}, m AS (SELECT c.*, bus.*, CASE WHEN c_custkey % 2 = 0 THEN 3.0 END AS charging, c_custkey % 9 / 10.0 AS eff FROM customer c JOIN bus ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING')
+ SELECT 'storage.unit.agg.' || rc || '.' || kv AS id, agg, country, CAST(sum(CAST(c_acctbal AS {M2})) AS DOUBLE) AS energy, CAST(sum(CAST(c_acctbal * 2 AS {M2})) AS DOUBLE) AS power, count(*) AS n,
+ CAST(nullif(coalesce(sum(CAST(charging AS {M2})), 0), 0) AS DOUBLE) AS charging, round(sum(CASE WHEN charging <> 0 THEN eff * charging END) / sum(CASE WHEN charging <> 0 THEN charging END), 5) AS charging_efficiency,
+ round(sum(CASE WHEN c_acctbal <> 0 THEN eff * c_acctbal * 2 END) / nullif(sum(c_acctbal * 2), 0), 5) AS discharging_efficiency FROM m GROUP BY rc, kv, agg, country""")
 def rollup_storage(spark, d):
     rows = table(spark, d, "customer").where("c_mktsegment = 'BUILDING'")
-    rows = rows.select(key("bus", "c_nationkey").alias("bus"), F.lit("StorageUnit").alias("entity_class"), F.col("c_acctbal").alias("energy"), (F.col("c_acctbal") * 2).alias("power"), *(F.lit(v).cast("double").alias(c) for c, v in (("charging", 0), ("inflow", 0), ("charging_efficiency", 1), ("discharging_efficiency", 1))))
-    return rollup.rolled_storage(rollup.member(rows, rollup.bus_map(buses(spark, d)), F.lit("unit"))).select("id", "agg", "country", "energy", "power", "n")
+    part = F.col("c_custkey") % 9 / 10
+    rows = rows.select(key("bus", "c_nationkey").alias("bus"), F.lit("StorageUnit").alias("entity_class"), F.col("c_acctbal").alias("energy"), (F.col("c_acctbal") * 2).alias("power"), F.when(F.col("c_custkey") % 2 == 0, 3.0).alias("charging"), F.lit(None).cast("double").alias("inflow"), part.alias("charging_efficiency"), part.alias("discharging_efficiency"))
+    out = rollup.rolled_storage(rollup.member(rows, rollup.bus_map(buses(spark, d)), F.lit("unit")))
+    return out.select("id", "agg", "country", "energy", "power", "n", "charging", *(F.round(c, 5).alias(c) for c in ("charging_efficiency", "discharging_efficiency")))
 
 
 @query(f"""WITH {_BUS}, br AS (SELECT l_orderkey * 10 + l_linenumber AS id, o_custkey % 30 AS f, l_suppkey % 25 AS t, l_linenumber AS sw FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
@@ -535,8 +557,7 @@ def iso_durations(spark, d):
 @query("SELECT s_nationkey AS k, 'both' AS side FROM supplier WHERE s_acctbal > 8000 INTERSECT SELECT c_nationkey, 'both' FROM customer WHERE c_acctbal > 9500 UNION ALL (SELECT s_nationkey, 'only' FROM supplier WHERE s_acctbal > 8000 EXCEPT SELECT c_nationkey, 'only' FROM customer WHERE c_acctbal > 9500)")
 def set_operations(spark, d):
     a = table(spark, d, "supplier").where("s_acctbal > 8000").select(F.col("s_nationkey").alias("k"))
-    b = table(spark, d, "customer").where("c_acctbal > 9500").select("c_nationkey")
-    return a.intersect(b).withColumn("side", F.lit("both")).union(a.subtract(b).withColumn("side", F.lit("only")))
+    return reports.both_and_only(a, table(spark, d, "customer").where("c_acctbal > 9500").select("c_nationkey"))
 
 
 @query("SELECT 'gen.' || s_suppkey AS entity_id, s_name AS name, 'node.' || s_nationkey AS \"atNode\", CASE WHEN s_acctbal > 5000 THEN 'tech.' || s_suppkey END AS \"hasTechnology\" FROM supplier")
@@ -593,9 +614,214 @@ def session_events(spark, d):
 def as_of_join(spark, d):
     rows = table(spark, d, "events")
     left = rows.where("event_type = 'click'").select("event_id", "user_id", "ts")
-    return events.as_of(left, rows.where("event_type = 'purchase'").select("user_id", "ts", "value"), "user_id", "ts", "value").select("event_id", "latest_value")
+    return events.as_of(left, rows.where("event_type = 'purchase'").select("user_id", "ts", "value"), "user_id", "ts", "value", blocks=8).select("event_id", "latest_value")
 
 
 @query("SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events")
 def running_number(spark, d):
-    return table(spark, d, "events").select("user_id", "ts", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("n"))
+    return events.numbered(table(spark, d, "events").select("user_id", "ts", "event_id"), "user_id", ["ts", "event_id"], blocks=8)
+
+
+# the energy model: places, links, countries, parts
+
+
+@query(f"""WITH {_ENERGY} SELECT 'gen.' || s_suppkey AS entity_id, country FROM g UNION ALL SELECT id, country FROM res UNION ALL SELECT 'store.' || c_custkey, country FROM c WHERE c_custkey % 50 = 1
+ UNION ALL SELECT 'load.' || c_custkey, country FROM c WHERE c_custkey % 50 > 1""")
+def asset_countries(spark, d):
+    rows = country.asset_countries(energy_model(spark, d))
+    return rows.where(F.split_part("entity_id", F.lit("."), F.lit(1)).isin("gen", "res", "store", "load"))
+
+
+@query(f"WITH {_ENERGY} SELECT 'gen.' || s_suppkey AS entity_id, tech AS technology FROM g")
+def technology_labels(spark, d):
+    return country.labelled(energy_model(spark, d), ["generator_technology_type"]).where("entity_id LIKE 'gen.%'")
+
+
+@query(f"WITH {_ENERGY} SELECT 'gen.' || s_suppkey AS entity_id, CASE WHEN s_suppkey % 7 = 0 THEN 'tech.' || s_suppkey ELSE class END AS technology FROM g")
+def technology_ids(spark, d):
+    return country.technology_ids(energy_model(spark, d)).where("entity_id LIKE 'gen.%'")
+
+
+@query(f"""WITH {_ENERGY}, t AS (SELECT country, CASE s_suppkey % 5 WHEN 0 THEN 'wind_onshore' WHEN 1 THEN 'solar_pv' END AS category, s_acctbal * 2 AS v FROM g WHERE variable UNION ALL SELECT country, 'reservoir_natural_inflow', c_acctbal * 2 FROM res)
+ SELECT country, category, CAST(sum(CAST(v AS {M2})) AS DOUBLE) AS total FROM t WHERE category IS NOT NULL GROUP BY 1, 2""")
+def renewable_energy_by_country(spark, d):
+    return country.renewable_energy(energy_model(spark, d))
+
+
+@query(f"""WITH {_ENERGY}, t AS (SELECT country, CASE WHEN variable THEN 'nondispatchable_capacity_mw' ELSE 'dispatchable_capacity_mw' END AS category, tech AS technology, s_acctbal AS v FROM g WHERE NOT hydro
+ UNION ALL SELECT country, 'nondispatchable_annual_resource_potential_mwh', tech, s_acctbal * 2 FROM g WHERE variable AND s_acctbal <> 0
+ UNION ALL SELECT country, CASE WHEN s_suppkey % 9 = 0 THEN 'hydro_reversible_discharge_capacity_mw' ELSE 'hydro_turbine_discharge_capacity_mw' END, NULL, s_acctbal FROM g WHERE hydro
+ UNION ALL SELECT country, 'hydro_reversible_charge_capacity_mw', NULL, 10 FROM g WHERE s_suppkey % 9 = 0
+ UNION ALL SELECT country, 'storage_energy_capacity_mwh', 'StorageUnit', c_acctbal FROM c WHERE c_custkey % 50 = 1 UNION ALL SELECT country, 'storage_discharge_capacity_mw', 'StorageUnit', 5 FROM c WHERE c_custkey % 50 = 1
+ UNION ALL SELECT country, 'storage_charge_capacity_mw', 'StorageUnit', 0 FROM c WHERE c_custkey % 50 = 1
+ UNION ALL SELECT country, 'reservoir_capacity_mwh', NULL, c_acctbal FROM res UNION ALL SELECT country, 'reservoir_inflow_mwh', NULL, c_acctbal * 2 FROM res
+ UNION ALL SELECT country, 'demand_annual_energy_mwh', NULL, c_acctbal FROM c WHERE c_custkey % 50 > 1)
+ SELECT country, category, technology, CAST(sum(CAST(v AS {M2})) AS DOUBLE) AS total FROM t GROUP BY 1, 2, 3""")
+def totals_of_twelve_categories(spark, d):
+    return country.totals_by_country(energy_model(spark, d))
+
+
+@query(f"WITH {_ENERGY} SELECT 'gen.' || s_suppkey AS entity_id FROM g WHERE s_suppkey % 9 = 0")
+def pumped_generators(spark, d):
+    return country.pumped_generators(energy_model(spark, d))
+
+
+@query(f"WITH {_ENERGY} SELECT bus, code FROM b")
+def bus_codes(spark, d):
+    return country.bus_codes(energy_model(spark, d))
+
+
+@query(f"WITH {_ENERGY} SELECT country, count(*) AS n FROM b GROUP BY 1")
+def buses_by_country(spark, d):
+    return country.buses_by_country(country.bus_codes(energy_model(spark, d)))
+
+
+@query(f"WITH {_ENERGY} SELECT s AS selector, EXISTS (SELECT 1 FROM b WHERE starts_with(code, s)) AS valid FROM (VALUES ('al'), ('xx'), ('br00'), ('ge9')) t(s)")
+def checked_selectors(spark, d):
+    return country.checked_selectors(country.bus_codes(energy_model(spark, d)), ["AL", "xx", "nuts2.br00", "ge9"])
+
+
+@query("SELECT 'profile.' || n_nationkey AS profile_id, CASE WHEN n_nationkey % 3 = 0 THEN 'file:/' || n_nationkey END AS data_reference FROM nation")
+def profile_references(spark, d):
+    return country.profile_references(energy_model(spark, d))
+
+
+@query(f"""WITH {_ENERGY} SELECT 'gen.' || s_suppkey AS entity_id, 'profile.' || s_nationkey AS profile FROM g WHERE variable
+ UNION ALL SELECT 'load.' || c_custkey, 'profile.' || c_nationkey FROM c WHERE c_custkey % 50 > 1 AND c_custkey % 3 = 0""")
+def profile_links(spark, d):
+    return navigation.profile_links(energy_model(spark, d))
+
+
+@query(f"WITH {_ENERGY} SELECT 'line.' || o_orderkey AS entity_id, x.bus AS from_node, y.bus AS to_node FROM orders JOIN b x ON x.n_nationkey = o_custkey % 25 LEFT JOIN b y ON y.n_nationkey = o_orderkey % 30")
+def branch_ends(spark, d):
+    return navigation.branch_ends(energy_model(spark, d))
+
+
+@query("""SELECT 'gen.' || s_suppkey AS asset, 'GenerationResult' AS entity_class, 'total_generation' AS attribute_id, s_acctbal AS value FROM supplier WHERE s_suppkey % 8 = 0
+ UNION ALL SELECT 'gen.' || s_suppkey, 'PeakResult', 'peak_output', s_acctbal FROM supplier WHERE s_suppkey % 24 = 0""")
+def results_of_assets(spark, d):
+    return navigation.results_of(energy_model(spark, d)).withColumn("value", F.col("value").cast("double"))
+
+
+@query(f"""WITH {_ENERGY}, kept AS (SELECT 'ElectricalBus' AS entity_class, bus AS id FROM b WHERE n_nationkey < 10 UNION SELECT 'GeographicalRegion', code FROM b WHERE n_nationkey < 10 AND n_nationkey % 2 = 0
+ UNION SELECT class, 'gen.' || s_suppkey FROM g WHERE s_nationkey < 10 UNION SELECT 'StorageUnit', CAST(c_custkey AS VARCHAR) FROM c WHERE c_custkey % 50 = 1 AND c_nationkey < 10 UNION SELECT 'DemandUnit', CAST(c_custkey AS VARCHAR) FROM c WHERE c_custkey % 50 > 1 AND c_nationkey < 10
+ UNION SELECT 'HydraulicStorageUnit', id FROM res WHERE id IN (SELECT 'res.' || (s_suppkey % 4 * 50 + 50) FROM g WHERE hydro AND NOT variable AND s_nationkey < 10)
+ UNION SELECT 'TransmissionLine', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_custkey % 25 < 10 AND o_orderkey % 30 < 10
+ UNION SELECT 'Profile', CAST(s_nationkey AS VARCHAR) FROM g WHERE variable AND s_nationkey < 10 UNION SELECT 'Profile', CAST(c_nationkey AS VARCHAR) FROM c WHERE c_custkey % 50 > 1 AND c_custkey % 3 = 0 AND c_nationkey < 10)
+ SELECT entity_class, count(*) AS kept FROM kept GROUP BY 1""")
+def subset_of_buses(spark, d):
+    m = energy_model(spark, d)
+    chosen = table(spark, d, "nation").where("n_nationkey < 10").select("n_nationkey")
+    part = country.bus_codes(m).join(chosen, F.substring_index("bus", ".", -1).cast("int") == F.col("n_nationkey"), "left_semi")
+    return subset.dropped_counts(m, part).where("kept > 0").select("entity_class", "kept")
+
+
+# the energy model: rules, exports
+
+
+@query(f"""WITH {_ENERGY} SELECT 'gen.' || s_suppkey AS entity_id, 'total_generation' AS field_id, CASE WHEN hydro OR s_suppkey % 4 > 0 THEN 'unresolved' WHEN s_suppkey % 8 > 0 THEN 'required' ELSE 'minimum' END AS rule FROM g
+ WHERE hydro OR s_suppkey % 8 > 0 OR s_acctbal < 0 UNION ALL SELECT 'gen.' || s_suppkey, 'gain', CASE WHEN s_suppkey % 5 > 0 THEN 'unresolved' ELSE 'required' END FROM g WHERE s_suppkey % 10 > 0""")
+def validate_linked(spark, d):
+    checks = [{"attribute": "total_generation", "constraints": {"minimum": 0}}, {"attribute": "gain", "view_family": "avr"}]
+    profile = {"requirements": [{"entity_class": "GenerationUnit", "checks": checks}]}
+    return validation.validate_for_analysis(energy_model(spark, d), profile).select("entity_id", "field_id", "rule")
+
+
+@query("SELECT 'GenerationUnit' AS class_name, 'GenerationResult' AS view UNION ALL SELECT 'HydroGenerationUnit', v FROM (VALUES ('GenerationResult'), ('PeakResult')) t(v)")
+def view_map(spark, d):
+    return validation.view_map(energy_model(spark, d))
+
+
+@query("SELECT 'gen.' || s_suppkey AS entity_id, 'result.' || s_suppkey AS linked FROM supplier WHERE s_suppkey % 4 = 0")
+def linked_results(spark, d):
+    return validation.linked_entities(energy_model(spark, d), "dispatch")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal < c_nationkey * 1.0 OR (5000 <= c_acctbal AND c_nationkey <> c_custkey)")
+def analysis_when_two_names(spark, d):
+    rows, fields = _customers(spark, d)
+    return rows.where(conditions.compiled("c_acctbal < c_nationkey or (5000 <= c_acctbal and c_nationkey != c_custkey)", fields)).select("c_custkey")
+
+
+@query(f"""WITH {_ENERGY} SELECT 'NetworkNode' AS all_class, bus AS entity_id, 'ElectricalBus' AS entity_class, n_name AS name FROM b JOIN nation USING (n_nationkey)
+ UNION ALL SELECT 'Controller', 'avr.' || s_suppkey, 'SimpleController', '' FROM supplier WHERE s_suppkey % 5 = 0""")
+def union_tables(spark, d):
+    return writers.union_tables(energy_model(spark, d))
+
+
+@query("""SELECT 'gen.' || s_suppkey AS entity_id, CASE WHEN s_suppkey % 14 = 0 THEN 'carrier.own' ELSE 'carrier.electricity' END AS target_id FROM supplier WHERE s_suppkey % 14 = 0 OR (s_suppkey % 7 = 0 AND s_suppkey IN (SELECT p_partkey FROM part))""")
+def type_denormalised(spark, d):
+    m = writers.with_type_relations(energy_model(spark, d))
+    return m.rel.where("relation_id = 'hasOutputCarrier' AND entity_id LIKE 'gen.%'").select("entity_id", "target_id")
+
+
+@query(f"""WITH {_ENERGY} SELECT 'result.' || s_suppkey AS entity_id, 'gen.' || s_suppkey AS reported_on, CASE WHEN s_suppkey % 8 = 0 THEN 1 ELSE 0 END AS n FROM g WHERE s_suppkey % 4 = 0 UNION ALL SELECT bus, NULL, 1 FROM b""")
+def hierarchical_bodies(spark, d):
+    rows = hierarchical.bodies(energy_model(spark, d)).where("entity_class IN ('GenerationResult', 'ElectricalBus')")
+    return rows.select("entity_id", "reported_on", F.coalesce(F.size(F.map_keys("attributes")), F.lit(0)).alias("n"))
+
+
+@query(f"""WITH {_ENERGY}, t AS (SELECT 'ElectricalBus' AS entity_class, count(*) AS n FROM b UNION ALL SELECT class, count(*) FROM g GROUP BY 1 UNION ALL SELECT 'DemandUnit', count(*) FROM c WHERE c_custkey % 50 > 1)
+ SELECT entity_class, n AS created, CASE entity_class WHEN 'ElectricalBus' THEN n WHEN 'DemandUnit' THEN n ELSE 0 END AS attributes FROM t""")
+def import_counts(spark, d):
+    m = energy_model(spark, d)
+    none = m.but(**{t: getattr(m, t).limit(0) for t in ("entity", "attr", "rel")})
+    part = m.but(attr=m.attr.where("entity_class IN ('ElectricalBus', 'DemandUnit')"))
+    return readers.import_counts(none, part).where("entity_class IN ('ElectricalBus', 'GenerationUnit', 'HydroGenerationUnit', 'DemandUnit')").select("entity_class", "created", "attributes")
+
+
+@query("SELECT 'gen.' || s_suppkey AS entity_id, 'kind' AS attribute_id, CASE WHEN s_suppkey % 2 = 0 THEN 'reversible' ELSE 'turbine' END AS value FROM supplier")
+def legacy_rewrites(spark, d):
+    from .model import attribute_rows
+
+    m, rows = star_model(spark, d), table(spark, d, "supplier")
+    rows = rows.select(key("gen", "s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 2 == 0, True).otherwise(False).alias("is_reversible"), F.lit("turbine").alias("machine_role"))
+    m = m.but(attr=attribute_rows(rows, "GenerationUnit", F.col("id"), {"is_reversible": "is_reversible", "machine_role": "machine_role"}))
+    m = mutation.without_legacy(mutation.aliased(m, attributes={"machine_role": "hydro_machine_kind"}))
+    return mutation.aliased(m, attributes={"hydro_machine_kind": "kind"}).attr.select("entity_id", "attribute_id", F.col("value_str").alias("value"))
+
+
+@query(f"""WITH {_ENERGY} SELECT 'carrier.' || CASE WHEN s_suppkey % 14 = 0 THEN 'own' END AS entity_id FROM g WHERE s_suppkey % 14 = 0 UNION SELECT 'carrier.electricity' FROM part WHERE p_partkey % 7 = 0""")
+def ensured_carriers(spark, d):
+    return mutation.ensure_targets(energy_model(spark, d), "hasOutputCarrier", "Carrier").entity.where("entity_class = 'Carrier'").select("entity_id")
+
+
+@query("SELECT 'tech.' || p_partkey AS entity_id FROM part WHERE p_partkey % 7 = 0 AND p_partkey % 5 = 0")
+def library_closure(spark, d):
+    m = energy_model(spark, d)
+    only = lambda t, keep: t.where(keep)
+    library = m.but(entity=only(m.entity, "entity_id LIKE 'tech.%'"), attr=only(m.attr, "entity_id LIKE 'tech.%'"), rel=only(m.rel, "entity_id LIKE 'tech.%'"))
+    rest = m.but(entity=only(m.entity, "entity_id NOT LIKE 'tech.%'"))
+    wanted = table(spark, d, "part").where("p_partkey % 5 = 0").select(key("tech", "p_partkey").alias("entity_id"))
+    return mutation.with_library_closure(rest, library, wanted).entity.where("is_library").select("entity_id")
+
+
+# classes by name, regions, networks
+
+
+@query("""SELECT name, kind, class, round(eff, 2) AS efficiency FROM (VALUES ('Hydro.PHS.Closed-Loop', 'phs_closed_loop', 'HydroGenerationUnit', 0.9), ('hydro.open_loop', 'phs_open_loop', 'HydroGenerationUnit', 0.9), ('Run_of_River', 'run_of_river', 'HydroGenerationUnit', 0.9),
+ ('pondage', 'pondage', 'HydroGenerationUnit', 0.9), ('dam', 'reservoir', 'GenerationUnit', 0.9), ('Hydrogen.FuelCell', 'hydro', 'GenerationUnit', 0.55), ('H2 CCGT', 'hydro', 'GenerationUnit', 0.58), ('wind', 'hydro', 'GenerationUnit', 0.9),
+ ('reversible_francis', 'hydro', 'GenerationUnit', 0.9), ('x.ror', 'run_of_river', 'GenerationUnit', 0.9)) t(name, kind, class, eff)""")
+def technology_classes(spark, d):
+    names = ("Hydro.PHS.Closed-Loop", "hydro.open_loop", "Run_of_River", "pondage", "dam", "Hydrogen.FuelCell", "H2 CCGT", "wind", "reversible_francis", "x.ror")
+    rows = spark.createDataFrame([(n, "nan" if "ydrogen" in n else "1" if "H2" in n else "0.9") for n in names], "name string, raw string")
+    name, none = F.col("name"), F.lit(None).cast("string")
+    return rows.select("name", classify.hydro_storage_kind(name).alias("kind"), classify.generation_class(none, name).alias("class"), classify.hydrogen_efficiency(none, name, F.col("raw")).alias("efficiency"))
+
+
+@query("SELECT * FROM (VALUES ('region.country.de', 'DE'), ('Country.ch', 'CH'), ('region.nuts3.at123', 'AT'), ('nuts2.fr10', 'FR'), ('zone.x', NULL)) t(region, country)")
+def region_countries(spark, d):
+    rows = spark.createDataFrame([(r,) for r in ("region.country.de", "Country.ch", "region.nuts3.at123", "nuts2.fr10", "zone.x")], "region string")
+    return rows.select("region", classify.region_country(F.col("region")).alias("country"))
+
+
+@query(f"""WITH {_BUS}, t AS (SELECT CAST(n_nationkey AS VARCHAR) AS k, rc, country FROM bus) SELECT 'region.nuts3.' || upper(rc) || lpad(k, 3, '0') AS entity_id, 'region.nuts2.' || upper(rc) || left(lpad(k, 3, '0'), 2) AS parent, upper(rc) AS iso_country_code FROM t""")
+def region_library(spark, d):
+    codes = buses(spark, d).select(F.upper("nuts3").alias("NUTS_ID"), F.lit(3).alias("LEVL_CODE"), F.upper(F.left("nuts3", F.lit(2))).alias("CNTR_CODE"), F.lit(None).cast("string").alias("NAME_LATN"))
+    return regions.region_rows(codes).select("entity_id", "parent", "iso_country_code")
+
+
+@query("""SELECT p_partkey AS name FROM part WHERE p_size % 2 = 1 OR p_size % 3 > 0""")
+def usable_generators(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("name"), F.when(F.col("p_size") % 2 == 1, "gas").otherwise("solar-hsat").alias("carrier"), (F.col("p_size") % 3).alias("p_nom"))
+    return networks.usable_generators(rows).select("name")

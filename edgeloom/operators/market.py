@@ -76,3 +76,19 @@ def winners(rows: DataFrame, key: str, id_: str, prefixes: list[str]) -> DataFra
         rank = F.when(F.col(id_).startswith(prefixes[k]), k).otherwise(rank)
     order = Window.partitionBy(key).orderBy(rank, id_)
     return rows.withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+
+
+def nodes_and_countries(rows: DataFrame, node: str = "Node") -> tuple[DataFrame, DataFrame]:
+    """(node, country) of the nodes of a table, whose first two letters name the country, and (country) of all."""
+    nodes = rows.select(F.trim(F.col(node)).alias("node")).where("node IS NOT NULL AND node <> ''").distinct()
+    nodes = nodes.withColumn("country", F.upper(F.left("node", F.lit(2))))
+    return nodes, nodes.select("country").distinct()
+
+
+def conversion_demand(rows: DataFrame, policy: str, year: int, climate: int, words: tuple[str, ...]) -> DataFrame:
+    """node and demand: the sizes of the capacities of types that hold one of the words (electrolyser, heat pump), of the
+    latest year up to the wanted one, summed."""
+    rows = selected(rows, Policy=policy, Climate_Year=climate).where(F.lower("Type").rlike("|".join(words)))
+    rows = rows.withColumns({"Year": F.col("Year").try_cast("int"), "Value": F.abs(to_double(F.col("Value")))}).where("Value > 0")
+    latest = carry_forward(rows, ["Node", "Type", "Variable"], "Year", year)
+    return latest.groupBy(F.col("Node").alias("node")).agg(F.sum("Value").alias("demand"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from ..model import Model
 
 
@@ -15,7 +16,8 @@ def _latest(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 def add_entities(m: Model, rows: DataFrame, defaults: bool = True) -> Model:
     """Entities with new ids; known ids are left as they are. Defaults of ungrouped attributes are set."""
     first = Window.partitionBy("entity_id").orderBy("seq")
-    new = rows.withColumn("__n", F.row_number().over(first)).where("__n = 1").join(m.entity.select("entity_id"), "entity_id", "left_anti").select(*m.entity.columns)
+    known = m.entity.select("entity_id")
+    new = rows.select(*m.entity.columns, F.row_number().over(first).alias("n")).where("n = 1").join(known, "entity_id", "left_anti").select(*m.entity.columns)
     out = m.but(entity=m.entity.unionByName(new))
     if not defaults:
         return out
@@ -66,3 +68,61 @@ def import_library(m: Model, other: Model, namespace: str | None = None, conflic
 
 def duplicate_ids(m: Model) -> DataFrame:
     return m.entity.groupBy("entity_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def aliased(m: Model, classes: dict[str, str] | None = None, attributes: dict[str, str] | None = None, relations: dict[str, str] | None = None) -> Model:
+    """The model with other names of classes, attributes and relations replaced by their ids (alias -> id)."""
+    def named(table: DataFrame, column: str, aliases: dict[str, str] | None) -> DataFrame:
+        pairs = F.create_map(*(F.lit(x) for pair in (aliases or {}).items() for x in pair)) if aliases else None
+        return table if pairs is None else table.withColumn(column, F.coalesce(F.try_element_at(pairs, F.col(column)), F.col(column)))
+
+    of_class = lambda t: named(t, "entity_class", classes)
+    return m.but(entity=of_class(m.entity), attr=named(of_class(m.attr), "attribute_id", attributes), rel=named(of_class(m.rel), "relation_id", relations))
+
+
+def without_legacy(m: Model) -> Model:
+    """Older forms rewritten: a true `is_reversible` is `hydro_machine_kind = reversible` (a false one goes), and a true
+    `is_reference_port` of a port becomes the edge hasReferencePort of the unit that the port belongs to, if it is known."""
+    flag = F.coalesce("value_bool", F.lower("value_str").isin("true", "1", "yes"), F.lit(False))
+    old = m.attr.where("attribute_id = 'is_reversible'").where(flag)
+    new = old.withColumns({"attribute_id": F.lit("hydro_machine_kind"), "value_str": F.lit("reversible"), "value_num": F.lit(None).cast("double"), "value_bool": F.lit(None).cast("boolean")})
+    ports = m.attr.where("attribute_id = 'is_reference_port'").where(flag).select(F.col("entity_id").alias("port"))
+    units = m.rel.where("relation_id = 'belongsToUnit'").select(F.col("entity_id").alias("port"), F.col("target_id").alias("entity_id"))
+    edges = ports.join(units, "port").join(m.entity.select("entity_id", "entity_class"), "entity_id")
+    edges = edges.select("entity_class", "entity_id", F.lit("hasReferencePort").alias("relation_id"), F.col("port").alias("target_id"), F.lit(0).alias("ord"))
+    rest = m.attr.where("attribute_id NOT IN ('is_reversible', 'is_reference_port')")
+    return set_relations(set_attributes(m.but(attr=rest), new.select(*m.attr.columns)), edges)
+
+
+def ensure_targets(m: Model, relation: str, entity_class: str) -> Model:
+    """With an entity of the class for each target of a relation that is none yet: carriers, resources, technologies."""
+    missing = m.rel.where((F.col("relation_id") == relation) & (F.col("target_id") != "")).select(F.col("target_id").alias("entity_id")).distinct().join(m.entity.select("entity_id"), "entity_id", "left_anti")
+    rows = missing.select(F.lit(entity_class).alias("entity_class"), "entity_id", F.lit(False).alias("is_library"), F.lit(0).cast("long").alias("seq"))
+    return add_entities(m, rows)
+
+
+def linked(m: Model, rows: DataFrame, **relations: str) -> Model:
+    """Edges from a table with entity_id, one for each named column (relation=column), in place of those that are there:
+    `linked(m, t, atNode="bus")`, `linked(m, t, fromNode="a", toNode="b")`, `linked(m, t, hasDemandProfile="profile")`."""
+    of = rows.join(m.entity.select("entity_id", "entity_class"), "entity_id")
+    for relation, column in relations.items():
+        edges = of.where(F.col(column).isNotNull()).select("entity_class", "entity_id", F.lit(relation).alias("relation_id"), F.col(column).alias("target_id"), F.lit(0).alias("ord"))
+        m = set_relations(m, edges)
+    return m
+
+
+def with_library_closure(m: Model, library: Model, wanted: DataFrame) -> Model:
+    """With the library entities in `wanted` (entity_id) and all that they lead to inside the library, as library rows;
+    ids that are there already stay as they are. The frontier is joined again until nothing new is met."""
+    there = library.entity.select("entity_id")
+    edges = library.rel.join(there.toDF("target_id"), "target_id", "left_semi").select("entity_id", "target_id").distinct()
+    seen = cut(wanted.select("entity_id").distinct().join(there, "entity_id", "left_semi"))
+    frontier = seen
+    while not frontier.isEmpty():
+        met = edges.join(frontier, "entity_id", "left_semi").select(F.col("target_id").alias("entity_id")).distinct()
+        frontier = cut(met.join(seen, "entity_id", "left_anti"))
+        seen = seen.union(frontier)
+    new = seen.distinct().join(m.entity.select("entity_id"), "entity_id", "left_anti")
+    keep = lambda t: t.join(new, "entity_id", "left_semi").select(*t.columns)
+    rows = keep(library.entity).withColumn("is_library", F.lit(True))
+    return m.but(entity=m.entity.unionByName(rows.select(*m.entity.columns)), attr=m.attr.unionByName(keep(library.attr)), rel=m.rel.unionByName(keep(library.rel)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import is_set
+from ..lineage import cut
 from ..model import Model
 
 TECHNOLOGY, NODE, REGION, DRAWS = "hasTechnology", "atNode", "belongsToGeographicalRegion", "drawsFromHydraulicStorage"
@@ -71,8 +72,9 @@ def node_countries(m: Model, parse: Column | None = None) -> DataFrame:
     """node and country: that of its region, else of its own id, else `??`."""
     region = first_target(m, REGION, "region")
     country = F.when(F.col("region").isNotNull(), F.col("region") if parse is None else parse)
+    own = F.when(F.col("node").rlike(r"^node\.[^.]+\."), F.upper(F.left(F.split_part("node", F.lit("."), F.lit(2)), F.lit(2))))
     nodes = m.rel.where(F.col("relation_id") == NODE).select(F.col("target_id").alias("node")).union(region.select("entity_id")).distinct()
-    return nodes.join(region.withColumnRenamed("entity_id", "node"), "node", "left").select("node", F.coalesce(country, F.lit("??")).alias("country"))
+    return nodes.join(region.withColumnRenamed("entity_id", "node"), "node", "left").select("node", F.coalesce(country, own, F.lit("??")).alias("country"))
 
 
 def branch_ends(m: Model) -> DataFrame:
@@ -132,7 +134,8 @@ def library_scope(m: Model, scope: str = "referenced") -> DataFrame:
     edges = m.rel.select("entity_id", "target_id").distinct().join(library, "target_id", "left_semi").select("entity_id", "target_id")
     seen, frontier = own, own
     while True:
-        frontier = edges.join(frontier, "entity_id", "left_semi").select(F.col("target_id").alias("entity_id")).distinct().join(seen, "entity_id", "left_anti").persist()
+        met = edges.join(frontier, "entity_id", "left_semi").select(F.col("target_id").alias("entity_id")).distinct()
+        frontier = cut(met.join(seen, "entity_id", "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = seen.union(frontier)

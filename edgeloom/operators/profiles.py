@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -64,3 +66,17 @@ def synthetic(spark, length: int, value: Column, profile_id: str) -> DataFrame:
 
 def solar_shape() -> Column:
     return F.greatest(F.lit(0.0), F.sin((F.col("t") % 24 - 6) / 12 * 3.141592653589793))
+
+
+def synthetic(spark: SparkSession, kind: str, hours: int = 8760, scale: float = 1.0) -> DataFrame:
+    """(profile_id, t, value) of a made-up series: `solar` (a clipped day wave in a year wave), `wind` (two slow waves,
+    kept between 0 and 1), `demand` (a day wave around 1) or `decay` (falls to 1/e in a year)."""
+    t = F.col("t")
+    day, year = 2 * math.pi * t / 24, 2 * math.pi * t / hours
+    shapes = {
+        "solar": F.greatest(F.lit(0.0), F.sin(day - math.pi / 2)) * (0.6 - 0.4 * F.cos(year)),
+        "wind": F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.4 + 0.3 * F.sin(2 * math.pi * t / 73) + 0.2 * F.cos(year))),
+        "demand": 1.0 + 0.2 * F.sin(day - math.pi / 2) + 0.1 * F.cos(year),
+        "decay": F.exp(-t / hours),
+    }
+    return spark.range(hours).select(F.lit(kind).alias("profile_id"), F.col("id").cast("int").alias("t")).withColumn("value", shapes[kind] * scale)

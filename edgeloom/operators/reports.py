@@ -67,9 +67,10 @@ def cross_border(flows: DataFrame, a: str, b: str, forward: Column, backward: Co
 
 
 def weighted_average(value: Column, weight: Column) -> Column:
-    """Pairs with a null or a zero weight are left out; null without weight."""
+    """Pairs with a null or a zero weight are left out; null without weight. Decimals are summed as such, so that the
+    order of rows does not matter to them."""
     ok = value.isNotNull() & weight.isNotNull() & (weight != 0)
-    return F.sum(F.when(ok, value * weight)) / F.nullif(F.sum(F.when(ok, weight)), F.lit(0))
+    return F.sum(F.when(ok, value * weight)).cast("double") / F.nullif(F.sum(F.when(ok, weight)).cast("double"), F.lit(0.0))
 
 
 def dominant(rows: DataFrame, keys: list[str], value: str, seq: str) -> DataFrame:
@@ -106,3 +107,27 @@ def branch_summary(branches: DataFrame, length: Column, parallel: Column, mva: C
     """Number, kilometres of circuits (no or zero parallel counts as one) and rating."""
     circuits = F.coalesce(F.nullif(parallel, F.lit(0)), F.lit(1))
     return branches.agg(F.count("*").alias("n"), exact_sum(length * circuits).alias("km"), exact_sum(mva).alias("mva"))
+
+
+def top(rows: DataFrame, value: str, key: str, most: int) -> DataFrame:
+    """The rows of largest value, of equal ones those of smallest key: kept as a heap in each task, never sorted whole."""
+    return rows.orderBy(F.desc(value), key).limit(most)
+
+
+def pair_counts(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """The number of rows from each a to each b."""
+    return rows.groupBy(a, b).agg(F.count("*").alias("n"))
+
+
+def both_and_only(a: DataFrame, b: DataFrame, name: str = "side") -> DataFrame:
+    """The distinct rows of `a`, marked `both` where `b` has them too and `only` where it does not."""
+    return a.intersect(b).withColumn(name, F.lit("both")).union(a.subtract(b).withColumn(name, F.lit("only")))
+
+
+def run_summary(parts: dict[str, DataFrame]) -> str:
+    """A text with the rows of small reports under their titles."""
+    out = []
+    for title, rows in parts.items():
+        out.append(title)
+        out += ["  " + ", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in rows.limit(200).collect()]
+    return "\n".join(out) + "\n"

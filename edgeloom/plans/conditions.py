@@ -1,8 +1,8 @@
 """Conditions of analysis rules, compiled to column expressions.
 
 A string condition knows and, or, not, one comparison, names, literals, unary minus and brackets. A name alone asks
-whether the field is set; in a comparison it stands for its value. A comparison with a null on the left, or of types
-that do not fit, is false. Anything else is an error.
+whether the field is set; in a comparison, on either side, it stands for its value. A comparison with a null on the
+left, or of types that have no order, is false; unequal types are not equal. Anything else is an error.
 """
 
 from __future__ import annotations
@@ -47,15 +47,38 @@ class Fields:
         return c.isNotNull() & (c != "") if kind == "string" else c.isNotNull()
 
     def compared(self, name: str, op: type[ast.cmpop], value: object) -> Column:
+        return comparison(self.value(name), op, literal(value))
+
+    def value(self, name: str) -> tuple[str, Column]:
+        """The kind (number, flag, text or none) and the value of a field; a field that is not known has none."""
         if name in self.relations:
             raise ConditionError(f"the relation {name} can only be asked for, not compared")
-        if name not in self.kinds or value is None:
-            return F.lit(False)
-        kind = self.kinds[name]
-        fits = {bool: kind == "boolean", int: kind in NUMERIC, float: kind in NUMERIC, str: kind == "string"}[type(value)]
-        if not fits:
-            return self.set(name) & F.lit(op is ast.NotEq)
-        return F.coalesce(COMPARE[op](F.col(f"`{name}`"), F.lit(value)), F.lit(False))
+        kind = self.kinds.get(name)
+        if kind is None:
+            return "none", F.lit(None)
+        c = F.col(f"`{name}`")
+        return ("number" if kind in NUMERIC or kind.startswith("decimal") else "flag" if kind == "boolean" else "text"), c
+
+
+def literal(value: object) -> tuple[str, Column]:
+    kind = "none" if value is None else "flag" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "text"
+    return kind, F.lit(value)
+
+
+def comparison(left: tuple[str, Column], op: type[ast.cmpop], right: tuple[str, Column]) -> Column:
+    """False for a null on the left. A null on the right differs from what is set, and has no order with it."""
+    (kind, a), (other, b) = left, right
+    if kind == "none":
+        return F.lit(False)
+    differs = op is ast.NotEq
+    if other == "none":
+        return a.isNotNull() & F.lit(differs)
+    number = {"number": lambda c: c, "flag": lambda c: c.cast("int")}
+    if kind != other:
+        if kind not in number or other not in number:
+            return a.isNotNull() & F.lit(differs)
+        a, b = number[kind](a), number[other](b)
+    return F.when(a.isNull(), False).otherwise(F.coalesce(COMPARE[op](a, b), F.lit(differs)))
 
 
 def compiled(text: str, fields: Fields) -> Column:
@@ -79,23 +102,19 @@ def _truth(node: ast.expr, fields: Fields) -> Column:
     if isinstance(node, ast.Compare):
         if len(node.ops) != 1 or type(node.ops[0]) not in COMPARE:
             raise ConditionError("one comparison at a time, of == != < <= > >=")
-        left, right = node.left, node.comparators[0]
-        if isinstance(left, ast.Name):
-            return fields.compared(left.id, type(node.ops[0]), _literal(right))
-        a, b = _literal(left), _literal(right)
-        try:
-            return F.lit(bool(a is not None and COMPARE[type(node.ops[0])](a, b)))
-        except TypeError:
-            return F.lit(False)
+        return comparison(_value(node.left, fields), type(node.ops[0]), _value(node.comparators[0], fields))
     raise ConditionError(f"{type(node).__name__} is not allowed")
 
 
-def _literal(node: ast.expr) -> object:
-    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub) and isinstance(node.operand, ast.Constant):
-        return -node.operand.value
+def _value(node: ast.expr, fields: Fields) -> tuple[str, Column]:
+    if isinstance(node, ast.Name):
+        return fields.value(node.id)
+    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
+        kind, c = _value(node.operand, fields)
+        return kind, -c if kind == "number" else c
     if isinstance(node, ast.Constant) and isinstance(node.value, (bool, int, float, str, type(None))):
-        return node.value
-    raise ConditionError("a comparison has a name on the left and a literal on the right")
+        return literal(node.value)
+    raise ConditionError("a comparison has names and literals")
 
 
 def compiled_mapping(condition: object, fields: Fields) -> Column:

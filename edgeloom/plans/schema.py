@@ -14,6 +14,7 @@ from pathlib import Path
 
 import yaml
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from ..model import CLASS, CLOSURE, FIELD, Model
 
@@ -222,3 +223,45 @@ def compatible(version: str, wanted: str) -> bool:
     """Same major version, and not older."""
     have, want = ([int(x) for x in v.split(".")] for v in (version, wanted))
     return have[0] == want[0] and have >= want
+
+
+def canonical_class(name: str, known: list[str]) -> str | None:
+    """The class that a name means: as it is written, else without regard to case, dashes and blanks."""
+    if name in known:
+        return name
+    plain = lambda x: x.lower().replace("-", "_").replace(" ", "_")
+    return next((k for k in known if plain(k) == plain(name)), None)
+
+
+def read_manifest(path: str) -> dict:
+    """The manifest of a schema: name, version and the stability of its parts; an empty one if there is no file."""
+    p = Path(path)
+    p = p / "manifest.yaml" if p.is_dir() else p
+    return (yaml.safe_load(p.read_text()) or {}) if p.exists() else {}
+
+
+def stability(manifest: dict, name: str) -> str:
+    """The tier of a class or profile in a manifest (`stability`: tier -> names, or name -> tier), else `unknown`."""
+    tiers = manifest.get("stability") or {}
+    if isinstance(tiers.get(name), str):
+        return tiers[name]
+    return next((tier for tier, names in tiers.items() if isinstance(names, list) and name in names), "unknown")
+
+
+def struct_type(schema: Schema, entity_class: str) -> tuple[StructType, dict[str, str]]:
+    """The row type of a class's wide table, and for each column with limits a condition that a valid value meets, as
+    SQL text: `df.where(checks[c])` on rows of that type."""
+    kinds = {"number": DoubleType(), "integer": LongType(), "boolean": BooleanType(), "array": ArrayType(StringType())}
+    body = schema.json_schema()["$defs"][entity_class]
+    fields, checks = [StructField("entity_id", StringType(), False)], {}
+    quoted = lambda v: str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    for name, p in body["properties"].items():
+        fields.append(StructField(name, kinds.get(p.get("type"), StringType()), name not in body["required"]))
+        tests = [f"`{name}` {sign} {p[key]}" for key, sign in (("minimum", ">="), ("maximum", "<=")) if key in p]
+        if "enum" in p:
+            tests.append(f"CAST(`{name}` AS STRING) IN ({', '.join(quoted(str(v)) for v in p['enum'])})")
+        if "pattern" in p:
+            tests.append(f"`{name}` RLIKE {quoted('^(?:' + p['pattern'] + ')$')}")
+        if tests:
+            checks[name] = f"`{name}` IS NULL OR ({' AND '.join(tests)})"
+    return StructType(fields), checks

@@ -10,10 +10,10 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import coerces, is_numeric, to_double
+from ..functions.numbers import FLAGS, INTEGERS, NUMBERS, coerces, is_numeric, to_double
 from ..functions.text import is_set
 from ..model import Model
-from ..operators.navigation import effective_values, entities, targets
+from ..operators.navigation import effective_values, entities, first_target, targets
 from .conditions import Fields, when
 
 
@@ -48,36 +48,62 @@ def _typed(m: Model) -> DataFrame:
     return values.join(F.broadcast(field), ["entity_class", "field_id"])
 
 
+def _value_rules() -> dict[str, tuple[Column, Column]]:
+    """Rule -> whether a row of _typed breaks it, and the detail."""
+    value, x = F.col("value_str"), to_double(F.col("value_str"))
+    number = is_numeric(F.col("dtype"))
+    same = number & F.exists("enum", lambda e: to_double(e) == x)
+    fits = F.regexp(value, F.concat(F.lit(r"\A(?:"), F.col("pattern"), F.lit(r")\z")))
+    return {
+        "type": (~coerces(value, F.col("dtype")), F.concat_ws(" ", value, F.lit("is no"), F.col("dtype"))),
+        "minimum": (number & (x < F.col("minimum")), F.col("minimum")),
+        "maximum": (number & (x > F.col("maximum")), F.col("maximum")),
+        "enum": ((F.size("enum") > 0) & ~F.array_contains("enum", value) & ~F.coalesce(same, F.lit(False)), F.array_join("enum", ", ")),
+        "pattern": (F.col("pattern").isNotNull() & ~fits, F.col("pattern")),
+        "unit": ((F.size("units") > 0) & F.col("unit").isNotNull() & ~F.array_contains("units", F.col("unit")), F.col("unit")),
+    }
+
+
+#: What the schema must say for a rule to hold for a field at all; fields without any are not looked at.
+LIMITS = {"type": f"lower(dtype) IN {(*NUMBERS, *INTEGERS, *FLAGS)}", "minimum": "minimum IS NOT NULL", "maximum": "maximum IS NOT NULL", "enum": "size(enum) > 0", "pattern": "pattern IS NOT NULL", "unit": "size(units) > 0"}
+
+
+def wrong_values(m: Model, rules: tuple[str, ...] = ("type", "minimum", "maximum", "enum", "pattern", "unit")) -> DataFrame:
+    """Violations of the rules on single values: one pass over the values of the fields that have such a rule, each row
+    giving as many as it breaks."""
+    limited = " OR ".join(LIMITS[r] for r in rules)
+    rows = _typed(m.but(field_def=m.field_def.where(limited)))
+    all_ = _value_rules()
+    broken = F.filter(F.array(*(F.when(all_[r][0], F.struct(F.lit(r).alias("rule"), all_[r][1].cast("string").alias("detail"))) for r in rules)), lambda v: v.isNotNull())
+    return rows.select("entity_class", "entity_id", "field_id", F.explode(broken).alias("v")).select("entity_class", "entity_id", "field_id", "v.rule", "v.detail")
+
+
 def wrong_types(m: Model) -> DataFrame:
-    return _violation(_typed(m).where(~coerces(F.col("value_str"), F.col("dtype"))), "type", F.concat_ws(" ", F.col("value_str"), F.lit("is no"), F.col("dtype")))
+    return wrong_values(m, ("type",))
 
 
 def out_of_range(m: Model) -> DataFrame:
-    x = to_double(F.col("value_str"))
-    rows = _typed(m).where(is_numeric(F.col("dtype")))
-    low, high = rows.where(x < F.col("minimum")), rows.where(x > F.col("maximum"))
-    return _violation(low, "minimum", F.col("minimum")).union(_violation(high, "maximum", F.col("maximum")))
+    return wrong_values(m, ("minimum", "maximum"))
 
 
 def not_in_enum(m: Model) -> DataFrame:
-    numeric = is_numeric(F.col("dtype")) & F.exists("enum", lambda e: to_double(e) == to_double(F.col("value_str")))
-    rows = _typed(m).where((F.size("enum") > 0) & ~F.array_contains("enum", F.col("value_str")) & ~F.coalesce(numeric, F.lit(False)))
-    return _violation(rows, "enum", F.array_join("enum", ", "))
+    return wrong_values(m, ("enum",))
 
 
 def pattern_mismatch(m: Model) -> DataFrame:
-    rows = _typed(m).where(F.col("pattern").isNotNull() & ~F.regexp(F.col("value_str"), F.concat(F.lit(r"\A(?:"), F.col("pattern"), F.lit(r")\z"))))
-    return _violation(rows, "pattern", F.col("pattern"))
+    return wrong_values(m, ("pattern",))
 
 
 def wrong_units(m: Model) -> DataFrame:
-    rows = _typed(m).where((F.size("units") > 0) & F.col("unit").isNotNull() & ~F.array_contains("units", F.col("unit")))
-    return _violation(rows, "unit", F.col("unit"))
+    return wrong_values(m, ("unit",))
 
 
-def dangling(m: Model) -> DataFrame:
+def dangling(m: Model, known: DataFrame | None = None) -> DataFrame:
+    """Targets that are no entity, of the model or of `known` (entity_id), a library that is always there."""
     rows = m.rel.where(is_set(F.col("target_id"))).withColumnRenamed("relation_id", "field_id")
-    return _violation(rows.join(m.entity.select(F.col("entity_id").alias("target_id")), "target_id", "left_anti"), "dangling", F.col("target_id"))
+    there = m.entity.select(F.col("entity_id").alias("target_id"))
+    there = there if known is None else there.union(known.select("entity_id"))
+    return _violation(rows.join(there, "target_id", "left_anti"), "dangling", F.col("target_id"))
 
 
 def wrong_target_class(m: Model) -> DataFrame:
@@ -96,7 +122,7 @@ def unknown_fields(m: Model) -> DataFrame:
 
 
 def validate(m: Model, unknown: bool = False) -> DataFrame:
-    rules = [missing_required, wrong_types, out_of_range, not_in_enum, pattern_mismatch, wrong_units, dangling, wrong_target_class, *([unknown_fields] if unknown else [])]
+    rules = [missing_required, wrong_values, dangling, wrong_target_class, *([unknown_fields] if unknown else [])]
     return reduce(DataFrame.union, [rule(m) for rule in rules])
 
 
@@ -136,25 +162,92 @@ def checked_table(m: Model, entity_class: str) -> tuple[DataFrame, Fields]:
     return rows, Fields(kinds, frozenset(k for k, kind in kinds.items() if kind.startswith("array")))
 
 
+#: Fixed names: the relation of an asset that leads to its entity of a family.
+LINKS = {"avr": "hasAutomaticVoltageRegulator", "governor": "hasTurbineGovernor", "pss": "hasPowerSystemStabilizer", "dynamics": "usesDynamicModelType"}
+
+
+def view_map(m: Model) -> DataFrame:
+    """class_name of an asset class, view of each class that reports on it or on one that it descends from; a view
+    without a target class reports on all asset classes."""
+    views = m.field_def.where("kind = 'relation' AND field_id = 'reportsOn'").select(F.col("class_name").alias("view"), "targets")
+    below = m.class_closure.select(F.col("ancestor").alias("target"), "class_name")
+    named = views.select("view", F.explode("targets").alias("target")).join(F.broadcast(below), "target").select("class_name", "view")
+    free = views.where("size(targets) = 0").crossJoin(F.broadcast(m.class_def.where("role = 'asset'").select("class_name"))).select("class_name", "view")  # classes with classes: schema size
+    own = m.class_def.where("role = 'asset'").select("class_name")
+    return named.union(free).distinct().join(own, "class_name", "left_semi")
+
+
+def field_families(m: Model, field: str) -> DataFrame:
+    """class_name and family of the linked entities (results and controllers) that declare a field; more than one family
+    for a class means that a check must name its own."""
+    concrete = m.class_def.where("NOT abstract AND view_family IS NOT NULL").select(F.col("class_name").alias("view"), F.col("view_family").alias("family"))
+    having = m.field_def.where(F.col("field_id") == field).select(F.col("class_name").alias("view"))
+    having = concrete.join(having, "view", "left_semi")
+    links = m.spark.createDataFrame(list(LINKS.items()), "family string, field_id string")
+    linked = m.field_def.where("kind = 'relation'").select("class_name", "field_id").join(F.broadcast(links), "field_id").select("class_name", "family")
+    return view_map(m).join(having, "view").select("class_name", "family").union(linked.join(having.select("family"), "family", "left_semi").select("class_name", "family")).distinct()
+
+
+def linked_entities(m: Model, family: str) -> DataFrame:
+    """entity_id of an asset and linked, its entity of a family: what reports on it, first by load order, else the first
+    target of the family's relation. Nothing is created."""
+    of = m.class_def.where((F.col("view_family") == family) & ~F.col("abstract")).select(F.col("class_name").alias("entity_class"))
+    views = m.rel.where("relation_id = 'reportsOn'").select(F.col("target_id").alias("asset"), "entity_id", "entity_class").join(F.broadcast(of), "entity_class", "left_semi")
+    views = views.join(m.entity.select("entity_id", "seq"), "entity_id").groupBy("asset").agg(F.min_by("entity_id", "seq").alias("view")).withColumnRenamed("asset", "entity_id")
+    if family not in LINKS:
+        return views.select("entity_id", F.col("view").alias("linked"))
+    both = views.join(first_target(m, LINKS[family], "forward"), "entity_id", "full_outer")
+    return both.select("entity_id", F.coalesce("view", "forward").alias("linked"))
+
+
+def checked_values(m: Model, rows: DataFrame, name: str, family: str | None) -> DataFrame:
+    """`rows` (entity_class, entity_id, ...) with value and problem of a field: of the entity itself, of its technology
+    or the schema's default, else of its linked entity of the given family or of the only one that declares the field.
+    `problem` says why a field cannot be looked up."""
+    rows = rows.join(effective_values(m, name), "entity_id", "left")
+    targets_ = first_target(m, name, "target")
+    rows = rows.join(targets_, "entity_id", "left").withColumn("value", F.coalesce("value", "target")).drop("target")
+    declared = m.field_def.where(F.col("field_id") == name).select(F.col("class_name").alias("entity_class"), F.lit(True).alias("declared"))
+    rows = rows.join(F.broadcast(declared), "entity_class", "left")
+    if family is None:
+        found = field_families(m, name).groupBy("class_name").agg(F.count("*").alias("families"), F.min("family").alias("family"))
+        rows = rows.join(F.broadcast(found.withColumnRenamed("class_name", "entity_class")), "entity_class", "left")
+        names = [r["family"] for r in found.where("families = 1").select("family").distinct().collect()]
+    else:
+        rows, names = rows.withColumn("families", F.lit(1)).withColumn("family", F.lit(family)), [family]
+    parts = [linked_entities(m, f).withColumn("family", F.lit(f)) for f in names]
+    if parts:
+        values = m.attr.where(F.col("attribute_id") == name).select(F.col("entity_id").alias("linked"), F.col("value_str").alias("there"))
+        rows = rows.join(reduce(DataFrame.union, parts).join(values, "linked", "left"), ["entity_id", "family"], "left")
+    else:
+        rows = rows.withColumns({"linked": F.lit(None).cast("string"), "there": F.lit(None).cast("string")})
+    use = is_set(F.coalesce("value", F.lit("")))
+    own = F.coalesce("declared", F.lit(False)) | use
+    problem = F.when(own, None).when(F.col("families") > 1, "ambiguous: name a view_family").when(F.col("families").isNull(), "unknown field").when(F.col("linked").isNull(), F.concat(F.lit("no entity of the family "), F.col("family")))
+    return rows.withColumn("problem", problem).withColumn("value", F.when(own, F.col("value")).otherwise(F.col("there"))).drop("declared", "families", "family", "linked", "there")
+
+
 def validate_for_analysis(m: Model, profile: Mapping) -> DataFrame:
     """Violations of a profile's checks: entity_class, entity_id, field_id, rule, detail, and their order. A field is
-    looked for on the entity, then on its technology or the schema's default."""
+    looked for on the entity, then on its technology or the schema's default, then on what is linked with it."""
     out = []
     for n, requirement in enumerate(profile.get("requirements") or []):
         rows, fields = checked_table(m, requirement["entity_class"])
         for k, check in enumerate(requirement.get("checks") or []):
             name = check.get("attribute") or check.get("relation")
-            part = rows.where(when(requirement.get("when"), fields) & when(check.get("when"), fields))
-            value = effective_values(m, name).withColumnRenamed("value", "__value")
-            part = part.join(value, "entity_id", "left").withColumn("field_id", F.lit(name))
-            there = fields.set(name) | is_set(F.coalesce("__value", F.lit("")))
-            rules = [("required", ~there, F.lit("not set"))] if check.get("required", True) else []
+            part = rows.where(when(requirement.get("when"), fields) & when(check.get("when"), fields)).select("entity_class", "entity_id")
+            part = checked_values(m, part, name, check.get("view_family")).withColumn("field_id", F.lit(name))
+            there, required = is_set(F.coalesce("value", F.lit(""))), check.get("required", True)
+            lost = F.col("problem").isNotNull() & (F.lit(bool(required)) | ~F.col("problem").startswith("no entity"))
+            rules = [("unresolved", lost, F.col("problem"))] + ([("required", ~there & F.col("problem").isNull(), F.lit("not set"))] if required else [])
             limits = check.get("constraints") or {}
-            x = to_double(F.col("__value"))
+            x = to_double(F.col("value"))
             rules += [(r, (x < v) if r == "minimum" else (x > v), F.lit(str(v))) for r in ("minimum", "maximum") if (v := limits.get(r)) is not None]
             if limits.get("enum"):
-                rules.append(("enum", F.col("__value").isNotNull() & ~F.col("__value").isin(*map(str, limits["enum"])), F.lit(str(limits["enum"]))))
-            out += [_violation(part.where(bad), rule, detail).withColumn("place", F.lit(n * 1000 + k)) for rule, bad, detail in rules]
+                rules.append(("enum", F.col("value").isNotNull() & ~F.col("value").isin(*map(str, limits["enum"])), F.lit(str(limits["enum"]))))
+            broken = F.filter(F.array(*(F.when(bad, F.struct(F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))) for rule, bad, detail in rules)), lambda v: v.isNotNull())
+            found = part.select("entity_class", "entity_id", "field_id", F.explode(broken).alias("v"))
+            out.append(found.select("entity_class", "entity_id", "field_id", "v.rule", "v.detail", F.lit(n * 1000 + k).alias("place")))
     if not out:
         return m.spark.createDataFrame([], "entity_class string, entity_id string, field_id string, rule string, detail string, place int")
     return reduce(DataFrame.union, out)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 from pathlib import Path
 
@@ -33,25 +34,46 @@ def _edges(rows: DataFrame) -> DataFrame:
     return rows.select(*ENTITY_COLUMNS, "relation_id", F.posexplode(listed).alias("ord", "target_id")).select(*ENTITY_COLUMNS, "relation_id", "target_id", "ord")
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """With `seq`, the load order of rows that a file source gives: files by name, then the place in the file. It is
+    taken before any shuffle from where a row lies, so it is the same each time."""
+    paths = sorted(re.sub("^file:/+", "file:/", f) for f in rows.inputFiles())  # as file_path has them
+    files = rows.sparkSession.createDataFrame(list(enumerate(paths)), "file_no long, file string")
+    at = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    out = rows.select("*", F.col("_metadata.file_path").alias("file"), at.alias("place")).join(F.broadcast(files), "file", "left")
+    return out.withColumn("seq", F.coalesce("file_no", F.lit(0)) * (1 << 46) + F.col("place")).drop("file", "place", "file_no")
+
+
 def _with(m: Model, ids: DataFrame, attr: DataFrame, rel: DataFrame, library: bool = False) -> Model:
-    seq = F.monotonically_increasing_id()
-    entity = ids.select(*ENTITY_COLUMNS).distinct().select(*ENTITY_COLUMNS, F.lit(library).alias("is_library"), seq.alias("seq"))
+    """The model with what was read. An entity's `seq` is that of its first row in `ids`."""
+    seq = F.min("seq").alias("seq")
+    entity = ids.groupBy(*ENTITY_COLUMNS).agg(seq).select(*ENTITY_COLUMNS, F.lit(library).alias("is_library"), "seq")
     return m.but(entity=m.entity.unionByName(entity), attr=m.attr.unionByName(attr), rel=m.rel.unionByName(rel))
 
 
+def read_rows(m: Model, ids: DataFrame, values: DataFrame, edges: DataFrame, library: bool = False) -> Model:
+    """The model with rows that are long already: ids (entity_class, entity_id, seq), values (entity_class, entity_id,
+    attribute_id, value_str, unit, provenance_ref) and edges (entity_class, entity_id, relation_id, target_id, ord)."""
+    return _with(m, ids, _values(values), edges.select(*ENTITY_COLUMNS, "relation_id", "target_id", "ord"), library)
+
+
 def unknown_fields(m: Model, rows: DataFrame, name: str) -> DataFrame:
     """Rows whose field `name` the class does not have."""
     known = m.field_def.select(F.col("class_name").alias("entity_class"), F.col("field_id").alias(name))
     return rows.join(F.broadcast(known), ["entity_class", name], "left_anti")
 
 
-def _file_class(suffix: str = "") -> Column:
-    return F.regexp_extract(F.input_file_name(), rf"([^/]+?){suffix}\.csv", 1)
+#: The class in a path: `<Class>.csv`, or a folder `entity_class=<Class>` as Spark writes it.
+CLASS_OF_FILE = r"(?:entity_class=([^/]+)/[^/]+|([^/]+?)(?:\.csv)?)$"
 
 
 def read_narrow_csv(m: Model, folder: str) -> Model:
-    """A file for each class: entity_id, attribute, value, relation; `__exists__` rows only name an entity."""
-    rows = m.spark.read.csv(f"{folder}/*.csv", header=True).withColumn("entity_class", _file_class())
+    """A file `<Class>.csv`, or a folder `entity_class=<Class>`, for each class: entity_id, attribute, value, relation;
+    `__exists__` rows only name an entity."""
+    found = m.spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(folder, header=True, escape='"')
+    path = F.col("_metadata.file_path")
+    found = found.withColumn("entity_class", F.coalesce(*(F.nullif(F.regexp_extract(path, CLASS_OF_FILE, k), F.lit("")) for k in (1, 2))))
+    rows = placed(found)
     values = rows.where("attribute is not null and attribute <> '' and attribute <> '__exists__'").select(*ENTITY_COLUMNS, F.col("attribute").alias("attribute_id"), F.col("value").alias("value_str"))
     edges = rows.where("relation is not null and relation <> ''").select(*ENTITY_COLUMNS, F.col("relation").alias("relation_id"), F.col("value").alias("targets"))
     return _with(m, rows, _values(values), _edges(edges))
@@ -66,14 +88,14 @@ def read_wide_csv(m: Model, folder: str, classes: list[str], meta: bool = False)
     """A file `<Class>.csv` with a column for each field; with `meta`, also `<a>__unit` and `<a>__prov`."""
     parts = []
     for c in classes:
-        rows = m.spark.read.csv(f"{folder}/{c}.csv", header=True).withColumn("entity_class", F.lit(c))
+        rows = placed(m.spark.read.csv(f"{folder}/{c}.csv", header=True, escape='"').withColumn("entity_class", F.lit(c)))
         known = {(f["kind"], f["field_id"]) for f in m.field_def.where(F.col("class_name") == c).select("kind", "field_id").collect()}
         attributes = [x for x in rows.columns if ("attribute", x) in known]
         relations = [x for x in rows.columns if ("relation", x) in known]
         more = lambda x, end: F.col(f"`{x}{end}`") if meta and x + end in rows.columns else F.lit(None)  # noqa: E731, B023
         cells = [F.struct(F.lit(a).alias("attribute_id"), F.col(f"`{a}`").alias("value_str"), more(a, "__unit").cast("string").alias("unit"), more(a, "__prov").cast("string").alias("provenance_ref")) for a in attributes]
         values = rows.select(*ENTITY_COLUMNS, F.explode(F.array(*cells)).alias("c")).select(*ENTITY_COLUMNS, "c.*") if cells else None
-        parts.append((rows.select(*ENTITY_COLUMNS), values, _unpivoted(rows, relations).toDF(*ENTITY_COLUMNS, "relation_id", "targets") if relations else None))
+        parts.append((rows.select(*ENTITY_COLUMNS, "seq"), values, _unpivoted(rows, relations).toDF(*ENTITY_COLUMNS, "relation_id", "targets") if relations else None))
     for ids, values, edges in parts:
         attr = _values(values) if values is not None else m.spark.createDataFrame([], ATTRIBUTE)
         m = _with(m, ids, attr, _edges(edges) if edges is not None else m.spark.createDataFrame([], RELATION))
@@ -94,7 +116,7 @@ LONG = ("entity_class", "entity_id", "attribute_id", "attribute_value", "attribu
 
 
 def read_long_csv(m: Model, path: str) -> Model:
-    rows = m.spark.read.csv(path, header=True)
+    rows = placed(m.spark.read.csv(path, header=True, escape='"'))
     missing = [c for c in LONG if c not in rows.columns]
     if missing:
         raise ValueError(f"{path} lacks the columns {missing}")
@@ -108,8 +130,9 @@ BODY = "map<string, map<string, struct<attributes: array<struct<id: string, valu
 
 def _bodies(m: Model, texts: DataFrame, library: bool) -> Model:
     """Entities of JSON texts {Class: {id: {attributes, relations}}}; all targets of a relation are kept."""
-    classes = texts.select(F.explode(F.from_json("value", BODY)).alias("entity_class", "members"))
-    rows = classes.select("entity_class", F.explode("members").alias("entity_id", "body"))
+    classes = texts.select(F.posexplode(F.from_json("value", BODY)).alias("c", "entity_class", "members"))
+    rows = classes.select("entity_class", "c", F.posexplode("members").alias("n", "entity_id", "body"))
+    rows = rows.withColumn("seq", F.col("c").cast("long") * (1 << 32) + F.col("n"))
     values = rows.select(*ENTITY_COLUMNS, F.explode("body.attributes").alias("a")).select(*ENTITY_COLUMNS, F.col("a.id").alias("attribute_id"), F.col("a.value").alias("value_str"), "a.unit", "a.provenance_ref")
     edges = rows.select(*ENTITY_COLUMNS, F.explode("body.relations").alias("r")).select(*ENTITY_COLUMNS, F.col("r.id").alias("relation_id"), F.col("r.target_entity_ids").alias("targets"))
     return _with(m, rows, _values(values), _edges(edges), library)
@@ -128,11 +151,15 @@ def read_yaml(m: Model, path: str, library: bool = False) -> Model:
 
 
 def read_parquet_long(m: Model, path: str) -> tuple[Model, DataFrame]:
-    """The model, and the profiles in `__values__` rows."""
-    rows = m.spark.read.parquet(path)
+    """The model, and the profiles in `__values__` rows. Relations stand in rows with a `relation` and their targets."""
+    rows = placed(m.spark.read.parquet(path))
     profiles = rows.where("attribute = '__values__'").select(F.col("entity_id").alias("profile_id"), F.posexplode("values").alias("t", "value"))
-    values = rows.where("attribute <> '__values__'").select(*ENTITY_COLUMNS, F.col("attribute").alias("attribute_id"), F.col("value").alias("value_str"))
-    return _with(m, rows, _values(values), m.spark.createDataFrame([], RELATION)), profiles
+    optional = [F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in ("unit", "provenance_ref")]
+    values = rows.where("attribute <> '__values__' AND attribute <> '__exists__'").select(*ENTITY_COLUMNS, F.col("attribute").alias("attribute_id"), F.col("value").alias("value_str"), *optional)
+    edges = m.spark.createDataFrame([], RELATION)
+    if "targets" in rows.columns:
+        edges = _edges(rows.where("relation IS NOT NULL").select(*ENTITY_COLUMNS, F.col("relation").alias("relation_id"), "targets"))
+    return _with(m, rows, _values(values), edges), profiles
 
 
 def read_profiles_wide(spark: SparkSession, path: str) -> DataFrame:
@@ -147,7 +174,7 @@ def read_datapackage(m: Model, folder: str) -> Model:
     """The resources of a datapackage.json, one wide CSV for each class. An id of two classes is an error."""
     described = json.loads(m.spark.read.text(f"{folder}/datapackage.json", wholetext=True).first()[0])
     known = {r["class_name"] for r in m.class_def.select("class_name").collect()}
-    classes = [name for r in described["resources"] if (name := r["path"].removesuffix(".csv")) in known]
+    classes = [name for r in described["resources"] if (name := str(r["path"]).split("/")[-1].removesuffix(".csv")) in known]
     out = read_wide_csv(m, folder, classes)
     clash = out.entity.groupBy("entity_id").agg(F.count_distinct("entity_class").alias("n")).where("n > 1").orderBy("entity_id").limit(20).collect()
     if clash:
@@ -176,5 +203,30 @@ def read_hourly_csv(spark: SparkSession, path: str) -> tuple[DataFrame, list[str
     return rows.withColumns({k: F.trim(F.col(f"`{k}`")) for k in keys}), keys, hours
 
 
+def read_any(m: Model, path: str) -> Model:
+    """A model by the form of its path: YAML, JSON, long CSV, a Parquet folder, or the folder of a datapackage."""
+    p = Path(path.removeprefix("file://"))
+    if p.is_dir():
+        return read_datapackage(m, path) if (p / "datapackage.json").exists() else read_parquet_long(m, path)[0]
+    from .hierarchical import read_hierarchical_yaml
+
+    by_suffix = {".yaml": read_hierarchical_yaml, ".yml": read_hierarchical_yaml, ".json": read_json, ".csv": read_long_csv}
+    if p.suffix not in by_suffix:
+        raise ValueError(f"no reader for {p.suffix or 'files without a suffix'}: {path}")
+    return by_suffix[p.suffix](m, path)
+
+
+def import_counts(before: Model, after: Model, unknown: DataFrame | None = None) -> DataFrame:
+    """entity_class, created, attributes, relations, unknowns: what a reader has added to a model, by class."""
+    rows = lambda table: table.groupBy("entity_class").agg(F.count("*").alias("n"))
+    out = None
+    for name, a, b in (("created", before.entity, after.entity), ("attributes", before.attr, after.attr), ("relations", before.rel, after.rel)):
+        part = rows(b).join(rows(a).withColumnRenamed("n", "was"), "entity_class", "left").select("entity_class", (F.col("n") - F.coalesce("was", F.lit(0))).alias(name))
+        out = part if out is None else out.join(part, "entity_class", "full_outer")
+    more = rows(unknown).withColumnRenamed("n", "unknowns") if unknown is not None else None
+    out = out.withColumn("unknowns", F.lit(0).cast("long")) if more is None else out.join(more, "entity_class", "full_outer")
+    return out.fillna(0)
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)

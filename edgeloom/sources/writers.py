@@ -9,9 +9,10 @@ import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import FLAGS, INTEGERS, NUMBERS
 from ..model import Model
-from ..operators.navigation import library_scope
-from ..plans.schema import Schema
+from ..operators.navigation import TECHNOLOGY, first_target, library_scope
+from ..plans.schema import Schema, as_list
 
 
 def scoped(m: Model, library: str = "referenced") -> Model:
@@ -68,21 +69,35 @@ def entity_bodies(m: Model) -> DataFrame:
     return rows.select("entity_class", "entity_id", F.to_json(F.struct("attributes", "relations")).alias("body"))
 
 
-def as_mapping(m: Model) -> dict:
-    """{Class: {id: body}}: a model that fits on the driver, for the JSON and YAML forms."""
-    out: dict = {}
-    for r in entity_bodies(m).orderBy("entity_class", "entity_id").toLocalIterator():
-        out.setdefault(r["entity_class"], {})[r["entity_id"]] = json.loads(r["body"])
-    return out
+def write_json(m: Model, path: str) -> None:
+    """One JSON document, written entity by entity: the driver never holds more than one."""
+    with Path(path).open("w", encoding="utf-8") as f:
+        last = None
+        for r in entity_bodies(m).orderBy("entity_class", "entity_id").toLocalIterator():
+            new = r["entity_class"] != last
+            f.write(("{\n" if last is None else "\n},\n" if new else ",\n") + (f"{json.dumps(r['entity_class'], ensure_ascii=False)}: {{\n" if new else ""))
+            f.write(f"{json.dumps(r['entity_id'], ensure_ascii=False)}: {r['body']}")
+            last = r["entity_class"]
+        f.write("{}" if last is None else "\n}\n}\n")
 
 
-def write_json(m: Model, path: str) -> None:
-    Path(path).write_text(json.dumps(as_mapping(m), indent=2, ensure_ascii=False))
+def write_json_lines(m: Model, folder: str) -> None:
+    """A folder of JSON rows (entity_id, body) for each class: the form for models of any size."""
+    entity_bodies(m).write.partitionBy("entity_class").mode("overwrite").json(folder)
 
 
 def write_yaml(m: Model, path: str, version: str | None = None) -> None:
-    body = as_mapping(m) | ({"_meta": {"schema_version": version}} if version else {})
-    Path(path).write_text(yaml.safe_dump(body, allow_unicode=True, sort_keys=False))
+    """One YAML document of flat entities, written entity by entity."""
+    with Path(path).open("w", encoding="utf-8") as f:
+        if version:
+            yaml.safe_dump({"_meta": {"schema_version": version}}, f)
+        last = None
+        for r in entity_bodies(m).orderBy("entity_class", "entity_id").toLocalIterator():
+            if r["entity_class"] != last:
+                last = r["entity_class"]
+                f.write(f"{json.dumps(last)}:\n")
+            text = yaml.safe_dump({r["entity_id"]: json.loads(r["body"])}, allow_unicode=True, sort_keys=False)
+            f.writelines("  " + line for line in text.splitlines(keepends=True))
 
 
 def write_csv_by_class(m: Model, folder: str, placeholders: bool = True) -> None:
@@ -93,12 +108,33 @@ def write_long_csv(m: Model, folder: str) -> None:
     long_rows(m).write.mode("overwrite").csv(folder, header=True)
 
 
+def write_csv_by_class_with_schema(m: Model, schema: Schema, folder: str) -> None:
+    """The narrow files, and a Table Schema `<Class>.schema.json` beside them for each class of the schema."""
+    write_csv_by_class(m, folder)
+    for c in schema.order():
+        Path(folder, f"{c}.schema.json").write_text(json.dumps({"fields": [{"name": n, "type": "string"} for n in ("entity_id", "attribute", "value", "relation")], "class": c, "columns": table_schema(schema, c)["fields"]}, indent=2))
+
+
+def write_long_csv_with_schema(m: Model, folder: str) -> None:
+    """The long file, and the Table Schema of its eight columns."""
+    write_long_csv(m, folder)
+    fields = [{"name": c, "type": "string", "constraints": {"required": c in ("entity_class", "entity_id")}} for c in long_rows(m).columns]
+    Path(folder, "long.schema.json").write_text(json.dumps({"fields": fields}, indent=2))
+
+
 def write_parquet(m: Model, profiles: DataFrame, path: str) -> None:
-    """Long form: values, and each profile's series in a `__values__` row."""
-    series = F.transform(F.sort_array(F.collect_list(F.struct("t", "value"))), lambda x: x["value"])
-    rows = profiles.groupBy("profile_id").agg(series.alias("values")).select(F.lit("Profile").alias("entity_class"), F.col("profile_id").alias("entity_id"), F.lit("__values__").alias("attribute"), F.lit(None).cast("string").alias("value"), "values")
-    values = m.attr.select("entity_class", "entity_id", F.col("attribute_id").alias("attribute"), F.col("value_str").alias("value"), F.lit(None).cast("array<double>").alias("values"))
-    values.union(rows).write.mode("overwrite").parquet(path)
+    """Long form: a row for each value, for each relation with its targets in order, for each profile's series
+    (`__values__`), and for an entity without any (`__exists__`)."""
+    kinds = {"attribute": "string", "value": "string", "unit": "string", "provenance_ref": "string", "relation": "string", "targets": "array<string>", "values": "array<double>"}
+    row = lambda rows, **cells: rows.select("entity_class", "entity_id", *(cells.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()))
+    series = profiles.groupBy("profile_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "value"))), lambda x: x["value"]).alias("values"))
+    series = series.select(F.lit("Profile").alias("entity_class"), F.col("profile_id").alias("entity_id"), "values")
+    edges = m.rel.groupBy("entity_class", "entity_id", "relation_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("ord", "target_id"))), lambda x: x["target_id"]).alias("targets"))
+    values = row(m.attr, attribute=F.col("attribute_id"), value=F.col("value_str"), unit=F.col("unit"), provenance_ref=F.col("provenance_ref"))
+    bare = m.entity.join(m.attr.select("entity_id").union(m.rel.select("entity_id")).union(series.select("entity_id")), "entity_id", "left_anti")
+    out = values.union(row(edges, relation=F.col("relation_id"), targets=F.col("targets")))
+    out = out.union(row(series, attribute=F.lit("__values__"), values=F.col("values"))).union(row(bare, attribute=F.lit("__exists__")))
+    out.write.mode("overwrite").parquet(path)
 
 
 def profiles_wide(profiles: DataFrame, ids: list[str], kind: str = "double") -> DataFrame:
@@ -107,33 +143,107 @@ def profiles_wide(profiles: DataFrame, ids: list[str], kind: str = "double") ->
     return profiles.groupBy(F.col("t").cast("long").alias("timestamp_index")).agg(*cells)
 
 
-def table_schema(schema: Schema, entity_class: str) -> dict:
-    """The Table Schema of a class's wide table, with foreign keys for its relations."""
-    defs = schema.json_schema()["$defs"][entity_class]
-    keys = [k for kind, k in schema.fields(entity_class) if kind == "relation"]
-    fields = [{"name": "entity_id", "type": "string"}] + [{"name": k, "type": p.get("type", "string") if k not in keys else "string"} for k, p in defs["properties"].items()]
-    return {"fields": fields, "primaryKey": "entity_id", "foreignKeys": [{"fields": k, "reference": {"resource": "all_entities", "fields": "entity_id"}} for k in keys]}
+def table_schema(schema: Schema, entity_class: str, classes: set[str] | None = None, abstract: set[str] | None = None) -> dict:
+    """The Table Schema of a class's wide table. A relation is a foreign key into the table of its target class, into
+    that of all entities of an abstract target, else into the one of all entities."""
+    defs, fields = schema.json_schema()["$defs"][entity_class], schema.fields(entity_class)
+    keys = {k: as_list(s.get("target", s.get("targets"))) for (kind, k), s in fields.items() if kind == "relation"}
+    rows = [{"name": "entity_id", "type": "string", "constraints": {"required": True}}]
+    for k, p in defs["properties"].items():
+        limits = {n: p[n] for n in ("minimum", "maximum", "enum", "pattern") if n in p} | ({"required": True} if k in defs["required"] else {})
+        rows.append({"name": k, "type": "string" if k in keys else p.get("type", "string")} | ({"constraints": limits} if limits else {}))
+
+    def resource(targets: list[str]) -> str:
+        one = targets[0] if len(targets) == 1 else None
+        name = one if one in (classes or ()) else "All" + one.replace(".", "") if one in (abstract or ()) else "AllEntities"
+        return kebab_name(name)
+
+    return {"fields": rows, "primaryKey": ["entity_id"], "foreignKeys": [{"fields": [k], "reference": {"resource": resource(t), "fields": ["entity_id"]}} for k, t in keys.items()]}
+
+
+#: Relations that an export takes from an asset's technology where the asset has none.
+FROM_TYPE = ("hasInputCarrier", "hasOutputCarrier", "storesCarrier")
+
+
+def with_type_relations(m: Model) -> Model:
+    """The relations in FROM_TYPE of an entity's technology, for entities that do not have them."""
+    known = m.field_def.where((F.col("kind") == "relation") & F.col("field_id").isin(*FROM_TYPE)).select(F.col("class_name").alias("entity_class"), F.col("field_id").alias("relation_id"))
+    technology = first_target(m, TECHNOLOGY, "technology").join(m.entity.select("entity_id", "entity_class"), "entity_id")
+    of_type = m.rel.where(F.col("relation_id").isin(*FROM_TYPE)).select(F.col("entity_id").alias("technology"), "relation_id", "target_id", "ord")
+    new = technology.join(of_type, "technology").join(F.broadcast(known), ["entity_class", "relation_id"], "left_semi")
+    own = m.rel.where(F.col("target_id") != "").select("entity_id", "relation_id").distinct()
+    return m.but(rel=m.rel.unionByName(new.join(own, ["entity_id", "relation_id"], "left_anti").select(*m.rel.columns)))
+
+
+def union_tables(m: Model) -> DataFrame:
+    """all_class, entity_id, entity_class, name: for each abstract class that a relation targets, its entities of any
+    concrete class, which foreign keys can refer to."""
+    abstract = m.class_def.where("abstract").select(F.col("class_name").alias("all_class"))
+    targets = m.field_def.where("kind = 'relation'").select(F.explode("targets").alias("all_class")).distinct().join(abstract, "all_class", "left_semi")
+    concrete = m.class_closure.join(m.class_def.where("NOT abstract"), "class_name", "left_semi").select(F.col("ancestor").alias("all_class"), F.col("class_name").alias("entity_class"))
+    wanted = concrete.join(F.broadcast(targets), "all_class", "left_semi")
+    names = m.attr.where("attribute_id = 'name'").select("entity_id", F.col("value_str").alias("name"))
+    rows = m.entity.select("entity_class", "entity_id").join(F.broadcast(wanted), "entity_class").join(names, "entity_id", "left")
+    return rows.select("all_class", "entity_id", "entity_class", F.coalesce("name", F.lit("")).alias("name"))
+
+
+def all_entities(m: Model) -> DataFrame:
+    """entity_id, entity_class, name of everything."""
+    names = m.attr.where("attribute_id = 'name'").select("entity_id", F.col("value_str").alias("name"))
+    return m.entity.select("entity_id", "entity_class").join(names, "entity_id", "left").withColumn("name", F.coalesce("name", F.lit("")))
+
+
+def _resource(name: str, schema: dict) -> dict:
+    return {"name": kebab_name(name), "title": name, "path": f"{name}.csv", "type": "table", "format": "csv", "mediatype": "text/csv", "encoding": "utf-8", "schema": schema}
+
+
+def kebab_name(name: str) -> str:
+    return "".join("-" + c.lower() if c.isupper() and k else c.lower() for k, c in enumerate(name.replace(".", "")))
 
 
-def write_datapackage(m: Model, schema: Schema, folder: str) -> None:
-    """A wide CSV for each class with entities, and the descriptor."""
+def write_datapackage(m: Model, schema: Schema, folder: str, library: str = "all") -> None:
+    """A table for each class with entities, one of all entities, one for each abstract class that relations target, and
+    the descriptor. A table is a folder `<Class>.csv` of CSV files that Spark writes, as large as it may be."""
+    m = with_type_relations(m if library == "all" else scoped(m, library))
+    out = Path(folder.removeprefix("file://"))
+    out.mkdir(parents=True, exist_ok=True)
+    write = lambda rows, name: rows.write.mode("overwrite").option("escape", '"').csv(f"{folder}/{name}.csv", header=True)
+    classes = sorted(r["entity_class"] for r in m.entity.select("entity_class").distinct().collect())
+    unions = union_tables(m)
+    abstract = sorted(r["all_class"] for r in unions.select("all_class").distinct().collect())
+    plain = {"fields": [{"name": c, "type": "string", "constraints": {"required": c != "name"}} for c in ("entity_id", "entity_class", "name")], "primaryKey": ["entity_id"]}
     resources = []
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    for c in sorted(r["entity_class"] for r in m.entity.select("entity_class").distinct().collect()):
-        wide_rows(m, c, [k for _, k in schema.fields(c)]).toPandas().to_csv(f"{folder}/{c}.csv", index=False)
-        resources.append({"name": c.lower(), "path": f"{c}.csv", "schema": table_schema(schema, c)})
-    Path(folder, "datapackage.json").write_text(json.dumps({"name": "model", "resources": resources}, indent=2))
+    for c in classes:
+        write(wide_rows(m, c, [k for _, k in schema.fields(c)]), c)
+        resources.append(_resource(c, table_schema(schema, c, set(classes), set(abstract))))
+    write(all_entities(m), "AllEntities")
+    resources.append(_resource("AllEntities", plain))
+    for c in abstract:
+        name = "All" + c.replace(".", "")
+        write(unions.where(F.col("all_class") == c).drop("all_class"), name)
+        resources.append(_resource(name, plain))
+    (out / "datapackage.json").write_text(json.dumps({"name": "model", "resources": resources}, indent=2))
 
 
 def turtle(schema: Schema, namespace: str) -> str:
     """Classes and fields as OWL in Turtle."""
     text = lambda s: '"' + str(s).replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n") + '"'
-    lines = [f"@prefix : <{namespace}> .", "@prefix owl: <http://www.w3.org/2002/07/owl#> .", "@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .", ""]
+    lines = [f"@prefix : <{namespace}> .", "@prefix owl: <http://www.w3.org/2002/07/owl#> .", "@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .", "@prefix xsd: <http://www.w3.org/2001/XMLSchema#> .", ""]
     for c in schema.order():
         lines.append(f":{c} a owl:Class ; rdfs:label {text(c)} .")
         lines += [f":{c} rdfs:subClassOf :{p} ." for p in schema.classes[c].get("parents") or []]
-    for name, kind in [(a, "DatatypeProperty") for a in schema.attributes] + [(r, "ObjectProperty") for r in schema.relations]:
-        lines.append(f":{name} a owl:{kind} ; rdfs:label {text(name)} .")
+    kinds = {"double": "decimal", "integer": "integer", "boolean": "boolean", "string": "string"}
+    for name, spec in schema.attributes.items():
+        value = spec.get("value") if isinstance(spec.get("value"), dict) else spec
+        low = str(value.get("type", "string")).lower()
+        kind = "double" if low in NUMBERS else "integer" if low in INTEGERS else "boolean" if low in FLAGS else "string"
+        unit = spec.get("unit")
+        units = as_list((unit.get("constraints") or {}).get("enum")) if isinstance(unit, dict) else as_list(unit)
+        notes = "".join(f" ; rdfs:comment {text('unit: ' + str(u))}" for u in units)
+        lines.append(f":{name} a owl:DatatypeProperty ; rdfs:label {text(name)} ; rdfs:range xsd:{kinds[kind]}{notes} .")
+    for name, spec in schema.relations.items():
+        ranges = "".join(f" ; rdfs:range :{t}" for t in as_list(spec.get("target", spec.get("targets"))))
+        lines.append(f":{name} a owl:ObjectProperty ; rdfs:label {text(name)}{ranges} .")
     return "\n".join(lines) + "\n"
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import NumericType
 
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -46,9 +47,51 @@ def running_totals(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(update, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str) -> DataFrame:
-    """Each left row with the value of the latest right row of its key up to its time."""
-    both = left.withColumn("__v", F.lit(None).cast(right.schema[value].dataType)).withColumn("__left", F.lit(1))
-    both = both.unionByName(right.select(key, time, F.col(value).alias("__v"), F.lit(0).alias("__left")), allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy(time, "__left").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(f"latest_{value}", F.last("__v", ignorenulls=True).over(order)).where("__left = 1").drop("__v", "__left")
+#: Rows in a block of time, about, and blocks at most: a key with a large share of all rows has that share of each.
+BLOCK_ROWS, BLOCKS = 1_000_000, 512
+
+
+def time_block(rows: DataFrame, time: str, blocks: int | None = None) -> Column:
+    """The number of the block of time that a row lies in: blocks of about as many rows each, in order of time."""
+    blocks = blocks or max(1, min(BLOCKS, -(-rows.count() // BLOCK_ROWS)))
+    at = F.col(time).cast("double") if isinstance(rows.schema[time].dataType, NumericType) else F.col(time).cast("timestamp").cast("double")
+    cuts = rows.select(at.alias("at")).stat.approxQuantile("at", [k / blocks for k in range(1, blocks)], 0.2 / blocks) if blocks > 1 else []
+    return F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))).cast("array<double>"), lambda c: c <= at))
+
+
+def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str, blocks: int | None = None) -> DataFrame:
+    """Each left row with the value of the latest right row of its key up to its time.
+
+    Inside a block of time a window finds it; a window over the last values of a key's blocks, of which there are few,
+    carries it on to later ones. So no key's history is one task."""
+    names = [c for c in left.columns if c not in (key, time)]
+    kept = F.struct(*names) if names else F.lit(None)
+    both = left.select(F.col(key).alias("k"), F.col(time).alias("t"), F.lit(1).alias("side"), kept.alias("row"), F.lit(None).cast(right.schema[value].dataType).alias("v"))
+    both = both.unionByName(right.select(F.col(key).alias("k"), F.col(time).alias("t"), F.lit(0).alias("side"), F.lit(None).cast(both.schema["row"].dataType).alias("row"), F.col(value).alias("v")))
+    both = both.withColumn("block", time_block(both, "t", blocks))
+    inside = Window.partitionBy("k", "block").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("k").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = both.groupBy("k", "block").agg(F.max_by("v", F.when((F.col("side") == 0) & F.col("v").isNotNull(), F.col("t"))).alias("last"))
+    carried = lasts.select(F.col("k").alias("ck"), F.col("block").alias("cb"), F.last("last", ignorenulls=True).over(before).alias("carried"))
+    found = both.withColumn("own", F.last("v", ignorenulls=True).over(inside)).where("side = 1")
+    found = found.join(carried, F.col("k").eqNullSafe(F.col("ck")) & (F.col("block") == F.col("cb")), "left")
+    columns = {key: F.col("k"), time: F.col("t")} | {c: F.col(f"row.`{c}`") for c in names}
+    return found.select(*(columns[c].alias(c) for c in left.columns), F.coalesce("own", "carried").alias(f"latest_{value}"))
+
+
+def numbered(rows: DataFrame, key: str, order: list[str], name: str = "n", blocks: int | None = None) -> DataFrame:
+    """The number of each row within its key, in the given order (its first column is a time): the place in its block of
+    time and the count of the key's rows in the blocks before."""
+    rows = rows.withColumn("block", time_block(rows, order[0], blocks)) if "block" not in rows.columns else rows
+    counts = rows.groupBy(key, "block").agg(F.count("*").alias("size"))
+    before = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col(key).alias("ck"), F.col("block").alias("cb"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    at = F.row_number().over(Window.partitionBy(key, "block").orderBy(*order))
+    out = rows.withColumn("at", at).join(counts, F.col(key).eqNullSafe(F.col("ck")) & (F.col("block") == F.col("cb")))
+    return out.withColumn(name, (F.col("at") + F.col("before")).cast("long")).drop("at", "block", "before", "ck", "cb")
+
+
+def observed(table: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """`table` with counters that are filled as they are written, of a batch: the second part's `get` has them after."""
+    seen = Observation(name)
+    return table.observe(seen, *(c.alias(k) for k, c in metrics.items())), seen
