@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from .store import scratch, small, stored
+from .store import BROADCAST_ROWS, scratch, size, small, stored
 
 #: Candidates between two classes that are verified in each turn: the last one takes all that are left.
 QUOTAS = (1, 12, None)
@@ -31,11 +31,13 @@ def components(edges: DataFrame) -> DataFrame:
     with scratch(edges.sparkSession) as keep:
         edges, mark = _measured(ordered(edges, "a", "b"))
         while True:
+            # a node has one row in what is joined, and there are at most two nodes an edge
+            one = F.broadcast if 2 * mark["n"] <= BROADCAST_ROWS else lambda t: t
             both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
             least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-            large = ordered(edges.join(least, "a").select(F.col("b").alias("x"), F.col("m").alias("y")), "x", "y")
+            large = edges.join(one(least), "a").select(F.least("b", "m").alias("a"), F.greatest("b", "m").alias("b")).where("a < b")
             down = large.groupBy("b").agg(F.min("a").alias("m"))
-            joined = large.join(down, "b").select(F.col("a").alias("x"), F.col("m").alias("y"))
+            joined = large.join(one(down), "b").select(F.col("a").alias("x"), F.col("m").alias("y"))
             edges, now = _measured(ordered(joined.union(down.select("b", "m")), "x", "y"))
             if now == mark:
                 break
@@ -48,21 +50,22 @@ def _measured(edges: DataFrame) -> tuple[DataFrame, dict[str, object]]:
     """The stored edges, with their number and a checksum that are counted as they are written."""
     seen = Observation()
     checksum = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    out = stored(edges.observe(seen, F.count("*").alias("n"), checksum.alias("checksum")), "edges")
-    return out, seen.get
+    out = stored(edges.observe(seen, checksum.alias("checksum")), "edges")
+    return out, {"n": size(out)} | seen.get
 
 
 def united(classes: DataFrame, links: DataFrame) -> DataFrame:
     """`classes` (id, component) after further `links` (a, b): only the links between classes are contracted again."""
+    known = small(classes)
     with scratch(links.sparkSession) as keep:
         new = links
         for end in "ab":
-            own = classes.select(F.col("id").alias(end), F.col("component").alias("c"))
+            own = known.select(F.col("id").alias(end), F.col("component").alias("c"))
             new = new.join(own, end, "left").withColumn(end, F.coalesce("c", end)).drop("c")
-        moved = components(new).toDF("component", "to")
-        known = classes.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        moved = small(components(new)).toDF("component", "to")
+        changed = classes.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
         fresh = moved.select(F.col("component").alias("id"), F.col("to").alias("component"))
-        return keep(known.union(fresh.join(classes.select("id"), "id", "left_anti")), "classes")
+        return keep(changed.union(fresh.join(known.select("id"), "id", "left_anti")), "classes")
 
 
 def live_members(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
@@ -123,7 +126,7 @@ def linked_groups(
     crowd: int,
 ) -> DataFrame:
     """(id, component) of the nodes that have a verified link. Nodes that share a bucket of `live` (bucket, id, size) are
-    candidates. `near` leaves of pairs (a, b) those worth a comparison, `verify` those that hold.
+    candidates. `near` leaves of the pairs (a, b) in `tried` those worth a comparison, `verify` those that hold.
 
     No bucket is expanded into its pairs. First the pairs of `tried` are verified, a few for each member. A bucket whose
     members are then all in one class is settled. In the others, and only there, members of different classes are
@@ -145,7 +148,7 @@ def linked_groups(
     pairs = pairs.groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).agg(F.count("*").alias("shared"))
     with scratch(live.sparkSession) as keep:
         crowded = stored(rest.where(F.col("size") > crowd).select("id", "c").distinct(), "crowded")
-        if not crowded.isEmpty():
+        if size(crowded):
             sets = stored(tokens(crowded.select("id")).join(small(crowded), "id"), "tokens")
             pairs = pairs.union(prefix_pairs(sets, percent))
         pairs = pairs.groupBy("a", "b").agg(F.max("shared").alias("shared")).join(tried, ["a", "b"], "left_anti")
@@ -157,12 +160,12 @@ def linked_groups(
             of_two = Window.partitionBy("ca", "cb").orderBy(F.desc("shared"), "a", "b")
             between = between.withColumn("rank", F.row_number().over(of_two)).where(F.col("rank") <= quota)
         between = stored(between.select("a", "b").join(small(done), ["a", "b"], "left_anti"), "between")
-        if between.isEmpty():
+        if not size(between):
             break
         done = stored(done.union(between), "done")
         with scratch(live.sparkSession) as keep:
-            more = keep(verify(near(between)), "more")
-        classes = united(classes, more)
+            more = keep(verify(between), "more")
+        classes = united(classes, more) if size(more) else classes
     return classes
 
 

@@ -7,8 +7,9 @@ similarity of their sets reaches `percent` / 100.
 The forest has TREES orders. In each, the signatures of all different sets are sorted over the corpus, from another value
 on. Sorted neighbours with a common prefix of DEPTH values or more are in one region, and each node's neighbours are
 those with the longest common prefix, so deep where a region is crowded and no deeper than DEPTH where it is not. Each
-node is first compared with its neighbour in its largest region and with that of longest prefix. What those links
-leave open inside a region is compared in full (see linking.py), so that each pair that shares a region is decided.
+node is first compared with its neighbour in its largest region, with that of longest prefix, and with the hub of its
+regions. What those links leave open inside a region is compared in full (see linking.py), so that each pair that
+shares a region is decided.
 
 Edge cases: a null, empty or blank text has an empty set and is linked with nothing, so it is its own class; equal
 texts meet as one node whatever their number; rows with the same doc_id are rows of their own, each with the class
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .linking import linked_groups
-from .store import id_text, scratch, small, small_batches, stored
+from .linking import leader_pairs, linked_groups
+from .store import id_text, scratch, size, small, small_batches, stored
 from .words import SPACED_LOWER, blocks, grams, hashed_words, mix
 
 WIDTH, PERCENT = 5, 85
@@ -151,7 +152,7 @@ def forest(nodes: DataFrame) -> DataFrame:
     and last rows of the ranges, two for each task, are brought together to compare those on either side of a cut."""
     schema = "region long, a long, b long, depth int, edge binary"
     rows = sort_keys(nodes)
-    tasks = max(1, min(-(-nodes.count() * TREES // TASK_ROWS), 1 << 15))
+    tasks = max(1, min(-(-size(nodes) * TREES // TASK_ROWS), 1 << 15))
     found = rows.repartitionByRange(tasks, "key", "id").sortWithinPartitions("key", "id").mapInArrow(_neighbours, schema)
     found = stored(found, "forest")
     cuts = found.where("edge IS NOT NULL").select(F.col("edge").alias("key"), F.col("b").alias("id")).distinct()
@@ -177,7 +178,7 @@ def _verdicts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     live = members.join(small(sizes), "bucket")
     sized = pairs.withColumnRenamed("region", "bucket").join(small(sizes), "bucket")
     first = F.max(F.struct("size", "depth", "a"))["a"].alias("x"), F.max(F.struct("depth", "size", "a"))["a"].alias("y")
-    chosen = sized.groupBy("b").agg(*first).select("b", F.explode(F.array("x", "y")).alias("a"))
+    chosen = sized.groupBy("b").agg(*first).select(F.explode(F.array("x", "y")).alias("a"), "b").union(leader_pairs(live))
 
     def some(ids: DataFrame) -> DataFrame:
         """The nodes of `ids` (id), which may repeat."""

@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -47,14 +47,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     no recomputation of what came before. The files go with the scratch() around it, else when the driver's JVM ends."""
     spark = df.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/edgeloom-{uuid.uuid4().hex}"
+    seen = Observation()
     with _tidy(spark):
-        df.write.parquet(f"{folder}/{name}")
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(f"{folder}/{name}")
     if _open:
         _open[-1].append(folder)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(folder)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out = spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out.stored_rows = seen.get["rows"]  # counted as they were written, so that nothing has to read them for it
+    return out
+
+
+def size(table: DataFrame) -> int:
+    """The rows of a table; of a stored one without a job."""
+    known = getattr(table, "stored_rows", None)
+    return table.count() if known is None else known
 
 
 @contextmanager
@@ -86,7 +95,7 @@ BROADCAST_ROWS = 1_000_000
 
 def small(table: DataFrame) -> DataFrame:
     """A stored table, marked for broadcast if it has at most BROADCAST_ROWS rows; a larger one is joined by shuffling."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    return F.broadcast(table) if size(table) <= BROADCAST_ROWS else table
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

@@ -26,7 +26,7 @@ import pyspark
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import scratch, small, small_batches, stored
+from .store import scratch, size, small, small_batches, stored
 from .text_columns import keyed
 from .words import SPACED, blocks, grams, hashed_words, mix
 
@@ -186,7 +186,7 @@ def marks(found: DataFrame, hot: DataFrame, window: int) -> DataFrame:
     """MARK rows of the suffixes in `found` that match another one; `hot` are the heads of too many of them."""
     hot = small(stored(hot, "hot"))
     rest = found.join(hot, "head", "left_anti")
-    tasks = max(1, min(found.count() // TASK_ROWS, 1 << 15))
+    tasks = max(1, min(size(found) // TASK_ROWS, 1 << 15))
     spread = rest.repartitionByRange(tasks, "head").sortWithinPartitions("head", "right_words", "doc_id", "key", "at")
 
     def sorted_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .store import stored
+from .store import size, stored
 
 #: Records in a block of time, about, and blocks at most; a URL with a share of all records has that share of each.
 BLOCK_ROWS, BLOCKS = 250_000, 512
@@ -75,7 +75,7 @@ def resolve(records: DataFrame, blocks: int | None = None) -> DataFrame:
     narrow = rows.where("canonical_url is not null and time is not null and record_id is not null")
     number = F.col("time").cast("double") if isinstance(records.schema["time"].dataType, NumericType) else F.col("time").cast("timestamp").cast("double")
     narrow = narrow.select("record_id", "canonical_url", "time", number.alias("at"), "full", _value("headers", "etag").alias("etag"), _value("headers", "last-modified").alias("modified"))
-    blocks = blocks or max(1, min(BLOCKS, -(-rows.count() // BLOCK_ROWS)))
+    blocks = blocks or max(1, min(BLOCKS, -(-size(rows) // BLOCK_ROWS)))
     cuts = narrow.stat.approxQuantile("at", [k / blocks for k in range(1, blocks)], 0.2 / blocks) if blocks > 1 else []
     block = F.size(F.filter(F.array(*(F.lit(c) for c in sorted(set(cuts)))).cast("array<double>"), lambda c: c <= F.col("at")))
     response = F.struct("time", "record_id", "etag", "modified")
