@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 ENTITY = "entity_class string, entity_id string, is_library boolean, seq long"
 ATTRIBUTE = "entity_class string, entity_id string, attribute_id string, value_str string, value_num double, value_bool boolean, unit string, provenance_ref string"
@@ -19,6 +21,15 @@ FIELD = (
 )
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table that lives in the plan: the optimiser sees its rows, and no Python worker has to make them."""
+    names = [f.name for f in StructType.fromDDL(schema)]
+    if not rows:
+        return spark.createDataFrame([], schema)
+    columns = [pa.array([r[k] for r in rows]) for k in range(len(names))]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names)).to(StructType.fromDDL(schema))
+
+
 @dataclass(frozen=True)
 class Model:
     """`seq` and `ord` carry the load order, on which first- and last-wins rules rest: rows have none of their own."""

@@ -16,7 +16,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from ..model import CLASS, CLOSURE, FIELD, Model
+from ..model import CLASS, CLOSURE, FIELD, Model, local_table
 
 ASSET_ROOT, REPORTS = "EnergyAssetInstance", "reportsOn"
 REFERENCE_KEYS = {"id", "required", "default", "belongsToGroup"}
@@ -152,7 +152,7 @@ class Schema:
         classes = [(c, as_list(self.classes[c].get("parents")), bool(self.classes[c].get("abstract")), self.view_family(c), self.role(c), self.top_family(c)) for c in order]
         closure = [(c, a, d) for c in order for a, d in self.ancestors(c).items()]
         fields = [_field_row(c, kind, key, spec, n) for c in order for n, ((kind, key), spec) in enumerate(self.fields(c).items())]
-        return spark.createDataFrame(classes, CLASS), spark.createDataFrame(closure, CLOSURE), spark.createDataFrame(fields, FIELD)
+        return local_table(spark, classes, CLASS), local_table(spark, closure, CLOSURE), local_table(spark, fields, FIELD)
 
     def dangling_targets(self) -> list[tuple[str, str, str]]:
         """(class, relation, target) whose target class does not exist."""

@@ -72,7 +72,10 @@ def wrong_values(m: Model, rules: tuple[str, ...] = ("type", "minimum", "maximum
     """Violations of the rules on single values: one pass over the values of the fields that have such a rule, each row
     giving as many as it breaks."""
     limited = " OR ".join(LIMITS[r] for r in rules)
-    rows = _typed(m.but(field_def=m.field_def.where(limited)))
+    field = m.field_def.where(f"kind = 'attribute' AND ({limited})")
+    named = field.select("class_name", "field_id").collect()  # a part of the schema, which is in the plan
+    wanted = F.col("entity_class").isin(*{r["class_name"] for r in named}) & F.col("attribute_id").isin(*{r["field_id"] for r in named})
+    rows = _typed(m.but(field_def=field, attr=m.attr.where(wanted if named else F.lit(False))))
     all_ = _value_rules()
     broken = F.filter(F.array(*(F.when(all_[r][0], F.struct(F.lit(r).alias("rule"), all_[r][1].cast("string").alias("detail"))) for r in rules)), lambda v: v.isNotNull())
     return rows.select("entity_class", "entity_id", "field_id", F.explode(broken).alias("v")).select("entity_class", "entity_id", "field_id", "v.rule", "v.detail")

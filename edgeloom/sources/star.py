@@ -3,6 +3,9 @@ technologies."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,13 +53,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def reader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
+    """Reads each table's schema once, however often it is asked for."""
+    return lru_cache(None)(lambda name: table(spark, sf_dir, name))
+
+
 def key(prefix: str, column: str):
     return F.concat(F.lit(prefix + "."), F.col(column).cast("string"))
 
 
 def star_model(spark: SparkSession, sf_dir: str) -> Model:
     """Suppliers with a balance above 5000 have the technology of the part with their number."""
-    read = lambda name: table(spark, sf_dir, name)
+    read = reader(spark, sf_dir)
     kinds = (
         ("GeographicalRegion", read("region"), key("region", "r_regionkey"), "r_regionkey", {"name": "r_name"}),
         ("NetworkNode", read("nation"), key("node", "n_nationkey"), "n_nationkey", {"name": "n_name"}),
@@ -150,7 +158,7 @@ def energy_model(spark: SparkSession, sf_dir: str) -> Model:
     fiftieth customer is a reservoir, some with a bus of their own, the next one a store, the others demand. Orders are lines between buses, of
     which some do not exist. Every fourth supplier has a result, every eighth hydro one two of them, every fifth a
     controller."""
-    read = lambda n: table(spark, sf_dir, n)
+    read = reader(spark, sf_dir)
     n, s, c, o = read("nation"), read("supplier"), read("customer"), read("orders")
     code = F.concat(F.lower(F.substring("n_name", 1, 2)), F.lpad(F.col("n_nationkey").cast("string"), 3, "0"))
     n = n.withColumn("code", code).withColumn("bus", F.concat(F.lit("node."), "code", F.lit("."), F.col("n_nationkey").cast("string")))
