@@ -27,7 +27,7 @@ from ..plans.schema import compatible
 from .readers import read_rows
 from .writers import scoped
 
-META, GROUP = "_cesdm_meta", "core"
+META, GROUP = "_meta", "core"
 REPORTS = "reportsOn"
 
 
@@ -131,7 +131,7 @@ def read_hierarchical_yaml(m: Model, path: str, library: bool = False, version:
     """The model of a file. Ids of nested results are `<class_in_snake_case>.<asset>`, and their reportsOn edge is put
     back. A file of another major version than `version` gives a warning."""
     body = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
-    written = (body.get(META) or body.get("_meta") or {}).get("schema_version")
+    written = next((v.get("schema_version") for k, v in body.items() if str(k).startswith("_") and str(k).endswith(META) and isinstance(v, dict)), None)
     if version and written and not compatible(str(written), str(version).split(".")[0] + ".0"):
         warnings.warn(f"{path} was written for schema version {written}, not {version}", stacklevel=2)
     known: dict[str, tuple[set[str], set[str]]] = {}

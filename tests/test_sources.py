@@ -66,7 +66,7 @@ def test_hierarchical_yaml_there_and_back(model, empty, tmp_path):
     writers_view = model.but(entity=model.entity.where("entity_class <> 'PeakResult'"), attr=model.attr.where("entity_class <> 'PeakResult'"), rel=model.rel.where("entity_class <> 'PeakResult'"))
     hierarchical.write_hierarchical_yaml(writers_view, path, version="2.1.0")
     body = yaml.safe_load(open(path))
-    assert body["_cesdm_meta"] == {"schema_version": "2.1.0"} and "GenerationResult" not in body
+    assert body["_meta"] == {"schema_version": "2.1.0"} and "GenerationResult" not in body
     assert body["GenerationUnit"]["gen.8"]["representations"]["GenerationResult"]["attributes"]["core"]["total_generation"]
     back = hierarchical.read_hierarchical_yaml(empty, path, version="2.0.0")
     renamed = lambda t, *cs: t.withColumns({c: F.when(F.col(c).startswith("result."), F.concat(F.lit("generation_result.gen."), F.regexp_extract(c, r"(\d+)", 1))).otherwise(F.col(c)) for c in cs})
