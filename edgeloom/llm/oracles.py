@@ -1,5 +1,7 @@
 """The queries that SQL can express, in SQL."""
 
+from .oracle_vectors import OP11
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LOW = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -53,4 +55,4 @@ SELECT record_id, url, canonical_url, time, CASE WHEN page_id IS NULL THEN 'miss
 'cache-control: max-age=60' || chr(10) || CASE WHEN tag = own THEN 'content-length: ' || strlen(body) || chr(10) || 'content-type: text/html' ELSE 'content-length: 0' END || chr(10) || 'date: ' || time || chr(10) || 'etag: W/' || tag AS headers,
 CASE WHEN tag = own THEN sha256(html) END AS payload_sha256 FROM m"""
 
-SQL = {"op2_suffix_array": OP2, "op4_revisits": OP4, "op5_lsh_forest": OP5, "op9_winnowing": OP9, "op10_recompression": OP10}
+SQL = {"op2_suffix_array": OP2, "op4_revisits": OP4, "op5_lsh_forest": OP5, "op9_winnowing": OP9, "op10_recompression": OP10, "op11_delta_lloyd": OP11}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, near_dedup, oracles, packing, pii, quality, substrings, suffixes, warc
+from . import decontaminate, language, line_dedup, near_dedup, oracles, packing, pii, quality, substrings, suffixes, vector_codes, warc
 from .store import table
 
 
@@ -64,6 +64,12 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+    code = F.array_join(F.transform("code", lambda x: F.lower(F.lpad(F.hex(x.cast("long")), 2, "0"))), "")
+    return vector_codes.by_label(codes).select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_fuzzy_lines,
@@ -76,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_contextual_pii,
         op9_winnowing,
         op10_recompression,
+        op11_delta_lloyd,
     )
     return {f.__name__: f for f in found}
 
