@@ -143,7 +143,8 @@ def compressed(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, r
     with scratch(spark) as keep:
         source = stored(quantised(vectors).withColumn("code", F.lit(None).cast("array<short>")), "quantised")
         if not size(source):
-            return source.select("vec_id", "label", "code", F.lit(0).cast("long").alias("error")), None
+            label = source.schema["label"].dataType.simpleString()
+            return spark.createDataFrame([], f"vec_id long, label {label}, code array<short>, error long"), None
         _checked(source, parts)
         books = first_books(source, parts, entries)
         sums = None
