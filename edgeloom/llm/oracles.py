@@ -55,4 +55,15 @@ SELECT record_id, url, canonical_url, time, CASE WHEN page_id IS NULL THEN 'miss
 'cache-control: max-age=60' || chr(10) || CASE WHEN tag = own THEN 'content-length: ' || strlen(body) || chr(10) || 'content-type: text/html' ELSE 'content-length: 0' END || chr(10) || 'date: ' || time || chr(10) || 'etag: W/' || tag AS headers,
 CASE WHEN tag = own THEN sha256(html) END AS payload_sha256 FROM m"""
 
-SQL = {"op2_suffix_array": OP2, "op4_revisits": OP4, "op5_lsh_forest": OP5, "op9_winnowing": OP9, "op10_recompression": OP10, "op11_delta_lloyd": OP11}
+OP13 = rf"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({_LOW}, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+f AS MATERIALIZED (SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS g, k, count(*) AS f FROM p, unnest([1, 2, 3]) s(k), unnest(range(1, len(w) - k + 2)) t(i) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS MATERIALIZED (SELECT lang, g, k, f AS a, string_split(g, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cuts AS (SELECT c.lang, c.g, a, x.f AS l, y.f AS r, j, (CAST(a AS HUGEINT) * a * 1000000) // (CAST(x.f AS HUGEINT) * y.f) AS s FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+JOIN f x ON x.lang = c.lang AND x.g = array_to_string(w[1:j], ' ') JOIN f y ON y.lang = c.lang AND y.g = array_to_string(w[j + 1:], ' ')),
+low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY s, j) = 1),
+longer AS (SELECT lang, array_to_string(w[o:o + k - 2], ' ') AS g, max(a) AS b FROM c, unnest([1, 2]) t(o) WHERE k = 3 GROUP BY 1, 2),
+r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY s DESC, a DESC, g) AS rank, g AS phrase, a, l, r, s FROM low LEFT JOIN longer USING (lang, g) WHERE b IS NULL OR 100 * b < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, CAST(s AS BIGINT) AS score FROM r JOIN n USING (lang) WHERE rank <= 2000"""
+
+SQL = {"op2_suffix_array": OP2, "op4_revisits": OP4, "op5_lsh_forest": OP5, "op9_winnowing": OP9, "op10_recompression": OP10, "op11_delta_lloyd": OP11, "op13_collocations": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, line_dedup, near_dedup, oracles, packing, pii, quality, substrings, suffixes, vector_codes, warc
+from . import collocations, decontaminate, language, line_dedup, near_dedup, oracles, packing, pii, quality, substrings, suffixes, vector_codes, warc
 from .store import table
 
 
@@ -70,6 +70,10 @@ def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.by_label(codes).select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_fuzzy_lines,
@@ -83,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_winnowing,
         op10_recompression,
         op11_delta_lloyd,
+        op13_collocations,
     )
     return {f.__name__: f for f in found}
 
