@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, language, line_dedup, near_dedup, oracles, packing, pii, quality, substrings, suffixes, vector_codes, warc
+from . import collocations, decontaminate, language, licenses, line_dedup, near_dedup, oracles, packing, pii, quality, substrings, suffixes, vector_codes, warc
 from .store import table
 
 
@@ -70,6 +70,15 @@ def op11_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.by_label(codes).select("vec_id", code.alias("code"), "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
 
 
+def op12_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.found(table(spark, sf_dir, "documents"))
+    labels = lambda *spans: F.array_join(F.array_sort(F.array_distinct(F.transform(F.concat(*spans), lambda x: x["label"]))), ",")
+    starts = F.transform("base", lambda x: x["start"])
+    matches = F.array_join(F.transform("matches", lambda x: F.concat_ws(":", x["label"], x["start"], x["end"])), ",")
+    places = F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word")
+    return found.select("doc_id", "n_words", *places, labels("base").alias("base_labels"), labels("base", "matches").alias("labels"), "score", matches.alias("matches"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -87,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_winnowing,
         op10_recompression,
         op11_delta_lloyd,
+        op12_license_templates,
         op13_collocations,
     )
     return {f.__name__: f for f in found}
