@@ -11,6 +11,9 @@ from ..model import Model
 
 TECHNOLOGY, NODE, REGION, DRAWS = "hasTechnology", "atNode", "belongsToGeographicalRegion", "drawsFromHydraulicStorage"
 
+#: Relations that lead to a series, the first one that is there counts.
+PROFILES = ("hasAvailabilityProfile", "hasDemandProfile", "hasNaturalInflowProfile")
+
 
 def entities(m: Model, entity_class: str, derived: bool = False) -> DataFrame:
     """Entities of a class; with `derived`, of its descendants too."""
@@ -112,9 +115,8 @@ def reservoir_power(m: Model, attribute: str) -> DataFrame:
 
 def profile_links(m: Model) -> DataFrame:
     """entity_id and profile: availability before demand before inflow."""
-    order = ["hasAvailabilityProfile", "hasDemandProfile", "hasNaturalInflowProfile"]
-    rank = F.array_position(F.array(*map(F.lit, order)), F.col("relation_id"))
-    return m.rel.where(F.col("relation_id").isin(*order)).groupBy("entity_id").agg(F.min_by("target_id", F.struct(rank, F.col("ord"))).alias("profile"))
+    rank = F.array_position(F.array(*map(F.lit, PROFILES)), F.col("relation_id"))
+    return m.rel.where(F.col("relation_id").isin(*PROFILES)).groupBy("entity_id").agg(F.min_by("target_id", F.struct(rank, F.col("ord"))).alias("profile"))
 
 
 def results_of(m: Model) -> DataFrame:

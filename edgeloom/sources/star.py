@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..model import PROFILE, Model, attribute_rows, relation_rows
 from ..plans.schema import Schema
+from .layout import once
 
 SCHEMA = {
     "units": {"MW": {}, "MWh": {}},
@@ -62,7 +63,16 @@ def key(prefix: str, column: str):
     return F.concat(F.lit(prefix + "."), F.col(column).cast("string"))
 
 
+def _paths(sf_dir: str, *names: str) -> list[str]:
+    return [f"{sf_dir}/{n}.parquet" for n in names]
+
+
 def star_model(spark: SparkSession, sf_dir: str) -> Model:
+    """The star model in the storage layout, written once for a session."""
+    return once(lambda: star_rows(spark, sf_dir), f"star {sf_dir}", _paths(sf_dir, "region", "nation", "supplier", "customer", "part"), spark)
+
+
+def star_rows(spark: SparkSession, sf_dir: str) -> Model:
     """Suppliers with a balance above 5000 have the technology of the part with their number."""
     read = reader(spark, sf_dir)
     kinds = (
@@ -153,6 +163,11 @@ ENERGY_SCHEMA = {
 
 
 def energy_model(spark: SparkSession, sf_dir: str) -> Model:
+    """The energy model in the storage layout, written once for a session."""
+    return once(lambda: energy_rows(spark, sf_dir), f"energy {sf_dir}", _paths(sf_dir, "nation", "supplier", "customer", "orders", "part"), spark)
+
+
+def energy_rows(spark: SparkSession, sf_dir: str) -> Model:
     """An energy system over the star tables. Nations are buses `node.<code>.<key>`, those with an even key in a region.
     Suppliers are generators, every third a hydro one that draws from a reservoir; every other one is variable. Every
     fiftieth customer is a reservoir, some with a bus of their own, the next one a store, the others demand. Orders are lines between buses, of
