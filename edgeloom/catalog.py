@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import classify, numbers, text
-from .operators import country, etl, market, mutation, navigation, profiles, reports, rollup, subset
+from .operators import country, etl, market, mutation, navigation, profiles, reports, rolled_model, rollup, subset
 from .plans import conditions, validation
 from .sources import hierarchical, networks, readers, regions, writers
 from .sources.star import energy_model, key, star_model, table, violating_model
@@ -825,3 +825,47 @@ def region_library(spark, d):
 def usable_generators(spark, d):
     rows = table(spark, d, "part").select(F.col("p_partkey").alias("name"), F.when(F.col("p_size") % 2 == 1, "gas").otherwise("solar-hsat").alias("carrier"), (F.col("p_size") % 3).alias("p_nom"))
     return networks.usable_generators(rows).select("name")
+
+
+# the energy model rolled up
+
+
+_ROLLED = f"""{_ENERGY}, x AS (SELECT g.*, b.code, CASE g.country WHEN 'AL' THEN 'disaggregated' WHEN 'BR' THEN 'nuts2' ELSE 'country' END AS level, CASE g.country WHEN 'BR' THEN left(code, 4) ELSE left(code, 2) END AS rc,
+ regexp_replace(lower(tech), '[^a-z0-9]+', '.', 'g') || CASE WHEN hydro AND s_suppkey % 9 = 0 THEN '.phs' WHEN hydro THEN '.nonphs' ELSE '' END AS tag FROM g JOIN b USING (bus))"""
+
+
+def _rolled(spark, d, groups=None, **levels):
+    m = energy_model(spark, d)
+    mapped = rollup.bus_map(rolled_model.model_buses(m), **(levels or {"overrides": {"AL": "disaggregated", "BR": "nuts2"}}))
+    return m, mapped, groups
+
+
+def _generators(m):
+    rows = navigation.wide(m, "GenerationUnit", ["nominal_power_capacity", "maximum_pumping_power"])
+    kinds = navigation.wide(m, "GenerationUnit", ["dispatch_type"], number=False).select("entity_id", "dispatch_type")
+    return rows.join(kinds, "entity_id").join(navigation.asset_nodes(m), "entity_id").select("entity_class", "entity_id", "node", F.round("nominal_power_capacity", 2).alias("capacity"), F.round("maximum_pumping_power", 2).alias("pumping"), "dispatch_type")
+
+
+_GENERATORS = f""", k AS (SELECT class, id, node, dispatch, count(*) AS n, min(s_suppkey) AS first FROM z GROUP BY ALL), kind AS (SELECT id, dispatch FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, first) = 1)
+ SELECT class AS entity_class, id AS entity_id, node, round(CAST(sum(CAST(s_acctbal AS {M2})) AS DOUBLE), 2) AS capacity, CAST(nullif(count(CASE WHEN s_suppkey % 9 = 0 THEN 1 END), 0) * 10.0 AS DOUBLE) AS pumping, any_value(kind.dispatch) AS dispatch_type FROM z JOIN kind USING (id) GROUP BY ALL"""
+
+
+@query(f"""WITH {_ROLLED}, z AS (SELECT *, CASE WHEN level = 'disaggregated' THEN 'gen.' || s_suppkey ELSE 'gen.' || tag || '.agg.' || rc END AS id, CASE WHEN level = 'disaggregated' THEN bus ELSE 'node.' || rc END AS node,
+ CASE WHEN variable THEN 'nondispatchable' ELSE 'dispatchable' END AS dispatch FROM x){_GENERATORS}""")
+def rolled_with_overrides(spark, d):
+    return _generators(rolled_model.rolled_model(*_rolled(spark, d)))
+
+
+@query(f"""WITH {_ROLLED}, z AS (SELECT *, CASE WHEN starts_with(tech, 'wind') THEN 'gen.wind' || CASE WHEN hydro AND s_suppkey % 9 = 0 THEN '.phs' WHEN hydro THEN '.nonphs' ELSE '' END || '.agg.' || substr(bus, 6) ELSE 'gen.' || s_suppkey END AS id, bus AS node,
+ CASE WHEN variable THEN 'nondispatchable' ELSE 'dispatchable' END AS dispatch FROM x){_GENERATORS}""")
+def rolled_by_pattern(spark, d):
+    return _generators(rolled_model.rolled_model(*_rolled(spark, d, {"wind": ["wind*"]}, level="disaggregated")))
+
+
+@query(f"""WITH {_ROLLED}, place AS (SELECT id, c_acctbal, coalesce(CASE WHEN c_custkey % 150 = 0 THEN res.bus END, fed.first_node) AS bus, coalesce(pumped, false) AS pumped FROM res LEFT JOIN fed USING (id)),
+ y AS (SELECT place.*, b.code, b.country, CASE b.country WHEN 'BR' THEN left(code, 4) ELSE left(code, 2) END AS rc FROM place JOIN b USING (bus)), z AS (SELECT *, CASE WHEN country = 'AL' THEN id ELSE 'storage.hydraulicstorageunit.' || CASE WHEN pumped THEN 'phs' ELSE 'nonphs' END || '.agg.' || rc END AS store FROM y)
+ SELECT store AS entity_id, round(CAST(sum(CAST(c_acctbal AS {M2})) AS DOUBLE), 2) AS energy, round(CAST(CASE WHEN bool_or(country = 'AL') OR sum(c_acctbal) > 0 THEN sum(CAST(c_acctbal * 2 AS {M2})) END AS DOUBLE), 2) AS inflow FROM z GROUP BY 1""")
+def rolled_reservoirs(spark, d):
+    m = rolled_model.rolled_model(*_rolled(spark, d))
+    rows = navigation.wide(m, "HydraulicStorageUnit", ["energy_storage_capacity", "annual_natural_inflow_energy"])
+    return rows.select("entity_id", F.round("energy_storage_capacity", 2).alias("energy"), F.round("annual_natural_inflow_energy", 2).alias("inflow"))
