@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .functions import classify, numbers, text
 from .operators import country, etl, market, mutation, navigation, profiles, reports, rolled_model, rollup, subset
 from .plans import conditions, validation
+from .plans.schema import Schema, empty_model
 from .sources import hierarchical, networks, readers, regions, writers
-from .sources.star import energy_model, key, star_model, table, violating_model
+from .sources.star import ENERGY_SCHEMA, energy_model, key, star_model, table, violating_model
 from .streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -869,3 +870,15 @@ def rolled_reservoirs(spark, d):
     m = rolled_model.rolled_model(*_rolled(spark, d))
     rows = navigation.wide(m, "HydraulicStorageUnit", ["energy_storage_capacity", "annual_natural_inflow_energy"])
     return rows.select("entity_id", F.round("energy_storage_capacity", 2).alias("energy"), F.round("annual_natural_inflow_energy", 2).alias("inflow"))
+
+
+@query("""WITH l AS (SELECT o_custkey % 25 AS a, o_orderkey % 30 AS b FROM orders)
+ SELECT CASE WHEN b >= 25 THEN 'unknown bus' WHEN (a % 3 = 0) = (b % 3 = 0) THEN 'HVDCLink' ELSE 'GenericConversionUnit' END AS kind, count(*) AS n FROM l GROUP BY 1
+ UNION ALL SELECT 'ConversionPort', 2 * count(*) FROM l WHERE b < 25 AND (a % 3 = 0) <> (b % 3 = 0) UNION ALL SELECT 'ElectricalBus', count(*) FROM nation UNION ALL SELECT 'Carrier', 1""")
+def component_links(spark, d):
+    n, o = table(spark, d, "nation"), table(spark, d, "orders")
+    buses = n.select(F.col("n_nationkey").cast("string").alias("name"), F.when(F.col("n_nationkey") % 3 == 0, "H2").otherwise("AC").alias("carrier"))
+    links = o.select(F.col("o_orderkey").alias("name"), (F.col("o_custkey") % 25).alias("bus0"), (F.col("o_orderkey") % 30).alias("bus1"), F.col("o_totalprice").alias("p_nom"), F.lit("DC").alias("carrier"))
+    m, tables = empty_model(spark, Schema.composed([ENERGY_SCHEMA])), {"buses": buses, "links": links}
+    counts = networks.from_components(m, tables).entity.groupBy(F.col("entity_class").alias("kind")).agg(F.count("*").alias("n"))
+    return counts.union(networks.left_out(m, tables).groupBy("reason").agg(F.count("*")))

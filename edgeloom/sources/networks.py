@@ -54,8 +54,17 @@ class Parts:
             self.values.append(attribute_rows(rows, entity_class, F.col("entity_id"), {a: a for a in attributes}))
         self.edges += [relation_rows(rows, entity_class, F.col("entity_id"), r, F.col(c)) for r, c in relations.items()]
 
+    def unknown(self, m: Model) -> DataFrame:
+        """entity_class, field_id, n: how many values and targets were there for fields that the class does not have."""
+        known = m.field_def.select(F.col("class_name").alias("entity_class"), "field_id")
+        rows = [v.select("entity_class", F.col("attribute_id").alias("field_id")) for v in self.values] + [e.select("entity_class", F.col("relation_id").alias("field_id")) for e in self.edges]
+        if not rows:
+            return m.spark.createDataFrame([], "entity_class string, field_id string, n long")
+        counts = reduce(DataFrame.union, rows).groupBy("entity_class", "field_id").agg(F.count("*").alias("n"))
+        return counts.join(F.broadcast(known), ["entity_class", "field_id"], "left_anti")
+
     def into(self, m: Model) -> Model:
-        """With the attributes and relations that the classes of the schema know."""
+        """With the attributes and relations that the classes of the schema know; `unknown` counts the others."""
         known = m.field_def.select(F.col("class_name").alias("entity_class"), F.col("field_id"), "kind")
         of = lambda kind, name: F.broadcast(known.where(F.col("kind") == kind).select("entity_class", F.col("field_id").alias(name)))
         union = lambda parts, schema: reduce(DataFrame.unionByName, parts) if parts else m.spark.createDataFrame([], schema)
@@ -187,12 +196,102 @@ def usable_generators(generators: DataFrame, series: DataFrame | None = None) ->
     return rows.where(~variable | capable).select(*generators.columns)
 
 
-def from_components(m: Model, tables: dict[str, DataFrame], series: DataFrame | None = None) -> Model:
-    """buses, lines, transformers, loads, generators, storage_units and links (with `name`) as a model. Variable
-    generators without capacity or series are left out; hydro storage becomes a reservoir with a generator that draws
-    from it."""
+def _id(kind: str, c: str = "name") -> Column:
+    return F.concat(F.lit(f"{kind}."), underscored(F.col(c).cast("string")))
+
+
+def _inflows(inflows: DataFrame | None, m: Model) -> DataFrame:
+    """name and inflow, the sum of a series (name, t, value) with steps of an hour, where it is positive."""
+    if inflows is None:
+        return m.spark.createDataFrame([], "name string, inflow double")
+    return inflows.groupBy(F.col("name").cast("string").alias("name")).agg(F.sum("value").alias("inflow")).where("inflow > 0")
+
+
+def _stores(m: Model, t: DataFrame, inflows: DataFrame | None) -> DataFrame:
+    """stores with hydro, pumped, inflow and `left`, why one does not come into the model: a reservoir that nothing flows
+    into and that is not pumped stands for nothing."""
+    carrier = F.lower(F.coalesce(column(t, "carrier").cast("string"), F.lit("")))
+    has = lambda *words: reduce(lambda a, b: a | b, (carrier.contains(w) for w in words))
+    pumped = has("pumped", "phs", "pump_storage")
+    rows = t.withColumn("name", F.col("name").cast("string")).join(_inflows(inflows, m), "name", "left")
+    rows = rows.withColumns({"pumped": pumped, "hydro": pumped | has("reservoir", "pondage", "dam", "hydro")})
+    return rows.withColumn("left", F.when(F.col("hydro") & ~F.col("pumped") & F.col("inflow").isNull(), "reservoir without inflow"))
+
+
+def _links(t: DataFrame, buses: DataFrame) -> DataFrame:
+    """links with the carriers of their buses (a, b) and `left`, why one does not come into the model."""
+    at = buses.select(F.col("name").cast("string").alias("bus"), F.coalesce(column(buses, "carrier").cast("string"), F.lit("AC")).alias("c"))
+    end = lambda rows, bus, c: rows.join(at.toDF("there", c), F.col(bus).cast("string") == F.col("there"), "left").drop("there")
+    rows = end(end(t, "bus0", "a"), "bus1", "b")
+    return rows.withColumn("left", F.when(F.col("a").isNull() | F.col("b").isNull(), "unknown bus"))
+
+
+def _add_stores(parts: Parts, rows: DataFrame) -> None:
+    carrier = column(rows, "carrier").cast("string")
+    rows = rows.where("left IS NULL").select(_id("store").alias("entity_id"), "name", _id("node", "bus").alias("node"), carrier.alias("storage_technology_type"), _number(rows, "e_nom").alias("energy_storage_capacity"), F.col("inflow").alias("annual_natural_inflow_energy"), "hydro", "pumped", F.when(F.col("pumped"), "true").alias("has_active_charging"), F.concat(F.lit("carrier."), underscored(carrier)).alias("carrier"))
+    rows = rows.withColumn("profile", F.when(F.col("hydro") & F.col("annual_natural_inflow_energy").isNotNull(), F.concat(F.lit("profile.inflow."), "entity_id")))
+    parts.add(rows.where("NOT hydro"), "StorageUnit", ["name", "energy_storage_capacity", "storage_technology_type"], {"atNode": "node", "storesCarrier": "carrier"})
+    water = rows.where("hydro").withColumn("resource", F.lit("resource.water"))
+    parts.add(water, "HydraulicStorageUnit", ["name", "energy_storage_capacity", "annual_natural_inflow_energy", "storage_technology_type", "has_active_charging"], {"storesResource": "resource", "hasNaturalInflowProfile": "profile"})
+    unit = water.select(F.concat(F.lit("hydro."), "entity_id").alias("entity_id"), "node", F.col("entity_id").alias("reservoir"), F.lit("dispatchable").alias("dispatch_type"), F.when(F.col("pumped"), "reversible").otherwise("turbine").alias("hydro_machine_kind"), F.lit(ELECTRICITY).alias("carrier"))
+    parts.add(unit, "HydroGenerationUnit", ["dispatch_type", "hydro_machine_kind"], {"atNode": "node", "drawsFromHydraulicStorage": "reservoir", "hasOutputCarrier": "carrier"})
+    parts.add(rows.where("profile IS NOT NULL").select(F.col("profile").alias("entity_id"), F.lit("as_normalized_annual_energy").alias("profile_kind")), "Profile", ["profile_kind"], {})
+
+
+def _add_links(parts: Parts, rows: DataFrame, buses: DataFrame) -> None:
+    """Between buses of one carrier a link is a line of direct current; between two it is a converter, with a port for its
+    input and one for each of up to three outputs."""
+    rows = rows.where("left IS NULL")
+    cost, same = _number(rows, "marginal_cost").alias("variable_operating_cost"), F.col("a") == F.col("b")
+    lines = rows.where(same).select(_id("link").alias("entity_id"), F.col("name").cast("string").alias("name"), _id("node", "bus0").alias("from"), _id("node", "bus1").alias("to"), (_number(rows, "p_nom") * F.coalesce(F.nullif(_number(rows, "p_max_pu"), F.lit(0.0)), F.lit(1.0))).alias("max_flow"), cost)
+    parts.add(lines, "HVDCLink", ["name", "max_flow", "variable_operating_cost"], {"fromNode": "from", "toNode": "to"})
+    rows = rows.where(~same)
+    unit = _id("converter")
+    port = lambda k: F.concat(F.lit("port."), unit, F.lit(f".{k}"))
+    made = rows.select(unit.alias("entity_id"), F.col("name").cast("string").alias("name"), _number(rows, "p_nom").alias("nominal_power_capacity"), cost, port("input").alias("input"))
+    parts.add(made, "GenericConversionUnit", ["name", "nominal_power_capacity", "variable_operating_cost"], {"referencePort": "input"})
+    output = lambda k, efficiency: F.struct(port(f"output{k}").alias("entity_id"), F.lit("output").alias("port_direction"), efficiency.alias("flow_coefficient"), F.nullif(column(rows, f"bus{k}").cast("string"), F.lit("")).alias("bus"))
+    ports = F.array(
+        F.struct(port("input").alias("entity_id"), F.lit("input").alias("port_direction"), F.lit(-1.0).alias("flow_coefficient"), F.col("bus0").cast("string").alias("bus")),
+        output(1, F.coalesce(F.nullif(_number(rows, "efficiency"), F.lit(0.0)), F.lit(1.0))), *(output(k, _number(rows, f"efficiency{k}", 0.0)) for k in (2, 3)),
+    )
+    known = buses.select(F.col("name").cast("string").alias("bus"), F.concat(F.lit("carrier."), underscored(F.coalesce(column(buses, "carrier").cast("string"), F.lit("AC")))).alias("carrier"))
+    ports = rows.select(unit.alias("unit"), F.explode(ports).alias("p")).select("unit", "p.*").join(known, "bus").withColumn("node", _id("node", "bus"))
+    parts.add(ports, "ConversionPort", ["port_direction", "flow_coefficient"], {"belongsToUnit": "unit", "atNode": "node", "hasCarrier": "carrier"})
+
+
+def left_out(m: Model, tables: dict[str, DataFrame], series: DataFrame | None = None, inflows: DataFrame | None = None) -> DataFrame:
+    """component, name, reason: the rows of the component tables that from_components makes no entity of."""
+    parts = [m.spark.createDataFrame([], "component string, name string, reason string")]
+    row = lambda rows, component, reason: rows.select(F.lit(component).alias("component"), F.col("name").cast("string").alias("name"), reason.alias("reason"))
+    if (t := tables.get("generators")) is not None:
+        parts.append(row(t.join(usable_generators(t, series).select("name"), "name", "left_anti"), "generators", F.lit("never gives anything")))
+    if (t := tables.get("stores")) is not None:
+        parts.append(row(_stores(m, t, inflows).where("left IS NOT NULL"), "stores", F.col("left")))
+    if (t := tables.get("links")) is not None:
+        parts.append(row(_links(t, tables["buses"]).where("left IS NOT NULL"), "links", F.col("left")))
+    return reduce(DataFrame.union, parts)
+
+
+def from_components(m: Model, tables: dict[str, DataFrame], series: DataFrame | None = None, inflows: DataFrame | None = None) -> Model:
+    """buses, lines, transformers, loads, generators, storage_units, stores and links (with `name`) as a model; `series`
+    (name, t, value) are what generators can give, `inflows` those of stores, which become normalised profiles. Variable
+    generators without capacity or series, reservoirs without inflow and links to no bus are left out, and `left_out`
+    lists them; hydro storage becomes a reservoir with a generator that draws from it. Fields that the schema does not
+    have are counted by component_parts(...).unknown(m)."""
+    out = component_parts(m, tables, series, inflows).into(m)
+    if inflows is None or "stores" not in tables:
+        return out
+    kept = _stores(m, tables["stores"], inflows).where("hydro AND left IS NULL AND inflow IS NOT NULL")
+    rows = kept.select("name", "inflow", F.concat(F.lit("profile.inflow."), _id("store")).alias("profile_id"))
+    values = inflows.withColumn("name", F.col("name").cast("string")).join(rows, "name").select("profile_id", F.col("t").cast("int").alias("t"), (F.col("value") / F.col("inflow")).alias("value"))
+    return out.but(profile_value=out.profile_value.unionByName(values))
+
+
+def component_parts(m: Model, tables: dict[str, DataFrame], series: DataFrame | None = None, inflows: DataFrame | None = None) -> Parts:
+    """The entities, values and relations that from_components makes, before the schema is looked at."""
     parts = Parts()
-    id_ = lambda kind, c="name": F.concat(F.lit(f"{kind}."), underscored(F.col(c).cast("string")))
+    id_ = _id
     if (t := tables.get("buses")) is not None:
         rows = t.select(id_("node").alias("entity_id"), F.col("name").cast("string").alias("name"), _number(t, "v_nom").alias("nominal_voltage"), _number(t, "x").alias("longitude"), _number(t, "y").alias("latitude"), F.when(column(t, "country").isNotNull(), F.concat(F.lit("region.country."), column(t, "country").cast("string"))).alias("region"))
         parts.add(rows, "ElectricalBus", ["name", "nominal_voltage", "longitude", "latitude"], {"belongsToGeographicalRegion": "region"})
@@ -222,7 +321,11 @@ def from_components(m: Model, tables: dict[str, DataFrame], series: DataFrame |
     if any(t in tables for t in (*CARRIER_TABLES, "carriers")):
         names = carriers_of(tables).select(F.concat(F.lit("carrier."), underscored(F.col("carrier"))).alias("entity_id"), F.col("carrier").alias("name"))
         parts.add(names, "Carrier", ["name"], {})
-    return parts.into(m)
+    if (t := tables.get("stores")) is not None:
+        _add_stores(parts, _stores(m, t, inflows))
+    if (t := tables.get("links")) is not None:
+        _add_links(parts, _links(t, tables["buses"]), tables["buses"])
+    return parts
 
 
 def matpower_case(m: Model, base_mva: float = 100.0) -> dict[str, DataFrame]:

@@ -11,12 +11,12 @@ NUMBERS = [
     "voltage_magnitude_setpoint", "maximum_power_output", "minimum_power_output", "active_power_demand", "reactive_power_demand", "active_power_injection", "reactive_power_injection", "line_length",
     "series_resistance_per_km", "series_reactance_per_km", "shunt_susceptance_per_km", "parallel_circuit_count", "thermal_capacity_rating", "rated_primary_voltage", "rated_secondary_voltage",
     "short_circuit_voltage_in_percentage", "tap_ratio", "phase_shift_angle", "energy_storage_capacity", "annual_natural_inflow_energy", "charging_efficiency", "discharging_efficiency",
-    "energy_conversion_efficiency", "variable_operating_cost",
+    "energy_conversion_efficiency", "variable_operating_cost", "max_flow", "flow_coefficient",
 ]
-TEXTS = ["name", "long_name", "powerflow_bus_type", "line_parameter_basis", "dispatch_type", "hydro_machine_kind", "generator_technology_type", "storage_technology_type", "market_zone_code", "region_level", "nuts_code", "iso_country_code"]
-RELATIONS = ["atNode", "fromNode", "toNode", "hasTechnology", "hasInputCarrier", "hasOutputCarrier", "hasCarrier", "coversRegion", "isSubRegionOf", "belongsToGeographicalRegion", "belongsToCarrierDomain", "drawsFromHydraulicStorage"]
+TEXTS = ["name", "long_name", "powerflow_bus_type", "line_parameter_basis", "dispatch_type", "hydro_machine_kind", "generator_technology_type", "storage_technology_type", "market_zone_code", "region_level", "nuts_code", "iso_country_code", "port_direction", "profile_kind"]
+RELATIONS = ["atNode", "fromNode", "toNode", "hasTechnology", "hasInputCarrier", "hasOutputCarrier", "hasCarrier", "coversRegion", "isSubRegionOf", "belongsToGeographicalRegion", "belongsToCarrierDomain", "drawsFromHydraulicStorage", "storesCarrier", "belongsToUnit", "referencePort", "hasNaturalInflowProfile"]
 ALL = {"attributes": NUMBERS + TEXTS, "relations": RELATIONS}
-CLASSES = ("ElectricalBus", "DemandUnit", "ShuntUnit", "GenerationUnit", "HydroGenerationUnit", "HydraulicStorageUnit", "StorageUnit", "TransmissionLine", "Transformer", "Carrier", "GeographicalRegion", "MarketZone")
+CLASSES = ("ElectricalBus", "DemandUnit", "ShuntUnit", "GenerationUnit", "HydroGenerationUnit", "HydraulicStorageUnit", "StorageUnit", "TransmissionLine", "Transformer", "Carrier", "GeographicalRegion", "MarketZone", "HVDCLink", "GenericConversionUnit", "ConversionPort", "Profile")
 SOURCE = {"attributes": {a: {"type": "decimal"} for a in NUMBERS} | {a: {"type": "string"} for a in TEXTS}, "relations": {r: {"target": "Thing"} for r in RELATIONS}, "classes": {"Thing": {"abstract": True}} | {c: {"parents": ["Thing"], **ALL} for c in CLASSES}}
 
 
@@ -108,6 +108,30 @@ def test_component_tables_with_names(spark, empty):
     assert [(r["entity_id"], r["target_id"]) for r in draws] == [("hydro.reservoir.p", "reservoir.p")]
 
 
+def test_stores_and_links(spark, empty):
+    tables = {
+        "buses": frame(spark, "name string, v_nom double, carrier string", ("A", 380.0, None), ("B", 380.0, "AC"), ("H", None, "H2"), ("W", None, "heat")),
+        "stores": frame(spark, "name string, bus string, carrier string, e_nom double", ("t", "H", "H2 tank", 9.0), ("dry", "A", "reservoir", 5.0), ("wet", "A", "hydro dam", 7.0), ("p", "B", "PHS", 3.0)),
+        "links": frame(spark, "name string, bus0 string, bus1 string, bus2 string, p_nom double, p_max_pu double, efficiency double, efficiency2 double, marginal_cost double, carrier string",
+            ("dc", "A", "B", None, 10.0, 0.5, None, None, 2.0, "DC"), ("el", "A", "H", "W", 4.0, None, 0.7, 0.2, None, "electrolysis"), ("x", "A", "nowhere", None, 1.0, None, None, None, None, "DC"), ("y", None, "H", "", 1.0, None, 0.5, None, None, None)),
+    }
+    inflows = frame(spark, "name string, t int, value double", ("wet", 0, 1.0), ("wet", 1, 3.0), ("dry", 0, 0.0), ("t", 0, 2.0))
+    m = networks.from_components(empty, tables, inflows=inflows)
+    m = m.but(entity=m.entity.cache(), attr=m.attr.cache(), rel=m.rel.cache())
+    assert counts(m) == {"ElectricalBus": 4, "StorageUnit": 1, "HydraulicStorageUnit": 2, "HydroGenerationUnit": 2, "HVDCLink": 1, "GenericConversionUnit": 1, "ConversionPort": 3, "Profile": 1, "Carrier": 6}
+    assert value(m, "link.dc", "max_flow") == 5.0 and value(m, "link.dc", "variable_operating_cost") == 2.0 and value(m, "store.t", "energy_storage_capacity") == 9.0
+    assert value(m, "store.wet", "annual_natural_inflow_energy") == 4.0 and value(m, "hydro.store.p", "hydro_machine_kind") == "reversible"
+    rel = {(r["entity_id"], r["relation_id"]): r["target_id"] for r in m.rel.collect()}
+    assert rel["port.converter.el.output2", "atNode"] == "node.w" and rel["port.converter.el.input", "belongsToUnit"] == "converter.el" and rel["converter.el", "referencePort"] == "port.converter.el.input"
+    assert ("store.wet", "atNode") not in rel and rel["hydro.store.wet", "drawsFromHydraulicStorage"] == "store.wet" and rel["store.t", "atNode"] == "node.h"
+    assert [value(m, f"port.converter.el.{k}", "flow_coefficient") for k in ("input", "output1", "output2")] == [-1.0, 0.7, 0.2]
+    assert {(r["profile_id"], r["t"], r["value"]) for r in m.profile_value.collect()} == {("profile.inflow.store.wet", 0, 0.25), ("profile.inflow.store.wet", 1, 0.75)}
+    gone = {(r["component"], r["name"], r["reason"]) for r in networks.left_out(empty, tables, inflows=inflows).collect()}
+    assert gone == {("stores", "dry", "reservoir without inflow"), ("links", "x", "unknown bus"), ("links", "y", "unknown bus")}
+    unknown = {(r["entity_class"], r["field_id"]): r["n"] for r in networks.component_parts(empty, tables, inflows=inflows).unknown(empty).collect()}
+    assert unknown == {("HydraulicStorageUnit", "has_active_charging"): 1, ("HydraulicStorageUnit", "storesResource"): 2}
+
+
 def test_regions_and_zones(spark, empty):
     codes = frame(spark, "NUTS_ID string, LEVL_CODE int, CNTR_CODE string, NAME_LATN string", ("EL", 0, "EL", "Ellada"), ("EL3", 1, "EL", "Attiki"), ("EL30", 2, "EL", "Attiki"), ("EL301", 3, "EL", None), ("X", 4, "EL", "x"))
     m = regions.regions(empty, codes)
