@@ -1,14 +1,18 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction of identifiers that they miss.
 
 The fixed patterns find e-mail addresses, IP addresses, card numbers and phone numbers. Their matches are seeds, and so
-are hexadecimal strings of 32 to 64 digits, as access keys and tokens are written: seeds of the kind `secret`, which are
-not reported for their form alone. Every token that looks like an identifier, a seed or not, has contexts: lexical
+are hexadecimal strings of 32 to 64 digits that are assigned to a name like key or token: seeds of the kind `secret`. What
+a word like commit or digest names is a checksum, which is neither a seed nor reported. Every token that looks like an identifier, a seed or not, has contexts: lexical
 patterns of the words and signs next to it, of several lengths and with a gap, within REACH code points, and the label
 that begins its line. Contexts and identifier values form a bipartite graph on which Spark passes scores back and forth:
 a context's confidence for a kind is the share of its different values that are of that kind, discounted where it has
 met few; a value is of a kind if one of its contexts is confident of it. Such values count as seeds in the next round.
 At the end, what is no match of a fixed pattern but has the form of a kind, and stands in a context of high confidence
-for it, is added. A secret needs a sign of assignment in its context.
+for it, is added. A secret needs a word and a sign of assignment in its context.
+
+A context in which many values are of no known kind can never be that sure. It counts as leading to a kind if it has a word,
+twice the support, two fifths known values, and next to none that could not be of the kind; two such contexts around
+a value that has the form are as good as a sure one.
 
 Edge cases: a null or empty text has no spans; without seeds nothing is added; a value or context that repeats counts
 once for each different partner; rows that agree in doc_id and text are alike; a null doc_id is kept; the patterns take
@@ -50,6 +54,12 @@ TOKEN = re.compile(r"[^\W\d_]+|[^\w\s]")
 LABEL = re.compile(r"\s*([^\W\d_]+)\s*[:=]")
 DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 ASSIGNED = ("=", ":")
+#: Words before a secret, and before a checksum, which looks the same; so many words and signs before are looked at.
+KEY_WORDS = frozenset(("token", "key", "apikey", "secret", "password", "passwd", "pwd", "auth", "credential", "credentials", "bearer"))
+CHECKSUM_WORDS = frozenset(("commit", "sha", "md", "etag", "integrity", "digest", "checksum", "hash", "rev", "revision", "crc", "blob", "tree"))
+NAMED = 6
+#: A context that leads to a kind: known values of all, and values of all that could not be of the kind, at most.
+LEADING, STRANGE = 0.4, 0.05
 
 
 def luhn(digits: str) -> bool:
@@ -110,16 +120,24 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return out
 
 
+def _words_before(text: str, start: int) -> list[str]:
+    return TOKEN.findall(text[max(0, start - REACH) : start].lower())[-NAMED:]
+
+
 def _likely(text: str) -> Iterator[tuple[int, int, list[str], str | None]]:
     """(start, end, forms, the kind if it is a seed by its form) of what looks like an identifier."""
     if "@" in text or "(at)" in text or "[at]" in text:
         yield from ((*span, ["email"], None) for span in _with_local(text, DISGUISED))
     for m in NUMBER.finditer(text):
-        if could := forms(m[0]):
+        inside = text[m.start() - 1 : m.start()].isalnum() or text[m.end() : m.end() + 1].isalnum()  # a part of a longer name
+        if not inside and (could := forms(m[0])):
             yield *m.span(), could, None
     for m in OPAQUE.finditer(text):
         if len(DIGIT.findall(m[0])) >= 4 and LETTER.search(m[0]):
-            yield *m.span(), [SECRET], SECRET if HEX.fullmatch(m[0]) else None
+            before = _words_before(text, m.start())
+            if CHECKSUM_WORDS.isdisjoint(before):
+                named = not KEY_WORDS.isdisjoint(before) and any(x in ASSIGNED for x in before)
+                yield *m.span(), [SECRET], SECRET if named and HEX.fullmatch(m[0]) else None
 
 
 def _scan(text: str) -> tuple[list[dict], list[dict]]:
@@ -158,16 +176,13 @@ def scanned(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "key", "text").mapInArrow(scan, f"doc_id long, key long, base array<{SPAN}>, likely array<{LIKE}>")
 
 
-def confident_contexts(likely: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
-    """(context, kind) of high confidence, from identifier-like tokens (value, kind, forms, contexts).
-
-    Each round joins the edges between contexts and values with the values' kinds and counts by context with partial
-    sums; neither a frequent context nor a frequent value is gathered anywhere."""
+def _bootstrapped(likely: DataFrame, rounds: int, support: int, confident: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(context, kind) of high confidence, (value, kind) of what is known in the end, and the edges (context, value, n)."""
     edges = stored(likely.select(F.explode("contexts").alias("context"), "value").distinct(), "edges")
     sizes = stored(edges.groupBy("context").agg(F.count("*").alias("n")).where(F.col("n") >= support), "sizes")
     edges = stored(edges.join(small(sizes), "context"), "edges")
     seeds = stored(likely.where("kind is not null").select("value", "kind").distinct(), "seeds")
-    assigned = F.exists(F.split("context", " "), lambda t: t.isin(*ASSIGNED))
+    assigned = F.exists(F.split("context", " "), lambda t: t.isin(*ASSIGNED)) & F.col("context").rlike(WORDED)
     known, best = seeds, None
     for _ in range(rounds):
         met = edges.join(small(known), "value").groupBy("context", "kind").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
@@ -176,7 +191,31 @@ def confident_contexts(likely: DataFrame, rounds: int = ROUNDS, support: int = S
         new = likely.where("kind is null").select("value", F.explode("contexts").alias("context"), "forms").join(small(best), "context")
         new = new.where(F.expr("array_contains(forms, kind)")).select("value", "kind")
         known = stored(seeds.union(new).distinct(), "known")
-    return best
+    return best, known, edges
+
+
+def confident_contexts(likely: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
+    """(context, kind) of high confidence, from identifier-like tokens (value, kind, forms, contexts).
+
+    Each round joins the edges between contexts and values with the values' kinds and counts by context with partial
+    sums; neither a frequent context nor a frequent value is gathered anywhere."""
+    return _bootstrapped(likely, rounds, support, confident)[0]
+
+
+#: A context with a word beside the place of the value.
+WORDED = r"\p{L}"
+
+
+def leading_contexts(likely: DataFrame, known: DataFrame, edges: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """(context, kind) of contexts with many values of no known kind that nevertheless lead to a kind."""
+    met = edges.join(small(known), "value").groupBy("context", "kind").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
+    enough = (F.col("hits") >= 2 * support) & (F.col("hits") / (F.col("n") + 1) >= LEADING) & F.col("context").rlike(WORDED) & (F.col("kind") != SECRET)
+    candidates = stored(met.where(enough).select("context", "kind", "n"), "candidates")
+    shapes = likely.select("value", "forms").distinct()
+    strange = edges.select("context", "value").join(small(candidates), "context").join(shapes, "value").join(known.withColumn("known", F.lit(True)), ["value", "kind"], "left")
+    strange = strange.where(F.expr("known IS NULL AND NOT array_contains(forms, kind)")).groupBy("context", "kind").agg(F.count("*").alias("strange"))
+    out = candidates.join(strange, ["context", "kind"], "left").where(F.coalesce("strange", F.lit(0)) <= STRANGE * F.col("n"))
+    return stored(out.select("context", "kind"), "leading")
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
@@ -186,9 +225,12 @@ def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confiden
     with scratch(docs.sparkSession) as keep:
         rows = keep(scanned(keyed(docs)), "scanned")
         likely = rows.select("key", F.explode("likely").alias("x")).select("key", "x.*")
-        best = confident_contexts(likely, rounds, support, confident)
-        added = likely.where("NOT base").select("key", "start", "end", "forms", F.explode("contexts").alias("context")).join(small(best), "context")
-        added = added.where(F.expr("array_contains(forms, kind)")).select("key", F.struct("kind", "start", "end").alias("x")).distinct()
+        best, known, edges = _bootstrapped(likely, rounds, support, confident)
+        leading = leading_contexts(likely, known, edges, support)
+        votes = stored(best.withColumn("vote", F.lit(2)).union(leading.join(best, ["context", "kind"], "left_anti").withColumn("vote", F.lit(1))), "votes")
+        added = likely.where("NOT base").select("key", "start", "end", "forms", F.explode(F.array_distinct("contexts")).alias("context")).join(small(votes), "context")
+        added = added.where(F.expr("array_contains(forms, kind)")).groupBy("key", "start", "end", "kind").agg(F.max("vote").alias("best"), F.count_distinct("context").alias("n"))
+        added = added.where("best = 2 OR n >= 2").select("key", F.struct("kind", "start", "end").alias("x"))
         added = keep(added.groupBy("key").agg(F.collect_list("x").alias("added")), "added")
     out = rows.select("doc_id", "key", "base").join(small(added), "key", "left")
     free = F.filter(F.coalesce("added", F.array().cast(f"array<{SPAN}>")), lambda x: ~F.exists("base", lambda y: (x["kind"] == y["kind"]) & (x["start"] < y["end"]) & (y["start"] < x["end"])))

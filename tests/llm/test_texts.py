@@ -1,6 +1,7 @@
 """Quality, language, decontamination, packing, personal data, revisits."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -249,6 +250,30 @@ def test_secrets_are_found_by_their_context(spark):
     assert found[100] == [("secret", 9, 28)]
 
 
+def test_checksums_are_no_secrets(spark):
+    """Logs and lock files: what commit, sha256 = or integrity: names is never reported, whatever else is learned."""
+    rng = random.Random(6)
+    digits = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(k, f"commit: {digits(40)}\nsha256 = {digits(64)}\n") for k in range(20)]
+    rows += [(100 + k, f'integrity: {digits(64)}\netag = "{digits(32)}"\nmd5: {digits(32)} checksum = {digits(40)}') for k in range(20)]
+    rows += [(200 + k, f'api_key = "{digits(40)}"') for k in range(20)] + [(300, f"id = {digits(40)}"), (301, f"build {digits(40)}")]
+    found = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k for k, v in found.items() if v} == set(range(200, 220))
+
+
+def test_contexts_with_many_unseen_values(spark):
+    """30 phones with a plus sign and 30 without in one context: the latter are found. Numbers in a context without known
+    phones, or in one that other things stand in as well, are not."""
+    rng = random.Random(7)
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    rows = [(k, f"please call phone +41{number(9)} today") for k in range(30)] + [(100 + k, f"please call phone 079{number(7)} today") for k in range(30)]
+    rows += [(200 + k, f"order number {number(9)} was sent") for k in range(30)]
+    rows += [(300 + k, f"about {'+41' if k % 2 else ''}{number(9)} there") for k in range(30)] + [(400 + k, f"about 10.0.{k}.7 there") for k in range(30)]
+    spans = {r["doc_id"]: [s["kind"] for s in r["spans"]] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(spans[100 + k] == ["phone"] for k in range(30)) and not any(spans[200 + k] for k in range(30))
+    assert not any(spans[300 + k] for k in range(0, 30, 2)) and all(spans[k] == ["phone"] for k in range(30))
+
+
 def test_confidence_of_contexts_against_python(spark):
     import random
 
