@@ -7,7 +7,7 @@ lowest score counts, the first of several. A candidate that lies in a longer one
 own is dropped. Looking at candidates of one word more is enough: between a phrase and a longer one around it, counts
 only fall. Of each language the first `top` remain.
 
-The rows of n-grams are dealt out by length and hash to parts, one after the other, so that the shuffle files of one part
+Words and pairs are counted in one pass, each further length in one of its own, so that the shuffle files of one pass
 lie on disk at a time; each task counts what it has before it shuffles. Parts of a candidate occur at least as often as
 it does, so only n-grams of `least` places and more are stored. A part that very many candidates share is dealt out to
 blocks in the join, and the ranking takes the best of SALTS shares of a language before those of the language.
@@ -25,43 +25,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import scratch, small, stored
-from .text_columns import ascii_lower, rolling, words_between
+from .text_columns import ascii_lower, words_between
 
 MOST, LEAST, INSIDE, TOP = 3, 10, 50, 2000
-#: What separates pieces, and words in a piece.
-PIECE, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
-#: Parts into which the n-grams of two or more words are dealt by their hash, for each length.
-SHARES = 2
+#: What separates pieces.
+PIECE = r"[.,;:!?\x0A-\x0D]"
 #: Candidates with the same part that one task looks up; shares of a language in its ranking.
 BLOCK, SALTS = 100_000, 32
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """(lang, words) of each piece that has a word."""
+    """(lang, words) of each piece that has a word. Splitting at one character needs no regular expression."""
     text = ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit("")))
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.explode(F.split(text, PIECE)).alias("piece"))
-    return rows.select("lang", words_between(F.col("piece"), BLANKS).alias("words")).where(F.size("words") > 0)
+    return rows.select("lang", words_between(F.replace("piece", F.lit("\t"), F.lit(" ")), " ").alias("words")).where(F.size("words") > 0)
 
 
-def grams(rows: DataFrame, n: int) -> DataFrame:
-    """(lang, phrase): a row for each place of n words in a piece."""
-    if n == 1:
-        return rows.select("lang", F.explode("words").alias("phrase"))
-    return rows.where(F.size("words") >= n).select("lang", F.explode(rolling("words", n, lambda *w: F.concat_ws(" ", *w))).alias("phrase"))
+def grams(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """(lang, phrase, words): a row for each place of so many words in a piece, for each of `lengths`."""
+    most = max(lengths)
+    shifted = F.arrays_zip(*(F.slice("words", k + 1, F.size("words")).alias(f"w{k}") for k in range(most)))
+    word = lambda k: F.col("z")[f"w{k}"]
+    spaced = lambda n: F.concat(word(0), *(x for k in range(1, n) for x in (F.lit(" "), word(k))))
+    places = rows.select("lang", F.explode(shifted).alias("z"))
+    if len(lengths) == 1:
+        return places.select("lang", spaced(most).alias("phrase"), F.lit(most).alias("words")).where("phrase IS NOT NULL")
+    each = F.explode(F.array(*(F.struct(spaced(n).alias("phrase"), F.lit(n).alias("words")) for n in lengths))).alias("x")
+    return places.select("lang", each).select("lang", "x.*").where("phrase IS NOT NULL")
 
 
 def counted(docs: DataFrame, most: int = MOST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f) of the phrases of 1 to `most` words with f >= `least`, and (lang, n) with all words."""
     rows, found = pieces(docs), []
-    ones = stored(grams(rows, 1).groupBy("lang", "phrase").agg(F.count("*").alias("f")), "words")
-    totals = stored(ones.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-    found.append(ones.where(F.col("f") >= least).withColumn("words", F.lit(1)))
-    for n in range(2, most + 1):
-        for share in range(SHARES):
-            own = grams(rows, n).where(F.pmod(F.xxhash64("phrase"), F.lit(SHARES)) == share)
-            own = own.groupBy("lang", "phrase").agg(F.count("*").alias("f")).where(F.col("f") >= least)
-            found.append(stored(own, "grams").withColumn("words", F.lit(n)))
-    return reduce(DataFrame.unionByName, found).select("lang", "phrase", "words", "f"), totals
+    for lengths in [[1, 2], *([n] for n in range(3, most + 1))]:
+        own = grams(rows, lengths).groupBy("lang", "phrase", "words").agg(F.count("*").alias("f"))
+        found.append(stored(own.where((F.col("f") >= least) | (F.col("words") == 1)), "grams"))
+    counts = reduce(DataFrame.unionByName, found)
+    totals = stored(found[0].where("words = 1").groupBy("lang").agg(F.sum("f").alias("n")), "totals")
+    return counts.where(F.col("f") >= least), totals
 
 
 def _with_count(cuts: DataFrame, counts: DataFrame, part: str, name: str) -> DataFrame:
