@@ -14,6 +14,9 @@ from .store import BROADCAST_ROWS, scratch, size, small, stored
 QUOTAS = (1, 12, None)
 #: Members of a shared token that one task compares with others at a time, about.
 BLOCK = 512
+#: Turns in which sets of crowded buckets are compared with leaders of their rare members, and leaders for each; the turns
+#: end when fewer than one in 1 / WORTH pairs is a link.
+TURNS, STARS, WORTH = 6, 4, 0.02
 
 
 def ordered(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -89,21 +92,40 @@ def leader_pairs(live: DataFrame) -> DataFrame:
     return live.join(small(leaders), "bucket").select(F.col("id").alias("a"), F.col("leader").alias("b"))
 
 
-def prefix_pairs(tokens: DataFrame, percent: int) -> DataFrame:
-    """(a, b, shared): pairs of sets of different classes among which are all whose Jaccard similarity reaches
-    `percent` / 100, from `tokens` (id, c, v), the members v of each set with its class c, with the number of first
-    members that they share.
+def prefixes(tokens: DataFrame, percent: int) -> DataFrame:
+    """(v, id, n, pos): the rarest members v of each set of `tokens` (id, v), with their place and the set's size, among
+    which two sets whose Jaccard similarity reaches `percent` / 100 share one.
 
-    Prefix filter: the members of each set are ordered from the rarest to the most frequent. Two similar sets share one
-    among the first few of both, and with the rank of the first shared one the size of the intersection is bounded. So
-    what most sets of a family have in common is never looked up. A token that very many sets share is dealt out to
-    blocks.
-    """
+    The members of each set are ordered from the rarest to the most frequent, so that what most sets of a family have in
+    common is hardly ever looked up."""
     times = tokens.groupBy("v").agg(F.count("*").alias("f"))
     own = Window.partitionBy("id")
     ranked = tokens.join(times, "v").withColumn("pos", F.row_number().over(own.orderBy("f", "v"))).withColumn("n", F.count("*").over(own))
-    probe = ranked.where(f"f > 1 AND pos <= n - ({percent} * n + 99) div 100 + 1").select("v", "id", "c", "n", "pos")
-    probe = stored(probe, "probe")
+    return ranked.where(f"f > 1 AND pos <= n - ({percent} * n + 99) div 100 + 1").select("v", "id", "n", "pos")
+
+
+def _classed(probe: DataFrame, classes: DataFrame) -> DataFrame:
+    return probe.join(small(classes).select("id", F.col("component").alias("c")), "id", "left").withColumn("c", F.coalesce("c", "id"))
+
+
+def star_pairs(probe: DataFrame, classes: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): each set with the leaders of its rare members that belong to other classes, STARS of them at most, those of
+    most of its rare members first. So there are at most STARS pairs for each set, however large a family is. The leader
+    of a member is one of the sets that have it, in each turn another one."""
+    rows = _classed(probe, classes)
+    leaders = rows.groupBy("v").agg(F.min(F.struct(F.xxhash64("id", "v", F.lit(turn)).alias("h"), "id", "c", "n")).alias("x"), F.min("c").alias("low"), F.max("c").alias("high"))
+    leaders = stored(leaders.where("low < high").select("v", F.col("x.id").alias("leader"), F.col("x.c").alias("lc"), F.col("x.n").alias("ln")), "leaders")
+    met = rows.join(small(leaders), "v").where("c <> lc").where(f"100 * n >= {percent} * ln AND 100 * ln >= {percent} * n")
+    shared = met.groupBy("id", "leader").agg(F.count("*").alias("shared"))
+    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("shared"), F.xxhash64("id", "leader", F.lit(turn)), "leader"))
+    return ordered(shared.withColumn("rank", best).where(F.col("rank") <= STARS), "id", "leader")
+
+
+def prefix_pairs(probe: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, shared): pairs of sets of different classes among which are all whose Jaccard similarity reaches
+    `percent` / 100, from their rarest members, with the number of those that they share. With the rank of the first
+    shared one the size of the intersection is bounded. A member that very many sets share is dealt out to blocks."""
+    probe = _classed(probe, classes)
     index = probe.where(f"pos <= n - ({2 * percent} * n + {99 + percent}) div {100 + percent} + 1")
     load = index.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     load = stored(load.where("blocks > 1"), "load")
@@ -131,7 +153,8 @@ def linked_groups(
     No bucket is expanded into its pairs. First the pairs of `tried` are verified, a few for each member. A bucket whose
     members are then all in one class is settled. In the others, and only there, members of different classes are
     candidates too: all of them in a bucket of at most `crowd` members; those of larger ones by a prefix filter over their
-    sets, which misses no link. `tokens` gives the (id, v) of nodes (id). Of the candidates between two classes those
+    sets, which misses no link. Before it, in a few turns, each set meets a few leaders of its rare members, which joins
+    most of a family at a cost in proportion to its size. `tokens` gives the (id, v) of nodes (id). Of the candidates between two classes those
     that have most in common are verified first, and only if they leave the classes apart do the others follow, to the
     last one.
     """
@@ -146,11 +169,25 @@ def linked_groups(
     x, y = few.alias("x"), few.alias("y")
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.c") < F.col("y.c")))
     pairs = pairs.groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).agg(F.count("*").alias("shared"))
+    crowded = stored(rest.where(F.col("size") > crowd).select("id").distinct(), "crowded")
+    probe = None
+    if size(crowded):
+        with scratch(live.sparkSession) as keep:
+            probe = keep(prefixes(stored(tokens(crowded), "tokens"), percent), "probe")
+        for turn in range(TURNS):
+            with scratch(live.sparkSession) as keep:
+                met = keep(star_pairs(probe, classes, turn, percent).join(tried, ["a", "b"], "left_anti"), "met")
+            if not size(met):
+                break
+            tried = stored(tried.union(met), "tried")
+            with scratch(live.sparkSession) as keep:
+                more = keep(verify(near(met)), "more")
+            classes = united(classes, more) if size(more) else classes
+            if size(more) < size(met) * WORTH:
+                break
     with scratch(live.sparkSession) as keep:
-        crowded = stored(rest.where(F.col("size") > crowd).select("id", "c").distinct(), "crowded")
-        if size(crowded):
-            sets = stored(tokens(crowded.select("id")).join(small(crowded), "id"), "tokens")
-            pairs = pairs.union(prefix_pairs(sets, percent))
+        if probe is not None:
+            pairs = pairs.union(prefix_pairs(probe, classes, percent))
         pairs = pairs.groupBy("a", "b").agg(F.max("shared").alias("shared")).join(tried, ["a", "b"], "left_anti")
         pairs = keep(pairs, "candidates")
     done = tried.limit(0)
