@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from .functions import classify, numbers, text
 from .operators import country, etl, market, mutation, navigation, profiles, reports, rolled_model, rollup, subset
+from .model import relation_rows
 from .plans import conditions, validation
 from .plans.schema import Schema, empty_model
 from .sources import hierarchical, networks, readers, regions, writers
-from .sources.star import ENERGY_SCHEMA, energy_model, key, star_model, table, violating_model
+from .sources.star import ENERGY_SCHEMA, SCHEMA, energy_model, key, star_model, table, violating_model
 from .streaming import events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,16 +120,28 @@ def assets_at_node(spark, d):
     return rows.groupBy(F.col("target_id").alias("node")).agg(F.count("*").alias("n"), F.min(F.regexp_extract("entity_id", r"(\d+)", 1).cast("long")).alias("first_key"))
 
 
-@query("""WITH RECURSIVE p(c, a) AS (VALUES ('EnergyAssetInstance','SemanticEntity'),('GenerationUnit','EnergyAssetInstance'),('DemandUnit','EnergyAssetInstance'),('NetworkNode','SemanticEntity'),
+_OWN = """own AS (SELECT 'GeographicalRegion' AS class_name, count(*) AS n FROM region UNION ALL SELECT 'NetworkNode', count(*) FROM nation UNION ALL SELECT 'GenerationUnit', count(*) FROM supplier
+ UNION ALL SELECT 'DemandUnit', count(*) FROM customer UNION ALL SELECT 'GeneratorType', count(*) FROM part)"""
+
+
+def _with_counts(m, classes: DataFrame, column: str = "class_name") -> DataFrame:
+    """Rows about classes with the number of entities that a class has itself."""
+    return classes.join(reports.entity_counts(m).withColumnRenamed("entity_class", column), column, "left").fillna(0, ["n"])
+
+
+@query(f"""WITH RECURSIVE p(c, a) AS (VALUES ('EnergyAssetInstance','SemanticEntity'),('GenerationUnit','EnergyAssetInstance'),('DemandUnit','EnergyAssetInstance'),('NetworkNode','SemanticEntity'),
  ('GeographicalRegion','SemanticEntity'),('GeneratorType','SemanticEntity')), k(class_name, ancestor, depth) AS (SELECT c, c, 0 FROM (SELECT c FROM p UNION SELECT a FROM p)
- UNION ALL SELECT k.class_name, p.a, k.depth + 1 FROM k JOIN p ON k.ancestor = p.c) SELECT class_name, ancestor, CAST(depth AS INTEGER) AS depth FROM k""")
+ UNION ALL SELECT k.class_name, p.a, k.depth + 1 FROM k JOIN p ON k.ancestor = p.c), {_OWN}
+ SELECT class_name, ancestor, CAST(depth AS INTEGER) AS depth, coalesce(n, 0) AS n FROM k LEFT JOIN own USING (class_name)""")
 def class_closure(spark, d):
-    return star_model(spark, d).class_closure
+    m = star_model(spark, d)
+    return _with_counts(m, m.class_closure)
 
 
-@query("SELECT class_name, 1 AS depth FROM (VALUES ('GenerationUnit'), ('DemandUnit')) t(class_name) UNION ALL SELECT 'EnergyAssetInstance', 0")
+@query(f"WITH {_OWN} SELECT class_name, 1 AS depth, n FROM own WHERE class_name IN ('GenerationUnit', 'DemandUnit') UNION ALL SELECT 'EnergyAssetInstance', 0, 0")
 def is_derived_from(spark, d):
-    return navigation.class_tree(star_model(spark, d), "EnergyAssetInstance")
+    m = star_model(spark, d)
+    return _with_counts(m, navigation.class_tree(m, "EnergyAssetInstance"))
 
 
 @query("""SELECT 'region.' || r_regionkey AS entity_id FROM region UNION ALL SELECT 'node.' || n_nationkey FROM nation UNION ALL SELECT 'gen.' || s_suppkey FROM supplier
@@ -267,6 +280,40 @@ def unused_schema_fields(spark, d):
     return validation.unused_fields(star_model(spark, d))
 
 
+_AUDITED = {
+    "relations": {"hasTariff": {"target": "GeneratorType"}, "hasOwner": {"target": "NetworkNode"}},
+    "classes": {
+        "MarketDemand": {"parents": ["DemandUnit"], "abstract": True, "relations": ["hasTariff"]},
+        "FlexibleDemand": {"parents": ["MarketDemand"]},
+        "FixedDemand": {"parents": ["MarketDemand"]},
+        "Depot": {"parents": ["NetworkNode"], "relations": ["hasOwner"]},
+    },
+}
+
+
+@query("""WITH RECURSIVE p(c, a) AS (VALUES ('EnergyAssetInstance', 'SemanticEntity'), ('GenerationUnit', 'EnergyAssetInstance'), ('DemandUnit', 'EnergyAssetInstance'), ('NetworkNode', 'SemanticEntity'), ('GeographicalRegion', 'SemanticEntity'), ('GeneratorType', 'SemanticEntity'),
+ ('MarketDemand', 'DemandUnit'), ('FlexibleDemand', 'MarketDemand'), ('FixedDemand', 'MarketDemand'), ('Depot', 'NetworkNode')), k(c, a, depth) AS (SELECT c, c, 0 FROM (SELECT c FROM p UNION SELECT a FROM p) UNION ALL SELECT k.c, p.a, k.depth + 1 FROM k JOIN p ON k.a = p.c),
+ f(c, kind, field) AS (VALUES ('EnergyAssetInstance', 'attribute', 'name'), ('GenerationUnit', 'attribute', 'nominal_power_capacity'), ('DemandUnit', 'attribute', 'annual_energy_demand'), ('DemandUnit', 'attribute', 'segment'), ('DemandUnit', 'attribute', 'price'), ('DemandUnit', 'attribute', 'label'),
+ ('GeneratorType', 'attribute', 'brand'), ('GeneratorType', 'attribute', 'size'), ('GenerationUnit', 'relation', 'atNode'), ('GenerationUnit', 'relation', 'hasTechnology'), ('DemandUnit', 'relation', 'atNode'), ('NetworkNode', 'relation', 'belongsToGeographicalRegion'), ('MarketDemand', 'relation', 'hasTariff'), ('Depot', 'relation', 'hasOwner')),
+ cu AS (SELECT *, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'FlexibleDemand' ELSE 'DemandUnit' END AS c FROM customer),
+ inst AS (SELECT 'GeographicalRegion' AS c FROM region UNION SELECT 'NetworkNode' FROM nation UNION SELECT 'GenerationUnit' FROM supplier UNION SELECT c FROM cu UNION SELECT 'GeneratorType' FROM part),
+ u(kind, c, field) AS (SELECT 'attribute', 'GenerationUnit', 'name' FROM supplier UNION SELECT 'attribute', 'GenerationUnit', 'nominal_power_capacity' FROM supplier WHERE s_acctbal IS NOT NULL UNION SELECT 'attribute', c, 'annual_energy_demand' FROM cu WHERE c_acctbal IS NOT NULL
+ UNION SELECT 'attribute', c, 'segment' FROM cu WHERE c_mktsegment IS NOT NULL UNION SELECT 'attribute', 'GeneratorType', v FROM part, (VALUES ('brand'), ('size'), ('price')) t(v) UNION SELECT 'relation', 'GenerationUnit', 'atNode' FROM supplier UNION SELECT 'relation', 'GenerationUnit', 'hasTechnology' FROM supplier WHERE s_acctbal > 5000
+ UNION SELECT 'relation', c, 'atNode' FROM cu UNION SELECT 'relation', 'NetworkNode', 'belongsToGeographicalRegion' FROM nation UNION SELECT 'relation', c, 'hasTariff' FROM cu WHERE c = 'FlexibleDemand')
+ SELECT 'dead ' || kind AS finding, NULL AS class_name, field AS field_id, NULL AS used_by FROM (SELECT DISTINCT kind, field FROM f) WHERE (kind, field) NOT IN (SELECT kind, field FROM u)
+ UNION ALL SELECT unnest(['orphan class', 'unused stable class']), c, NULL, NULL FROM (SELECT DISTINCT c FROM p WHERE c NOT IN ('EnergyAssetInstance', 'MarketDemand')) WHERE c NOT IN (SELECT c FROM inst)
+ UNION ALL SELECT 'single descendant', f.c, f.field, min(u.c) FROM f JOIN u ON f.kind = 'relation' AND u.kind = 'relation' AND u.field = f.field LEFT JOIN k ON k.c = u.c AND k.a = f.c GROUP BY f.c, f.field HAVING count(DISTINCT u.c) = 1 AND bool_and(coalesce(k.depth > 0, false))""")
+def schema_audit(spark, d):
+    """Customers of one segment are of a class below demand, and have a relation that a class between declares."""
+    m, customer = star_model(spark, d), table(spark, d, "customer").where("c_mktsegment = 'MACHINERY'")
+    flexible = customer.select(key("load", "c_custkey").alias("entity_id"), F.lit("FlexibleDemand").alias("new"))
+    of = lambda t: t.join(flexible, "entity_id", "left").withColumn("entity_class", F.coalesce("new", "entity_class")).select(*t.columns)
+    tariffs = relation_rows(customer, "FlexibleDemand", key("load", "c_custkey"), "hasTariff", key("tech", "c_custkey"))
+    classes = dict(zip(("class_def", "class_closure", "field_def"), Schema.composed([SCHEMA, _AUDITED]).frames(spark), strict=True))
+    m = m.but(entity=of(m.entity), attr=of(m.attr), rel=of(m.rel).unionByName(tariffs), **classes)
+    return validation.audit(m, stable=["Depot", "FixedDemand", "GenerationUnit"])
+
+
 # rules
 
 
@@ -442,11 +489,13 @@ def unpivot_hours(spark, d):
     return profiles.from_hours(rows, ["p_partkey"], ["0", "1", "2"])
 
 
-@query("""WITH s AS (SELECT profile_id, CAST(t AS INTEGER) AS t, CAST(t * k AS DOUBLE) AS value FROM (VALUES ('a', 1, 72), ('b', 2, 48)) p(profile_id, k, n), range(96) r(t) WHERE t < n)
- SELECT * FROM s UNION ALL SELECT profile_id, CAST(t + 24 AS INTEGER), value FROM s WHERE profile_id = 'a' AND t >= 48 ORDER BY 1, 2""")
+@query("""WITH n AS (SELECT 'profile.' || c_nationkey AS profile_id, count(*) AS k, CASE WHEN c_nationkey % 2 = 0 THEN 72 ELSE 48 END AS n FROM customer GROUP BY c_nationkey),
+ s AS (SELECT profile_id, n, CAST(t AS INTEGER) AS t, CAST(t * k AS DOUBLE) AS value FROM n, range(96) r(t) WHERE t < n)
+ SELECT profile_id, t, value FROM s UNION ALL SELECT profile_id, CAST(t + 24 AS INTEGER), value FROM s WHERE n = 72 AND t >= 48""")
 def pad_last_day(spark, d):
-    rows = spark.range(96).select(F.col("id").cast("int").alias("t"), F.explode(F.array(F.struct(F.lit("a").alias("p"), F.lit(1).alias("k"), F.lit(72).alias("n")), F.struct(F.lit("b").alias("p"), F.lit(2).alias("k"), F.lit(48).alias("n")))).alias("x"))
-    rows = rows.where("t < x.n").select(F.col("x.p").alias("profile_id"), "t", (F.col("t") * F.col("x.k")).cast("double").alias("value"))
+    counts = table(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("k"))
+    steps = F.explode(F.sequence(F.lit(0), F.when(F.col("c_nationkey") % 2 == 0, 71).otherwise(47)))
+    rows = counts.select(key("profile", "c_nationkey").alias("profile_id"), "k", steps.alias("t")).select("profile_id", "t", (F.col("t") * F.col("k")).cast("double").alias("value"))
     return profiles.padded(rows, ["profile_id"], 96)
 
 
@@ -588,6 +637,41 @@ def upsert_attributes(spark, d):
     return navigation.wide(m, "GenerationUnit", ["name"], number=False).select("entity_id", "name")
 
 
+def _written(spark, d):
+    """Values for customers and parts, of which some break a rule."""
+    c, p = table(spark, d, "customer"), table(spark, d, "part")
+    none, k = F.lit(None).cast("string"), F.col("c_custkey")
+    load, text_ = key("load", "c_custkey"), lambda x: F.col(x).cast("string")
+    row = lambda t, id_, name, value, unit=none: t.select(id_.alias("entity_id"), F.lit(name).alias("attribute_id"), value.alias("value_str"), unit.alias("unit"))
+    parts = [
+        row(c, load, "segment", F.col("c_mktsegment")),
+        row(c.where("c_custkey % 11 = 0"), load, "label", F.concat(F.lit("x"), text_("c_custkey"))),
+        row(c, load, "annual_energy_demand", F.replace(text_("c_acctbal"), F.lit("."), F.lit(",")), F.when(k % 5 == 0, "kg")),
+        row(c.where("c_custkey % 7 = 0"), load, "colour", F.lit("red")),
+        row(c.where("c_custkey % 13 = 0"), key("lost", "c_custkey"), "segment", F.lit("BUILDING")),
+        row(p.where("p_partkey % 4 < 2"), key("tech", "p_partkey"), "brand", F.when(F.col("p_partkey") % 4 == 0, F.concat("p_brand", F.lit("x"))).otherwise("Brand#5")),
+    ]
+    rows = parts[0]
+    for x in parts[1:]:
+        rows = rows.union(x)
+    return mutation.write_attributes(star_model(spark, d), rows)
+
+
+@query("""SELECT 'load.' || c_custkey AS entity_id, 'segment' AS field_id, 'enum' AS rule, 'reported' AS policy FROM customer WHERE c_mktsegment NOT IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD')
+ UNION ALL SELECT 'load.' || c_custkey, 'label', 'type', 'rejected' FROM customer WHERE c_custkey % 11 = 0 UNION ALL SELECT 'load.' || c_custkey, 'annual_energy_demand', 'minimum', 'reported' FROM customer WHERE c_acctbal < 0
+ UNION ALL SELECT 'load.' || c_custkey, 'annual_energy_demand', 'unit', 'rejected' FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT 'load.' || c_custkey, 'colour', 'field', 'rejected' FROM customer WHERE c_custkey % 7 = 0
+ UNION ALL SELECT 'lost.' || c_custkey, 'segment', 'entity', 'rejected' FROM customer WHERE c_custkey % 13 = 0 UNION ALL SELECT 'tech.' || p_partkey, 'brand', 'pattern', 'rejected' FROM part WHERE p_partkey % 4 = 0""")
+def written_violations(spark, d):
+    return _written(spark, d)[1].select("entity_id", "field_id", "rule", "policy")
+
+
+@query("""SELECT 'load.' || c_custkey AS entity_id, 'annual_energy_demand' AS attribute_id, NULL AS text, c_acctbal AS number, CASE WHEN c_custkey % 5 > 0 THEN 'MWh' END AS unit FROM customer
+ UNION ALL SELECT 'tech.' || p_partkey, 'brand', CASE WHEN p_partkey % 4 = 1 THEN 'Brand#5' ELSE p_brand END, NULL, NULL FROM part UNION ALL SELECT 'load.' || c_custkey, 'segment', c_mktsegment, NULL, NULL FROM customer""")
+def written_values(spark, d):
+    rows = _written(spark, d)[0].attr.where("attribute_id IN ('annual_energy_demand', 'brand', 'segment')")
+    return rows.select("entity_id", "attribute_id", F.when(F.col("attribute_id") != "annual_energy_demand", F.col("value_str")).alias("text"), F.col("value_num").alias("number"), "unit")
+
+
 @query("SELECT entity_id FROM (SELECT 'lib.tech.' || p_partkey AS entity_id FROM part WHERE p_size > 25)")
 def import_library_namespaced(spark, d):
     m = star_model(spark, d)
@@ -728,9 +812,11 @@ def validate_linked(spark, d):
     return validation.validate_for_analysis(energy_model(spark, d), profile).select("entity_id", "field_id", "rule")
 
 
-@query("SELECT 'GenerationUnit' AS class_name, 'GenerationResult' AS view UNION ALL SELECT 'HydroGenerationUnit', v FROM (VALUES ('GenerationResult'), ('PeakResult')) t(v)")
+@query("""WITH n AS (SELECT 'GenerationResult' AS view, count(*) AS n FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT 'PeakResult', count(*) FROM supplier WHERE s_suppkey % 24 = 0)
+ SELECT class_name, view, n FROM (VALUES ('GenerationUnit', 'GenerationResult'), ('HydroGenerationUnit', 'GenerationResult'), ('HydroGenerationUnit', 'PeakResult')) t(class_name, view) JOIN n USING (view)""")
 def view_map(spark, d):
-    return validation.view_map(energy_model(spark, d))
+    m = energy_model(spark, d)
+    return _with_counts(m, validation.view_map(m), "view")
 
 
 @query("SELECT 'gen.' || s_suppkey AS entity_id, 'result.' || s_suppkey AS linked FROM supplier WHERE s_suppkey % 4 = 0")
@@ -800,20 +886,45 @@ def library_closure(spark, d):
 # classes by name, regions, networks
 
 
-@query("""SELECT name, kind, class, round(eff, 2) AS efficiency FROM (VALUES ('Hydro.PHS.Closed-Loop', 'phs_closed_loop', 'HydroGenerationUnit', 0.9), ('hydro.open_loop', 'phs_open_loop', 'HydroGenerationUnit', 0.9), ('Run_of_River', 'run_of_river', 'HydroGenerationUnit', 0.9),
- ('pondage', 'pondage', 'HydroGenerationUnit', 0.9), ('dam', 'reservoir', 'GenerationUnit', 0.9), ('Hydrogen.FuelCell', 'hydro', 'GenerationUnit', 0.55), ('H2 CCGT', 'hydro', 'GenerationUnit', 0.58), ('wind', 'hydro', 'GenerationUnit', 0.9),
- ('reversible_francis', 'hydro', 'GenerationUnit', 0.9), ('x.ror', 'run_of_river', 'GenerationUnit', 0.9)) t(name, kind, class, eff)""")
+#: Words that a part's technology is named by, in the order of its key's last digit.
+WORDS = ("Hydro.PHS.Closed-Loop", "hydro.open_loop", "Run_of_River", "pondage", "dam", "Hydrogen.FuelCell", "H2 CCGT", "wind", "reversible_francis", "x.ror")
+
+
+def of_digit(column: str, values: tuple[str, ...]):
+    """The value in the place that the key's remainder names."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(column) % len(values) + 1).cast("int"))
+
+
+@query("""WITH w(k, word, kind, class, machine, stored, inflow, own) AS (VALUES (0, 'Hydro.PHS.Closed-Loop', 'phs_closed_loop', 'HydroGenerationUnit', 'reversible', true, false, NULL), (1, 'hydro.open_loop', 'phs_open_loop', 'HydroGenerationUnit', 'reversible', true, true, NULL),
+ (2, 'Run_of_River', 'run_of_river', 'HydroGenerationUnit', 'turbine', false, true, NULL), (3, 'pondage', 'pondage', 'HydroGenerationUnit', 'turbine', true, true, NULL), (4, 'dam', 'reservoir', 'GenerationUnit', 'turbine', true, false, NULL),
+ (5, 'Hydrogen.FuelCell', 'hydro', 'GenerationUnit', 'turbine', false, false, 0.55), (6, 'H2 CCGT', 'hydro', 'GenerationUnit', 'turbine', false, false, 0.58), (7, 'wind', 'hydro', 'GenerationUnit', 'turbine', false, false, NULL),
+ (8, 'reversible_francis', 'hydro', 'GenerationUnit', 'reversible', false, false, NULL), (9, 'x.ror', 'run_of_river', 'GenerationUnit', 'turbine', false, true, NULL))
+ SELECT p_partkey || '.' || word AS name, kind, class, machine, k < 2 AS pumped, stored, inflow, CAST(CASE WHEN p_size % 3 = 2 THEN 0.9 ELSE coalesce(own, 1) END AS DOUBLE) AS efficiency FROM part JOIN w ON p_partkey % 10 = k""")
 def technology_classes(spark, d):
-    names = ("Hydro.PHS.Closed-Loop", "hydro.open_loop", "Run_of_River", "pondage", "dam", "Hydrogen.FuelCell", "H2 CCGT", "wind", "reversible_francis", "x.ror")
-    rows = spark.createDataFrame([(n, "nan" if "ydrogen" in n else "1" if "H2" in n else "0.9") for n in names], "name string, raw string")
-    name, none = F.col("name"), F.lit(None).cast("string")
-    return rows.select("name", classify.hydro_storage_kind(name).alias("kind"), classify.generation_class(none, name).alias("class"), classify.hydrogen_efficiency(none, name, F.col("raw")).alias("efficiency"))
+    rows = table(spark, d, "part").select(F.concat_ws(".", "p_partkey", of_digit("p_partkey", WORDS)).alias("name"), of_digit("p_size", ("nan", "1", "0.9")).alias("raw"))
+    name, none = F.col("name"), F.lit(None)
+    kinds = {"kind": classify.storage_kind(name), "class": classify.asset_class(none, name), "machine": classify.machine_kind(name), "efficiency": classify.efficiency(none, name, F.col("raw"))}
+    facts = {"pumped": "pumped", "stored": "stored", "inflow": "natural_inflow"}
+    return rows.select("name", *(c.alias(n) for n, c in kinds.items()), *(classify.fact(which, name).alias(n) for n, which in facts.items()))
 
 
-@query("SELECT * FROM (VALUES ('region.country.de', 'DE'), ('Country.ch', 'CH'), ('region.nuts3.at123', 'AT'), ('nuts2.fr10', 'FR'), ('zone.x', NULL)) t(region, country)")
+@query("""WITH t AS (SELECT n_nationkey AS k, lower(substr(n_name, 1, 2)) AS c FROM nation) SELECT CASE k % 5 WHEN 0 THEN 'region.country.' || c WHEN 1 THEN 'Country.' || c WHEN 2 THEN 'region.nuts3.' || c || '123' WHEN 3 THEN 'nuts2.' || c || '10' ELSE 'zone.' || c END AS region,
+ CASE WHEN k % 5 < 4 THEN upper(c) END AS country, CASE WHEN k % 5 = 2 THEN c || '123' END AS nuts3 FROM t""")
 def region_countries(spark, d):
-    rows = spark.createDataFrame([(r,) for r in ("region.country.de", "Country.ch", "region.nuts3.at123", "nuts2.fr10", "zone.x")], "region string")
-    return rows.select("region", classify.region_country(F.col("region")).alias("country"))
+    code, n = F.lower(F.substring("n_name", 1, 2)), "n_nationkey"
+    rows = table(spark, d, "nation").select(F.concat(of_digit(n, ("region.country.", "Country.", "region.nuts3.", "nuts2.", "zone.")), code, of_digit(n, ("", "", "123", "10", ""))).alias("region"))
+    return rows.select("region", classify.region_country(F.col("region")).alias("country"), classify.region_nuts3(F.col("region")).alias("nuts3"))
+
+
+_CARRIER = {"ac": "carrier.electricity", "methane": "carrier.fuel.fossil.gas"}
+
+
+@query("""WITH w(k, word, carrier, domain) AS (VALUES (0, 'AC', 'carrier.electricity', 'domain.electricity'), (1, 'Methane', 'carrier.fuel.fossil.gas', 'domain.gas'), (2, 'H2 -- Hydrogen', 'carrier.h2.hydrogen', 'domain.hydrogen'), (3, ' Waste Heat ', 'carrier.waste.heat', 'domain.heat'),
+ (4, 'Peat', 'carrier.peat', 'domain.peat')) SELECT s_suppkey, carrier, domain FROM supplier JOIN w ON s_suppkey % 5 = k""")
+def carriers_of_names(spark, d):
+    named = of_digit("s_suppkey", ("AC", "Methane", "H2 -- Hydrogen", " Waste Heat ", "Peat"))
+    rows = table(spark, d, "supplier").select("s_suppkey", classify.carrier_id(named, _CARRIER).alias("carrier"))
+    return rows.select("s_suppkey", "carrier", classify.domain_id(F.col("carrier")).alias("domain"))
 
 
 @query(f"""WITH {_BUS}, t AS (SELECT CAST(n_nationkey AS VARCHAR) AS k, rc, country FROM bus) SELECT 'region.nuts3.' || upper(rc) || lpad(k, 3, '0') AS entity_id, 'region.nuts2.' || upper(rc) || left(lpad(k, 3, '0'), 2) AS parent, upper(rc) AS iso_country_code FROM t""")
@@ -882,3 +993,35 @@ def component_links(spark, d):
     m, tables = empty_model(spark, Schema.composed([ENERGY_SCHEMA])), {"buses": buses, "links": links}
     counts = networks.from_components(m, tables).entity.groupBy(F.col("entity_class").alias("kind")).agg(F.count("*").alias("n"))
     return counts.union(networks.left_out(m, tables).groupBy("reason").agg(F.count("*")))
+
+
+# inflows of reservoirs and generators
+
+
+_INFLOWS = f"""{_ENERGY}, i AS (SELECT 'res.' || c_custkey AS id, NULL::BIGINT AS k, sum(CAST(o_totalprice AS {M2})) AS annual FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 100 = 0 GROUP BY ALL HAVING sum(o_totalprice) <> 0
+ UNION ALL SELECT 'gen.' || l_suppkey, l_suppkey, sum(CAST(l_quantity AS {M2})) FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_suppkey % 10 < 5 GROUP BY ALL HAVING sum(l_quantity) <> 0),
+ draws AS (SELECT 'res.' || (s_suppkey % 4 * 50 + 50) AS id, s_suppkey AS k FROM g WHERE hydro AND NOT variable)"""
+
+
+def _inflows(spark, d):
+    """A day of inflows by the keys of orders and order lines, for half of the reservoirs and half of the generators."""
+    of = lambda rows, id_, t, v: rows.select(id_.alias("entity_id"), F.col(t).alias("t"), F.col(v).alias("value"))
+    stores = of(table(spark, d, "orders").where("o_custkey % 100 = 0").withColumn("h", F.col("o_orderkey") % 24), key("res", "o_custkey"), "h", "o_totalprice")
+    units = of(table(spark, d, "lineitem").where("l_suppkey % 10 < 5"), key("gen", "l_suppkey"), "l_linenumber", "l_quantity")
+    return market.assign_inflows(energy_model(spark, d), stores.union(units).groupBy("entity_id", "t").agg(F.sum("value").alias("value")))
+
+
+@query(f"""WITH {_INFLOWS}, pair AS (SELECT id, min(k) AS first FROM draws GROUP BY 1) SELECT id AS entity_id, CASE WHEN k IS NULL THEN 'annual_natural_inflow_energy' ELSE 'annual_resource_potential' END AS attribute_id, round(CAST(annual AS DOUBLE), 2) AS energy FROM i
+ UNION ALL SELECT 'gen.' || first, 'annual_resource_potential', round(CAST(annual AS DOUBLE), 2) FROM i JOIN pair USING (id) WHERE first NOT IN (SELECT k FROM i WHERE k IS NOT NULL)""")
+def inflow_energies(spark, d):
+    rows = _inflows(spark, d).attr.where("unit = 'MWh'")
+    return rows.select("entity_id", "attribute_id", F.round("value_num", 2).alias("energy"))
+
+
+@query(f"""WITH {_INFLOWS}, lent AS (SELECT draws.id, min(k) AS k FROM i JOIN draws USING (k) WHERE draws.id NOT IN (SELECT id FROM i) AND draws.id IN (SELECT id FROM res) GROUP BY 1)
+ SELECT id AS entity_id, 'hasNaturalInflowProfile' AS relation_id, 'profile.inflow.' || id AS profile, 1.0 AS total FROM i WHERE k IS NULL UNION ALL SELECT id, 'hasNaturalInflowProfile', 'profile.inflow.gen.' || k, 1.0 FROM lent
+ UNION ALL SELECT 'gen.' || k, 'hasAvailabilityProfile', 'profile.inflow.gen.' || k, 1.0 FROM i WHERE k IS NOT NULL AND k NOT IN (SELECT k FROM draws)""")
+def inflow_profiles(spark, d):
+    m = _inflows(spark, d)
+    totals = m.profile_value.groupBy(F.col("profile_id").alias("profile")).agg(F.round(F.sum("value"), 6).alias("total"))
+    return m.rel.where("target_id LIKE 'profile.inflow.%'").select("entity_id", "relation_id", F.col("target_id").alias("profile")).join(totals, "profile")

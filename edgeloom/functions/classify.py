@@ -1,7 +1,7 @@
 """Classes of technologies, carriers and regions by what their names hold, as column expressions.
 
-The words below are fixed values of the naming convention; a name is looked at in lower case with `_` for the signs
-between its parts. The order of the tests matters: hydrogen, for one, holds the word hydro.
+What a name means is data: ordered tables of (pattern, result), of which the first pattern that a name holds decides.
+One function reads them all. Names are looked at in lower case with `_` for the signs between their parts.
 """
 
 from __future__ import annotations
@@ -11,89 +11,84 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PUMPED = ("phs", "pumped", "pump_storage", "pumpstorage", "pump_hydro", "open_loop", "closed_loop")
-HYDRO = ("run_of_river", "runofriver", "reservoir", "pondage", "pumped_storage", "pump_storage", "phs", "hydro")
-HYDROGEN = ("hydrogen", "h2")
-#: Domain of the first of these words that a carrier's id holds.
-DOMAINS = {
-    "fossil.gas": "gas", "fossil.coal": "coal", "fossil.oil": "oil", "nuclear": "nuclear", "biofuel": "biofuel",
-    "renewable": "electricity", "water": "water", "hydrogen": "hydrogen", "heat": "heat",
-}
+# The words of the naming convention, as regular expressions.
+RIVER = r"run_of_river|runofriver|_ror|ror\z"
+PUMPED = r"phs|pumped|pump_?storage|pump_hydro|open_loop|closed_loop"
+HYDROGEN = "hydrogen|h2"
+#: Kind of the water body of a hydro technology.
+STORAGE = [(RIVER, "run_of_river"), ("closed_?loop", "phs_closed_loop"), ("open_?loop", "phs_open_loop"), (PUMPED, "phs_closed_loop"), ("pondage", "pondage"), ("reservoir|dam", "reservoir"), ("", "hydro")]
+#: Kind of its machine, as far as the name tells.
+MACHINE = [(f"reversible|{PUMPED}", "reversible"), (r"pump_only|_pump\z|\Apump\z", "pump")]
+#: Class of a generator. Hydrogen holds the word hydro, so it comes first.
+ASSET = [(HYDROGEN, "GenerationUnit"), ("hydro|run_of_river|runofriver|reservoir|pondage|pump(ed)?_storage|phs", "HydroGenerationUnit"), ("", "GenerationUnit")]
+#: Efficiency of generators on hydrogen that give none.
+EFFICIENCY = [("fuel_?cell", 0.55), ("ccgt|combined_cycle", 0.58)]
+#: Domain of a carrier's id.
+DOMAIN = [
+    (r"\Acarrier\.electricity\z", "electricity"), (r"fossil\.gas", "gas"), (r"fossil\.coal", "coal"), (r"fossil\.oil", "oil"), ("nuclear", "nuclear"), ("biofuel", "biofuel"),
+    ("renewable", "electricity"), ("water", "water"), ("hydrogen", "hydrogen"), ("heat", "heat"),
+]
+#: What holds of a technology: it must have the first pattern and must not have the second.
+FACTS = {
+    "pumped": (PUMPED, None),
+    "stored": (f"reservoir|dam|pondage|{PUMPED}", RIVER),
+    "natural_inflow": (f"reservoir|pondage|open_?loop|{RIVER}", "closed_?loop"),
+}
+#: Words of generators that cannot be dispatched.
+VARIABLE = "wind|solar|pv|ror|run_of_river"
 #: Country codes of regions that differ from ISO.
 ISO = {"EL": "GR", "UK": "GB"}
 LEVELS = ("country", "nuts1", "nuts2", "nuts3")
-#: Words of generators that cannot be dispatched.
-VARIABLE = ("wind", "solar", "pv", "ror", "run_of_river")
-
-
-def token(c: Column) -> Column:
-    """Lower case with `_` for dashes, dots and slashes."""
-    return F.translate(F.lower(F.trim(F.coalesce(c.cast("string"), F.lit("")))), "-./", "___")
-
-
-def holds(c: Column, *words: str) -> Column:
-    return reduce(lambda a, b: a | b, (c.contains(w) for w in words))
-
-
-def is_pumped_storage(technology: Column) -> Column:
-    return holds(token(technology), *PUMPED)
 
 
-def is_run_of_river(technology: Column) -> Column:
-    t = token(technology)
-    return holds(t, "run_of_river", "runofriver", "_ror") | t.endswith("ror")
+def token(name: Column, signs: str = "-./") -> Column:
+    """The name in lower case with `_` for each of the signs; an empty one for null."""
+    return F.translate(F.lower(F.trim(F.coalesce(name.cast("string"), F.lit("")))), signs, "_" * len(signs))
 
 
-def is_pondage(technology: Column) -> Column:
-    return holds(token(technology), "pondage")
+def generator_token(carrier: Column, technology: Column) -> Column:
+    return F.concat_ws("_", token(carrier, " -./"), token(technology, " -./"))
 
 
-def is_reservoir(technology: Column) -> Column:
-    return holds(token(technology), "reservoir", "dam", "pondage", *PUMPED)
+def decided(name: Column, table: list[tuple[str, object]]) -> Column:
+    """The result of the first pattern of the table that the name holds, else null."""
+    return reduce(lambda chain, row: chain.when(name.rlike(row[0]), row[1]), table[1:], F.when(name.rlike(table[0][0]), table[0][1]))
 
 
-def has_reservoir(technology: Column) -> Column:
-    return is_reservoir(technology) & ~is_run_of_river(technology)
+def fact(which: str, technology: Column) -> Column:
+    """Whether one of the FACTS holds of a technology."""
+    has, bars = FACTS[which]
+    name = token(technology)
+    return name.rlike(has) if bars is None else name.rlike(has) & ~name.rlike(bars)
 
 
-def has_natural_inflow(technology: Column) -> Column:
-    t = token(technology)
-    return ~holds(t, "closed_loop", "closedloop") & (is_run_of_river(technology) | holds(t, "reservoir", "pondage", "open_loop", "openloop"))
+def storage_kind(technology: Column) -> Column:
+    return decided(token(technology), STORAGE)
 
 
-def hydro_storage_kind(technology: Column) -> Column:
-    t = token(technology)
-    kind = F.when(is_run_of_river(technology), "run_of_river").when(holds(t, "closed_loop", "closedloop"), "phs_closed_loop")
-    kind = kind.when(holds(t, "open_loop", "openloop"), "phs_open_loop").when(holds(t, *PUMPED), "phs_closed_loop")
-    return kind.when(holds(t, "pondage"), "pondage").when(holds(t, "reservoir", "dam"), "reservoir").otherwise("hydro")
+def machine_kind(technology: Column, reversible: Column | None = None, pumping: Column | None = None, generation: Column | None = None) -> Column:
+    """reversible, pump or turbine: by the technology, else by what else is known of the machine. One that pumps is
+    reversible if it generates too."""
+    yes = lambda c: F.lit(False) if c is None else F.coalesce(c.cast("double") > 0, F.lit(False))
+    known = F.when(yes(reversible) | (yes(pumping) & yes(generation)), "reversible").when(yes(pumping), "pump")
+    return F.coalesce(decided(token(technology), MACHINE), known, F.lit("turbine"))
 
 
-def hydro_machine_kind(technology: Column, reversible: Column | None = None, pumping: Column | None = None, generation: Column | None = None) -> Column:
-    """reversible, pump or turbine: by the technology, else by the flag and the powers where they are given."""
-    t = token(technology)
-    positive = lambda c: F.lit(False) if c is None else F.coalesce(c > 0, F.lit(False))
-    kind = F.when(holds(t, *PUMPED, "reversible"), "reversible").when(holds(t, "pump_only") | t.endswith("_pump") | (t == "pump"), "pump")
-    kind = kind.when(F.lit(False) if reversible is None else F.coalesce(reversible, F.lit(False)), "reversible")
-    return kind.when(positive(pumping) & ~positive(generation), "pump").when(positive(pumping), "reversible").otherwise("turbine")
+def asset_class(carrier: Column, technology: Column) -> Column:
+    return decided(generator_token(carrier, technology), ASSET)
 
 
-def _both(carrier: Column, technology: Column) -> Column:
-    return F.concat(token(carrier), F.lit("_"), F.replace(token(technology), F.lit(" "), F.lit("_")))
-
-
-def generation_class(carrier: Column, technology: Column) -> Column:
-    both = F.replace(_both(carrier, technology), F.lit(" "), F.lit("_"))
-    return F.when(holds(both, *HYDROGEN), "GenerationUnit").when(holds(both, *HYDRO), "HydroGenerationUnit").otherwise("GenerationUnit")
+def is_variable(carrier: Column, technology: Column) -> Column:
+    return token(carrier, " -").rlike(VARIABLE) | token(technology, " -").rlike(VARIABLE)
 
 
-def hydrogen_efficiency(carrier: Column, technology: Column, raw: Column) -> Column:
-    """The given efficiency; 1 where it is no finite positive number; 0.55 for fuel cells and 0.58 for combined cycles
-    on hydrogen that would have 1."""
-    x = raw.try_cast("double")
-    known = F.when(x.isNotNull() & ~F.isnan(x) & (x > 0) & (x < float("inf")), x).otherwise(1.0)
-    both = F.replace(_both(carrier, technology), F.lit(" "), F.lit("_"))
-    default = F.when(holds(both, "fuel_cell", "fuelcell"), 0.55).when(holds(both, "ccgt", "combined_cycle"), 0.58)
-    return F.when(holds(both, *HYDROGEN) & (F.abs(known - 1) < 1e-12), F.coalesce(default, known)).otherwise(known)
+def efficiency(carrier: Column, technology: Column, raw: Column) -> Column:
+    """The given efficiency, 1 where it is no finite positive number; a generator on hydrogen that would have 1 has the
+    one of its kind (EFFICIENCY)."""
+    x, name = raw.try_cast("double"), generator_token(carrier, technology)
+    usable = F.coalesce(x.between(5e-324, 1.7976931348623157e308), F.lit(False))
+    given = F.when(usable, x).otherwise(1.0)
+    return F.when(name.rlike(HYDROGEN) & (F.abs(given - 1) < 1e-12), F.coalesce(decided(name, EFFICIENCY), given)).otherwise(given)
 
 
 def carrier_id(name: Column, known: dict[str, str]) -> Column:
@@ -105,23 +100,26 @@ def carrier_id(name: Column, known: dict[str, str]) -> Column:
 
 
 def domain_id(carrier: Column) -> Column:
-    out = F.when(carrier == "carrier.electricity", "electricity")
-    for word, domain in DOMAINS.items():
-        out = out.when(carrier.contains(word), domain)
-    return F.concat(F.lit("domain."), out.otherwise(F.split_part(F.replace(carrier, F.lit("carrier."), F.lit("")), F.lit("."), F.lit(1))))
+    """By the table, else the first part of the id behind `carrier.`."""
+    return F.concat(F.lit("domain."), F.coalesce(decided(carrier, DOMAIN), F.split_part(F.replace(carrier, F.lit("carrier."), F.lit("")), F.lit("."), F.lit(1))))
+
+
+def region_parts(region: Column) -> tuple[Column, Column]:
+    """Level and code of a region's id (`region.<level>.<code>` or `<level>.<code>`), both empty for other ids."""
+    part = lambda k: F.regexp_extract(region, r"(?i)\A(?:region\.)?(country|nuts\d?)\.(.*)\z", k)
+    return F.lower(part(1)), part(2)
 
 
 def region_country(region: Column) -> Column:
-    """The country code of a region's id (`region.country.x`, `country.x`, `region.nutsN.x`, `nutsN.x`), or null."""
-    low, last = F.lower(region), F.upper(F.substring_index(region, ".", -1))
-    rest = F.upper(F.regexp_replace(region, r"^[^.]*\.", ""))
-    two = lambda c: F.left(c, F.lit(2))
-    return F.when(low.startswith("region.country."), last).when(low.startswith("country."), rest).when(low.startswith("region.nuts"), two(last)).when(low.startswith("nuts"), two(rest))
+    """The country code of a region's id, or null."""
+    level, code = region_parts(region)
+    return F.when(level == "country", F.upper(code)).when(level != "", F.upper(F.left(code, F.lit(2))))
 
 
 def region_nuts3(region: Column) -> Column:
-    """The code in `region.nuts3.x` or `nuts3.x`, or null."""
-    return F.nullif(F.regexp_extract(F.lower(region), r"^(?:region\.)?nuts3\.(.+)$", 1), F.lit(""))
+    """The code of a region of that level in lower case, or null."""
+    level, code = region_parts(region)
+    return F.when((level == "nuts3") & (code != ""), F.lower(code))
 
 
 def asset_region_key(bus: Column, split_voltage: bool, identity: Column) -> tuple[Column, Column]:
@@ -150,12 +148,6 @@ def parent_region(level: Column, code: Column) -> Column:
     return F.when(level == 1, region_id(F.lit(0), code)).when(level > 1, region_id(level - 1, F.left(code, F.length(code) - 1)))
 
 
-def is_variable(carrier: Column, technology: Column) -> Column:
-    """Whether a generator cannot be dispatched, by its carrier or technology."""
-    slug = lambda c: F.translate(F.lower(F.trim(F.coalesce(c, F.lit("")))), " -", "__")
-    return holds(slug(carrier), *VARIABLE) | holds(slug(technology), *VARIABLE)
-
-
 def default_type(labels: list[Column], types: dict[str, str]) -> Column:
     """The library type of the first label that the table knows: by its whole key, else by the longest key inside it."""
     key = lambda c: F.btrim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), F.lit("_"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import FLAGS, INTEGERS, NUMBERS, safe_double, to_bool, to_double, to_long
+from ..functions.text import is_set
 from ..lineage import cut
 from ..model import Model
+from ..plans.validation import raise_for, value_rules
 
 
 def _latest(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,6 +37,51 @@ def set_attributes(m: Model, rows: DataFrame) -> Model:
     return m.but(attr=_latest(m.attr, rows, ["entity_id", "attribute_id"]))
 
 
+#: What becomes of a value that breaks a rule: those of the first kind are written and reported, all others are not written.
+REPORTED = ("enum", "minimum", "maximum")
+
+
+def checked_attributes(m: Model, rows: DataFrame) -> DataFrame:
+    """`rows` (entity_id, attribute_id, value_str; unit, provenance_ref and ord where they are there) as typed values of
+    the model, with `broken`, an array of (rule, policy, detail). Rules: `entity` and `field` (unknown), `type`, `pattern`,
+    `unit` (policy `rejected`), `enum`, `minimum`, `maximum` (policy `reported`).
+
+    Numbers lose blanks, decimal commas and, where the type is integer, fractions; flags become true or false; a value
+    without a unit gets the field's first one. An empty or null value has no type or limit to break, but a pattern."""
+    have = set(rows.columns)
+    optional = lambda name, kind: (F.col(name) if name in have else F.lit(None)).cast(kind).alias(name)
+    given = rows.select("entity_id", "attribute_id", F.col("value_str").cast("string").alias("raw"), optional("unit", "string"), optional("provenance_ref", "string"), optional("ord", "long"))
+    field = m.field_def.where("kind = 'attribute'").select(F.col("class_name").alias("entity_class"), F.col("field_id").alias("attribute_id"), "dtype", "minimum", "maximum", "enum", "pattern", "units")
+    of = given.join(m.entity.select("entity_id", "entity_class").distinct(), "entity_id", "left").join(F.broadcast(field), ["entity_class", "attribute_id"], "left")
+    low, filled = F.lower("dtype"), is_set(F.coalesce("raw", F.lit("")))
+    number = F.when(low.isin(*NUMBERS), to_double(F.col("raw"))).when(low.isin(*INTEGERS), to_long(F.col("raw")).cast("double")).otherwise(safe_double(F.col("raw")))
+    flag = F.when(low.isin(*FLAGS), to_bool(F.col("raw")))
+    whole = F.when(low.isin(*INTEGERS), to_long(F.col("raw")).cast("string")).when(low.isin(*NUMBERS), to_double(F.col("raw")).cast("string")).when(low.isin(*FLAGS), flag.cast("string"))
+    of = of.withColumns({"value_str": F.coalesce("raw", F.lit("")), "unit": F.coalesce(F.nullif("unit", F.lit("")), F.get("units", F.lit(0)))})
+    rules = value_rules()
+    always = {"entity": F.col("entity_class").isNull(), "field": F.col("entity_class").isNotNull() & F.col("dtype").isNull()}
+    found = {r: (bad, F.col("attribute_id") if r == "field" else F.col("entity_id")) for r, bad in always.items()}
+    found |= {r: (bad if r in ("pattern", "unit") else bad & filled, detail) for r, (bad, detail) in rules.items()}
+    policy = lambda r: F.lit("reported" if r in REPORTED else "rejected").alias("policy")
+    each = [F.when(bad, F.struct(F.lit(r).alias("rule"), policy(r), detail.cast("string").alias("detail"))) for r, (bad, detail) in found.items()]
+    of = of.withColumn("broken", F.filter(F.array(*each), lambda v: v.isNotNull()))
+    return of.select("entity_class", "entity_id", "attribute_id", F.coalesce(whole, "value_str").alias("value_str"), number.alias("value_num"), flag.alias("value_bool"), "unit", "provenance_ref", "ord", "broken")
+
+
+def write_attributes(m: Model, rows: DataFrame, strict: bool = False) -> tuple[Model, DataFrame]:
+    """The model with the values that may be written, and the side table of what breaks a rule: entity_class, entity_id,
+    field_id, rule, policy, detail. The rows are checked once, in one pass that both results read. Of several values of one
+    field the one with the largest `ord` stays (of equal ones the largest value). With `strict`, a rejected row raises."""
+    checked = cut(checked_attributes(m, rows))
+    side = checked.select("entity_class", "entity_id", F.col("attribute_id").alias("field_id"), F.explode("broken").alias("b")).select("entity_class", "entity_id", "field_id", "b.*")
+    if strict:
+        raise_for(side.where("policy = 'rejected'"))
+    good = checked.where(~F.exists("broken", lambda b: b["policy"] == "rejected"))
+    names = [c for c in m.attr.columns if c not in ("entity_id", "attribute_id")]
+    last = good.groupBy("entity_id", "attribute_id").agg(F.max(F.struct(F.coalesce("ord", F.lit(0)).alias("ord"), "value_str", *(c for c in names if c != "value_str"))).alias("v"))
+    return set_attributes(m, last.select("entity_id", "attribute_id", *(F.col(f"v.{c}").alias(c) for c in names))), side
+
+
 def set_relations(m: Model, rows: DataFrame) -> Model:
     """All targets of each (entity, relation) are replaced."""
     return m.but(rel=_latest(m.rel, rows, ["entity_id", "relation_id"]))

@@ -59,15 +59,6 @@ def on_axis(profiles: DataFrame, length: int) -> DataFrame:
     return every.join(profiles, ["profile_id", "t"], "left").fillna(0.0, ["value"])
 
 
-def synthetic(spark, length: int, value: Column, profile_id: str) -> DataFrame:
-    """A series computed from the hour `t`."""
-    return spark.range(length).select(F.lit(profile_id).alias("profile_id"), F.col("id").cast("int").alias("t")).withColumn("value", value)
-
-
-def solar_shape() -> Column:
-    return F.greatest(F.lit(0.0), F.sin((F.col("t") % 24 - 6) / 12 * 3.141592653589793))
-
-
 def synthetic(spark: SparkSession, kind: str, hours: int = 8760, scale: float = 1.0) -> DataFrame:
     """(profile_id, t, value) of a made-up series: `solar` (a clipped day wave in a year wave), `wind` (two slow waves,
     kept between 0 and 1), `demand` (a day wave around 1) or `decay` (falls to 1/e in a year)."""

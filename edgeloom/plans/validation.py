@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 from pathlib import Path
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import FLAGS, INTEGERS, NUMBERS, coerces, is_numeric, to_double
 from ..functions.text import is_set
+from ..lineage import cut
 from ..model import Model
 from ..operators.navigation import effective_values, entities, first_target, targets
 from .conditions import Fields, when
@@ -48,7 +49,7 @@ def _typed(m: Model) -> DataFrame:
     return values.join(F.broadcast(field), ["entity_class", "field_id"])
 
 
-def _value_rules() -> dict[str, tuple[Column, Column]]:
+def value_rules() -> dict[str, tuple[Column, Column]]:
     """Rule -> whether a row of _typed breaks it, and the detail."""
     value, x = F.col("value_str"), to_double(F.col("value_str"))
     number = is_numeric(F.col("dtype"))
@@ -76,7 +77,7 @@ def wrong_values(m: Model, rules: tuple[str, ...] = ("type", "minimum", "maximum
     named = field.select("class_name", "field_id").collect()  # a part of the schema, which is in the plan
     wanted = F.col("entity_class").isin(*{r["class_name"] for r in named}) & F.col("attribute_id").isin(*{r["field_id"] for r in named})
     rows = _typed(m.but(field_def=field, attr=m.attr.where(wanted if named else F.lit(False))))
-    all_ = _value_rules()
+    all_ = value_rules()
     broken = F.filter(F.array(*(F.when(all_[r][0], F.struct(F.lit(r).alias("rule"), all_[r][1].cast("string").alias("detail"))) for r in rules)), lambda v: v.isNotNull())
     return rows.select("entity_class", "entity_id", "field_id", F.explode(broken).alias("v")).select("entity_class", "entity_id", "field_id", "v.rule", "v.detail")
 
@@ -262,12 +263,46 @@ def unused_fields(m: Model) -> DataFrame:
     return m.field_def.select("kind", "field_id").distinct().join(used, "field_id", "left_anti").select("kind", "field_id")
 
 
+def used_fields(m: Model) -> DataFrame:
+    """(kind, class_name, field_id, n) of the fields that entities set, and how many of each class do. Counts only: what
+    follows works on rows of the size of the schema."""
+    values = m.attr.where(is_set(F.col("value_str"))).select(F.lit("attribute").alias("kind"), F.col("entity_class").alias("class_name"), F.col("attribute_id").alias("field_id"), "entity_id")
+    edges = m.rel.where(is_set(F.col("target_id"))).select(F.lit("relation").alias("kind"), F.col("entity_class").alias("class_name"), F.col("relation_id").alias("field_id"), "entity_id")
+    return values.union(edges).groupBy("kind", "class_name", "field_id").agg(F.count_distinct("entity_id").alias("n"))
+
+
 def unused_classes(m: Model) -> DataFrame:
-    """class_name of the classes that neither they nor a descendant have an entity of; abstract ones are left out."""
-    used = m.entity.select(F.col("entity_class").alias("class_name")).distinct().join(F.broadcast(m.class_closure), "class_name").select(F.col("ancestor").alias("class_name"))
+    """class_name of the classes that are not abstract and have no entity of their own."""
+    used = m.entity.select(F.col("entity_class").alias("class_name")).distinct()
     return m.class_def.where(~F.col("abstract")).join(used, "class_name", "left_anti").select("class_name")
 
 
+def audit(m: Model, stable: Sequence[str] = ()) -> DataFrame:
+    """What the schema has and the model does not need: finding, class_name, field_id, used_by.
+
+    `dead attribute`, `dead relation`: fields that no entity sets (class_name is null). `orphan class`: one that is not
+    abstract and has no entity; `unused stable class` as well, where it is one of `stable`. `single descendant`: a relation
+    that a class declares, but that is used by the entities of one of its descendants only. A class declares a field if
+    none above it has the field. An empty model leaves every field dead and every class an orphan.
+    """
+    used = cut(used_fields(m))
+    text = lambda name: F.lit(None).cast("string").alias(name)
+    dead = m.field_def.select("kind", "field_id").distinct().join(F.broadcast(used), ["kind", "field_id"], "left_anti")
+    dead = dead.select(F.concat(F.lit("dead "), "kind").alias("finding"), text("class_name"), "field_id", text("used_by"))
+    orphans = unused_classes(m)
+    kept = orphans.where(F.col("class_name").isin(*stable)) if stable else orphans.limit(0)
+    of_classes = [rows.select(F.lit(name).alias("finding"), "class_name", text("field_id"), text("used_by")) for name, rows in (("orphan class", orphans), ("unused stable class", kept))]
+    relation = m.field_def.where("kind = 'relation'").select("class_name", "field_id")
+    below = m.class_closure.select("class_name", "ancestor", "depth")
+    inherited = relation.join(F.broadcast(below.where("depth > 0")), "class_name").join(relation.withColumnRenamed("class_name", "ancestor"), ["ancestor", "field_id"]).select("class_name", "field_id")
+    declared = relation.join(inherited, ["class_name", "field_id"], "left_anti").withColumnRenamed("class_name", "ancestor")
+    uses = declared.join(F.broadcast(used.where("kind = 'relation'").select("field_id", F.col("class_name").alias("used_by"))), "field_id")
+    uses = uses.join(F.broadcast(below.withColumnRenamed("class_name", "used_by")), ["used_by", "ancestor"], "left")
+    single = uses.groupBy("ancestor", "field_id").agg(F.min("used_by").alias("used_by"), F.count_distinct("used_by").alias("n"), F.min(F.coalesce(F.col("depth") > 0, F.lit(False))).alias("only_below")).where("n = 1 AND only_below")
+    single = single.select(F.lit("single descendant").alias("finding"), F.col("ancestor").alias("class_name"), "field_id", "used_by")
+    return reduce(DataFrame.union, [dead, *of_classes, single])
+
+
 def ambiguous_families(m: Model) -> DataFrame:
     """(field_id) of attributes that views of several families declare: a check cannot tell which view it means."""
     rows = m.field_def.where("kind = 'attribute'").join(F.broadcast(m.class_def.where("role = 'view'")), "class_name")

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.classify import generation_class, has_natural_inflow, hydro_machine_kind, is_variable
+from ..functions.classify import asset_class, fact, is_variable, machine_kind
 from ..functions.numbers import nf_to_us, rating_mva
 from ..functions.text import underscored
 from ..model import ATTRIBUTE, RELATION, Model, attribute_rows, relation_rows
@@ -186,7 +186,7 @@ def carriers_of(tables: dict[str, DataFrame]) -> DataFrame:
 def usable_generators(generators: DataFrame, series: DataFrame | None = None) -> DataFrame:
     """Without the variable ones that can never give anything: without capacity, or with a series (name, t, value) that
     is nowhere positive, or without a series and with a p_max_pu of 0 or less."""
-    variable = is_variable(column(generators, "carrier").cast("string"), column(generators, "type").cast("string"))
+    variable = is_variable(column(generators, "carrier"), column(generators, "type"))
     rows = generators
     positive = F.coalesce(_number(generators, "p_max_pu", 1.0) > 0, F.lit(True))
     if series is not None:
@@ -305,18 +305,18 @@ def component_parts(m: Model, tables: dict[str, DataFrame], series: DataFrame |
     if (t := tables.get("generators")) is not None:
         t = usable_generators(t, series)
         carrier = column(t, "carrier").cast("string")
-        rows = t.select(id_("generator").alias("entity_id"), id_("node", "bus").alias("node"), F.col("name").cast("string").alias("name"), _number(t, "p_nom").alias("nominal_power_capacity"), _number(t, "efficiency").alias("energy_conversion_efficiency"), _number(t, "marginal_cost").alias("variable_operating_cost"), F.when(is_variable(carrier, column(t, "type").cast("string")), "nondispatchable").otherwise("dispatchable").alias("dispatch_type"), carrier.alias("generator_technology_type"), F.lit(ELECTRICITY).alias("carrier"), generation_class(carrier, F.lit(None).cast("string")).alias("class"))
+        rows = t.select(id_("generator").alias("entity_id"), id_("node", "bus").alias("node"), F.col("name").cast("string").alias("name"), _number(t, "p_nom").alias("nominal_power_capacity"), _number(t, "efficiency").alias("energy_conversion_efficiency"), _number(t, "marginal_cost").alias("variable_operating_cost"), F.when(is_variable(carrier, column(t, "type")), "nondispatchable").otherwise("dispatchable").alias("dispatch_type"), carrier.alias("generator_technology_type"), F.lit(ELECTRICITY).alias("carrier"), asset_class(carrier, F.lit(None)).alias("class"))
         for class_ in ("GenerationUnit", "HydroGenerationUnit"):
             parts.add(rows.where(F.col("class") == class_), class_, ["name", "nominal_power_capacity", "energy_conversion_efficiency", "variable_operating_cost", "dispatch_type", "generator_technology_type"], {"atNode": "node", "hasOutputCarrier": "carrier"})
     if (t := tables.get("storage_units")) is not None:
         carrier = column(t, "carrier").cast("string")
-        hydro = generation_class(carrier, F.lit(None).cast("string")) == "HydroGenerationUnit"
+        hydro = asset_class(carrier, F.lit(None)) == "HydroGenerationUnit"
         power, hours = _number(t, "p_nom", 0.0), _number(t, "max_hours", 1.0)
-        rows = t.select("name", id_("node", "bus").alias("node"), carrier.alias("storage_technology_type"), hydro.alias("hydro"), power.alias("nominal_power_capacity"), (power * hours).alias("energy_storage_capacity"), F.when(has_natural_inflow(carrier), _number(t, "inflow")).alias("annual_natural_inflow_energy"), _number(t, "efficiency_store").alias("charging_efficiency"), _number(t, "efficiency_dispatch").alias("discharging_efficiency"))
+        rows = t.select("name", id_("node", "bus").alias("node"), carrier.alias("storage_technology_type"), hydro.alias("hydro"), power.alias("nominal_power_capacity"), (power * hours).alias("energy_storage_capacity"), F.when(fact("natural_inflow", carrier), _number(t, "inflow")).alias("annual_natural_inflow_energy"), _number(t, "efficiency_store").alias("charging_efficiency"), _number(t, "efficiency_dispatch").alias("discharging_efficiency"))
         parts.add(rows.where("NOT hydro").withColumn("entity_id", id_("storage")), "StorageUnit", ["nominal_power_capacity", "energy_storage_capacity", "charging_efficiency", "discharging_efficiency", "storage_technology_type"], {"atNode": "node"})
         water = rows.where("hydro").withColumn("entity_id", id_("reservoir"))
         parts.add(water, "HydraulicStorageUnit", ["energy_storage_capacity", "annual_natural_inflow_energy", "storage_technology_type"], {})
-        unit = water.select(F.concat(F.lit("hydro."), "entity_id").alias("entity_id"), "node", F.col("entity_id").alias("reservoir"), "nominal_power_capacity", F.lit("dispatchable").alias("dispatch_type"), hydro_machine_kind(F.col("storage_technology_type")).alias("hydro_machine_kind"), F.lit(ELECTRICITY).alias("carrier"))
+        unit = water.select(F.concat(F.lit("hydro."), "entity_id").alias("entity_id"), "node", F.col("entity_id").alias("reservoir"), "nominal_power_capacity", F.lit("dispatchable").alias("dispatch_type"), machine_kind(F.col("storage_technology_type")).alias("hydro_machine_kind"), F.lit(ELECTRICITY).alias("carrier"))
         parts.add(unit, "HydroGenerationUnit", ["nominal_power_capacity", "dispatch_type", "hydro_machine_kind"], {"atNode": "node", "drawsFromHydraulicStorage": "reservoir", "hasOutputCarrier": "carrier"})
     if any(t in tables for t in (*CARRIER_TABLES, "carriers")):
         names = carriers_of(tables).select(F.concat(F.lit("carrier."), underscored(F.col("carrier"))).alias("entity_id"), F.col("carrier").alias("name"))

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from edgeloom.functions import numbers, text
+from edgeloom.functions import classify, numbers, text
 
 
 def value(spark, column, **inputs):
@@ -60,3 +60,46 @@ def test_per_unit_round_trip(spark):
     assert tuple(row) == pytest.approx((2.0, 20.0, 1e-5))
     assert value(spark, numbers.nearest(F.col("x"), [380.0, 220.0, 110.0]), x=165.0) == 110.0
     assert value(spark, numbers.iso_duration(F.col("x")), x=900) == "PT15M"
+
+
+@pytest.mark.parametrize(
+    ("name", "pumped", "stored", "inflow", "machine"),
+    [
+        ("PHS Closed/Loop", True, True, False, "reversible"),
+        ("phs.closed-loop", True, True, False, "reversible"),
+        ("Pondage", False, True, True, "turbine"),
+        ("dam_ror", False, False, True, "turbine"),
+        ("hydro.pump", False, False, False, "pump"),
+        ("pump", False, False, False, "pump"),
+        ("pump house", False, False, False, "turbine"),
+        (None, False, False, False, "turbine"),
+        ("", False, False, False, "turbine"),
+    ],
+)
+def test_facts_of_technologies(spark, name, pumped, stored, inflow, machine):
+    c = F.col("x").cast("string")
+    assert [value(spark, classify.fact(f, c), x=name) for f in ("pumped", "stored", "natural_inflow")] == [pumped, stored, inflow]
+    assert value(spark, classify.machine_kind(c), x=name) == machine
+
+
+@pytest.mark.parametrize(("flag", "pumping", "generation", "wanted"), [(True, None, None, "reversible"), (None, 5.0, 5.0, "reversible"), (None, 5.0, 0.0, "pump"), (False, 0.0, 5.0, "turbine"), (None, None, None, "turbine")])
+def test_machines_by_their_powers(spark, flag, pumping, generation, wanted):
+    given = {"f": flag, "p": pumping, "g": generation}
+    found = classify.machine_kind(F.lit("francis"), F.col("f").cast("boolean"), F.col("p").cast("double"), F.col("g").cast("double"))
+    assert value(spark, found, **given) == wanted
+
+
+@pytest.mark.parametrize(("raw", "technology", "wanted"), [("inf", "h2 fuel cell", 0.55), ("-1", "h2_ccgt", 0.58), (None, "hydrogen", 1.0), ("0.4", "hydrogen ccgt", 0.4), ("x", "gas ccgt", 1.0)])
+def test_efficiencies(spark, raw, technology, wanted):
+    assert value(spark, classify.efficiency(F.lit(None), F.col("t"), F.col("r").cast("string")), r=raw, t=technology) == wanted
+
+
+def test_names_of_merged_assets(spark):
+    token = lambda bus, split, same: tuple(value(spark, c, bus=bus) for c in classify.asset_region_key(F.col("bus"), split, F.lit(same)))
+    assert token("node.ch.380", True, False) == ("ch", ".380") and token("node.ch.380", False, False) == ("ch", "")
+    assert token("node.ch.380", True, True) == ("ch.380", "") and token("Bus 7", True, False) == ("bus.7", "")
+
+
+def test_impedance_of_a_transformer(spark):
+    r, x = numbers.transformer_impedance(F.col("vk"), F.col("vkr"), F.lit(50.0), 100.0)
+    assert (value(spark, r, vk=10.0, vkr=6.0), value(spark, x, vk=10.0, vkr=6.0)) == pytest.approx((0.12, 0.16))
