@@ -1,4 +1,8 @@
+import random
 from collections import defaultdict
+from itertools import batched
+
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -33,3 +37,43 @@ def test_stages_take_effect_on_what_is_left(spark):
 def test_run_gives_the_last_stage(spark):
     rows = corpus_pipeline.run(spark, DATA)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(rows.columns) and not rows.isEmpty()
+
+
+ODD = {"key": "k", "gone": "g", "hit": "h", "component_id": "c", "line": "l"}
+
+
+def through(spark, docs, name):
+    """Column names and rows after each stage."""
+    out = []
+    for k, (stage, apply) in enumerate(corpus_pipeline.STAGES):
+        path = f"{spark.conf.get('spark.checkpoint.dir')}/{name}{k}"
+        apply(spark, docs, DATA).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        out.append((stage, docs.columns, docs.collect()))
+    return out
+
+
+def test_nulls_empty_and_repeated_rows(spark):
+    """Texts that are null, empty, blank or without a letter go first. Of copies under several ids the first stays, a row
+    that is there twice stays at least once, and nulls in other columns and columns with the names of inner ones do not
+    matter."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    sample = docs.where("lang IS NOT NULL AND size(split(text, ' ')) > 200").orderBy("doc_id").first()["text"].split()[:150]
+    clean = lambda salt: "\n".join(" ".join(w) for w in batched(random.Random(salt).sample(sample, len(sample)), 12))
+    rows = [(9001, None), (9002, ""), (9003, " \n\t "), (9004, "123 456 7890"), (9005, clean("alpha")), (9006, clean("alpha")), (9007, clean("beta")), (9007, clean("beta")), (9008, clean("gamma"))]
+    more = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    both = docs.unionByName(more.select(*(more[f.name].cast(f.dataType).alias(f.name) for f in docs.schema)))
+    for name, v in ODD.items():
+        both = both.withColumn(name, F.when(F.col("doc_id") % 2 == 0, F.lit(v)))
+    stages = through(spark, both, "odd")
+    assert all(columns == both.columns for stage, columns, _ in stages if stage != "packing")
+    ids = {stage: {r["doc_id"] for r in found} for stage, _, found in stages}
+    assert not ids["language"] & {9001, 9002, 9003, 9004}
+    assert ids["language"] >= {9005, 9006, 9007, 9008} and ids["packing"] & set(range(9001, 9009)) == {9005, 9007, 9008}
+    assert all(r["key"] == ("k" if r["doc_id"] % 2 == 0 else None) for _, _, found in stages[:-1] for r in found)
+
+
+def test_an_empty_table(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 0")
+    for stage, columns, found in through(spark, docs, "none"):
+        assert found == [] and (stage == "packing" or columns == docs.columns)
