@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .store import size, stored
+from .store import size, small, stored
 
 #: Records in a block of time, about, and blocks at most; a URL with a share of all records has that share of each.
 BLOCK_ROWS, BLOCKS = 250_000, 512
@@ -60,10 +60,13 @@ def _header_map(headers: str) -> Column:
 
 
 def _once(rows: DataFrame) -> DataFrame:
-    """Of records with the same record_id and kind the first in a fixed order; all without a record_id."""
-    order = ["time", "url", "headers", "payload"]
-    known = rows.where("record_id IS NOT NULL").groupBy("record_id", "full").agg(F.min(F.struct(*order, "canonical_url")).alias("r"))
-    return known.select("record_id", "full", "r.*").unionByName(rows.where("record_id IS NULL"))
+    """Of records with the same record_id and kind the first in a fixed order; all without a record_id. Only ids that occur
+    more than once are compared, so that the payloads of all others are read where they are and not shuffled."""
+    keys, order = ["record_id", "full"], ["time", "url", "headers", "payload"]
+    counts = rows.where("record_id IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    twice = small(stored(counts.select(*keys), "twice"))
+    first = rows.join(twice, keys, "left_semi").groupBy(*keys).agg(F.min(F.struct(*order, "canonical_url")).alias("r"))
+    return rows.join(twice, keys, "left_anti").select(*rows.columns).unionByName(first.select(*keys, "r.*"))
 
 
 def resolve(records: DataFrame, blocks: int | None = None) -> DataFrame:
