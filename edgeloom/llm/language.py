@@ -113,15 +113,25 @@ def _fit(p: np.ndarray, c: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, f
     return weights, float(c @ np.log(mixed))
 
 
+def _counted(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text and how often each occurs. Never larger than the number of buckets, whatever the text."""
+    if len(grams) >= 1 << BITS:
+        counts = np.bincount(grams, minlength=1 << BITS)
+        buckets = np.flatnonzero(counts)
+        return buckets, counts[buckets].astype(np.float64)
+    buckets, counts = np.unique(grams, return_counts=True)
+    return buckets, counts.astype(np.float64)
+
+
+def _fitted(grams: np.ndarray, frequencies: np.ndarray, share: np.ndarray) -> float:
+    """The mean log-likelihood of a gram under the mixture, 0 for a text without one."""
+    buckets, c = _counted(grams)
+    return float(c @ np.log(frequencies[buckets] @ share) / c.sum()) if len(c) else 0.0
+
+
 def proportions(grams: np.ndarray, frequencies: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     """A text's share of each language (0 for those not selected)."""
-    if len(grams) >= 1 << BITS:
-        all_counts = np.bincount(grams, minlength=1 << BITS)
-        buckets = np.flatnonzero(all_counts)
-        c = all_counts[buckets].astype(np.float64)
-    else:
-        buckets, n = np.unique(grams, return_counts=True)
-        c = n.astype(np.float64)
+    buckets, c = _counted(grams)
     p = frequencies[buckets].astype(np.float64)
     size = p.shape[1]
     out = np.zeros(size)
@@ -143,15 +153,15 @@ def proportions(grams: np.ndarray, frequencies: np.ndarray, penalty: float = 1.0
     return out
 
 
-def _predict(texts: pa.Array, names: list[str], frequencies: np.ndarray) -> Iterator[tuple[str, float, list[dict], float]]:
-    """Language, score, languages, and the mean log-likelihood of a gram under the mixture (0 for a text without one)."""
+def _predict(texts: pa.Array, names: list[str], frequencies: np.ndarray, fitted: bool = False) -> Iterator[tuple[str, float, list[dict], float]]:
+    """Language, score, languages, and how well the mixture fits (`_fitted`; only where asked for, else 0)."""
     for grams in _buckets(texts):
         if grams is None or not names:
             yield "und", 0.0, [], -math.inf if grams is None else 0.0
             continue
         share = proportions(grams, frequencies)
         top = int(share.argmax())
-        fit = float(np.log(frequencies[grams] @ share).mean()) if len(grams) else 0.0
+        fit = _fitted(grams, frequencies, share) if fitted else 0.0
         yield names[top], float(min(1.0, share[top])), [{"lang": names[i], "share": float(share[i])} for i in np.argsort(-share, kind="stable") if share[i] > 0], fit
 
 
@@ -186,7 +196,7 @@ def keep_identified(docs: DataFrame, min_share: float = 0.3) -> DataFrame:
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _predict(batch.column(text), names, shared.value)
+            found = _predict(batch.column(text), names, shared.value, fitted=True)
             yield batch.filter(pa.array([fit > UNKNOWN and (score >= min_share or not names) for _, score, _, fit in found], pa.bool_()))
 
     return docs.mapInArrow(choose, docs.schema)
