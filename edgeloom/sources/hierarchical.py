@@ -7,23 +7,24 @@
         representations: {ResultClass: {attributes, relations}}
 
 Fields may also stand in a mapping without groups or in a list of records with an id. A field in several groups counts
-once. Spark builds and reads the bodies, a row for each entity; the file holds one document, as the format has it.
+once. A file holds one document, which tasks read and write in parts (`documents.py`).
 """
 
 from __future__ import annotations
 
 import json
 import warnings
-from collections.abc import Iterator
-from pathlib import Path
+from collections.abc import Callable, Iterator
 
 import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import underscored
+from ..lineage import cut
 from ..model import Model
 from ..plans.schema import compatible
+from . import documents
 from .readers import read_rows
 from .writers import scoped
 
@@ -52,34 +53,30 @@ def bodies(m: Model) -> DataFrame:
     return rows.select("entity_class", "entity_id", "reported_on", "attributes", "relations")
 
 
-def document(m: Model) -> Iterator[tuple[str, str, dict]]:
-    """(class, id, body) in order, representations nested: a row at a time, so that the driver holds one entity."""
+def nested_bodies(m: Model) -> DataFrame:
+    """entity_class, entity_id, body: representations stand in the body of what they report on."""
     rows = bodies(m)
     body = F.struct("attributes", "relations")
-    views = rows.where("reported_on IS NOT NULL").select(F.col("reported_on").alias("entity_id"), F.struct("entity_class", F.to_json(body).alias("body")).alias("view"))
-    nested = views.groupBy("entity_id").agg(F.sort_array(F.collect_list("view")).alias("views"))
-    flat = rows.where("reported_on IS NULL").join(nested, "entity_id", "left").orderBy("entity_class", "entity_id")
+    views = rows.where("reported_on IS NOT NULL").select(F.col("reported_on").alias("entity_id"), F.struct("entity_class", body.alias("body")).alias("view"))
+    nested = views.groupBy("entity_id").agg(F.sort_array(F.collect_list(F.struct(F.col("view.entity_class").alias("name"), F.to_json("view.body").alias("body")))).alias("views"))
+    flat = rows.where("reported_on IS NULL").join(nested, "entity_id", "left")
+    return flat.select("entity_class", "entity_id", F.to_json(F.struct("attributes", "relations", "views")).alias("body"))
+
+
+def _block(body: str) -> dict:
+    """What is written of an entity: groups and fields without nulls, results under their classes."""
     plain = lambda groups: {g: {k: {n: v for n, v in json.loads(x).items() if v is not None} for k, x in json.loads(f).items()} for g, f in (groups or {}).items()}
     parts = lambda b: {k: plain(b[k]) for k in ("attributes", "relations") if b.get(k)}
-    for r in flat.toLocalIterator():
-        out = parts({"attributes": r["attributes"], "relations": r["relations"]})
-        if r["views"]:
-            out["representations"] = {v["entity_class"]: parts(json.loads(v["body"])) for v in r["views"]}
-        yield r["entity_class"], r["entity_id"], out
+    block = json.loads(body)
+    out = parts(block)
+    if block.get("views"):
+        out["representations"] = {v["name"]: parts(json.loads(v["body"])) for v in block["views"]}
+    return out
 
 
 def write_hierarchical_yaml(m: Model, path: str, library: str = "referenced", version: str | None = None) -> None:
-    """One YAML file, written entity by entity."""
-    with Path(path).open("w", encoding="utf-8") as f:
-        if version:
-            yaml.safe_dump({META: {"schema_version": version}}, f)
-        last = None
-        for c, id_, body in document(scoped(m, library)):
-            if c != last:
-                f.write(f"{json.dumps(c)}:\n")
-                last = c
-            text = yaml.safe_dump({id_: body}, allow_unicode=True, sort_keys=False)
-            f.writelines("  " + line for line in text.splitlines(keepends=True))
+    """One YAML file, written in parts by the tasks."""
+    documents.write(documents.yaml_members(nested_bodies(scoped(m, library)), _block), path, "yaml", yaml.safe_dump({META: {"schema_version": version}}) if version else "")
 
 
 def _records(block: object, known: set[str], wrap: str) -> dict[str, dict]:
@@ -97,47 +94,56 @@ def _records(block: object, known: set[str], wrap: str) -> dict[str, dict]:
     return out
 
 
-def _rows(body: dict, known: dict[str, tuple[set[str], set[str]]]) -> Iterator[tuple]:
-    """(class, id, field, kind, value, unit, provenance, ord, seq) of a document; a row without a field for each entity."""
-    seq = 0
+def _fields(known: dict[str, tuple[set[str], set[str]]]) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    """(class, id, field, kind, value, unit, provenance, ord, seq) of bodies; a row without a field for each entity."""
 
-    def entity(c: str, id_: str, block: dict) -> Iterator[tuple]:
+    def entity(seq: int, c: str, id_: str, block: dict) -> Iterator[tuple]:
         attributes, relations = known.get(c, (set(), set()))
         yield c, id_, None, "entity", None, None, None, 0, seq
         for name, r in _records(block.get("attributes"), attributes, "value").items():
             v = r.get("value")
             if v not in ("", None):
-                yield c, id_, name, "attribute", json.dumps(v) if isinstance(v, (dict, list)) else str(v).lower() if isinstance(v, bool) else str(v), r.get("unit"), r.get("provenance_ref"), 0, seq
+                yield c, id_, name, "attribute", json.dumps(v) if isinstance(v, (dict, list)) else str(v).lower() if isinstance(v, bool) else str(v), _text(r.get("unit")), _text(r.get("provenance_ref")), 0, seq
         for name, r in _records(block.get("relations"), relations, "target_entity_ids").items():
             found = r.get("target_entity_ids", r.get("target"))
             for n, t in enumerate(found if isinstance(found, list) else [found]):
                 if t not in ("", None):
                     yield c, id_, name, "relation", str(t), None, None, n, seq
 
-    for c, members in body.items():
-        if str(c).startswith("_") or not members:
-            continue
-        listed = [(e.get("id"), e) for e in members] if isinstance(members, list) else list(members.items())
-        for id_, block in listed:
-            seq += 1
-            yield from entity(str(c), str(id_), block or {})
-            for view, nested in ((block or {}).get("representations") or {}).items():
-                seq += 1
-                yield str(view), str(id_), None, "view", None, None, None, 0, seq
-                yield from ((*r[:3], "view " + r[3], *r[4:]) for r in entity(str(view), str(id_), nested or {}))
+    def rows(bodies: Iterator[tuple]) -> Iterator[tuple]:
+        for seq, c, id_, body in bodies:
+            block = json.loads(body)
+            yield from entity(seq, c, id_, block)
+            for view, nested in (block.get("representations") or {}).items():
+                yield view, id_, None, "view", None, None, None, 0, seq
+                yield from ((*r[:3], "view " + r[3], *r[4:]) for r in entity(seq, view, id_, nested or {}))
+
+    return rows
+
+
+def _text(value: object) -> str | None:
+    return None if value is None else str(value)
 
 
 def read_hierarchical_yaml(m: Model, path: str, library: bool = False, version: str | None = None) -> Model:
-    """The model of a file. Ids of nested results are `<class_in_snake_case>.<asset>`, and their reportsOn edge is put
-    back. A file of another major version than `version` gives a warning."""
-    body = yaml.safe_load(Path(path).read_text(encoding="utf-8")) or {}
-    written = next((v.get("schema_version") for k, v in body.items() if str(k).startswith("_") and str(k).endswith(META) and isinstance(v, dict)), None)
-    if version and written and not compatible(str(written), str(version).split(".")[0] + ".0"):
-        warnings.warn(f"{path} was written for schema version {written}, not {version}", stacklevel=2)
+    """The model of a file, read in splits. Ids of nested results are `<class_in_snake_case>.<asset>`, and their reportsOn
+    edge is put back. A file of another major version than `version` gives a warning."""
+    return read_document(m, path, "yaml", library, version)
+
+
+def read_document(m: Model, path: str, form: str, library: bool = False, version: str | None = None) -> Model:
+    """As `read_hierarchical_yaml`, of a document in YAML or JSON. Fields may stand in any of the three forms."""
+    found = cut(documents.entities(m.spark, path, form))
+    if version:
+        notes = found.where(F.col("entity_class").startswith("_") & F.col("entity_class").endswith(META) & (F.col("entity_id") == "schema_version")).first()
+        written = notes and json.loads(notes["body"]).get("value")
+        if written and not compatible(str(written), str(version).split(".")[0] + ".0"):
+            warnings.warn(f"{path} was written for schema version {written}, not {version}", stacklevel=3)
     known: dict[str, tuple[set[str], set[str]]] = {}
     for r in m.field_def.select("class_name", "kind", "field_id").collect():
         known.setdefault(r["class_name"], (set(), set()))[r["kind"] == "relation"].add(r["field_id"])
-    rows = m.spark.createDataFrame(list(_rows(body, known)), "entity_class string, entity_id string, field string, kind string, value string, unit string, provenance_ref string, ord int, seq long")
+    members = found.where(~F.col("entity_class").startswith("_")).select("seq", "entity_class", "entity_id", "body")
+    rows = documents.mapped_rows(members, _fields(known), "entity_class string, entity_id string, field string, kind string, value string, unit string, provenance_ref string, ord int, seq long")
     nested = F.col("kind").startswith("view")
     snake = underscored(F.regexp_replace(F.regexp_replace("entity_class", "([a-z0-9])([A-Z])", "$1_$2"), r"\.", "_"))
     rows = rows.withColumn("asset", F.when(nested, F.col("entity_id"))).withColumn("entity_id", F.when(nested, F.concat(snake, F.lit("."), F.col("entity_id"))).otherwise(F.col("entity_id")))

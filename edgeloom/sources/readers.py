@@ -125,29 +125,18 @@ def read_long_csv(m: Model, path: str) -> Model:
     return _with(m, rows, _values(values), _edges(edges))
 
 
-BODY = "map<string, map<string, struct<attributes: array<struct<id: string, value: string, unit: string, provenance_ref: string>>, relations: array<struct<id: string, target_entity_ids: array<string>>>>>>"
-
-
-def _bodies(m: Model, texts: DataFrame, library: bool) -> Model:
-    """Entities of JSON texts {Class: {id: {attributes, relations}}}; all targets of a relation are kept."""
-    classes = texts.select(F.posexplode(F.from_json("value", BODY)).alias("c", "entity_class", "members"))
-    rows = classes.select("entity_class", "c", F.posexplode("members").alias("n", "entity_id", "body"))
-    rows = rows.withColumn("seq", F.col("c").cast("long") * (1 << 32) + F.col("n"))
-    values = rows.select(*ENTITY_COLUMNS, F.explode("body.attributes").alias("a")).select(*ENTITY_COLUMNS, F.col("a.id").alias("attribute_id"), F.col("a.value").alias("value_str"), "a.unit", "a.provenance_ref")
-    edges = rows.select(*ENTITY_COLUMNS, F.explode("body.relations").alias("r")).select(*ENTITY_COLUMNS, F.col("r.id").alias("relation_id"), F.col("r.target_entity_ids").alias("targets"))
-    return _with(m, rows, _values(values), _edges(edges), library)
-
-
 def read_json(m: Model, path: str, library: bool = False) -> Model:
-    return _bodies(m, m.spark.read.text(path, wholetext=True), library)
+    """A JSON model, read in splits; all targets of a relation are kept."""
+    from .hierarchical import read_document
+
+    return read_document(m, path, "json", library)
 
 
 def read_yaml(m: Model, path: str, library: bool = False) -> Model:
-    """A YAML model, of one file that fits on the driver; bulk data belongs in the tabular formats."""
-    body = yaml.safe_load(Path(path).read_text()) or {}
-    listed = lambda v: {e["id"]: {k: x for k, x in e.items() if k != "id"} for e in v} if isinstance(v, list) else v
-    clean = {c: listed(v) for c, v in body.items() if not c.startswith("_")}
-    return _bodies(m, m.spark.createDataFrame([(json.dumps(clean, default=str),)], "value string"), library)
+    """A YAML model, read in splits."""
+    from .hierarchical import read_document
+
+    return read_document(m, path, "yaml", library)
 
 
 def read_parquet_long(m: Model, path: str) -> tuple[Model, DataFrame]:

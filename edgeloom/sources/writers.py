@@ -13,6 +13,7 @@ from ..functions.numbers import FLAGS, INTEGERS, NUMBERS
 from ..model import Model
 from ..operators.navigation import TECHNOLOGY, first_target, library_scope
 from ..plans.schema import Schema, as_list
+from . import documents
 
 
 def scoped(m: Model, library: str = "referenced") -> Model:
@@ -70,15 +71,8 @@ def entity_bodies(m: Model) -> DataFrame:
 
 
 def write_json(m: Model, path: str) -> None:
-    """One JSON document, written entity by entity: the driver never holds more than one."""
-    with Path(path).open("w", encoding="utf-8") as f:
-        last = None
-        for r in entity_bodies(m).orderBy("entity_class", "entity_id").toLocalIterator():
-            new = r["entity_class"] != last
-            f.write(("{\n" if last is None else "\n},\n" if new else ",\n") + (f"{json.dumps(r['entity_class'], ensure_ascii=False)}: {{\n" if new else ""))
-            f.write(f"{json.dumps(r['entity_id'], ensure_ascii=False)}: {r['body']}")
-            last = r["entity_class"]
-        f.write("{}" if last is None else "\n}\n}\n")
+    """One JSON document, written in parts by the tasks."""
+    documents.write(documents.json_members(entity_bodies(m)), path, "json")
 
 
 def write_json_lines(m: Model, folder: str) -> None:
@@ -87,17 +81,8 @@ def write_json_lines(m: Model, folder: str) -> None:
 
 
 def write_yaml(m: Model, path: str, version: str | None = None) -> None:
-    """One YAML document of flat entities, written entity by entity."""
-    with Path(path).open("w", encoding="utf-8") as f:
-        if version:
-            yaml.safe_dump({"_meta": {"schema_version": version}}, f)
-        last = None
-        for r in entity_bodies(m).orderBy("entity_class", "entity_id").toLocalIterator():
-            if r["entity_class"] != last:
-                last = r["entity_class"]
-                f.write(f"{json.dumps(last)}:\n")
-            text = yaml.safe_dump({r["entity_id"]: json.loads(r["body"])}, allow_unicode=True, sort_keys=False)
-            f.writelines("  " + line for line in text.splitlines(keepends=True))
+    """One YAML document of flat entities, written in parts by the tasks."""
+    documents.write(documents.yaml_members(entity_bodies(m)), path, "yaml", yaml.safe_dump({"_meta": {"schema_version": version}}) if version else "")
 
 
 def write_csv_by_class(m: Model, folder: str, placeholders: bool = True) -> None:
