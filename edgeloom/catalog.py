@@ -449,6 +449,15 @@ def remap_branches(spark, d):
     return rollup.remapped_branches(rows, rollup.bus_map(buses(spark, d))).select("id", "from_node", "to_node", "dropped")
 
 
+@query("""WITH RECURSIVE p(node, parent, k) AS (SELECT 'region.' || r_regionkey, NULL, 'region.' || r_regionkey FROM region UNION ALL SELECT 'nation.' || n_nationkey, 'region.' || n_regionkey, 'nation.' || n_nationkey FROM nation
+ UNION ALL SELECT 'customer.' || c_custkey, 'nation.' || c_nationkey, 'customer.' || c_custkey FROM customer UNION ALL SELECT 'order.' || o_orderkey, 'customer.' || o_custkey, 'order.' || o_orderkey FROM orders),
+ t(node, depth, path) AS (SELECT node, 0, k FROM p WHERE parent IS NULL OR parent NOT IN (SELECT node FROM p) UNION ALL SELECT p.node, t.depth + 1, t.path || '/' || p.k FROM p JOIN t ON p.parent = t.node) SELECT node, depth, path FROM t""")
+def asset_tree(spark, d):
+    level = lambda name, node, c, parent, up: table(spark, d, name).select(key(node, c).alias("node"), (key(parent, up) if up else F.lit(None).cast("string")).alias("parent"), key(node, c).alias("key"))
+    levels = [("region", "region", "r_regionkey", "", ""), ("nation", "nation", "n_nationkey", "region", "n_regionkey"), ("customer", "customer", "c_custkey", "nation", "c_nationkey"), ("orders", "order", "o_orderkey", "customer", "o_custkey")]
+    return navigation.tree(readers.union_all([level(*x) for x in levels]))
+
+
 # profiles
 
 

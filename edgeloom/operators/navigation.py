@@ -143,6 +143,22 @@ def library_scope(m: Model, scope: str = "referenced") -> DataFrame:
         seen = seen.union(frontier)
 
 
+def tree(parts: DataFrame) -> DataFrame:
+    """node, depth and path (keys from the root, joined by `/`) of a forest of parts (node, parent, key): a recursive query,
+    whose order by path lists every part under its parent. A part whose parent is null or unknown is a root; parts of a
+    cycle hang below no root and are left out."""
+    known = parts.select(F.col("node").alias("parent")).distinct()
+    tops = parts.join(known, "parent", "left_anti").select("node", "key")
+    return parts.sparkSession.sql(
+        """WITH RECURSIVE t(node, depth, path) AS (
+            SELECT node, 0, key FROM {tops}
+            UNION ALL SELECT p.node, t.depth + 1, concat(t.path, '/', p.key) FROM {parts} p JOIN t ON p.parent = t.node)
+        SELECT * FROM t LIMIT ALL""",
+        tops=tops,
+        parts=parts,
+    )
+
+
 def class_tree(m: Model, root: str) -> DataFrame:
     """class_name and depth below a root."""
     return m.class_closure.where(F.col("ancestor") == root).select("class_name", "depth")

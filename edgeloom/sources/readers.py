@@ -8,7 +8,7 @@ from functools import reduce
 from pathlib import Path
 
 import yaml
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import safe_double, to_bool
@@ -125,6 +125,33 @@ def read_long_csv(m: Model, path: str) -> Model:
     return _with(m, rows, _values(values), _edges(edges))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """line (from 1, as an editor counts) and value of the lines of one text file that is read in splits: the lines of each
+    split are counted, and the counts summed up over the splits before it."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("n"))
+    counts = rows.groupBy("split").agg(F.count("*").alias("lines"), F.min("n").alias("first"))
+    before = F.sum("lines").over(Window.orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("split", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(starts), "split").select((F.col("before") + F.col("n") - F.col("first") + 1).alias("line"), "value")
+
+
+def long_csv_unknowns(m: Model, path: str) -> DataFrame:
+    """line, entity_class, entity_id, kind (class, attribute or relation) and name of what the rows of a long CSV name and
+    the schema does not know. A row of an unknown class is named once, for its class."""
+    header = m.spark.read.csv(path, header=True, escape='"').columns
+    text = ", ".join(f"`{c}` string" for c in header)
+    lines = numbered_lines(m.spark, path).where("line > 1 AND trim(value) <> ''")
+    rows = lines.select("line", F.from_csv("value", text, {"escape": '"'}).alias("r")).select("line", "r.*")
+    classes = F.broadcast(m.class_def.select(F.col("class_name").alias("entity_class"), F.lit(True).alias("known")))
+    rows = rows.join(classes, "entity_class", "left")
+    out = rows.where("known IS NULL").select("line", *ENTITY_COLUMNS, F.lit("class").alias("kind"), F.col("entity_class").alias("name"))
+    for kind, column in (("attribute", "attribute_id"), ("relation", "relation_type")):
+        named = rows.where(F.col("known") & (F.col(column) != "")).select("line", *ENTITY_COLUMNS, F.lit(kind).alias("kind"), F.col(column).alias("name"))
+        fields = m.field_def.where(F.col("kind") == kind).select(F.col("class_name").alias("entity_class"), F.col("field_id").alias("name"))
+        out = out.union(named.join(F.broadcast(fields), ["entity_class", "name"], "left_anti").select("line", *ENTITY_COLUMNS, "kind", "name"))
+    return out
+
+
 def read_json(m: Model, path: str, library: bool = False) -> Model:
     """A JSON model, read in splits; all targets of a relation are kept."""
     from .hierarchical import read_document

@@ -7,6 +7,7 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
+from edgeloom.operators import navigation
 from edgeloom.plans.schema import Schema, empty_model
 from edgeloom.sources import documents, hierarchical, readers, writers
 from edgeloom.sources.star import ENERGY_SCHEMA
@@ -105,3 +106,22 @@ def test_a_large_document_there_and_back_in_many_tasks(spark, small_splits, tmp_
         back = read(empty, path)
         assert wanted(back) == wanted(m)
     assert sum(map(len, json.load(open(f"{tmp_path}/m.json")).values())) == n
+
+
+def test_unknowns_of_a_long_file_have_their_lines(spark, small_splits, tmp_path):
+    small_splits(300)
+    head = "entity_class,entity_id,attribute_id,attribute_value,attribute_unit,attribute_provenance,relation_type,relation_id"
+    line = lambda k: f"GenerationUnit,g{k},{'odd' if k % 9 == 0 else 'name'},\"a, \"\"b\"\"\",,,,"
+    lines = [head, *map(line, range(1, 60)), "", "Nowhere,x,name,1,,,,", "GenerationUnit,g1,,,,,atNode,b", "GenerationUnit,g1,,,,,besides,b"]
+    (tmp_path / "l.csv").write_text("\n".join(lines) + "\n")
+    m = empty_model(spark, SCHEMA)
+    assert [tuple(r) for r in readers.numbered_lines(spark, f"{tmp_path}/l.csv").orderBy("line").collect()] == list(enumerate(lines, 1))
+    wanted = [(k + 1, "GenerationUnit", f"g{k}", "attribute", "odd") for k in range(9, 60, 9)] + [(62, "Nowhere", "x", "class", "Nowhere"), (64, "GenerationUnit", "g1", "relation", "besides")]
+    assert [tuple(r) for r in readers.long_csv_unknowns(m, f"{tmp_path}/l.csv").orderBy("line").collect()] == wanted
+    assert readers.read_long_csv(m, f"{tmp_path}/l.csv").attr.where("attribute_id = 'name'").first()["value_str"] == 'a, "b"'
+
+
+def test_trees_of_parts(spark):
+    parts = spark.createDataFrame([("r", None, "r"), ("b", "r", "b"), ("a", "r", "a"), ("c", "a", "c"), ("lost", "gone", "lost"), ("x", "y", "x"), ("y", "x", "y")], "node string, parent string, key string")
+    assert [tuple(r) for r in navigation.tree(parts).orderBy("path").collect()] == [("lost", 0, "lost"), ("r", 0, "r"), ("a", 1, "r/a"), ("c", 2, "r/a/c"), ("b", 1, "r/b")]
+    assert navigation.tree(parts.limit(0)).count() == 0
