@@ -207,7 +207,7 @@ def linked_entities(m: Model, family: str) -> DataFrame:
 def checked_values(m: Model, rows: DataFrame, name: str, family: str | None) -> DataFrame:
     """`rows` (entity_class, entity_id, ...) with value and problem of a field: of the entity itself, of its technology
     or the schema's default, else of its linked entity of the given family or of the only one that declares the field.
-    `problem` says why a field cannot be looked up."""
+    `problem` says why a field cannot be looked up; there is no value then, so that no other rule is broken."""
     rows = rows.join(effective_values(m, name), "entity_id", "left")
     targets_ = first_target(m, name, "target")
     rows = rows.join(targets_, "entity_id", "left").withColumn("value", F.coalesce("value", "target")).drop("target")
@@ -228,7 +228,7 @@ def checked_values(m: Model, rows: DataFrame, name: str, family: str | None) ->
     use = is_set(F.coalesce("value", F.lit("")))
     own = F.coalesce("declared", F.lit(False)) | use
     problem = F.when(own, None).when(F.col("families") > 1, "ambiguous: name a view_family").when(F.col("families").isNull(), "unknown field").when(F.col("linked").isNull(), F.concat(F.lit("no entity of the family "), F.col("family")))
-    return rows.withColumn("problem", problem).withColumn("value", F.when(own, F.col("value")).otherwise(F.col("there"))).drop("declared", "families", "family", "linked", "there")
+    return rows.withColumn("problem", problem).withColumn("value", F.when(own, F.col("value")).when(F.col("problem").isNull(), F.col("there"))).drop("declared", "families", "family", "linked", "there")
 
 
 def validate_for_analysis(m: Model, profile: Mapping) -> DataFrame:
