@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..lineage import shared_folder
 from ..model import ATTRIBUTE, CLASS, CLOSURE, ENTITY, FIELD, PROFILE, RELATION, Model
@@ -35,13 +36,22 @@ def _read(spark: SparkSession, path: str, name: str, ddl: str) -> DataFrame:
     return rows.select(*(c.split()[0] for c in ddl.split(", ")))  # the partition column comes back in its place
 
 
+#: Into how many parts the rows of one class and field are dealt before they are written.
+DEALS = 512
+#: Rows of a file. A scan takes files together by size, and each counts for 4 MB at least, so that one task never reads more
+#: than 32 of them, however well they are compressed.
+FILE_ROWS = 250_000
+
+
 def write_data(m: Model, path: str) -> None:
-    """The tables of entities, values, relations and series. Rows are dealt out by class and field; the rebalancing splits
-    a class that is much larger than others and joins small ones, so that files have an even size."""
+    """The tables of entities, values, relations and series. Rows are dealt out by class, field and a part of the ids, so
+    that no task sorts a large class alone; the rebalancing joins small parts, and files have an even size."""
 
     def write(name: str) -> None:
         ddl, order = TABLES[name]
-        writer = getattr(m, name).hint("rebalance", *order[:-1]).sortWithinPartitions(*order).write.mode("overwrite")
+        rows = getattr(m, name).withColumn("_deal", F.pmod(F.xxhash64(order[-1]), F.lit(DEALS)))
+        rows = rows.hint("rebalance", *order[:-1], "_deal").drop("_deal").sortWithinPartitions(*order)
+        writer = rows.write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS)
         (writer.partitionBy("entity_class") if "entity_class" in ddl else writer).parquet(_folder(path, name))
 
     with ThreadPoolExecutor(len(TABLES)) as pool:  # four jobs at a time

@@ -2,8 +2,12 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from edgeloom import catalog
+from edgeloom.model import relation_rows
+from edgeloom.operators import navigation, subset
+from edgeloom.sources import layout, star
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "supplier", "customer", "part", "orders")
@@ -33,3 +37,18 @@ def same_as_sql(spark, folder, name):
 def test_ambiguous_values_break_no_other_rule(spark, odd):
     rows = same_as_sql(spark, odd, "validate_linked")
     assert any(r[2] == "unresolved" and int(r[0].split(".")[1]) % 24 == 0 for r in rows) and any(r[2] == "minimum" for r in rows)
+
+
+def test_a_large_class_is_written_by_several_tasks(spark, monkeypatch, tmp_path):
+    m = star.star_rows(spark, DATA)
+    ids = spark.range(4000).select(F.concat(F.lit("line."), F.col("id").cast("string")).alias("id"))
+    m = m.but(rel=relation_rows(ids, "TransmissionLine", F.col("id"), "toNode", F.lit("node.1")))
+    monkeypatch.setattr(layout, "FILE_ROWS", 300)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        layout.write_data(m, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = spark.read.parquet(f"{tmp_path}/rel").groupBy(F.input_file_name().alias("file")).count().collect()
+    tasks = {f["file"].split("part-")[1][:5] for f in files}
+    assert sum(f["count"] for f in files) == 4000 and max(f["count"] for f in files) <= 300 and len(tasks) == 4
