@@ -81,8 +81,9 @@ def node_countries(m: Model, parse: Column | None = None) -> DataFrame:
 
 
 def branch_ends(m: Model) -> DataFrame:
-    """entity_id, from_node, to_node; either may be missing."""
-    ends = m.rel.where(F.col("relation_id").isin("fromNode", "toNode")).groupBy("entity_id")
+    """entity_id, from_node, to_node; either may be missing. An entity has two rows, which are brought together before
+    they are sorted: to group them where they are read would save nothing."""
+    ends = m.rel.where(F.col("relation_id").isin("fromNode", "toNode")).repartition("entity_id").groupBy("entity_id")
     end = lambda r, name: F.min_by("target_id", F.when(F.col("relation_id") == r, F.col("ord"))).alias(name)
     return ends.agg(end("fromNode", "from_node"), end("toNode", "to_node"))
 

@@ -22,7 +22,7 @@ def hops(m: Model) -> DataFrame:
     first = lambda relation, name: F.min_by("target_id", F.when((F.col("relation_id") == relation) & is_set(F.col("target_id")), F.col("ord"))).alias(name)
     order = F.array_position(F.array(*map(F.lit, PROFILES)), F.col("relation_id"))
     profile = F.min_by("target_id", F.when(F.col("relation_id").isin(*PROFILES), F.struct(order, F.col("ord")))).alias("profile")
-    rows = m.rel.where(F.col("relation_id").isin(NODE, "fromNode", "toNode", DRAWS, *PROFILES)).groupBy("entity_id")
+    rows = m.rel.where(F.col("relation_id").isin(NODE, "fromNode", "toNode", DRAWS, *PROFILES)).repartition("entity_id").groupBy("entity_id")
     rows = rows.agg(first(NODE, "node"), first("fromNode", "from_node"), first("toNode", "to_node"), first(DRAWS, "reservoir"), profile)
     return m.entity.select("entity_class", "entity_id").join(rows, "entity_id", "left")
 

@@ -39,6 +39,10 @@ def test_ambiguous_values_break_no_other_rule(spark, odd):
     assert any(r[2] == "unresolved" and int(r[0].split(".")[1]) % 24 == 0 for r in rows) and any(r[2] == "minimum" for r in rows)
 
 
+def plan(df):
+    return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
 def test_a_large_class_is_written_by_several_tasks(spark, monkeypatch, tmp_path):
     m = star.star_rows(spark, DATA)
     ids = spark.range(4000).select(F.concat(F.lit("line."), F.col("id").cast("string")).alias("id"))
@@ -52,3 +56,12 @@ def test_a_large_class_is_written_by_several_tasks(spark, monkeypatch, tmp_path)
     files = spark.read.parquet(f"{tmp_path}/rel").groupBy(F.input_file_name().alias("file")).count().collect()
     tasks = {f["file"].split("part-")[1][:5] for f in files}
     assert sum(f["count"] for f in files) == 4000 and max(f["count"] for f in files) <= 300 and len(tasks) == 4
+
+
+@pytest.mark.parametrize("name", ["branch_ends", "subset_of_buses"])
+def test_branches_are_brought_together_before_they_are_sorted(spark, name):
+    m = star.energy_model(spark, DATA)
+    rows = navigation.branch_ends(m) if name == "branch_ends" else subset.hops(m).select("entity_id", "from_node", "to_node")
+    tree = plan(rows).split("\n\n")[0].splitlines()
+    last = max(k for k, line in enumerate(tree) if "SortAggregate" in line)
+    assert "SortAggregate" in tree[last - 1] and any("Exchange" in line for line in tree[last + 1 :])
