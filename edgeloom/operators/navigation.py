@@ -15,6 +15,10 @@ TECHNOLOGY, NODE, REGION, DRAWS = "hasTechnology", "atNode", "belongsToGeographi
 PROFILES = ("hasAvailabilityProfile", "hasDemandProfile", "hasNaturalInflowProfile")
 
 
+#: Parts of a forest that one task sorts, about.
+PART_ROWS = 500_000
+
+
 def entities(m: Model, entity_class: str, derived: bool = False) -> DataFrame:
     """Entities of a class; with `derived`, of its descendants too."""
     if not derived:
@@ -147,8 +151,12 @@ def library_scope(m: Model, scope: str = "referenced") -> DataFrame:
 def tree(parts: DataFrame) -> DataFrame:
     """node, depth and path (keys from the root, joined by `/`) of a forest of parts (node, parent, key): a recursive query,
     whose order by path lists every part under its parent. A part whose parent is null or unknown is a root; parts of a
-    cycle hang below no root and are left out."""
-    known = parts.select(F.col("node").alias("parent")).distinct()
+    cycle hang below no root and are left out. Tasks are as many as the parts ask for."""
+    rows = parts.count()
+    known = parts.select(F.col("node").alias("parent"))
+    if rows > PART_ROWS:  # by number, so that small rows are not put together again by their bytes
+        n = max(-(-rows // PART_ROWS), int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        parts, known = parts.repartition(n, "parent"), known.repartition(n, "parent")
     tops = parts.join(known, "parent", "left_anti").select("node", "key")
     return parts.sparkSession.sql(
         """WITH RECURSIVE t(node, depth, path) AS (

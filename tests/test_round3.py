@@ -65,3 +65,11 @@ def test_branches_are_brought_together_before_they_are_sorted(spark, name):
     tree = plan(rows).split("\n\n")[0].splitlines()
     last = max(k for k, line in enumerate(tree) if "SortAggregate" in line)
     assert "SortAggregate" in tree[last - 1] and any("Exchange" in line for line in tree[last + 1 :])
+
+
+def test_large_trees_are_dealt_out_by_their_size(spark, odd, monkeypatch):
+    monkeypatch.setattr(navigation, "PART_ROWS", 100)
+    assert len(same_as_sql(spark, odd, "asset_tree")) > 1000
+    parts = spark.range(1000).selectExpr("CAST(id AS STRING) AS node", "CAST(id DIV 2 - 1 AS STRING) AS parent", "CAST(id AS STRING) AS key")
+    rows = navigation.tree(parts)
+    assert rows.count() == 1000 and "RepartitionByExpression" in plan(rows)
