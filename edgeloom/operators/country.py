@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -17,13 +18,13 @@ GENERATION = ("GenerationUnit", "HydroGenerationUnit")
 UNKNOWN = "??"
 
 
-def asset_countries(m: Model) -> DataFrame:
-    """entity_id and country of every entity: that of its node; a reservoir without one is where the first generator is
-    that draws from it; `??` where nothing is known."""
+def asset_countries(m: Model, only: DataFrame | None = None) -> DataFrame:
+    """entity_id and country of every entity, or of those of `only`: that of its node; a reservoir without one is where the
+    first generator is that draws from it; `??` where nothing is known."""
     countries = node_countries(m, region_country(F.col("region")))
     nodes = asset_nodes(m).withColumnRenamed("node", "own").join(reservoir_nodes(m).toDF("entity_id", "fed"), "entity_id", "full_outer")
     nodes = nodes.select("entity_id", F.coalesce("own", "fed").alias("node"))
-    rows = m.entity.select("entity_id").join(nodes, "entity_id", "left").join(countries, "node", "left")
+    rows = (m.entity if only is None else only).select("entity_id").join(nodes, "entity_id", "left").join(countries, "node", "left")
     return rows.select("entity_id", F.coalesce("country", F.lit(UNKNOWN)).alias("country"))
 
 
@@ -36,13 +37,15 @@ def labelled(m: Model, attributes: list[str], fallback: Column | None = None) ->
     return rows.select("entity_id", F.coalesce(*(f"a{k}" for k in range(len(attributes))), F.nullif("type", F.lit("")), last).alias("technology"))
 
 
-def assets(m: Model, attributes: dict[str, str]) -> DataFrame:
-    """A row for each entity with country, technology and the given attributes as columns (name -> value_num or
-    value_str): one grouped pass over the values."""
+def assets(m: Model, attributes: dict[str, str], classes: Sequence[str]) -> DataFrame:
+    """A row for each entity of the classes with country, technology and the given attributes as columns (name ->
+    value_num or value_str): one grouped pass over the values. Others are left out before anything is joined."""
     cells = [F.min(F.when(F.col("attribute_id") == a, F.col(column))).alias(a) for a, column in attributes.items()]
-    values = m.attr.where(F.col("attribute_id").isin(*attributes)).groupBy("entity_id").agg(*cells)
-    rows = m.entity.select("entity_class", "entity_id").join(values, "entity_id", "left").join(asset_countries(m), "entity_id")
-    return rows.join(labelled(m, ["generator_technology_type", "storage_technology_type"]), "entity_id")
+    of_class = F.col("entity_class").isin(*classes)
+    entity = m.entity.where(of_class)
+    values = m.attr.where(F.col("attribute_id").isin(*attributes) & of_class).groupBy("entity_id").agg(*cells)
+    rows = entity.select("entity_class", "entity_id").join(values, "entity_id", "left").join(asset_countries(m, entity), "entity_id")
+    return rows.join(labelled(m.but(entity=entity), ["generator_technology_type", "storage_technology_type"]), "entity_id")
 
 
 def renewable_category(label: Column) -> Column:
@@ -54,7 +57,7 @@ def renewable_category(label: Column) -> Column:
 
 def renewable_energy(m: Model) -> DataFrame:
     """country, category, total: annual energy of wind, sun and run of river, and the inflow of reservoirs."""
-    rows = assets(m, {"annual_resource_potential": "value_num", "annual_natural_inflow_energy": "value_num"})
+    rows = assets(m, {"annual_resource_potential": "value_num", "annual_natural_inflow_energy": "value_num"}, (*GENERATION, "HydraulicStorageUnit"))
     label = F.lower(F.concat_ws(" ", "entity_class", "entity_id", "technology"))
     generation = F.when(F.col("entity_class").isin(*GENERATION), F.struct(renewable_category(label).alias("category"), F.col("annual_resource_potential").alias("v")))
     inflow = F.when(F.col("entity_class") == "HydraulicStorageUnit", F.struct(F.lit("reservoir_natural_inflow").alias("category"), F.col("annual_natural_inflow_energy").alias("v")))
@@ -85,7 +88,7 @@ MEASURES = (
 def totals_by_country(m: Model) -> DataFrame:
     """country, category, technology, total: twelve categories, of which six are by technology (it is null in the other
     six). Each asset gives the cells of its class; one grouped pass adds them up."""
-    rows = assets(m, {a: "value_num" for a in MEASURES} | {"dispatch_type": "value_str"})
+    rows = assets(m, {a: "value_num" for a in MEASURES} | {"dispatch_type": "value_str"}, (*GENERATION, "StorageUnit", "HydraulicStorageUnit", "DemandUnit"))
     rows = rows.join(pumped_generators(m).withColumn("pumped", F.lit(True)), "entity_id", "left")
     x = {a: F.coalesce(F.col(a), F.lit(0.0)) for a in MEASURES}
     either = lambda a, b: F.when(x[a] != 0, x[a]).otherwise(x[b])

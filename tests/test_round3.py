@@ -73,3 +73,10 @@ def test_large_trees_are_dealt_out_by_their_size(spark, odd, monkeypatch):
     parts = spark.range(1000).selectExpr("CAST(id AS STRING) AS node", "CAST(id DIV 2 - 1 AS STRING) AS parent", "CAST(id AS STRING) AS key")
     rows = navigation.tree(parts)
     assert rows.count() == 1000 and "RepartitionByExpression" in plan(rows)
+
+
+@pytest.mark.parametrize("name", ["renewable_energy_by_country", "totals_of_twelve_categories"])
+def test_reports_read_only_the_classes_that_they_count(spark, odd, name):
+    same_as_sql(spark, odd, name)
+    blocks = [b for b in plan(catalog.QUERIES[name](spark, odd)).split("\n\n") if "Scan parquet" in b and "/entity]" in b]
+    assert blocks and sum("entity_class" not in b.split("PartitionFilters:")[1].splitlines()[0] if "PartitionFilters:" in b else True for b in blocks) <= 1
