@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .recompression import anchored, least_runs, window_starts
-from .store import scratch, small, small_batches, stored
+from .store import scratch, small_batches, stored
 from .text_columns import keyed
 from .words import SPACED, blocks, grams, hashed_words
 
@@ -105,12 +105,13 @@ def windows(rows: DataFrame, window: int) -> DataFrame:
 
 
 def shared_names(named: DataFrame) -> DataFrame:
-    """(doc_id, names): the names of each document that another document has too, from (doc_id, name)."""
+    """(doc_id, names): the names of each document that another document has too, from (doc_id, name). The names that are
+    met grow with the input, so they are never broadcast: shuffle files are in proportion to it at every size."""
     with scratch(named.sparkSession) as keep:
         named = stored(named, "named")
         met = named.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name")
-        met = small(stored(met, "met"))
-        return keep(named.join(met, "name", "left_semi").groupBy("doc_id").agg(F.collect_set("name").alias("names")), "shared")
+        met = stored(met, "met")
+        return keep(named.join(met.hint("merge"), "name", "left_semi").groupBy("doc_id").agg(F.collect_set("name").alias("names")), "shared")
 
 
 def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -125,7 +126,7 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
             part = found.where(F.pmod("name", F.lit(PASSES)) == k)
             least = part.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("name", "low")
             least = stored(least, "least")
-            gone = part.join(small(least), "name").where("doc_id > low")
+            gone = part.join(least.hint("merge"), "name").where("doc_id > low")
             parts.append(stored(gone.groupBy("key").agg(F.collect_set("at").alias("starts")), "starts"))
         return keep(reduce(DataFrame.union, parts).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts")), "starts")
 

@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from edgeloom import catalog
+from edgeloom.llm import substrings
+from edgeloom.llm.text_columns import keyed
 from edgeloom.model import relation_rows
 from edgeloom.operators import navigation, subset
 from edgeloom.sources import layout, star
@@ -80,3 +82,14 @@ def test_reports_read_only_the_classes_that_they_count(spark, odd, name):
     same_as_sql(spark, odd, name)
     blocks = [b for b in plan(catalog.QUERIES[name](spark, odd)).split("\n\n") if "Scan parquet" in b and "/entity]" in b]
     assert blocks and sum("entity_class" not in b.split("PartitionFilters:")[1].splitlines()[0] if "PartitionFilters:" in b else True for b in blocks) <= 1
+
+
+def test_shared_names_are_never_broadcast(spark):
+    """A switch between joins would make shuffle files grow faster than the input."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k % 3) * 7 + i}" for i in range(40))) for k in range(9)], "doc_id long, text string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = {store.executionsList().apply(k).executionId() for k in range(store.executionsList().size())}
+    assert substrings.repeated_windows(keyed(docs)).count() > 0
+    runs = [store.executionsList().apply(k) for k in range(store.executionsList().size())]
+    plans = [r.physicalPlanDescription() for r in runs if r.executionId() not in before]
+    assert sum("SortMergeJoin" in p for p in plans) == 2 + substrings.PASSES
