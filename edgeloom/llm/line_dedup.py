@@ -36,19 +36,24 @@ BINS = len(_EDGES)
 #: Bands are dealt out in so many parts, one after the other: so much less lies in shuffle files at a time.
 PARTS = 2
 #: Shingles of a line that are looked at for each bin, about: those of smallest hash. A bin has none of them once in
-#: 3000 times, and only then may its value differ from that over all shingles.
-DEPTH = 8
+#: 400 times, and only then may its value differ from that over all shingles.
+DEPTH = 6
 #: Different lines of an unsettled band that are all compared; in larger ones a prefix filter finds the pairs.
-CROWD = 8
+CROWD = 32
 #: Members that are compared with one line in one task.
 MEMBERS = 4096
 BLANK = r"[^\x20\x09-\x0D]"
 
 
+def _filled(line: Column) -> Column:
+    """Whether a line is not blank. Most begin with what is no blank, which is cheaper to see."""
+    return (F.ascii(line) > 32) | line.rlike(BLANK)
+
+
 def _lines(rows: DataFrame) -> DataFrame:
     """(doc_id, key, line, text, h) for each line of `rows` (doc_id, key, text) that is not blank."""
     lines = rows.select("doc_id", "key", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return lines.where(F.col("text").rlike(BLANK)).withColumn("h", F.xxhash64("text"))
+    return lines.where(_filled(F.col("text"))).withColumn("h", F.xxhash64("text"))
 
 
 def _shingle(units: Column, at: Column, width: int) -> Column:
@@ -60,35 +65,44 @@ def _starts(units: Column, width: int) -> Column:
     return F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(units) - (2 * width - 1)), F.lit(2))
 
 
-def _shingles(lines: DataFrame, width: int) -> DataFrame:
-    """(h, bytes, at, v): each shingle of `lines` (h, text), with the line's length in UTF-16 bytes."""
-    units = lines.select("h", F.encode("text", "UTF-16BE").alias("units"))
-    found = units.select("h", "units", F.explode(_starts(F.col("units"), width)).alias("at"))
-    return found.select("h", F.octet_length("units").alias("bytes"), "at", _shingle(F.col("units"), F.col("at"), width).alias("v"))
+def _shingle_set(units: Column, width: int) -> Column:
+    """The different shingles of UTF-16 units. The units are bound to a variable of their own: a column of a row would be
+    copied whole for each of its shingles."""
+    every = F.transform(F.array(units), lambda own: F.transform(_starts(own, width), lambda at: _shingle(own, at, width)))
+    return F.array_distinct(F.get(every, F.lit(0)))
 
 
 def _least(lines: DataFrame, width: int, depth: int | None) -> DataFrame:
     """(h, n, b0, ...): each line's length and its bins' smallest values (31 bits); with `depth`, of the shingles whose
     hash is among the smallest of so many a bin by the line's length (null where a bin has none)."""
-    hashed = _shingles(lines, width).select("h", "at", (F.col("bytes") / 2).cast("int").alias("n"), F.shiftrightunsigned("v", 33).cast("int").alias("w"), F.pmod("v", F.lit(BINS)).alias("bin"))
-    if depth is not None:
-        low = F.col("w") * F.col("n").cast("double") <= float(BINS * depth << 31)
-        hashed = hashed.where(low | (F.col("at") == 1)).withColumn("w", F.when(low, F.col("w")))
+    units = lines.select("h", F.encode("text", "UTF-16BE").alias("units")).withColumn("n", (F.octet_length("units") / 2).cast("int"))
+    limit = F.lit(1 << 31) if depth is None else F.floor(F.lit(float(BINS * depth << 31)) / F.col("n"))
+    found = units.withColumn("limit", limit).select("h", "n", "limit", "units", F.explode(_starts(F.col("units"), width)).alias("at"))
+    hashed = found.select("h", "n", "limit", "at", _shingle(F.col("units"), F.col("at"), width).alias("v"))
+    w, low = F.shiftrightunsigned("v", 33), F.shiftrightunsigned("v", 33) <= F.col("limit")
+    hashed = hashed.where(low | (F.col("at") == 1)).select("h", "n", F.when(low, w.cast("int")).alias("w"), F.pmod("v", F.lit(BINS)).cast("int").alias("bin"))
     return hashed.groupBy("h").agg(F.max("n").alias("n"), *(F.min(F.when(F.col("bin") == j, F.col("w"))).alias(f"b{j}") for j in range(BINS)))
 
 
+def _signed(least: DataFrame) -> DataFrame:
+    """(id, weak, b0, ...): 15 bits of each bin of `least`, an empty one as the next full one, and whether a long line has
+    an empty one. Each bin takes over from the one after it, so that the generated code stays small enough to be compiled."""
+    bins = [f"b{j}" for j in range(BINS)]
+    weak = F.expr(f"n > {BINS * DEPTH} AND ({' OR '.join(f'{b} IS NULL' for b in bins)})")
+    rows = least.select(F.col("h").alias("id"), weak.alias("weak"), F.coalesce(*bins).alias(f"b{BINS}"), *bins)
+    for j in reversed(range(BINS)):
+        rows = rows.withColumn(bins[j], F.coalesce(bins[j], f"b{j + 1}"))
+    return rows.select("id", "weak", *(F.col(b).bitwiseAND(0x7FFF).cast("short").alias(b) for b in bins))
+
+
 def signatures(lines: DataFrame, width: int = WIDTH) -> DataFrame:
     """(id, b0, ...): a node for each different line, with 15 bits of each bin's smallest hash.
 
     A first pass looks at the smallest hashes only; where it leaves a bin empty (rarely, or in a line that repeats
     itself) a second one looks at all of the line's."""
-    first = stored(_least(lines, width, DEPTH), "least")
-    bins = [f"b{j}" for j in range(BINS)]
-    weak = F.expr(f"n > {BINS * DEPTH} AND ({' OR '.join(f'{b} IS NULL' for b in bins)})")
-    again = _some_lines(lines, stored(first.where(weak).select("h"), "ids"))
-    rows = first.where(~weak).union(_least(again, width, None))
-    filled = (F.coalesce(*bins[j:], *bins[:j]).bitwiseAND(0x7FFF).cast("short").alias(bins[j]) for j in range(BINS))
-    return rows.select(F.col("h").alias("id"), *filled)
+    first = stored(_signed(_least(lines, width, DEPTH)), "least")
+    again = lines.join(small(stored(first.where("weak").select(F.col("id").alias("h")), "ids")), "h", "left_semi")
+    return first.where("NOT weak").union(stored(_signed(_least(again, width, None)), "again")).drop("weak")
 
 
 def _some_lines(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -105,8 +119,7 @@ def bands(nodes: DataFrame) -> list[DataFrame]:
 def line_classes(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(id, component) of the lines of `rows` (doc_id, key, text) that are linked with a different line."""
     with scratch(rows.sparkSession) as keep:
-        nodes = keep(signatures(_lines(rows), width), "signatures")
-    live, twos = live_members(bands(nodes))
+        live, twos = live_members(bands(signatures(_lines(rows), width)), keep)
     met = live.select("id").union(twos.select("a")).union(twos.select("b")).distinct()
     pool = stored(_some_lines(_lines(rows), stored(met.toDF("h"), "met")), "pool")  # the lines that share a band with any
 
@@ -122,25 +135,24 @@ def line_classes(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         heads = stored(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks")), "heads")
         members = small(pairs).join(small(heads), "a").join(pool.withColumnRenamed("h", "b"), "b")
         members = members.select("a", "b", "text", F.pmod(F.xxhash64("b"), "blocks").cast("int").alias("block"))
-        set_of = lambda units: F.transform(_starts(units, width), lambda at: _shingle(units, at, width))
         units = F.encode("text", "UTF-16BE").alias("units")
         known = small(heads).join(pool.withColumnRenamed("h", "a"), "a").select("a", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), units)
-        known = known.select("a", "block", F.array_distinct(set_of(F.col("units"))).alias("set_a"))
+        known = known.select("a", "block", _shingle_set(F.col("units"), width).alias("set_a"))
         met = members.select("a", "b", "block", units).join(known, ["a", "block"])
-        met = met.select("a", "b", "set_a", F.array_distinct(set_of(F.col("units"))).alias("set_b"))
+        met = met.select("a", "b", "set_a", _shingle_set(F.col("units"), width).alias("set_b"))
         met = met.select("a", "b", (F.size("set_a") + F.size("set_b")).alias("n"), F.size(F.array_intersect("set_a", "set_b")).alias("both"))
         return met.where(f"100 * both >= {percent} * (n - both)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
     def tokens(ids: DataFrame) -> DataFrame:
         lines = pool.join(small(stored(ids.toDF("h"), "ids")), "h", "left_semi")
-        return _shingles(lines, width).select(F.col("h").alias("id"), "v").distinct()
+        units = lines.select(F.col("h").alias("id"), F.encode("text", "UTF-16BE").alias("units"))
+        return units.select("id", F.explode(_shingle_set(F.col("units"), width)).alias("v"))
 
     return linked_groups(live, leader_pairs(live).union(twos), lambda pairs: pairs, verify, tokens, percent, CROWD)
 
 
-def verdicts(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(key, n_lines, removed): the number of lines that are not blank of each document of `rows` (doc_id, key, text)
-    that has any, and the numbers of those that go."""
+def removals(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(key, removed): the numbers of the lines that go, of each document of `rows` (doc_id, key, text) that loses any."""
     with scratch(rows.sparkSession) as keep:
         places = stored(_lines(rows).select("h", F.struct("doc_id", "key", "line").alias("place")), "places")
         classes = stored(line_classes(rows, width, percent), "classes")
@@ -149,25 +161,24 @@ def verdicts(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
         heads = stored(heads.select("h", "first", F.coalesce("component", "h").alias("component")), "heads")
         best = heads.groupBy("component").agg(F.min("first").alias("best"))
         best = stored(heads.join(best, "component").select("h", "best"), "best")
-        found = places.join(small(best), "h", "left")
-        gone = F.col("best").isNotNull() & ~F.col("place").eqNullSafe(F.col("best"))
-        found = found.groupBy("place.key", "place.line").agg(F.bool_or(gone).alias("gone"))  # rows that repeat are one
-        removed = F.sort_array(F.collect_list(F.when(F.col("gone"), F.col("line"))))
-        return keep(found.groupBy("key").agg(F.count("*").alias("n_lines"), removed.alias("removed")), "verdicts")
+        gone = places.join(small(best), "h").where(~F.col("place").eqNullSafe(F.col("best")))
+        gone = gone.groupBy("place.key", "place.line").agg(F.count("*"))  # rows that repeat are one
+        return keep(gone.groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("removed")), "removals")
 
 
 def summary(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, removed (their numbers, from 0)."""
     rows = keyed(docs)
-    out = rows.select("doc_id", "key").join(verdicts(rows, width, percent), "key", "left")
+    n_lines = F.size(F.filter(F.split("text", "\n"), _filled)).cast("long")
+    out = rows.select("doc_id", "key", n_lines.alias("n_lines")).join(removals(rows, width, percent), "key", "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs`, all columns, with the removed lines taken out of `text`; rows that lose nothing are as they
     were, and a row that loses all its lines goes."""
-    gone = small(stored(verdicts(keyed(docs), width, percent).where("size(removed) > 0").drop("n_lines"), "gone")).alias("gone")
+    gone = small(removals(keyed(docs), width, percent)).alias("gone")
     key = F.xxhash64(F.col("docs.doc_id").cast("long"), F.coalesce(F.col("docs.text").cast("string"), F.lit("")))
     rows = docs.alias("docs").join(gone, key == F.col("gone.key"), "left")
     left = F.filter(F.split("docs.text", "\n"), lambda x, i: ~F.array_contains("gone.removed", i))

@@ -71,15 +71,16 @@ def united(classes: DataFrame, links: DataFrame) -> DataFrame:
         return keep(changed.union(fresh.join(known.select("id"), "id", "left_anti")), "classes")
 
 
-def live_members(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+def live_members(parts: list[DataFrame], keep: Callable[[DataFrame, str], DataFrame] = stored) -> tuple[DataFrame, DataFrame]:
     """(bucket, id, size) of the buckets with more than two members, and the pairs (a, b) of those with two, from
-    tables of (bucket, id) that are dealt out one after the other. A bucket with one member never leaves its count."""
+    tables of (bucket, id) that are dealt out one after the other. A bucket with one member never leaves its count. `keep`
+    stores both."""
     live, twos = [], []
     for part in parts:
         sizes = part.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("a"), F.max("id").alias("b"))
-        sizes = stored(sizes.where("size > 1"), "sizes")
+        sizes = keep(sizes.where("size > 1"), "sizes")
         twos.append(sizes.where("size = 2").select("a", "b"))
-        live.append(stored(part.join(small(sizes.where("size > 2").select("bucket", "size")), "bucket"), "live"))
+        live.append(keep(part.join(small(sizes.where("size > 2").select("bucket", "size")), "bucket"), "live"))
     return reduce(DataFrame.union, live), reduce(DataFrame.union, twos)
 
 
