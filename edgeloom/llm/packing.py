@@ -27,14 +27,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import id_text, small_batches, stored
+from .words import KEPT
 
 CAPACITY, END, TOKENIZER = 4096, 2, "word_bpe_49k.json"
 #: Tokens that a full bin may lack.
 SLACK = 24
 #: The number under which pieces from several tasks share bins; tasks have smaller ones.
 SHARED_TASK = (1 << 20) - 1
-#: Encoded runs of characters that a worker remembers: about 200 bytes each.
-REMEMBERED = 800_000
+#: Encoded runs of characters that a worker remembers: about 200 bytes each, in a table that need not be doubled for them.
+REMEMBERED = 600_000
 
 
 def cuts(n: int, capacity: int = CAPACITY, slack: int = SLACK) -> list[tuple[int, int, int]]:
@@ -89,8 +90,9 @@ class Encoder:
 
 
 def encoder(name: str) -> Encoder:
-    """The encoder that this Python process keeps from task to task, with what it remembers."""
-    kept = sys.modules.setdefault("edgeloom_worker", types.ModuleType("edgeloom_worker"))
+    """The encoder that this Python process keeps from task to task, with what it remembers, until an operator that cuts
+    texts into blocks has its turn (words.forget)."""
+    kept = sys.modules.setdefault(KEPT, types.ModuleType(KEPT))
     if not hasattr(kept, name):
         setattr(kept, name, Encoder(name))
     return getattr(kept, name)

@@ -6,6 +6,7 @@ probability about 2**-64.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,6 +16,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 GRAM = np.uint64(0xD1342543DE82EF95)
 BLOCK_BYTES = 1 << 20
+#: Where a Python worker keeps what one operator uses again in its next task.
+KEPT = "edgeloom_worker"
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -54,8 +57,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def forget() -> None:
+    """Spark uses a Python worker again for other operators; what the last one kept there would count against them."""
+    sys.modules.pop(KEPT, None)
+
+
 def blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, byte offsets of the rows) for runs of rows with about BLOCK_BYTES bytes."""
+    forget()
     texts = texts.cast(pa.large_string()).fill_null("")
     if not len(texts):
         return

@@ -1,4 +1,5 @@
 import random
+import sys
 from collections import defaultdict
 from itertools import batched
 
@@ -73,6 +74,19 @@ def test_nulls_empty_and_repeated_rows(spark):
     assert all(r["key"] == ("k" if r["doc_id"] % 2 == 0 else None) for _, _, found in stages[:-1] for r in found)
 
 
+def test_a_worker_drops_what_packing_kept_when_it_cuts_texts():
+    """The encoder with all its runs stayed in each Python worker through the stages of the next run."""
+    import pyarrow as pa
+
+    from edgeloom.llm import packing, words
+
+    kept = packing.encoder(packing.TOKENIZER)
+    ids = kept(["two words"])
+    assert packing.encoder(packing.TOKENIZER) is kept
+    assert len(list(words.blocks(pa.array(["two words"])))) == 1 and "edgeloom_worker" not in sys.modules
+    assert packing.encoder(packing.TOKENIZER) is not kept and packing.encoder(packing.TOKENIZER)(["two words"]) == ids
+
+
 def test_an_empty_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id < 0")
     for stage, columns, found in through(spark, docs, "none"):
