@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .linking import leader_pairs, linked_groups, live_members
-from .store import scratch, small, stored
+from .store import BROADCAST_ROWS, scratch, size, small, stored
 from .text_columns import keyed
 
 WIDTH, PERCENT = 9, 80
@@ -42,6 +42,8 @@ DEPTH = 6
 CROWD = 32
 #: Members that are compared with one line in one task.
 MEMBERS = 4096
+#: Words of 64 bits in which the shingles of a line are marked.
+WORDS = 16
 BLANK = r"[^\x20\x09-\x0D]"
 
 
@@ -95,13 +97,15 @@ def _signed(least: DataFrame) -> DataFrame:
     return rows.select("id", "weak", *(F.col(b).bitwiseAND(0x7FFF).cast("short").alias(b) for b in bins))
 
 
-def signatures(lines: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(id, b0, ...): a node for each different line, with 15 bits of each bin's smallest hash.
+def signatures(rows: DataFrame, places: DataFrame, width: int = WIDTH) -> DataFrame:
+    """(id, b0, ...): a node for each different line of `rows`, with 15 bits of each bin's smallest hash.
 
     A first pass looks at the smallest hashes only; where it leaves a bin empty (rarely, or in a line that repeats
-    itself) a second one looks at all of the line's."""
-    first = stored(_signed(_least(lines, width, DEPTH)), "least")
-    again = lines.join(small(stored(first.where("weak").select(F.col("id").alias("h")), "ids")), "h", "left_semi")
+    itself) a second one looks at all of the line's, and cuts only the documents that hold such a line."""
+    first = stored(_signed(_least(_lines(rows), width, DEPTH)), "least")
+    ids = small(stored(first.where("weak").select(F.col("id").alias("h")), "ids"))
+    keys = small(stored(places.join(ids, "h", "left_semi").select("place.key").distinct(), "keys"))
+    again = _lines(rows.join(keys, "key", "left_semi")).join(ids, "h", "left_semi")
     return first.where("NOT weak").union(stored(_signed(_least(again, width, None)), "again")).drop("weak")
 
 
@@ -110,19 +114,48 @@ def _some_lines(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return lines.select("h", "text").join(small(ids), "h", "left_semi").groupBy("h").agg(F.max("text").alias("text"))
 
 
+def _marks(lines: DataFrame, width: int) -> DataFrame:
+    """(h, n, m0, ...): how many shingles begin in each line of `lines` (h, text), and the bits that their hashes mark."""
+    units = lines.select("h", F.encode("text", "UTF-16BE").alias("units"))
+    found = units.select("h", "units", F.explode(_starts(F.col("units"), width)).alias("at"))
+    hashed = found.select("h", _shingle(F.col("units"), F.col("at"), width).alias("v"))
+    hashed = hashed.select("h", F.expr(f"cast((v >> 6) & {WORDS - 1} AS int)").alias("word"), F.expr("shiftleft(1L, cast(v & 63 AS int))").alias("bit"))
+    words = (F.coalesce(F.bit_or(F.when(F.col("word") == j, F.col("bit"))), F.lit(0).cast("long")).alias(f"m{j}") for j in range(WORDS))
+    return hashed.groupBy("h").agg(F.count("*").alias("n"), *words)
+
+
+def _possible(pairs: DataFrame, pool: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of lines of `pool` but for those whose marks show that they are no link. A bit that only one of
+    them has is a shingle that only one of them has, and a link has at most 100 - percent of those for 100 + percent
+    shingles of both."""
+    pairs = stored(pairs, "pairs")
+    ids = stored(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "ids")
+    own = stored(_marks(pool.join(small(ids), "h", "left_semi"), width), "marks")
+    own = F.broadcast(own) if size(own) * WORDS <= BROADCAST_ROWS else own
+    rows = small(pairs)
+    for end in "ab":
+        rows = rows.join(own.select(F.col("h").alias(end), F.col("n").alias(f"n{end}"), *(F.col(f"m{j}").alias(f"{end}{j}") for j in range(WORDS))), end)
+    differ = " + ".join(f"bit_count(a{j} ^ b{j})" for j in range(WORDS))
+    return rows.where(f"{100 + percent} * ({differ}) <= {100 - percent} * (na + nb)").select("a", "b")
+
+
 def bands(nodes: DataFrame) -> list[DataFrame]:
     """(bucket, id) of each node, in PARTS tables."""
     keys = [F.xxhash64(F.lit(k), *(f"b{j}" for j in bins)) for k, bins in enumerate(BANDS)]
     return [nodes.select(F.explode(F.array(*keys[k::PARTS])).alias("bucket"), "id") for k in range(PARTS)]
 
 
-def line_classes(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(id, component) of the lines of `rows` (doc_id, key, text) that are linked with a different line."""
+def line_classes(rows: DataFrame, places: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(id, component) of the lines of `rows` (doc_id, key, text), which lie at `places` (h, place), that are linked with a
+    different line."""
     with scratch(rows.sparkSession) as keep:
-        live, twos = live_members(bands(signatures(_lines(rows), width)), keep)
+        live, twos = live_members(bands(signatures(rows, places, width)), keep)
     met = live.select("id").union(twos.select("a")).union(twos.select("b")).distinct()
     pool = stored(_some_lines(_lines(rows), stored(met.toDF("h"), "met")), "pool")  # the lines that share a band with any
 
+    def possible(pairs: DataFrame) -> DataFrame:
+        return _possible(pairs, pool, width, percent)
+
     def verify(pairs: DataFrame) -> DataFrame:
         """The pair's line that occurs in more pairs is its head: its set is taken once, that of the other one as it is
         compared, so that sets are neither stored nor shuffled."""
@@ -148,14 +181,14 @@ def line_classes(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
         units = lines.select(F.col("h").alias("id"), F.encode("text", "UTF-16BE").alias("units"))
         return units.select("id", F.explode(_shingle_set(F.col("units"), width)).alias("v"))
 
-    return linked_groups(live, leader_pairs(live).union(twos), lambda pairs: pairs, verify, tokens, percent, CROWD)
+    return linked_groups(live, leader_pairs(live).union(twos), lambda pairs: pairs, verify, tokens, percent, CROWD, possible)
 
 
 def removals(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(key, removed): the numbers of the lines that go, of each document of `rows` (doc_id, key, text) that loses any."""
     with scratch(rows.sparkSession) as keep:
         places = stored(_lines(rows).select("h", F.struct("doc_id", "key", "line").alias("place")), "places")
-        classes = stored(line_classes(rows, width, percent), "classes")
+        classes = stored(line_classes(rows, places, width, percent), "classes")
         heads = places.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("times"))
         heads = heads.join(small(classes).withColumnRenamed("id", "h"), "h", "left").where("times > 1 OR component IS NOT NULL")
         heads = stored(heads.select("h", "first", F.coalesce("component", "h").alias("component")), "heads")

@@ -17,6 +17,8 @@ BLOCK = 512
 #: Turns in which sets of crowded buckets are compared with leaders of their rare members, and leaders for each; the turns
 #: end when fewer than one in 1 / WORTH pairs is a link.
 TURNS, STARS, WORTH = 6, 4, 0.02
+#: Parts of the rare members, one of which is looked up in each turn.
+SLICES = 2
 
 
 def ordered(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -112,8 +114,8 @@ def _classed(probe: DataFrame, classes: DataFrame) -> DataFrame:
 def star_pairs(probe: DataFrame, classes: DataFrame, turn: int, percent: int) -> DataFrame:
     """(a, b): each set with the leaders of its rare members that belong to other classes, STARS of them at most, those of
     most of its rare members first. So there are at most STARS pairs for each set, however large a family is. The leader
-    of a member is one of the sets that have it, in each turn another one."""
-    rows = _classed(probe, classes)
+    of a member is one of the sets that have it, in each turn another one. A turn looks up one member in SLICES."""
+    rows = _classed(probe.where(F.pmod(F.xxhash64("v"), F.lit(SLICES)) == turn % SLICES), classes)
     leaders = rows.groupBy("v").agg(F.min(F.struct(F.xxhash64("id", "v", F.lit(turn)).alias("h"), "id", "c", "n")).alias("x"), F.min("c").alias("low"), F.max("c").alias("high"))
     leaders = stored(leaders.where("low < high").select("v", F.col("x.id").alias("leader"), F.col("x.c").alias("lc"), F.col("x.n").alias("ln")), "leaders")
     met = rows.join(small(leaders), "v").where("c <> lc").where(f"100 * n >= {percent} * ln AND 100 * ln >= {percent} * n")
@@ -147,9 +149,11 @@ def linked_groups(
     tokens: Callable[[DataFrame], DataFrame],
     percent: int,
     crowd: int,
+    possible: Callable[[DataFrame], DataFrame] = lambda pairs: pairs,
 ) -> DataFrame:
     """(id, component) of the nodes that have a verified link. Nodes that share a bucket of `live` (bucket, id, size) are
-    candidates. `near` leaves of the pairs (a, b) in `tried` those worth a comparison, `verify` those that hold.
+    candidates. `near` leaves of the pairs (a, b) in `tried` those worth a comparison, `verify` those that hold. Of the further
+    candidates `possible` may leave out those that are certain to be no links.
 
     No bucket is expanded into its pairs. First the pairs of `tried` are verified, a few for each member. A bucket whose
     members are then all in one class is settled. In the others, and only there, members of different classes are
@@ -182,7 +186,7 @@ def linked_groups(
                 break
             tried = stored(tried.union(met), "tried")
             with scratch(live.sparkSession) as keep:
-                more = keep(verify(near(met)), "more")
+                more = keep(verify(near(possible(met))), "more")
             classes = united(classes, more) if size(more) else classes
             if size(more) < size(met) * WORTH:
                 break
@@ -190,7 +194,8 @@ def linked_groups(
         if probe is not None:
             pairs = pairs.union(prefix_pairs(probe, classes, percent))
         pairs = pairs.groupBy("a", "b").agg(F.max("shared").alias("shared")).join(tried, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "candidates")
+        pairs = stored(pairs, "found")
+        pairs = keep(pairs.join(possible(pairs.select("a", "b")), ["a", "b"], "left_semi"), "candidates")
     done = tried.limit(0)
     for quota in QUOTAS:
         between = _between(pairs, classes)

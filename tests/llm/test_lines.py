@@ -104,6 +104,24 @@ def test_recall_in_crowded_families_of_many_classes(spark):
     assert all(set(found[i]) <= set(wanted[i]) for i in texts)
 
 
+def test_marks_leave_out_no_link_and_most_other_pairs(spark):
+    """Candidates were all compared by their full sets."""
+    rng = random.Random(12)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    lines, pairs = [letters(5), "ab" * 900, "é\U0001f600" * 40], [(0, 1), (1, 2)]
+    for k in range(300):
+        own = letters(rng.randint(12, 700))
+        cut = int(len(own) * (k % 10) / 20)
+        lines += [own, own[: len(own) - cut] + letters(cut)]
+        pairs.append((len(lines) - 2, len(lines) - 1))
+    pool = spark.createDataFrame(list(enumerate(lines)), "h long, text string")
+    found = {tuple(r) for r in line_dedup._possible(spark.createDataFrame(pairs, "a long, b long"), pool, 9, 80).collect()}
+    sets = [shingles(x) for x in lines]
+    links = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert len(links) > 60 and links <= found
+    assert len(found - links) < 0.3 * (len(pairs) - len(links))
+
+
 def test_clashing_columns_repeated_rows_and_long_lines(spark):
     rows = [(2, "a b c", 1, 2, 3, 4), (1, "a b c", 1, 2, 3, 4), (1, "a b c", 1, 2, 3, 4), (3, "x" * 200_000, 1, 2, 3, 4), (3, None, 1, 2, 3, 4), (None, "x" * 199_990 + "\n\ny", 1, 2, 3, 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, key long, removed long, `gone.key` long, docs long")
