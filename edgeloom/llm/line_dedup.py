@@ -9,7 +9,7 @@ lines always stay and link nothing.
 Signatures: each shingle's hash falls into one of BINS bins, each bin keeps its smallest hash, an empty bin takes over
 the next full one's. The bins are the edges of the Petersen graph, and its nodes, with three edges each, are the bands
 that make candidates; no two bands share more than one bin. Two lines of similarity 0.8 share a band with a probability
-of 0.994 (0.9986 at 0.85).
+of 0.994 (0.9986 at 0.85), or 0.993 where their lengths differ by a fifth.
 
 Edge cases: a null or empty text has one blank line; rows that agree in doc_id and text are one document and are
 treated alike; a null doc_id comes first in the order; long lines count whole. Other columns are ignored, or kept
@@ -38,6 +38,9 @@ PARTS = 2
 #: Shingles of a line that are looked at for each bin, about: those of smallest hash. A bin has none of them once in
 #: 400 times, and only then may its value differ from that over all shingles.
 DEPTH = 6
+#: Bins of a long line that may have none of these. More have none once in 1,500 lines, or in a line that repeats itself,
+#: and all shingles of such a line are looked at.
+SPARE = 1
 #: Different lines of an unsettled band that are all compared; in larger ones a prefix filter finds the pairs.
 CROWD = 32
 #: Members that are compared with one line in one task.
@@ -88,9 +91,10 @@ def _least(lines: DataFrame, width: int, depth: int | None) -> DataFrame:
 
 def _signed(least: DataFrame) -> DataFrame:
     """(id, weak, b0, ...): 15 bits of each bin of `least`, an empty one as the next full one, and whether a long line has
-    an empty one. Each bin takes over from the one after it, so that the generated code stays small enough to be compiled."""
+    more than SPARE empty ones. Each bin takes over from the one after it, so that the generated code stays small enough to
+    be compiled."""
     bins = [f"b{j}" for j in range(BINS)]
-    weak = F.expr(f"n > {BINS * DEPTH} AND ({' OR '.join(f'{b} IS NULL' for b in bins)})")
+    weak = F.expr(f"n > {BINS * DEPTH} AND {' + '.join(f'int({b} IS NULL)' for b in bins)} > {SPARE}")
     rows = least.select(F.col("h").alias("id"), weak.alias("weak"), F.coalesce(*bins).alias(f"b{BINS}"), *bins)
     for j in reversed(range(BINS)):
         rows = rows.withColumn(bins[j], F.coalesce(bins[j], f"b{j + 1}"))
@@ -100,10 +104,13 @@ def _signed(least: DataFrame) -> DataFrame:
 def signatures(rows: DataFrame, places: DataFrame, width: int = WIDTH) -> DataFrame:
     """(id, b0, ...): a node for each different line of `rows`, with 15 bits of each bin's smallest hash.
 
-    A first pass looks at the smallest hashes only; where it leaves a bin empty (rarely, or in a line that repeats
+    A first pass looks at the smallest hashes only; where it leaves bins empty (rarely, or in a line that repeats
     itself) a second one looks at all of the line's, and cuts only the documents that hold such a line."""
     first = stored(_signed(_least(_lines(rows), width, DEPTH)), "least")
-    ids = small(stored(first.where("weak").select(F.col("id").alias("h")), "ids"))
+    ids = stored(first.where("weak").select(F.col("id").alias("h")), "ids")
+    if not size(ids):
+        return first.drop("weak")
+    ids = small(ids)
     keys = small(stored(places.join(ids, "h", "left_semi").select("place.key").distinct(), "keys"))
     again = _lines(rows.join(keys, "key", "left_semi")).join(ids, "h", "left_semi")
     return first.where("NOT weak").union(stored(_signed(_least(again, width, None)), "again")).drop("weak")
@@ -184,10 +191,19 @@ def line_classes(rows: DataFrame, places: DataFrame, width: int = WIDTH, percent
     return linked_groups(live, leader_pairs(live).union(twos), lambda pairs: pairs, verify, tokens, percent, CROWD, possible)
 
 
-def removals(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(key, removed): the numbers of the lines that go, of each document of `rows` (doc_id, key, text) that loses any."""
+def hashed_lines(rows: DataFrame) -> DataFrame:
+    """(doc_id, key, hashes): the hash of each line of `rows` (doc_id, key, text), null for a blank one."""
+    hashes = F.transform(F.split("text", "\n"), lambda x: F.when(_filled(x), F.xxhash64(x)))
+    return rows.select("doc_id", "key", hashes.alias("hashes"))
+
+
+def removals(rows: DataFrame, hashed: DataFrame | None = None, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(key, removed): the numbers of the lines that go, of each document of `rows` (doc_id, key, text) that loses any.
+    `hashed` are the stored `hashed_lines` where there are any."""
     with scratch(rows.sparkSession) as keep:
-        places = stored(_lines(rows).select("h", F.struct("doc_id", "key", "line").alias("place")), "places")
+        hashed = stored(hashed_lines(rows), "hashed") if hashed is None else hashed
+        places = hashed.select("doc_id", "key", F.posexplode("hashes").alias("line", "h")).where("h IS NOT NULL")
+        places = places.select("h", F.struct("doc_id", "key", "line").alias("place"))
         classes = stored(line_classes(rows, places, width, percent), "classes")
         heads = places.groupBy("h").agg(F.min("place").alias("first"), F.count("*").alias("times"))
         heads = heads.join(small(classes).withColumnRenamed("id", "h"), "h", "left").where("times > 1 OR component IS NOT NULL")
@@ -202,8 +218,9 @@ def removals(rows: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
 def summary(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_lines (not blank), n_removed, removed (their numbers, from 0)."""
     rows = keyed(docs)
-    n_lines = F.size(F.filter(F.split("text", "\n"), _filled)).cast("long")
-    out = rows.select("doc_id", "key", n_lines.alias("n_lines")).join(removals(rows, width, percent), "key", "left")
+    hashed = stored(hashed_lines(rows), "hashed")
+    n_lines = F.size(F.array_compact("hashes")).cast("long")
+    out = hashed.select("doc_id", "key", n_lines.alias("n_lines")).join(removals(rows, hashed, width, percent), "key", "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
@@ -211,7 +228,7 @@ def summary(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
 def deduplicated(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of `docs`, all columns, with the removed lines taken out of `text`; rows that lose nothing are as they
     were, and a row that loses all its lines goes."""
-    gone = small(removals(keyed(docs), width, percent)).alias("gone")
+    gone = small(removals(keyed(docs), None, width, percent)).alias("gone")
     key = F.xxhash64(F.col("docs.doc_id").cast("long"), F.coalesce(F.col("docs.text").cast("string"), F.lit("")))
     rows = docs.alias("docs").join(gone, key == F.col("gone.key"), "left")
     left = F.filter(F.split("docs.text", "\n"), lambda x, i: ~F.array_contains("gone.removed", i))

@@ -142,3 +142,13 @@ def test_the_set_of_a_long_line_takes_time_in_proportion(spark):
     found = {r["k"]: r["n"] for r in rows.select("k", F.size(line_dedup._shingle_set(F.col("units"), 9)).alias("n")).collect()}
     assert found == {k: len(shingles(line)) for k, line in enumerate(lines)}
     assert time.perf_counter() - began < 60
+
+
+def test_few_long_lines_are_looked_at_twice(spark):
+    """A line of which one bin was empty by chance, one in 27, went through a second pass over all documents."""
+    rng = random.Random(13)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    lines = [(k, letters(300)) for k in range(2000)] + [(2000 + k, letters(12) * 30) for k in range(50)]
+    least = line_dedup._least(spark.createDataFrame(lines, "h long, text string"), 9, line_dedup.DEPTH)
+    weak = {r["id"] for r in line_dedup._signed(least).where("weak").collect()}
+    assert {2000 + k for k in range(50)} <= weak and len(weak) < 50 + 10
